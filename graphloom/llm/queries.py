@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, license_scan, quality_rules
+from graphloom.llm import decontaminate, license_scan, quality_rules, simhash_dedup
 from graphloom.session import table
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash_dedup.hex_digits(F.col("print")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality_rules.SHARES)
@@ -21,6 +27,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op8_quality_rules, op9_license_scan, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
