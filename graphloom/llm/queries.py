@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, license_scan, quality_rules, simhash_dedup
+from graphloom.llm import decontaminate, fm_dedup, license_scan, quality_rules, sa_dedup, simhash_dedup
 from graphloom.session import table
 
 
+def op3_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
+def op4_sa_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sa_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash_dedup.hex_digits(F.col("print")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -27,6 +35,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_dedup, op8_quality_rules, op9_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_fm_dedup, op4_sa_dedup, op5_simhash_dedup, op8_quality_rules, op9_license_scan, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
