@@ -138,9 +138,10 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, **limits: int) ->
 
 
 def _with_spans(df: DataFrame, id_col: str, text_col: str, window: int, **limits: int) -> DataFrame:
-    docs = df.withColumn("row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    narrow = docs.select("row_key", F.col(text_col).alias("text"))
-    return docs.join(repeated_word_spans(narrow, window, **limits), "row_key", "left")
+    docs = df.withColumn("__row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    narrow = docs.select(F.col("__row_key").alias("row_key"), F.col(text_col).alias("text"))
+    spans = repeated_word_spans(narrow, window, **limits)
+    return docs.join(spans.select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans")), "__row_key", "left")
 
 
 def _kept(data: np.ndarray, spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +171,7 @@ def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield out
 
     whole = _with_spans(df.select(F.col(id_col), F.col(text_col)), id_col, text_col, window, **limits)
-    return whole.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "spans").mapInPandas(report, f"{id_col} {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    return whole.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("__spans").alias("spans")).mapInPandas(report, f"{id_col} {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -185,7 +186,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.Series([_cut_words(t, s) for t, s in zip(texts, all_spans, strict=True)], dtype=object)
 
     found = _with_spans(df, id_col, text_col, window)
-    return found.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("spans")))).select(*df.columns)
+    return found.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans")))).select(*df.columns)
 
 
 def _cut_words(text: str | None, spans) -> str | None:

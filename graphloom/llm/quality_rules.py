@@ -131,9 +131,9 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     return measured.join(small(limits), same, "left").withColumn("kept", ~F.col("base_failed") & within).drop(*limits.columns)
 
 
-def quality_report(df: DataFrame, text_col: str = "text") -> DataFrame:
+def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, shares and verdict of every document; the text is read once."""
-    measured = materialize(measure(df, text_col).drop(text_col))
+    measured = materialize(measure(df.select(id_col, "lang", "source", text_col), text_col).drop(text_col))
     return judge(measured, materialize(cutoffs(sketches(measured))))
 
 
@@ -141,4 +141,5 @@ def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with the columns of ``df``; measured twice rather than shuffling texts."""
     narrow = measure(df.select("lang", "source", text_col), text_col).drop(text_col)
     limits = materialize(cutoffs(sketches(narrow)))
-    return judge(measure(df, text_col), limits).where("kept").select(*df.columns)
+    whole = df.select(F.struct(*df.columns).alias("__row"), "lang", "source", text_col)
+    return judge(measure(whole, text_col), limits).where("kept").select("__row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, decontaminate, fm_dedup, html_extract, license_scan, quality_rules, sa_dedup, simhash_dedup
+from graphloom.llm import chat_format, decontaminate, fm_dedup, html_extract, license_scan, quality_model, quality_rules, sa_dedup, simhash_dedup, sp_codec
 from graphloom.session import table
 
 
@@ -34,6 +34,14 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash_dedup.hex_digits(F.col("print")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.segmentations(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality_rules.SHARES)
@@ -47,6 +55,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_chat_format, op3_fm_dedup, op4_sa_dedup, op5_simhash_dedup, op8_quality_rules, op9_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_chat_format, op3_fm_dedup, op4_sa_dedup, op5_simhash_dedup, op6_sentencepiece, op7_quality_model, op8_quality_rules, op9_license_scan, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}

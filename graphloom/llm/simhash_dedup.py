@@ -175,11 +175,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, print and component (least id of all that can be reached over links)."""
-    prints = materialize(fingerprinted(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "print"))
+    """One row per row of ``df``: id, row_key (hash of id and text), print, component (least id reachable over links)."""
+    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_key"))
+    prints = materialize(fingerprinted(narrow).select("id", "row_key", "print"))
     nodes = materialize(prints.groupBy("print").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("label")))
     found = components(nodes, linked_pairs(nodes.select("print")))
-    return prints.join(found, "print").select("id", "print", F.nullif("component", F.lit(NO_ID)).alias("component"))
+    return prints.join(found, "print").select("id", "row_key", "print", F.nullif("component", F.lit(NO_ID)).alias("component"), F.col("component").alias("_group"))
 
 
 def hex_digits(fingerprints: Column) -> Column:
@@ -188,7 +189,8 @@ def hex_digits(fingerprints: Column) -> Column:
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every near-duplicate component, the one with the least (id, text hash); columns of ``df``."""
-    found = near_duplicates(df, id_col, text_col).select("id", "print", "component")
-    first = found.groupBy("component").agg(F.min("id").alias("id"))
-    return df.join(first, df[id_col].eqNullSafe(first["id"]), "left_semi").select(*df.columns)
+    """One row of every near-duplicate component, the one with the least id; columns of ``df``."""
+    found = near_duplicates(df, id_col, text_col)
+    first = found.groupBy("_group").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row_key")).alias("row")).select(F.col("row.row_key").alias("__first"))
+    keyed = df.withColumn("__first", F.xxhash64(id_col, text_col))
+    return keyed.join(first, "__first", "left_semi").dropDuplicates(["__first"]).select(*df.columns)
