@@ -174,18 +174,16 @@ def repeated_spans(docs: DataFrame, symbols: Callable[[str | None], np.ndarray],
     total = distinct.agg(F.sum(F.col("at.n") + (window - 1))).first()[0] or 0
     shards = max(1, -(-total // shard))
 
-    spans = uniform
-    cold = distinct.join(large, "anchor", "left_anti")
-    found = _sharded(docs, cold, symbols, window, solve, shards)
+    found = _sharded(docs, distinct.join(large, "anchor", "left_anti"), symbols, window, solve, shards)
+    if large.limit(1).count():
+        found = found.union(_by_window(docs, distinct.join(large, "anchor", "left_semi"), symbols, window))
     own = mixed.join(found, ["anchor", "content"])
     moved = F.transform("ranges", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"]).alias("last")))
-    spans = spans.union(own.select("row_key", moved.alias("spans")))
-    if large.limit(1).count():
-        spans = spans.union(_by_window(docs, mixed.join(large, "anchor", "left_semi"), symbols, window))
+    spans = uniform.union(own.select("row_key", moved.alias("spans")))
     return spans.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans")).select("row_key", _merged("spans").alias("spans"))
 
 
-def _merged(column: str):
+def _merged(column):
     """Sorted ranges with those that touch joined."""
     kind = "array<struct<first:bigint,last:bigint>>"
 
@@ -197,31 +195,27 @@ def _merged(column: str):
     return F.aggregate(F.array_sort(F.array_distinct(column)), F.array().cast(kind), add)
 
 
-def _cut(docs: DataFrame, wanted: DataFrame, symbols: Callable, emit: Callable, schema: str) -> DataFrame:
-    """Give ``emit`` the symbols of each wanted stretch; wanted: row_key, pieces (array of structs with start, n)."""
+def _cut(docs: DataFrame, distinct: DataFrame, symbols: Callable, emit: Callable, schema: str) -> DataFrame:
+    """What ``emit`` makes of the symbols of each distinct segment, taken from the text where it first stands."""
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for low in range(0, len(frame), 64):
-                rows = []
-                for key, text, parts in zip(*(frame[c].iloc[low : low + 64] for c in ("row_key", "text", "pieces")), strict=True):
-                    rows += emit(key, symbols(text), parts)
+                rows = [r for text, parts in zip(*(frame[c].iloc[low : low + 64] for c in ("text", "pieces")), strict=True) for r in emit(symbols(text), parts)]
                 if rows:
-                    yield pd.concat(rows) if isinstance(rows[0], pd.DataFrame) else pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                    yield pd.concat(rows) if isinstance(rows[0], pd.DataFrame) else pd.DataFrame(rows, columns=columns)
 
+    wanted = distinct.groupBy("at.row_key").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor", "content", "copies")).alias("pieces"))
     return docs.select("row_key", "text").join(wanted, "row_key").mapInPandas(run, schema)
 
 
 def _sharded(docs: DataFrame, distinct: DataFrame, symbols: Callable, window: int, solve: Solver, shards: int) -> DataFrame:
     """(anchor, content, ranges) of the distinct segments, decided shard by shard."""
-    schema = "anchor bigint, content bigint, copies bigint, body binary"
 
-    def emit(_, values: np.ndarray, parts) -> list[tuple]:
+    def emit(values: np.ndarray, parts) -> list[tuple]:
         return [(p["anchor"], p["content"], p["copies"], values[p["start"] : p["start"] + p["n"] + window - 1].tobytes()) for p in parts]
 
-    wanted = distinct.groupBy("at.row_key").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor", "content", "copies")).alias("pieces"))
-    bodies = _cut(docs, wanted, symbols, emit, schema)
-
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["anchor", "content"])
         kind = np.uint8 if symbols is byte_symbols else U
@@ -229,25 +223,26 @@ def _sharded(docs: DataFrame, distinct: DataFrame, symbols: Callable, window: in
         rows = [(a, c, [{"first": x, "last": y} for x, y in r]) for a, c, r in zip(group["anchor"], group["content"], ranges, strict=True) if r]
         return pd.DataFrame(rows, columns=["anchor", "content", "ranges"])
 
+    bodies = _cut(docs, distinct, symbols, emit, "anchor bigint, content bigint, copies bigint, body binary")
     dealt = bodies.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(lambda g: decide(g), "anchor bigint, content bigint, ranges array<struct<first:bigint,last:bigint>>")
 
 
-def _by_window(docs: DataFrame, rows: DataFrame, symbols: Callable, window: int) -> DataFrame:
-    """Spans of single windows whose 128-bit hash is counted twice or more."""
-    schema = "row_key bigint, start bigint, one bigint, two bigint"
+def _by_window(docs: DataFrame, distinct: DataFrame, symbols: Callable, window: int) -> DataFrame:
+    """(anchor, content, ranges) from single windows: those whose 128-bit hash is counted twice or more, with copies."""
 
-    def emit(key, values: np.ndarray, parts) -> list[pd.DataFrame]:
+    def emit(values: np.ndarray, parts) -> list[pd.DataFrame]:
         out = []
         for p in parts:
             body = as_values(values[p["start"] : p["start"] + p["n"] + window - 1])
-            out.append(pd.DataFrame({"row_key": key, "start": np.arange(p["start"], p["start"] + p["n"]), "one": run_hashes(body, window).view(np.int64), "two": run_hashes(body, window, _ODD2).view(np.int64)}))
+            out.append(pd.DataFrame({"anchor": p["anchor"], "content": p["content"], "copies": p["copies"], "first": np.arange(p["n"], dtype=np.int64), "one": run_hashes(body, window).view(np.int64), "two": run_hashes(body, window, _ODD2).view(np.int64)}))
         return out
 
-    wanted = rows.groupBy("row_key").agg(F.collect_list(F.struct("start", "n")).alias("pieces"))
-    windows = materialize(_cut(docs, wanted, symbols, emit, schema))
-    twice = windows.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1").select("one", "two")
-    return windows.join(twice, ["one", "two"]).select("row_key", F.array(F.struct(F.col("start").alias("first"), (F.col("start") + window).alias("last"))).alias("spans"))
+    windows = _cut(docs, distinct, symbols, emit, "anchor bigint, content bigint, copies bigint, first bigint, one bigint, two bigint")
+    windows = materialize(windows.dropDuplicates(["anchor", "content", "first"]))
+    twice = windows.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two")
+    again = windows.join(twice, ["one", "two"]).select("anchor", "content", F.struct("first", (F.col("first") + window).alias("last")).alias("r"))
+    return again.groupBy("anchor", "content").agg(_merged(F.collect_list("r")).alias("ranges"))
 
 
 def byte_symbols(text: str | None) -> np.ndarray:
