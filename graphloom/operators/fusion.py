@@ -75,7 +75,7 @@ def apply_corrections(entities: DataFrame, relations: DataFrame, corrections: Da
         rest = rest.join(gone.withColumnRenamed("name", end), end, "left_anti")
     for end in ("source_name", "relation_type"):
         rest = rest.join(off.withColumnRenamed("target_name", end), end, "left_anti")
-    return left, rest
+    return left.select(*entities.columns), rest.select(*relations.columns)
 
 
 def fuzzy_candidates(queries: DataFrame, nodes: DataFrame, top: int = CANDIDATES, threshold: float = 0.25) -> DataFrame:
