@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.segments import as_values, byte_symbols, range_hashes, repeated_spans, run_hashes
 
 WINDOW, GRAM = 200, 16
+#: Bytes of a shard, and of one anchor before its windows are counted one by one; sorting takes some 200 bytes a byte.
+SHARD, HOT = 1 << 18, 1 << 20
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -180,7 +182,7 @@ def _decided(parts: list[np.ndarray], copies: np.ndarray, window: int) -> list[l
 
 def repeated_byte_spans(docs: DataFrame, window: int = WINDOW, **limits: int) -> DataFrame:
     """(row_key, spans) in bytes; docs: row_key, text."""
-    return repeated_spans(docs, byte_symbols, min(GRAM, window), window, lambda parts, copies: repeated_ranges(parts, copies, window), **limits)
+    return repeated_spans(docs, byte_symbols, min(GRAM, window), window, lambda parts, copies: repeated_ranges(parts, copies, window), **({"shard": SHARD, "hot": HOT} | limits))
 
 
 def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **limits: int) -> DataFrame:
