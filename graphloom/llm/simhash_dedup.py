@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.segments import mix
 from graphloom.session import materialize
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -67,16 +68,20 @@ def fingerprint(hashes: np.ndarray) -> int:
 _BIT_OF = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
-def fingerprinted(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``print``: the fingerprint as a signed 64-bit integer."""
+def views(hashes: np.ndarray, n: int) -> list[int]:
+    """The fingerprint of the hashes, and of n - 1 rehashings of them: independent random hyperplanes each time."""
+    return [fingerprint(hashes if v == 0 else mix(hashes + np.uint64(v * 0x9E3779B97F4A7C15 % (1 << 64)))) for v in range(n)]
 
-    @F.pandas_udf("bigint")
+
+def fingerprinted(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE, n_views: int = 1) -> DataFrame:
+    """Add ``prints``: fingerprints as signed 64-bit integers."""
+
+    @F.pandas_udf("array<bigint>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            values = np.array([fingerprint(shingle_hashes(t)) for t in texts], np.uint64)
-            yield pd.Series(values.view(np.int64))
+            yield pd.Series([np.array(views(shingle_hashes(t, shingle), n_views), np.uint64).view(np.int64).tolist() for t in texts])
 
-    return df.withColumn("print", prints(F.col(text_col)))
+    return df.withColumn("prints", prints(F.col(text_col)))
 
 
 def _links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -174,13 +179,29 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(linked, "print", "left").select("print", F.coalesce(F.col("best.label"), F.col("label")).alias("component"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, row_key (hash of id and text), print, component (least id reachable over links)."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_views: int = 1) -> DataFrame:
+    """One row per row of ``df``: id, row_key (hash of id and text), print, component (least id reachable over links).
+
+    With several views, texts link where any of their fingerprints do; fingerprints then are nodes of their own."""
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_key"))
-    prints = materialize(fingerprinted(narrow).select("id", "row_key", "print"))
-    nodes = materialize(prints.groupBy("print").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("label")))
-    found = components(nodes, linked_pairs(nodes.select("print")))
-    return prints.join(found, "print").select("id", "row_key", "print", F.nullif("component", F.lit(NO_ID)).alias("component"), F.col("component").alias("_group"))
+    found = fingerprinted(narrow, "text", shingle, n_views)
+    prints = materialize(found.select("id", "row_key", F.col("prints")[0].alias("first"), "prints", (F.col("prints")[0] if n_views == 1 else F.xxhash64("prints")).alias("print")))
+    nodes = materialize(prints.groupBy("print").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("label"), F.first("prints").alias("prints")))
+    if n_views == 1:
+        edges, labels = linked_pairs(nodes.select("print")), nodes.select("print", "label")
+    else:
+        key = lambda v, p: F.xxhash64(F.lit(v), p)
+        edges = None
+        for v in range(n_views):
+            own = nodes.select("print", F.col("prints")[v].alias("p"))
+            close = linked_pairs(own.select(F.col("p").alias("print")).distinct()).select(key(v, F.col("a")).alias("a"), key(v, F.col("b")).alias("b"))
+            part = close.union(own.select("print", key(v, F.col("p"))))
+            edges = part if edges is None else edges.union(part)
+        edges = materialize(edges)
+        views_ = edges.select(F.col("a").alias("print")).union(edges.select("b")).distinct().join(nodes.select("print"), "print", "left_anti")
+        labels = nodes.select("print", "label").union(views_.select("print", F.lit(NO_ID)))
+    of = components(labels, edges)
+    return prints.join(of, "print").select("id", "row_key", F.col("first").alias("print"), F.nullif("component", F.lit(NO_ID)).alias("component"), F.col("component").alias("_component"), F.col("print").alias("_print"))
 
 
 def hex_digits(fingerprints: Column) -> Column:
@@ -188,9 +209,12 @@ def hex_digits(fingerprints: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprints)), 16, "0")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every near-duplicate component, the one with the least id; columns of ``df``."""
-    found = near_duplicates(df, id_col, text_col)
-    first = found.groupBy("_group").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row_key")).alias("row")).select(F.col("row.row_key").alias("__first"))
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_views: int = 1) -> DataFrame:
+    """One row of every near-duplicate component, the one with the least id; columns of ``df``.
+
+    Rows without an id are grouped by equal fingerprints if nothing with an id is linked to them."""
+    found = near_duplicates(df, id_col, text_col, shingle, n_views)
+    alone = F.when(F.col("component").isNull(), F.col("_print"))
+    first = found.groupBy("_component", alone.alias("_alone")).agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row_key")).alias("row")).select(F.col("row.row_key").alias("__first"))
     keyed = df.withColumn("__first", F.xxhash64(id_col, text_col))
     return keyed.join(first, "__first", "left_semi").dropDuplicates(["__first"]).select(*df.columns)
