@@ -194,8 +194,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         edges = None
         for v in range(n_views):
             own = nodes.select("print", F.col("prints")[v].alias("p"))
-            close = linked_pairs(own.select(F.col("p").alias("print")).distinct()).select(key(v, F.col("a")).alias("a"), key(v, F.col("b")).alias("b"))
-            part = close.union(own.select("print", key(v, F.col("p"))))
+            close = materialize(linked_pairs(own.select(F.col("p").alias("print")).distinct()))
+            shared = own.groupBy("p").agg(F.count("*").alias("n")).where("n > 1").select("p")
+            needed = shared.union(close.select("a")).union(close.select("b")).distinct()  # other fingerprints lead nowhere
+            part = close.select(key(v, F.col("a")).alias("a"), key(v, F.col("b")).alias("b")).union(own.join(needed, "p", "left_semi").select("print", key(v, F.col("p"))))
             edges = part if edges is None else edges.union(part)
         edges = materialize(edges)
         views_ = edges.select(F.col("a").alias("print")).union(edges.select("b")).distinct().join(nodes.select("print"), "print", "left_anti")
