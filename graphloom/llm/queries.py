@@ -57,4 +57,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_chat_format, op3_fm_dedup, op4_sa_dedup, op5_simhash_dedup, op6_sentencepiece, op7_quality_model, op8_quality_rules, op9_license_scan, op10_decontaminate)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_TOKENS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+ORACLE_SQL = {
+    "op3_fm_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
+ win AS (SELECT doc_id, s, md5(array_to_string(w[s:s+34], ' ')) g FROM d, unnest(range(1, len(w)-33)) t(s)),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(s, s+35)) i FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
+ word AS (SELECT doc_id, i, w[i] x FROM d, unnest(range(1, len(w)+1)) t(i)),
+ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) text, count(*) n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+ SELECT d.doc_id, len(w)::BIGINT n_words, (len(w)-coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(text, '')) kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op10_decontaminate": f"""WITH d AS (SELECT doc_id, {_TOKENS} w FROM documents), i AS (SELECT item_id, {_TOKENS} w FROM benchmark),
+ item AS (SELECT DISTINCT item_id, least(len(w), 10) k, array_to_string(w[s:s+least(len(w), 10)-1], ' ') g FROM i, unnest(range(1, len(w)-least(len(w), 10)+2)) t(s) WHERE len(w) > 0),
+ doc AS (SELECT doc_id, s, k, array_to_string(w[s:s+k-1], ' ') g FROM d, (SELECT DISTINCT k FROM item), unnest(range(1, len(w)-k+2)) t(s)),
+ hit AS (SELECT doc_id, s, k, item_id FROM doc JOIN item USING (k, g)),
+ place AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest(range(s, s+k)) p FROM hit) GROUP BY 1),
+ ids AS (SELECT doc_id, count(*) n, string_agg(item, ',' ORDER BY item) x FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item FROM hit) GROUP BY 1)
+ SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(place.n, 0)::BIGINT n_hit, coalesce(ids.n, 0)::BIGINT n_items, sha256(coalesce(x, '')) items_sha256, coalesce(place.n, 0) > 0 contaminated
+ FROM d LEFT JOIN place ON d.doc_id = place.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id""",
+}
