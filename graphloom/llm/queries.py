@@ -60,6 +60,28 @@ QUERIES = {f.__name__: f for f in (op1_html_extract, op2_chat_format, op3_fm_ded
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _TOKENS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+
+def _quality_sql() -> str:
+    gone = lambda kind: f"(length(t)-length(regexp_replace(t, '[{kind}]', '', 'g')))"
+    share = lambda part, of: f"floor(least(1000, 1000*({part})/greatest({of}, 1)))::INT"
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{s}' share, {v} spread, {s} bin FROM m WHERE NOT base_failed" for s, v in quality_rules.SHARES.items())
+    at = lambda q: f"list_sort(list(bin))[({q}*count(*)+3)//4]"
+    fence = f"{at(3)}+{quality_rules.FENCE}*greatest({at(3)}-{at(1)}, any_value(spread))"
+    least = quality_rules.MIN_GROUP
+    tests = " AND ".join(
+        f"{s} <= coalesce((SELECT CASE WHEN o.n >= {least} THEN o.f WHEN l.n >= {least} THEN l.f ELSE a.f END FROM own o JOIN lng l ON o.share=l.share AND o.lang IS NOT DISTINCT FROM l.lang JOIN whole a ON o.share=a.share WHERE o.share='{s}' AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source), 1000)"
+        for s in quality_rules.SHARES
+    )
+    return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') t, {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) l FROM documents),
+ win AS (SELECT doc_id, s, md5(array_to_string(w[s:s+7], ' ')) g FROM d, unnest(range(1, len(w)-6)) t(s)),
+ rep AS (SELECT doc_id, count(DISTINCT i) n FROM (SELECT doc_id, unnest(range(s, s+8)) i FROM win SEMI JOIN (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)) GROUP BY 1),
+ ech AS (SELECT doc_id, count(*) n FROM d, unnest(range(1, len(w))) t(i) WHERE w[i]=w[i+1] GROUP BY 1),
+ c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT n_words, (length(t)-{gone("\\x20\\x09-\\x0D")})::BIGINT word_chars, {gone("#*$%&|<>")}::BIGINT n_symbols, (len(l)-len(list_distinct(l)))::BIGINT n_dup_lines, len(l) n_lines, coalesce(rep.n, 0)::BIGINT n_repeat_words, {gone("A-Z")} up, {gone("!?")} sh, coalesce(ech.n, 0) e FROM d LEFT JOIN rep ON d.doc_id=rep.doc_id LEFT JOIN ech ON d.doc_id=ech.doc_id),
+ m AS (SELECT *, n_words < 20 OR 100*n_repeat_words > 30*n_words base_failed, {share("n_symbols", "word_chars")} symbol_share, {share("n_dup_lines", "n_lines")} dup_line_share, {share("up", "word_chars")} upper_share, {share("sh", "word_chars")} shout_share, {share("e", "n_words")} echo_share FROM c),
+ h AS ({bins}), own AS (SELECT lang, source, share, count(*) n, {fence} f FROM h GROUP BY ALL), lng AS (SELECT lang, share, count(*) n, {fence} f FROM h GROUP BY ALL), whole AS (SELECT share, count(*) n, {fence} f FROM h GROUP BY ALL)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} kept, {", ".join(quality_rules.SHARES)} FROM m"""
+
+
 ORACLE_SQL = {
     "op3_fm_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
  win AS (SELECT doc_id, s, md5(array_to_string(w[s:s+34], ' ')) g FROM d, unnest(range(1, len(w)-33)) t(s)),
@@ -67,6 +89,7 @@ ORACLE_SQL = {
  word AS (SELECT doc_id, i, w[i] x FROM d, unnest(range(1, len(w)+1)) t(i)),
  kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) text, count(*) n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
  SELECT d.doc_id, len(w)::BIGINT n_words, (len(w)-coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(text, '')) kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op8_quality_rules": _quality_sql(),
     "op10_decontaminate": f"""WITH d AS (SELECT doc_id, {_TOKENS} w FROM documents), i AS (SELECT item_id, {_TOKENS} w FROM benchmark),
  item AS (SELECT DISTINCT item_id, least(len(w), 10) k, array_to_string(w[s:s+least(len(w), 10)-1], ' ') g FROM i, unnest(range(1, len(w)-least(len(w), 10)+2)) t(s) WHERE len(w) > 0),
  doc AS (SELECT doc_id, s, k, array_to_string(w[s:s+k-1], ' ') g FROM d, (SELECT DISTINCT k FROM item), unnest(range(1, len(w)-k+2)) t(s)),
