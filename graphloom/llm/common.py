@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import ensure_checkpoint_dir
+
 #: ASCII white space, as the contracts' word pattern has it.
 SPACE = r"[\x20\x09-\x0D]+"
 #: What separates lower-cased alphanumeric (or non-ASCII) words.
@@ -95,3 +98,12 @@ def _joined(runs: Column, ones: Column, length: int) -> Column:
         return F.zip_with(F.slice(x, F.lit(1), n), F.slice(ones, F.lit(1 + length), n), lambda a, b: F.xxhash64(a, b))
 
     return let(runs, zipped)
+
+
+def stashed(df: DataFrame) -> DataFrame:
+    """``df`` written once as a compressed table into the shared checkpoint folder and read from there; cuts lineage."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stash-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

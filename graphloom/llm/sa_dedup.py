@@ -28,7 +28,7 @@ from graphloom.llm.segments import as_values, byte_symbols, range_hashes, repeat
 
 WINDOW, GRAM = 200, 16
 #: Bytes of a shard, and of one anchor before its windows are counted one by one; sorting takes some 200 bytes a byte.
-SHARD, HOT = 1 << 18, 1 << 20
+SHARD, HOT = 1 << 18, 1 << 18
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:

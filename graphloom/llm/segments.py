@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import stashed
 from graphloom.session import materialize
 
 #: Symbols hashed at once; longer texts are cut into pieces that overlap by a window less one.
@@ -164,7 +165,7 @@ def repeated_spans(docs: DataFrame, symbols: Callable[[str | None], np.ndarray],
     shard and their numbers of copies, and says which ranges of each are covered by repeated windows."""
     segments = _segments(docs, symbols, k, window)
     often = segments.groupBy("anchor").agg(F.count("*").alias("copies"), (F.min("content") != F.max("content")).alias("mixed")).where("copies > 1")
-    again = materialize(segments.join(often.select("anchor", "mixed"), "anchor"))
+    again = stashed(segments.join(often.select("anchor", "mixed"), "anchor"))
     uniform = again.where("not mixed").select("row_key", F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("n") + (window - 1)).alias("last"))).alias("spans"))
 
     mixed = again.where("mixed")
@@ -239,7 +240,7 @@ def _by_window(docs: DataFrame, distinct: DataFrame, symbols: Callable, window:
         return out
 
     windows = _cut(docs, distinct, symbols, emit, "anchor bigint, content bigint, copies bigint, first bigint, one bigint, two bigint")
-    windows = materialize(windows.dropDuplicates(["anchor", "content", "first"]))
+    windows = stashed(windows.dropDuplicates(["anchor", "content", "first"]))
     twice = windows.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two")
     again = windows.join(twice, ["one", "two"]).select("anchor", "content", F.struct("first", (F.col("first") + window).alias("last")).alias("r"))
     return again.groupBy("anchor", "content").agg(_merged(F.collect_list("r")).alias("ranges"))
