@@ -10,20 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, fm_dedup, quality_rules, simhash_dedup, sp_codec
+from graphloom.llm import decontaminate, fm_dedup, quality_rules, shingle_dedup, sp_codec
 from graphloom.session import ensure_checkpoint_dir, table
 
 
-#: Words of a shingle of the near-duplicate stage, and independent fingerprints that can link two documents.
-SHINGLE, VIEWS = 5, 6
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_first(docs, shingle=SHINGLE, n_views=VIEWS)
+    return shingle_dedup.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
