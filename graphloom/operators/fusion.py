@@ -81,11 +81,15 @@ def apply_corrections(entities: DataFrame, relations: DataFrame, corrections: Da
 def fuzzy_candidates(queries: DataFrame, nodes: DataFrame, top: int = CANDIDATES, threshold: float = 0.25) -> DataFrame:
     """queries: query_id, query, entity_type. Best ``top`` nodes per query by name similarity, same type +0.03.
 
-    Every query is scored against every node, as the low threshold asks; queries are a bounded set and are broadcast."""
-    pairs = nodes.select("id", "name", F.col("entity_type").alias("_type")).join(F.broadcast(queries), F.lit(True))  # a stated query set against all rows
+    Every query is scored against every node, as the low threshold asks; queries are a bounded set and are broadcast,
+    equal ones once."""
+    asked = queries.select("query", "entity_type").distinct()
+    pairs = nodes.select("id", "name", F.col("entity_type").alias("_type")).join(F.broadcast(asked), F.lit(True))  # a stated query set against all rows
     scored = pairs.withColumn("score", F.round(name_similarity(F.col("query"), F.col("name")) + F.when(F.col("_type") == F.col("entity_type"), TYPE_BONUS).otherwise(0.0), 9))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.where(F.col("score") >= threshold).withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "id", "name", "score", "rank")
+    rank = F.row_number().over(Window.partitionBy("query", "entity_type").orderBy(F.desc("score"), "id"))
+    best = scored.where(F.col("score") >= threshold).withColumn("rank", rank).where(F.col("rank") <= top)
+    same = best["query"].eqNullSafe(queries["query"]) & best["entity_type"].eqNullSafe(queries["entity_type"])
+    return best.join(queries, same).select("query_id", "id", "name", "score", "rank")
 
 
 def name_pairs(names: DataFrame, threshold: float = ENTITY_THRESHOLD) -> DataFrame:

@@ -41,11 +41,12 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
 
 
-def fan_out_bfs(edges: DataFrame, seeds: DataFrame, depth: int, fan_out: int = FAN_OUT, directed: bool = False) -> DataFrame:
+def fan_out_bfs(edges: DataFrame, seeds: DataFrame, depth: int, fan_out: int = FAN_OUT, directed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Edges walked from the seeds, at most ``fan_out`` per node and side in adjacency order (seq).
 
     With ``directed``, a branch keeps the side it was first reached by; a node's first visit wins, upstream after
-    downstream. Columns: source_id, target_id, relation_type, side, level."""
+    downstream. Columns: source_id, target_id, relation_type, level. Seeds that differ in their ``by`` columns are walked
+    each on its own, and those columns come first."""
     sides = {"down": ("source_id", "target_id"), "up": ("target_id", "source_id")}
     moves = None
     for side, (at, to) in sides.items():
@@ -53,18 +54,18 @@ def fan_out_bfs(edges: DataFrame, seeds: DataFrame, depth: int, fan_out: int = F
         part = edges.withColumn("_n", rank).where(F.col("_n") <= fan_out).select(F.col(at).alias("at"), F.col(to).alias("to"), "source_id", "target_id", "relation_type", "seq", F.lit(side).alias("side"))
         moves = part if moves is None else moves.union(part)
     moves = materialize(moves)
-    visited = materialize(seeds.select("id", F.lit(None).cast("string").alias("via")).distinct())
+    visited = materialize(seeds.select(*by, "id", F.lit(None).cast("string").alias("via")).distinct())
     frontier, walked = visited, None
     for level in range(1, depth + 1):
-        here = moves.join(frontier.select(F.col("id").alias("at"), "via"), "at")
+        here = moves.join(frontier.select(*by, F.col("id").alias("at"), "via"), "at")
         if directed:
             here = here.where(F.col("via").isNull() | (F.col("via") == F.col("side")))
-        taken = materialize(here.select("source_id", "target_id", "relation_type", "side", "to", "seq", F.lit(level).alias("level")))
+        taken = materialize(here.select(*by, "source_id", "target_id", "relation_type", "side", "to", "seq", F.lit(level).alias("level")))
         walked = taken if walked is None else walked.union(taken)
-        reached = taken.groupBy(F.col("to").alias("id")).agg(F.min("side").alias("via"))
-        frontier = materialize(reached.join(visited.select("id"), "id", "left_anti"))
+        reached = taken.groupBy(*by, F.col("to").alias("id")).agg(F.min("side").alias("via"))
+        frontier = materialize(reached.join(visited.select(*by, "id"), [*by, "id"], "left_anti").select(*by, "id", "via"))
         visited = visited.union(frontier)
-    return walked.groupBy("source_id", "target_id", "relation_type").agg(F.min("level").alias("level"))
+    return walked.groupBy(*by, "source_id", "target_id", "relation_type").agg(F.min("level").alias("level"))
 
 
 def simple_paths(edges: DataFrame, source: DataFrame, target: DataFrame, longest: int) -> DataFrame:

@@ -518,13 +518,13 @@ def cooccur_edges(spark, sf_dir):
 
 @query()
 def name_similarity_topk(spark, sf_dir):
-    queries = table(spark, sf_dir, "part").select("p_name").distinct().orderBy("p_name").limit(5).select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query"), F.lit("Part").alias("entity_type"))
+    queries = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"), F.lit("Part").alias("entity_type"))
     return fusion.fuzzy_candidates(queries, fx.star_nodes(spark, sf_dir))
 
 
 @query()
 def chunk_similarity_topk(spark, sf_dir):
-    queries = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    queries = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     chunks = chunking.windows(table(spark, sf_dir, "documents")).select(chunk_id(F.col("doc_id"), F.col("idx")).alias("id"), "chunk")
     return retrieval.chunk_top(queries, chunks)
 
@@ -659,8 +659,9 @@ def route_query(spark, sf_dir):
 @query()
 def graph_context(spark, sf_dir):
     nodes, edges = fx.star_nodes(spark, sf_dir), fx.star_edges(spark, sf_dir, _KINDS)
-    walked = traversal.fan_out_bfs(edges, _seed(spark, sf_dir, "Supplier", 1), 2)
-    queries = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    seeds = nodes.where("entity_type = 'Supplier' AND seq % 50 = 0").select(F.col("seq").alias("seed"), "id")
+    walked = traversal.fan_out_bfs(edges, seeds, 2, by=("seed",))
+    queries = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     chunks = chunking.windows(table(spark, sf_dir, "documents")).select(chunk_id(F.col("doc_id"), F.col("idx")).alias("id"), "chunk")
     top = retrieval.chunk_top(queries, chunks).join(chunks, "id")
     return retrieval.context(walked, nodes, top, 20, 6)
