@@ -10,7 +10,8 @@ key of the next node is the threshold from which each sample's inclusion score i
 
 Noise is a counter hash of the row key, the sample and the word's place, so results do not depend on partitions.
 The search runs on arrays over many texts at once. Each distinct word keeps its BEST most probable segmentations;
-the others share one branch that is sampled on the lattice itself when it is drawn, once per place.
+the others share one branch that is sampled on the lattice itself whenever it is drawn; what was drawn is excluded
+there from then on, and the rest of its probability stays.
 
 Characters outside the vocabulary, and a literal U+2581, are spelled by byte pieces, so decoding gives back exactly the
 text. Null and empty texts have one segmentation without pieces; texts with fewer distinct segmentations than asked
@@ -310,6 +311,7 @@ class _Sampler:
         self.place = np.arange(len(self.word)) - self.start[self.text]
         self.seed = mix(seeds + U(SEED))
         self.special: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {}  # (sample, place) whose rest branch was drawn
+        self.drawn: dict[tuple[int, int], list[tuple[float, tuple[int, ...]]]] = {}  # what the node there has taken from the rest branch
 
     def _draw(self, sample: int) -> np.ndarray:
         """A choice for every word by its probability."""
@@ -326,12 +328,27 @@ class _Sampler:
                 for j in range(BEST):
                     slot = unit * (BEST + 1) + j
                     taken.append((float(self.table.logp[unit, j]), tuple(self.table.ids[first[slot] : first[slot] + counts[slot]].tolist())))
+                taken += self.drawn.get((sample, i), [])
                 seed, place = self.seed[self.text[i]][None], int(self.place[i])
-                noise = (float(_uniform(seed, 1_000 + k, np.array([place]))[0]) for k in range(1 << 30))
+                noise = (float(_uniform(seed, (sample << 32) + 1_000 + k, np.array([place]))[0]) for k in range(1 << 30))
                 self.special[sample, i] = sample_path(self.vocab, self.table.words[unit], noise, taken)
+                self.drawn[sample, i] = [*self.drawn.get((sample, i), []), self.special[sample, i]]
             out[i] = self.special[sample, i][0]
         return out
 
+    def _left(self, sample: int, i: int) -> float:
+        """Probability of the rest branch at a node without what was drawn from it."""
+        left = float(self.table.p[self.word[i], BEST]) - sum(exp(x) for x, _ in self.drawn.get((sample, i), []))
+        return left if left > 1e-9 else 0.0
+
+    def _others(self, choice: np.ndarray, sample: int) -> np.ndarray:
+        """Log-probability of all that a first choice has left at each place."""
+        out = self.table.log_rest[self.word, choice]
+        for i in np.flatnonzero(choice == BEST).tolist():
+            if left := float(self.table.p[self.word[i], :BEST].sum()) + self._left(sample, i):
+                out[i] = log(left)
+        return out
+
     def _before(self, scores: np.ndarray) -> np.ndarray:
         """Sum of the scores of the words before each one, within its text."""
         total = np.cumsum(scores) - scores
@@ -351,8 +368,8 @@ class _Sampler:
         choices = [self._draw(0)]
         scores = [self._scores(choices[0], 0)]
         phi = self._before(scores[0])
-        masks = [(1 << choices[0]).astype(np.int64)]
-        fronts = [self._keys(phi + self.table.log_rest[self.word, choices[0]], root, 0)]
+        masks = [np.where(choices[0] < BEST, 1 << choices[0], 0).astype(np.int64)]  # the rest branch is never used up by one draw
+        fronts = [self._keys(phi + self._others(choices[0], 0), root, 0)]
         keys, alive = [root], [np.ones(n, bool)]
         full = self.lengths > 0
         for sample in range(1, samples + 1):
@@ -377,24 +394,28 @@ class _Sampler:
             here = np.arange(len(self.word))
             after = (here > turn) & live[self.text]
             choice = np.where(after, fresh, base)
-            mask = np.where(after, 1 << fresh, 0)
+            mask = np.where(after & (fresh < BEST), 1 << fresh, 0)
             spots = at[live]
             taken = np.choose(parent[live], [m[spots] for m in masks])
             p = self.table.p[self.word[spots]] * ~(taken[:, None] >> np.arange(BEST + 1) & 1).astype(bool)
+            for row, (s, i) in enumerate(zip(parent[live].tolist(), spots.tolist(), strict=True)):
+                if (s, i) in self.drawn:
+                    p[row, BEST] = self._left(s, i)
+                    self.drawn[sample, i] = self.drawn[s, i]
             sums = np.cumsum(p, axis=1)
             u = _uniform(self.seed[self.text[spots]], 3 * sample + 2, self.place[spots]) * sums[:, -1]
             picked = np.minimum((u[:, None] >= sums).sum(axis=1), BEST)
             choice[spots] = picked
-            mask[spots] = taken | 1 << picked
+            mask[spots] = taken | np.where(picked < BEST, 1 << picked, 0)
             for s, i in [k for k in self.special if choice[k[1]] == BEST and k[1] < turn[k[1]] and parent_of[k[1]] == k[0]]:
                 self.special[sample, i] = self.special[s, i]
             own = np.where(here < turn, base_scores, 0.0)
             own[here >= turn] = self._scores(choice, sample)[here >= turn]
             phi = self._before(own)
-            rest = self.table.log_rest[self.word, choice]
-            left = np.maximum(sums[:, -1] - self.table.p[self.word[spots], picked], 0)
+            rest = self._others(choice, sample)
+            p[np.arange(len(spots)), picked] = [self._left(sample, i) if c == BEST else 0.0 for c, i in zip(picked.tolist(), spots.tolist(), strict=True)]
             with np.errstate(divide="ignore"):
-                rest[spots] = np.log(np.where((p > 0).sum(axis=1) > 1, left, 0))
+                rest[spots] = np.log(p.sum(axis=1))
             front = self._keys(phi + rest, key, sample)
             front[(here < turn) | ~live[self.text]] = -np.inf
             for s in range(len(fronts)):
