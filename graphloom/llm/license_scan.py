@@ -1,7 +1,8 @@
 """License scans: an exact containment join between text blocks and license templates.
 
-A block is one line of a text. A template matches a block if at least CONTAINMENT of its distinct words are in the
-block. The join is the prefix-filter join: template words are ordered by how many documents of the whole corpus have
+A block is one line of a text, or, since notices are wrapped, any run of as many consecutive words as the template has,
+over line ends. A template matches a block if at least CONTAINMENT of its distinct words are in the block. Runs are
+looked for in pieces of twice the longest template's words, one such length apart, so every run is inside a piece. The join is the prefix-filter join: template words are ordered by how many documents of the whole corpus have
 them, rarest first; a block that reaches the threshold must hold one of the first |T| - need + 1 words of the
 template (prefix filter), must have at least ``need`` words (length filter), and from the first shared word on both
 sides must have enough words left (positional filter). What passes is verified on the whole word sets, so the join
@@ -90,26 +91,37 @@ def template_matches(df: DataFrame, text_col: str, templates=TEMPLATES, containm
     for t, (text, label) in enumerate(templates):
         ranks = sorted({rank[w] for w in text.split()})
         need = needed(len(ranks), containment)
-        sets.append((t, label, ranks, need))
+        sets.append((t, label, ranks, need, len(text.split())))
         prefixes += [(r, t, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     prefix_of = spark.createDataFrame(prefixes, "rank int, template int, at_t int, size_t int, need int")
-    whole = spark.createDataFrame(sets, "template int, label string, words_t array<int>, need_t int")
+    whole = spark.createDataFrame(sets, "template int, label string, words_t array<int>, need_t int, length int")
 
     known, first = F.array(*map(F.lit, order)), sorted({r for r, *_ in prefixes})
     least = min(need for *_, need in sets)
     ranked = F.map_from_arrays(known, F.array(*map(F.lit, range(len(order)))))
     lines = F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "\n")
-    blocks = F.transform(lines, lambda x: F.array_intersect(words(x, NON_WORD), known))
+    longest = max(length for *_, length in sets)
+    tokens = F.when(F.size(lines) > 1, words(lower_ascii(F.col(text_col)), NON_WORD)).otherwise(F.array().cast("array<string>"))
+    runs = let(tokens, lambda w: F.transform(positions(0, F.floor((F.size(w) - 1) / longest).cast("int")), lambda j: F.slice(w, j * longest + 1, F.lit(2 * longest))))
     marks = F.array(*[F.lit(order[r]) for r in first])
-    blocks = F.filter(blocks, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, marks))
-    rows = df.select(*df.columns, F.posexplode(blocks).alias("block", "words_b"))
+    block = lambda x, run: F.struct(F.array_intersect(x, known).alias("words_b"), run.alias("run"))
+    of_lines = F.transform(lines, lambda x: block(words(x, NON_WORD), F.array().cast("array<string>")))
+    blocks = F.concat(of_lines, F.transform(runs, lambda x: block(x, x)))
+    blocks = F.filter(blocks, lambda b: (F.size(b["words_b"]) >= least) & F.arrays_overlap(b["words_b"], marks))
+    rows = df.select(*df.columns, F.posexplode(blocks).alias("block", "b")).select(*df.columns, "block", "b.*")
     rows = rows.withColumn("words_b", F.array_sort(F.transform("words_b", lambda w: F.element_at(ranked, w))))
+    rows = rows.withColumn("run", F.transform("run", lambda w: F.coalesce(F.try_element_at(ranked, w), F.lit(-1))))
     pairs = rows.select("*", F.posexplode("words_b").alias("at_b", "rank")).join(F.broadcast(prefix_of), "rank")  # as many rows as template words at most
     left = F.least(F.col("size_t") - F.col("at_t"), F.size("words_b") - F.col("at_b"))
     earlier = F.exists(F.slice("words_b", F.lit(1), F.col("at_b")), lambda r: F.array_contains("words_t", r))
     found = pairs.where((F.size("words_b") >= F.col("need")) & (left >= F.col("need"))).join(F.broadcast(whole), "template")  # one row a template
-    shared = F.size(F.array_intersect("words_b", "words_t"))
-    return found.where(~earlier & (shared >= F.col("need_t"))).select(*df.columns, "block", "label", (shared / F.size("words_t")).alias("containment"))
+    in_run = lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("length")), "words_t"))
+    starts = positions(1, F.greatest(F.lit(1), F.size("run") - F.col("length") + 1))
+    whole_block = F.size(F.array_intersect("words_b", "words_t"))
+    found = found.where(~earlier & (whole_block >= F.col("need_t")))
+    shared = F.when(F.size("run") == 0, whole_block).otherwise(F.array_max(F.transform(starts, in_run)))
+    found = found.withColumn("_shared", shared).where(F.col("_shared") >= F.col("need_t"))
+    return found.select(*df.columns, "block", "label", (F.col("_shared") / F.size("words_t")).alias("containment"))
 
 
 def license_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
