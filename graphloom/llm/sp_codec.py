@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 from math import exp, log
 
 import numpy as np
@@ -36,7 +36,7 @@ from graphloom.llm.segments import U, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, BEST, SEED = 2, 4, 17
 #: Words in a batch of texts, and distinct words that a worker remembers.
-BATCH, CACHE = 100_000, 300_000
+BATCH, CACHE = 200_000, 300_000
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is cut; no valid text has it.
 _LITERAL = "\udb81"
@@ -66,16 +66,18 @@ class Pieces:
         for b, i in self.byte_id.items():
             self.raw[i] = bytes([b])
 
-        size = 1 << 18
+        begun = list(dict.fromkeys(p[:n] for p in self.ids for n in range(1, len(p) + 1)))  # pieces and what pieces begin with
+        hashes, longest = np.zeros(len(begun), U), np.array(begun)
+        codes = longest.view(np.uint32).reshape(len(begun), -1).astype(U)
+        for column in codes.T:
+            hashes = np.where(column > 0, self.grow(hashes, column), hashes)
+        size = 1 << 19
         self._hash, self._id, self._score = np.zeros(size, U), np.full(size, -1, np.int32), np.full(size, -np.inf)
-        for p, i in self.ids.items():
-            h = np.zeros(1, U)
-            for c in p:
-                h = self.grow(h, np.array([ord(c)], U))
-            slot = int(h[0] >> U(46))
-            while self._id[slot] >= 0:
+        for p, h in zip(begun, hashes, strict=True):
+            slot = int(h >> U(45))
+            while self._hash[slot]:
                 slot = (slot + 1) % size
-            self._hash[slot], self._id[slot], self._score[slot] = h[0], i, self.score[p]
+            self._hash[slot], self._id[slot], self._score[slot] = h, self.ids.get(p, 0), self.score.get(p, -np.inf)
         self._chars = np.zeros(0x110000, bool)
         self._chars[[ord(p) for p in self.ids if len(p) == 1]] = True
 
@@ -84,14 +86,16 @@ class Pieces:
         """Hashes of strings from those of the strings without their last characters."""
         return mix(hashes * U(0x9E3779B97F4A7C15) + codes)
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(piece, log-probability) of each hashed string; no piece has minus infinity."""
-        slot = (hashes >> U(46)).astype(np.int64)
-        while True:
-            other = np.flatnonzero((self._hash[slot] != hashes) & (self._id[slot] >= 0))
-            if not len(other):
-                return self._id[slot], np.where(self._hash[slot] == hashes, self._score[slot], -np.inf)
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashed strings in the table, -1 for those that no piece begins with."""
+        slot = (hashes >> U(45)).astype(np.int64)
+        met = self._hash[slot]
+        other = np.flatnonzero((met != hashes) & (met > 0))
+        while len(other):
             slot[other] = (slot[other] + 1) % len(self._hash)
+            met = self._hash[slot[other]]
+            other = other[(met != hashes[other]) & (met > 0)]
+        return np.where(self._hash[slot] == hashes, slot, -1)
 
     def has_char(self, codes: np.ndarray) -> np.ndarray:
         return self._chars[codes]
@@ -150,24 +154,28 @@ def sample_path(vocab: Pieces, word: str, noise: Iterator[float], excluded: list
     At every node the excluded segmentations that would pass an edge are taken off the edge's probability."""
     n = len(word)
     total = [0.0] * (n + 1)
+    edges = [list(vocab.edges(word, at)) for at in range(n)]
     for at in range(n - 1, -1, -1):
-        sums = [score + total[end] for end, score, _ in vocab.edges(word, at)]
+        sums = [score + total[end] for end, score, _ in edges[at]]
         top = max(sums)
-        total[at] = top + log(sum(exp(x - top) for x in sums))
-    at, out, so_far = 0, (), 0.0
+        total[at] = top + log(sum([exp(x - top) for x in sums]))
+    at, out, so_far, left = 0, (), 0.0, excluded  # left: those that agree with all that is drawn so far
     while at < n:
-        options = []
-        for end, score, ids in vocab.edges(word, at):
+        options, whole = [], 0.0
+        for end, score, ids in edges[at]:
             path, logp = out + ids, so_far + score
-            barred = sum(exp(x - logp - total[end] + total[0]) for x, e in excluded if e[: len(path)] == path)
+            passing = [(x, e) for x, e in left if e[: len(path)] == path] if left else left
+            barred = sum([exp(x - logp - total[end] + total[0]) for x, _ in passing]) if passing else 0.0
             if barred < 1 - 1e-9:
-                options.append((exp(score + total[end] - total[at]) * (1 - barred), end, path, logp))
-        u = next(noise) * sum(o[0] for o in options)
-        for weight, end, path, logp in options:  # noqa: B007
+                weight = exp(score + total[end] - total[at]) * (1 - barred)
+                whole += weight
+                options.append((weight, end, path, logp, passing))
+        u = next(noise) * whole
+        for weight, end, path, logp, passing in options:  # noqa: B007
             u -= weight
             if u < 0:
                 break
-        at, out, so_far = end, path, logp
+        at, out, so_far, left = end, path, logp, passing
     return so_far - total[0], out
 
 
@@ -201,21 +209,28 @@ def lattices(vocab: Pieces, words: list[str], best: int) -> Iterator[tuple[list[
 
 def _same_length(vocab: Pieces, codes: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, length = codes.shape
-    codes = codes.astype(U)
+    codes = np.ascontiguousarray(codes.T.astype(U))
     total = np.zeros((n, length + 1))
     tops = np.full((length + 1, n, best), -np.inf)
     tops[length, :, 0] = 0
     ends, tails, piece = (np.zeros((length, n, best), kind) for kind in (np.int16, np.int16, np.int32))
     rows = np.arange(n)
     for at in range(length - 1, -1, -1):
-        hashes, used, scores, ids = np.zeros(n, U), [], [], []
+        hashes, live, used, scores, ids = np.zeros(n, U), rows, [], [], []
         for end in range(at + 1, min(length, at + vocab.longest) + 1):
-            hashes = vocab.grow(hashes, codes[:, end - 1])
-            i, score = vocab.find(hashes)
+            hashes = vocab.grow(hashes, codes[end - 1][live])
+            slot = vocab.find(hashes)
+            begun = slot >= 0
+            if not begun.all():  # no piece is longer than what pieces begin with
+                live, hashes, slot = live[begun], hashes[begun], slot[begun]
+            if not len(live):
+                break
+            score = vocab._score[slot]
             if (score > -np.inf).any():
                 used.append(end)
-                ids.append(i)
-                scores.append(score)
+                scores.append(np.full(n, -np.inf))
+                ids.append(np.zeros(n, np.int32))
+                scores[-1][live], ids[-1][live] = score, vocab._id[slot]
         scores, ids, used = np.array(scores), np.array(ids), np.array(used)
         sums = scores + total[:, used].T
         top = sums.max(axis=0)
@@ -253,17 +268,44 @@ class _Table:
         self.p, self.cumulative, self.log_rest, self.logp = (np.zeros((room, width)) for _ in range(4))
         self.counts, self.first = np.zeros(room * width, np.int64), np.zeros(room * width, np.int64)
         self.ids, self.filled = np.zeros(room * 8, np.int32), 0
+        self.again = np.zeros(room, bool)  # words met twice or more
+
+    def _shrink(self) -> None:
+        """Keep the words that were met again; most words stand once in the corpus."""
+        width = BEST + 1
+        keep = np.flatnonzero(self.again[: len(self.words)])
+        slots = (keep[:, None] * width + np.arange(width)).ravel()
+        counts = self.counts[slots]
+        ends = np.cumsum(counts)
+        n = int(ends[-1]) if len(ends) else 0
+        flat = self.ids[np.arange(n) - np.repeat(ends - counts, counts) + np.repeat(self.first[slots], counts)]
+        for table in (self.p, self.cumulative, self.log_rest, self.logp):
+            table[: len(keep)] = table[keep]
+        self.counts[: len(slots)], self.first[: len(slots)] = counts, ends - counts
+        self.ids[:n], self.filled = flat, n
+        self.words = [self.words[i] for i in keep.tolist()]
+        self.index = {w: i for i, w in enumerate(self.words)}
+        self.again[:] = False
 
     def rows(self, cut: list[list[str]]) -> np.ndarray:
         """The row of every word of every text; words that are new are added."""
-        fresh = list(dict.fromkeys(w for ws in cut for w in ws if w not in self.index))
+        flat = list(chain.from_iterable(cut))
+        found = list(map(self.index.get, flat))
+        fresh = list(dict.fromkeys([w for w, i in zip(flat, found, strict=True) if i is None]))
         if len(self.words) + len(fresh) > len(self.p):
-            fresh = list(dict.fromkeys(w for ws in cut for w in ws))
-            self._clear(len(fresh))
+            self._shrink()
+            fresh = list(dict.fromkeys([w for w in flat if w not in self.index]))
+            if 2 * len(self.words) + len(fresh) > len(self.p):
+                fresh = list(dict.fromkeys(flat))
+                self._clear(len(fresh))
+        known = len(self.words)
         if fresh:
             self._add(fresh)
-        index = self.index
-        return np.array([index[w] for ws in cut for w in ws], np.int64)
+        out = np.array(list(map(self.index.__getitem__, flat)) if fresh else found, np.int64)
+        often = np.bincount(out, minlength=1)
+        self.again[np.flatnonzero(often[:known])] = True
+        self.again[np.flatnonzero(often >= 2)] = True
+        return out
 
     def _add(self, words: list[str]) -> None:
         width, old = BEST + 1, len(self.words)
@@ -295,6 +337,21 @@ class _Table:
         self.filled += len(flat)
 
 
+@lru_cache(maxsize=1)
+def word_table(model: str) -> _Table:
+    """One table a worker, for all its tasks; what is in it changes no result."""
+    return _Table(pieces(model))
+
+
+def _uniform_at(seed: int, stream: int, place: int) -> float:
+    """``_uniform`` of single numbers."""
+    whole = (1 << 64) - 1
+    x = seed + stream * 0xA24BAED4963EE407 + place * 0x9FB21C651E98DF25 & whole
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & whole
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & whole
+    return (((x ^ x >> 31) >> 11) + 0.5) * (1.0 / (1 << 53))
+
+
 def _uniform(seed: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
     """In (0, 1), from a hash of row seed, stream and place."""
     x = mix(seed + U(stream * 0xA24BAED4963EE407 % (1 << 64)) + place.astype(U) * U(0x9FB21C651E98DF25))
@@ -329,8 +386,8 @@ class _Sampler:
                     slot = unit * (BEST + 1) + j
                     taken.append((float(self.table.logp[unit, j]), tuple(self.table.ids[first[slot] : first[slot] + counts[slot]].tolist())))
                 taken += self.drawn.get((sample, i), [])
-                seed, place = self.seed[self.text[i]][None], int(self.place[i])
-                noise = (float(_uniform(seed, (sample << 32) + 1_000 + k, np.array([place]))[0]) for k in range(1 << 30))
+                seed, place = int(self.seed[self.text[i]]), int(self.place[i])
+                noise = (_uniform_at(seed, (sample << 32) + 1_000 + k, place) for k in range(1 << 30))
                 self.special[sample, i] = sample_path(self.vocab, self.table.words[unit], noise, taken)
                 self.drawn[sample, i] = [*self.drawn.get((sample, i), []), self.special[sample, i]]
             out[i] = self.special[sample, i][0]
@@ -452,8 +509,7 @@ def units(text: str | None) -> list[str]:
 
 def decode(vocab: Pieces, ids) -> str:
     """The text of a list of pieces."""
-    raw = vocab.raw
-    return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+    return b"".join(map(vocab.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
 def sampled(texts: list[str | None], seeds: np.ndarray, samples: int, table: _Table) -> Iterator[tuple]:
@@ -483,13 +539,12 @@ def segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = f"row bigint, {id_col} string, rank int, log_prob double, perturbed double, inclusion double, n_pieces bigint, round_trip boolean, pieces array<int>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = pieces(model)
-        table = _Table(vocab)
+        vocab, table = pieces(model), word_table(model)
         for frame in frames:
-            for low in range(0, len(frame), 128):
-                texts = frame["text"].iloc[low : low + 128].tolist()
-                ids = frame["id"].iloc[low : low + 128].tolist()
-                seeds = frame["seed"].iloc[low : low + 128].to_numpy().view(U)
+            for low in range(0, len(frame), 384):
+                texts = frame["text"].iloc[low : low + 384].tolist()
+                ids = frame["id"].iloc[low : low + 384].tolist()
+                seeds = frame["seed"].iloc[low : low + 384].to_numpy().view(U)
                 rows = [(0, ids[i], rank, p, k, q, len(found), decode(vocab, found.tolist()) == (texts[i] or ""), found) for i, rank, p, k, q, found in sampled(texts, seeds, samples, table)]
                 yield pd.DataFrame(rows, columns=["row", id_col, "rank", "log_prob", "perturbed", "inclusion", "n_pieces", "round_trip", "pieces"])
 
