@@ -53,9 +53,10 @@ def covered(spans: Column) -> Column:
     )
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Add ``row_key``: rows that agree on id and text share it, and every result here is a function of both."""
-    return df.withColumn("row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of id and text: rows that agree on both share it, and every result here is a function of both."""
+    parts = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(F.col(text_col), F.lit(""))]
+    return F.unhex(F.md5(F.concat(*parts)))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -7,7 +7,7 @@ step: the matching statistics at a position are the longest stretch ending there
 counted, and every stretch at or above the threshold is reported as an interval.
 
 Null and empty texts have no words and lose none; texts shorter than a window lose none; repeated rows repeat every
-window they have. Words are compared as 64-bit hashes and whole windows as sequences of them.
+window they have. Inside a shard words are compared as they are, before it as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,9 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.segments import U, byte_symbols, repeated_spans, word_bounds, word_symbols
+from graphloom.llm.common import row_key
+from graphloom.llm.segments import WORDS, U, byte_symbols, merged, repeated_spans, word_bounds
 
 WINDOW, GRAM = 35, 6
+#: Neighbouring windows that share a longer anchor where one has too much text; alone, all windows of one are equal.
+WIDTHS = (5, 1)
+#: Words of a shard, and of one anchor before it is replaced by longer ones.
+SHARD, HOT = 1 << 20, 1 << 21
 
 
 class FMIndex:
@@ -132,71 +137,63 @@ def matching_intervals(parts: list[np.ndarray], copies: np.ndarray, window: int
     return found
 
 
-def repeated_word_spans(docs: DataFrame, window: int = WINDOW, **limits: int) -> DataFrame:
-    """(row_key, spans) in words; docs: row_key, text."""
-    return repeated_spans(docs, word_symbols, min(GRAM, window), window, lambda parts, copies: matching_intervals(parts, copies, window), **limits)
+def repeated_word_spans(docs: DataFrame, window: int = WINDOW, widths: tuple[int, ...] = WIDTHS, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+    """(row_key, firsts, lasts) in words; docs: row_key, text."""
+    return repeated_spans(docs, WORDS, min(GRAM, window), window, lambda parts, copies: matching_intervals(parts, copies, window), widths, shard, hot)
 
 
-def _with_spans(df: DataFrame, id_col: str, text_col: str, window: int, **limits: int) -> DataFrame:
-    docs = df.withColumn("__row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    narrow = docs.select(F.col("__row_key").alias("row_key"), F.col(text_col).alias("text"))
-    spans = repeated_word_spans(narrow, window, **limits)
-    return docs.join(spans.select(F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans")), "__row_key", "left")
+def _with_spans(df: DataFrame, id_col: str, text_col: str, window: int, **limits) -> DataFrame:
+    """The columns of ``df`` as a struct ``row``, the text, and its spans."""
+    docs = df.select(F.struct(*df.columns).alias("row"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
+    return docs.join(repeated_word_spans(docs.select("row_key", "text"), window, **limits), "row_key", "left")
 
 
-def _kept(data: np.ndarray, spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bounds and which words no span covers."""
-    first, last = word_bounds(data)
-    keep = np.ones(len(first), bool)
-    for s in spans if spans is not None else ():
-        keep[s["first"] : s["last"]] = False
-    return first, last, keep
-
-
-def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **limits: int) -> DataFrame:
+def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **limits) -> DataFrame:
     """One row per document: words, removed words and the digest of the words that stay."""
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def report(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    @F.pandas_udf("n_words bigint, n_removed bigint, kept_sha256 string")
+    def report(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, firsts, lasts in batches:
             rows = []
-            for text, spans in zip(frame["text"], frame["spans"], strict=True):
+            for text, f, e in zip(texts, firsts, lasts, strict=True):
                 data = byte_symbols(text)
-                first, last, keep = _kept(data, spans)
+                first, last = word_bounds(data)
+                keep = np.ones(len(first), bool)
+                for a, b in zip(*merged(f, e), strict=True):
+                    keep[a:b] = False
                 raw = data.tobytes()
                 left = b" ".join([raw[a:b] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)])
                 rows.append((len(first), int((~keep).sum()), hashlib.sha256(left).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
-            out.insert(0, id_col, frame["id"].to_numpy())
-            yield out
+            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
-    whole = _with_spans(df.select(F.col(id_col), F.col(text_col)), id_col, text_col, window, **limits)
-    return whole.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("__spans").alias("spans")).mapInPandas(report, f"{id_col} {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    whole = _with_spans(df.select(id_col, text_col), id_col, text_col, window, **limits)
+    return whole.select(F.col(f"row.{id_col}"), report("text", "firsts", "lasts").alias("r")).select(id_col, "r.*")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **limits) -> DataFrame:
     """The same rows and columns with repeated words cut out; what stands between the words that stay is unchanged.
 
     Where a stretch is cut, the white space before its first word goes with it. A text that loses nothing is unchanged;
     null stays null."""
 
     @F.pandas_udf("string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, all_spans in batches:
-            yield pd.Series([_cut_words(t, s) for t, s in zip(texts, all_spans, strict=True)], dtype=object)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, firsts, lasts in batches:
+            yield pd.Series([_cut_words(t, *merged(f, e)) for t, f, e in zip(texts, firsts, lasts, strict=True)], dtype=object)
 
-    found = _with_spans(df, id_col, text_col, window)
-    return found.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans")))).select(*df.columns)
+    found = _with_spans(df, id_col, text_col, window, **limits)
+    left = F.when(F.col("firsts").isNull(), F.col("text")).otherwise(cut("text", "firsts", "lasts"))
+    return found.select("row", left.alias("left")).select(*[F.col("left").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])
 
 
-def _cut_words(text: str | None, spans) -> str | None:
-    if text is None or spans is None:
+def _cut_words(text: str | None, firsts: np.ndarray, lasts: np.ndarray) -> str | None:
+    if text is None or not len(firsts):
         return text
     data = byte_symbols(text)
     first, last = word_bounds(data)
     raw, kept, at = data.tobytes(), [], 0
-    for s in spans:
-        kept.append(raw[at : last[s["first"] - 1] if s["first"] else 0])
-        at = int(last[s["last"] - 1])
+    for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
+        kept.append(raw[at : last[a - 1] if a else 0])
+        at = int(last[b - 1])
     kept.append(raw[at:])
     return b"".join(kept).decode("utf-8", "surrogatepass")

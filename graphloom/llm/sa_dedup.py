@@ -24,11 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.segments import as_values, byte_symbols, range_hashes, repeated_spans, run_hashes
+from graphloom.llm.common import row_key
+from graphloom.llm.segments import BYTES, as_values, byte_symbols, merged, repeated_spans, run_hashes
 
-WINDOW, GRAM = 200, 16
-#: Bytes of a shard, and of one anchor before its windows are counted one by one; sorting takes some 200 bytes a byte.
-SHARD, HOT = 1 << 18, 1 << 18
+WINDOW, GRAM = 200, 64
+#: Neighbouring windows that share a longer anchor where one has too much text; with two, a group has 2**16 texts at most.
+WIDTHS = (24, 2)
+#: Bytes of a shard, and of one anchor before it is replaced by longer ones; sorting takes some 200 bytes a byte.
+SHARD, HOT = 1 << 18, 1 << 19
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -113,7 +116,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def stretches(parts: list[np.ndarray], copies: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(part, first, last, content hash) of the stretches whose windows all have a hash that is met twice or more.
+    """(part, first, last) of the stretches whose windows all have a hash that is met twice or more.
 
     A window whose hash is met once is met once itself, so nothing outside these stretches is repeated."""
     lengths = np.array([len(p) for p in parts])
@@ -125,22 +128,23 @@ def stretches(parts: list[np.ndarray], copies: np.ndarray, window: int) -> tuple
     _, same = np.unique(hashes[at], return_inverse=True)
     at = at[np.bincount(same, copies[owner[at]])[same] >= 2]
     if not len(at):
-        return at, at, at, at
+        return at, at, at
     begins = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])))
     first, last = at[begins], at[np.concatenate((begins[1:], [True]))] + window
     offset = (ends - lengths)[owner[first]]
-    return owner[first], first - offset, last - offset, range_hashes(values, first, last)
+    return owner[first], first - offset, last - offset
 
 
 def repeated_ranges(parts: list[np.ndarray], copies: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
     """For each part, half-open ranges covered by windows that occur twice or more, copies counted."""
-    part, first, last, content = stretches(parts, copies, window)
+    part, first, last = stretches(parts, copies, window)
     found: list[list[tuple[int, int]]] = [[] for _ in parts]
     if len(part):
-        _, one, same = np.unique(content, return_index=True, return_inverse=True)
-        bodies = [parts[p][a:b] for p, a, b in zip(part[one].tolist(), first[one].tolist(), last[one].tolist(), strict=True)]
+        number: dict[bytes, int] = {}
+        same = [number.setdefault(parts[p][a:b].tobytes(), len(number)) for p, a, b in zip(part.tolist(), first.tolist(), last.tolist(), strict=True)]
+        bodies = [np.frombuffer(b, np.uint8) for b in number]
         ranges = _decided(bodies, np.bincount(same, copies[part]).astype(np.int64), window)
-        for p, a, s in zip(part.tolist(), first.tolist(), same.tolist(), strict=True):
+        for p, a, s in zip(part.tolist(), first.tolist(), same, strict=True):
             found[p] += [(a + x, a + y) for x, y in ranges[s]]
     return found
 
@@ -180,30 +184,29 @@ def _decided(parts: list[np.ndarray], copies: np.ndarray, window: int) -> list[l
     return found
 
 
-def repeated_byte_spans(docs: DataFrame, window: int = WINDOW, **limits: int) -> DataFrame:
-    """(row_key, spans) in bytes; docs: row_key, text."""
-    return repeated_spans(docs, byte_symbols, min(GRAM, window), window, lambda parts, copies: repeated_ranges(parts, copies, window), **({"shard": SHARD, "hot": HOT} | limits))
+def repeated_byte_spans(docs: DataFrame, window: int = WINDOW, widths: tuple[int, ...] = WIDTHS, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+    """(row_key, firsts, lasts) in bytes; docs: row_key, text."""
+    return repeated_spans(docs, BYTES, min(GRAM, max(1, window // 2)), window, lambda parts, copies: repeated_ranges(parts, copies, window), widths, shard, hot)
 
 
-def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **limits: int) -> DataFrame:
+def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **limits) -> DataFrame:
     """One row per document: bytes, removed bytes, maximal removed runs and the digest of the bytes that stay."""
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def report(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    @F.pandas_udf("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    def report(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, firsts, lasts in batches:
             rows = []
-            for text, spans in zip(frame["text"], frame["spans"], strict=True):
-                raw, kept, at, gone = byte_symbols(text).tobytes(), [], 0, 0
-                for s in spans if spans is not None else ():
-                    kept.append(raw[at : s["first"]])
-                    at = s["last"]
-                    gone += s["last"] - s["first"]
-                kept.append(raw[at:])
-                rows.append((len(raw), gone, 0 if spans is None else len(spans), hashlib.sha256(b"".join(kept)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, id_col, frame["id"].to_numpy())
-            yield out
-
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
+            for text, f, e in zip(texts, firsts, lasts, strict=True):
+                raw, kept, at, gone = byte_symbols(text).tobytes(), hashlib.sha256(), 0, 0
+                first, last = merged(f, e)
+                for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                    kept.update(raw[at:a])
+                    at, gone = b, gone + b - a
+                kept.update(raw[at:])
+                rows.append((len(raw), gone, len(first), kept.hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
     spans = repeated_byte_spans(docs.select("row_key", "text"), window, **limits)
-    return docs.join(spans, "row_key", "left").select("id", "text", "spans").mapInPandas(report, f"{id_col} {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    found = docs.join(spans, "row_key", "left").select("id", report("text", "firsts", "lasts").alias("r"))
+    return found.select(F.col("id").alias(id_col), "r.*")

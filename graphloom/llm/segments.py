@@ -1,36 +1,38 @@
 """Repeated windows over a whole corpus: which stretches of ``window`` symbols start in two places or more.
 
 Symbols are words or bytes, seen as 64-bit values. Every window's anchor is the least hash of its runs of ``k``
-symbols, the first of them where there are several, so equal windows have equal anchors in equal places. Consecutive windows
-with the same place form a segment.
-Only segments whose anchor occurs twice or more can hold a repeated window:
-
-* where all segments of an anchor are copies of one another, every window in them is repeated;
-* the distinct segments of other anchors go, once each and with their number of copies, to shards in which an index
-  decides (FM-index or suffix array, see the callers). All segments of an anchor go to one shard, so equal windows meet;
-* an anchor with more distinct text than HOT symbols is decided window by window, keyed by 128-bit window hashes that
-  are counted with map-side combining, so no group grows with the number of copies.
-
-Symbols shuffled by the first step are a few per cent of the text. Joins are on keys of which one side is unique, so
-a key that a third of all rows share can be split at run time.
+symbols, the first of them where there are several, so equal windows have equal anchors in equal places. Consecutive
+windows with the same place form a segment. Only segments whose anchor occurs twice or more can hold a repeated window.
+Equal segments are one, with its number of copies; they are told apart by anchor and a second hash, 128 bits in all.
+
+* Where an anchor has one distinct segment, its copies repeat all of it.
+* The distinct segments of other anchors go to shards, in which an index decides (FM-index or suffix array, see the
+  callers). All segments of an anchor go to one shard, so equal windows meet. The index compares bytes, or whole words.
+* An anchor with more distinct text than fits a shard is replaced by longer ones (see ``_split``), first for groups of
+  neighbouring windows and then for smaller ones, so no shard grows with the corpus and the index still decides.
+
+Symbols shuffled by the first step are a few per cent of the text. Joins have a unique side, so a key that a third of
+all rows share can be split at run time.
+
+Texts of any length are cut into pieces that overlap by a window less one. Repeated rows share their key and count as
+copies. An empty table has no spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import stashed
-from graphloom.session import materialize
 
 #: Symbols hashed at once; longer texts are cut into pieces that overlap by a window less one.
 PIECE = 1 << 16
-#: Symbols of distinct segments in a shard, and of one anchor before its windows are counted one by one.
-SHARD, HOT = 1 << 20, 1 << 22
 U = np.uint64
 _ODD, _ODD2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 BYTE_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=U)
@@ -77,36 +79,20 @@ def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.where(after.ravel()[:n] <= before.ravel()[width - 1 : width - 1 + n], first_after, first_before)
 
 
-_POWERS = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; the longest so far is kept."""
-    if len(_POWERS.get(base, ())) <= n:
-        grown = np.full(max(n + 1, PIECE), base, U)
-        grown[0] = 1
-        _POWERS[base] = np.multiply.accumulate(grown)
-    return _POWERS[base][: n + 1]
+_WHOLE = (1 << 64) - 1
 
 
-_BACK = pow(int(_ODD2), -1, 1 << 64)
+def _signed(body: bytes) -> int:
+    digest = xxhash.xxh3_64_intdigest(body)
+    return digest - (digest >> 63 << 64)
 
 
-def range_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of values[first:last] for many ranges, from one array of prefix sums."""
-    n = len(values)
-    sums = np.empty(n + 1, U)
-    sums[0] = 0
-    np.cumsum(values * _powers(int(_ODD2), n)[:-1], out=sums[1:])
-    return mix((sums[last] - sums[first]) * _powers(_BACK, n)[first] + (last - first).astype(U))
-
-
-def cut_segments(values: np.ndarray, lengths: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
-    """(first, windows, anchor, content hash) of the segments of texts that stand one after another in ``values``."""
+def cut_segments(symbols: np.ndarray, lengths: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
+    """(first, windows, lead, anchor, content hash) of the segments of texts that stand one after another in ``symbols``."""
     none = np.zeros(0, np.int64)
-    if len(values) < window:
-        return none, none, none.view(U), none.view(U)
-    hashes = run_hashes(values, k)
+    if len(symbols) < window:
+        return none, none, none, none.view(U), none.view(U)
+    hashes = run_hashes(as_values(symbols), k)
     least = window_minima(hashes, window - k + 1)
     ends = np.repeat(np.cumsum(lengths), lengths)[: len(least)]
     whole = ends - np.arange(len(least)) >= window  # the window stays inside its text
@@ -114,7 +100,9 @@ def cut_segments(values: np.ndarray, lengths: np.ndarray, k: int, window: int) -
     starts[1:] &= ~whole[:-1] | (least[1:] != least[:-1])
     first = np.flatnonzero(starts)
     stop = np.flatnonzero(whole & ~np.concatenate((whole[1:] & ~starts[1:], [False]))) + 1
-    return first, stop - first, hashes[least[first]], range_hashes(values, first, stop + window - 1)
+    raw, size, digest = symbols.tobytes(), symbols.itemsize, xxhash.xxh3_64_intdigest
+    content = [digest(raw[a:b]) for a, b in zip((first * size).tolist(), ((stop + window - 1) * size).tolist(), strict=True)]
+    return first, stop - first, least[first] - first, hashes[least[first]], np.array(content, U)
 
 
 def pieces(sizes: list[int], window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -134,116 +122,148 @@ def pieces(sizes: list[int], window: int) -> Iterator[list[tuple[int, int, int]]
         yield batch
 
 
-def _segments(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], k: int, window: int) -> DataFrame:
-    """(row_key, start, n, anchor, content) of every segment of every text."""
+@dataclass(frozen=True)
+class Kind:
+    """How texts become symbols: ``scan`` gives comparable symbols, ``open`` the stretches of a text as bytes, and
+    ``read`` symbols of stretches that are equal if and only if the stretches' bytes or words are."""
+
+    scan: Callable[[str | None], np.ndarray]
+    open: Callable[[str | None], Callable[[int, int], bytes]]
+    read: Callable[[list[bytes]], list[np.ndarray]]
+
+
+AT = "row_key binary, start bigint, n int, lead int"
+
+
+def _segments(docs: DataFrame, kind: Kind, k: int, window: int) -> DataFrame:
+    """(row_key, start, n, lead, anchor, content) of every segment of every text; the anchor is ``lead`` symbols in."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keys = frame["row_key"].to_numpy()
             for low in range(0, len(frame), 256):
-                texts = [symbols(t) for t in frame["text"].iloc[low : low + 256]]
+                texts = [kind.scan(t) for t in frame["text"].iloc[low : low + 256]]
                 for batch in pieces([len(t) for t in texts], window):
                     parts = [texts[i][a:b] for i, a, b in batch]
                     lengths = np.array([len(p) for p in parts])
-                    first, n, anchor, content = cut_segments(np.concatenate(parts), lengths, k, window)
+                    symbols = np.concatenate(parts)
+                    first, n, lead, anchor, content = cut_segments(symbols, lengths, k, window)
                     offsets = np.cumsum(lengths) - lengths
                     part = np.searchsorted(offsets, first, "right") - 1
                     begin = np.array([a for _, a, _ in batch])
                     owner = np.array([i for i, _, _ in batch])
-                    yield pd.DataFrame({"row_key": keys[low + owner[part]], "start": first - offsets[part] + begin[part], "n": n.astype(np.int32), "anchor": anchor.view(np.int64), "content": content.view(np.int64)})
+                    yield pd.DataFrame({"row_key": keys[low + owner[part]], "start": first - offsets[part] + begin[part], "n": n.astype(np.int32), "lead": lead.astype(np.int32), "anchor": anchor.view(np.int64), "content": content.view(np.int64)})
 
-    return docs.select("row_key", "text").mapInPandas(scan, "row_key bigint, start bigint, n int, anchor bigint, content bigint")
+    return docs.select("row_key", "text").mapInPandas(scan, f"{AT}, anchor bigint, content bigint")
 
 
 Solver = Callable[[list[np.ndarray], np.ndarray], list[list[tuple[int, int]]]]
-
-
-def repeated_spans(docs: DataFrame, symbols: Callable[[str | None], np.ndarray], k: int, window: int, solve: Solver, shard: int = SHARD, hot: int = HOT) -> DataFrame:
-    """(row_key, spans): merged half-open ranges of symbols covered by windows that start in two places or more.
-
-    docs: row_key, text. Rows with equal keys are copies of each other. ``solve`` gets the distinct segments of a
-    shard and their numbers of copies, and says which ranges of each are covered by repeated windows."""
-    segments = _segments(docs, symbols, k, window)
-    often = segments.groupBy("anchor").agg(F.count("*").alias("copies"), (F.min("content") != F.max("content")).alias("mixed")).where("copies > 1")
-    again = stashed(segments.join(often.select("anchor", "mixed"), "anchor"))
-    uniform = again.where("not mixed").select("row_key", F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("n") + (window - 1)).alias("last"))).alias("spans"))
-
-    mixed = again.where("mixed")
-    distinct = materialize(mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "start", "n")).alias("at")))
-    sizes = distinct.groupBy("anchor").agg(F.sum(F.col("at.n") + (window - 1)).alias("size"))
-    large = materialize(sizes.where(F.col("size") > hot).select("anchor"))
-    total = distinct.agg(F.sum(F.col("at.n") + (window - 1))).first()[0] or 0
-    shards = max(1, -(-total // shard))
-
-    found = _sharded(docs, distinct.join(large, "anchor", "left_anti"), symbols, window, solve, shards)
-    if large.limit(1).count():
-        found = found.union(_by_window(docs, distinct.join(large, "anchor", "left_semi"), symbols, window))
-    own = mixed.join(found, ["anchor", "content"])
-    moved = F.transform("ranges", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"]).alias("last")))
-    spans = uniform.union(own.select("row_key", moved.alias("spans")))
-    return spans.groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans")).select("row_key", _merged("spans").alias("spans"))
-
-
-def _merged(column):
-    """Sorted ranges with those that touch joined."""
-    kind = "array<struct<first:bigint,last:bigint>>"
-
-    def add(done, s):
-        before = F.try_element_at(done, F.lit(-1))
-        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(before["first"].alias("first"), F.greatest(before["last"], s["last"]).alias("last"))))
-        return F.when((F.size(done) > 0) & (s["first"] <= before["last"]), grown.cast(kind)).otherwise(F.concat(done, F.array(s)).cast(kind))
-
-    return F.aggregate(F.array_sort(F.array_distinct(column)), F.array().cast(kind), add)
-
-
-def _cut(docs: DataFrame, distinct: DataFrame, symbols: Callable, emit: Callable, schema: str) -> DataFrame:
-    """What ``emit`` makes of the symbols of each distinct segment, taken from the text where it first stands."""
+RANGES = "array<struct<first:bigint,last:bigint>>"
+
+
+def repeated_spans(docs: DataFrame, kind: Kind, k: int, window: int, solve: Solver, widths: tuple[int, ...], shard: int, hot: int) -> DataFrame:
+    """(row_key, firsts, lasts): half-open ranges of symbols covered by windows that start in two places or more.
+
+    docs: row_key, text. Ranges may overlap. ``solve`` gets the distinct segments of a shard and their numbers of copies,
+    and says which ranges of each are covered by repeated windows."""
+    segments = stashed(_segments(docs, kind, k, window))
+    often = stashed(segments.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
+    again = stashed(segments.join(often, "anchor"))
+    distinct = stashed(again.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "start", "n", "lead")).alias("at")))
+    found = _ranges(docs, distinct, kind, window, solve, widths, shard, hot)
+    own = again.select("row_key", "start", "anchor", "content").join(found, ["anchor", "content"]).select("row_key", "start", F.explode("ranges").alias("r"))
+    moved = own.select("row_key", F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last")).alias("s"))
+    spans = moved.groupBy("row_key").agg(F.collect_set("s").alias("s"))
+    return stashed(spans.select("row_key", F.transform("s", lambda s: s["first"]).alias("firsts"), F.transform("s", lambda s: s["last"]).alias("lasts")))
+
+
+def _ranges(docs: DataFrame, distinct: DataFrame, kind: Kind, window: int, solve: Solver, widths: tuple[int, ...], shard: int, hot: int) -> DataFrame:
+    """(anchor, content, ranges) of distinct segments: anchor, content, copies, at."""
+    length = F.col("at.n") + (window - 1)
+    groups = stashed(distinct.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum(length).alias("size")))
+    joined = distinct.join(groups, "anchor")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("first"), length.cast("bigint").alias("last")))
+    found = joined.where("contents = 1").select("anchor", "content", whole.alias("ranges"))  # all segments of the anchor are copies of one
+    mixed = joined.where("contents > 1")
+    if widths and groups.where((F.col("contents") > 1) & (F.col("size") > hot)).limit(1).count():
+        found = found.union(_split(docs, mixed.where(F.col("size") > hot), kind, window, solve, widths, shard, hot))
+        mixed, groups = mixed.where(F.col("size") <= hot), groups.where(F.col("size") <= hot)
+    total = groups.where("contents > 1").agg(F.sum("size")).first()[0] or 0
+    return found.union(_sharded(docs, mixed, kind, window, solve, max(1, -(-total // shard))))
+
+
+def _split(docs: DataFrame, large: DataFrame, kind: Kind, window: int, solve: Solver, widths: tuple[int, ...], shard: int, hot: int) -> DataFrame:
+    """(anchor, content, ranges) of segments whose anchor has too much distinct text for one shard.
+
+    Windows that have the anchor in the same place, give or take ``width`` - 1 symbols, all hold the window - width + 1
+    symbols around it. The hash of those is a longer anchor, of shorter segments, that takes the place of the first."""
+    width, rest = widths[0], widths[1:]
+
+    def emit(text: str | None, parts) -> list[tuple]:
+        symbols, rows = kind.scan(text), []
+        for p in parts:
+            start, n, lead = p["start"], p["n"], p["lead"]
+            offset = lead - np.arange(n)
+            begins = np.flatnonzero(np.concatenate(([True], offset[1:] // width != offset[:-1] // width)))
+            for i, j in zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True):
+                q = (lead - i) // width
+                shared = symbols[start + lead - width * q : start + lead - width * q - width + 1 + window].tobytes()
+                body = symbols[start + i : start + j + window - 1].tobytes()
+                longer = xxhash.xxh3_64_intdigest(shared + q.to_bytes(8, "little", signed=True), p["anchor"] & _WHOLE)
+                rows.append((p["anchor"], p["content"], p["copies"], i, p["row_key"], start + i, j - i, lead - i, longer - (longer >> 63 << 64), _signed(body)))
+        return rows
+
+    schema = f"parent bigint, parent_content bigint, copies bigint, shift bigint, {AT}, anchor bigint, content bigint"
+    children = stashed(_cut(docs, large, emit, schema).dropDuplicates(["parent", "parent_content", "shift"]))
+    often = children.groupBy("anchor").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor")
+    distinct = children.join(often, "anchor").groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("row_key", "start", "n", "lead")).alias("at"))
+    found = _ranges(docs, stashed(distinct), kind, window, solve, rest, shard, hot)
+    back = children.join(found, ["anchor", "content"])
+    shifted = F.transform("ranges", lambda r: F.struct((F.col("shift") + r["first"]).alias("first"), (F.col("shift") + r["last"]).alias("last")))
+    return back.groupBy(F.col("parent").alias("anchor"), F.col("parent_content").alias("content")).agg(F.flatten(F.collect_list(shifted)).alias("ranges"))
+
+
+def _cut(docs: DataFrame, distinct: DataFrame, emit: Callable, schema: str) -> DataFrame:
+    """What ``emit`` makes of each distinct segment, taken from the text where it first stands."""
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for low in range(0, len(frame), 64):
-                rows = [r for text, parts in zip(*(frame[c].iloc[low : low + 64] for c in ("text", "pieces")), strict=True) for r in emit(symbols(text), parts)]
+                rows = [r for text, parts in zip(*(frame[c].iloc[low : low + 64] for c in ("text", "pieces")), strict=True) for r in emit(text, parts)]
                 if rows:
-                    yield pd.concat(rows) if isinstance(rows[0], pd.DataFrame) else pd.DataFrame(rows, columns=columns)
+                    yield pd.DataFrame(rows, columns=columns)
 
-    wanted = distinct.groupBy("at.row_key").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor", "content", "copies")).alias("pieces"))
-    return docs.select("row_key", "text").join(wanted, "row_key").mapInPandas(run, schema)
+    wanted = distinct.groupBy("at.row_key").agg(F.collect_list(F.struct("at.row_key", "at.start", "at.n", "at.lead", "anchor", "content", "copies")).alias("pieces"))
+    return docs.select("row_key", "text").join(wanted.withColumnRenamed("row_key", "key"), F.col("row_key") == F.col("key")).select("text", "pieces").mapInPandas(run, schema)
 
 
-def _sharded(docs: DataFrame, distinct: DataFrame, symbols: Callable, window: int, solve: Solver, shards: int) -> DataFrame:
+def _sharded(docs: DataFrame, mixed: DataFrame, kind: Kind, window: int, solve: Solver, shards: int) -> DataFrame:
     """(anchor, content, ranges) of the distinct segments, decided shard by shard."""
 
-    def emit(values: np.ndarray, parts) -> list[tuple]:
-        return [(p["anchor"], p["content"], p["copies"], values[p["start"] : p["start"] + p["n"] + window - 1].tobytes()) for p in parts]
+    def emit(text: str | None, parts) -> list[tuple]:
+        body = kind.open(text)
+        return [(p["anchor"], p["content"], p["copies"], body(p["start"], p["start"] + p["n"] + window - 1)) for p in parts]
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["anchor", "content"])
-        kind = np.uint8 if symbols is byte_symbols else U
-        ranges = solve([np.frombuffer(b, kind) for b in group["body"]], group["copies"].to_numpy())
+        ranges = solve(kind.read(group["body"].tolist()), group["copies"].to_numpy())
         rows = [(a, c, [{"first": x, "last": y} for x, y in r]) for a, c, r in zip(group["anchor"], group["content"], ranges, strict=True) if r]
         return pd.DataFrame(rows, columns=["anchor", "content", "ranges"])
 
-    bodies = _cut(docs, distinct, symbols, emit, "anchor bigint, content bigint, copies bigint, body binary")
+    bodies = _cut(docs, mixed, emit, "anchor bigint, content bigint, copies bigint, body binary")
     dealt = bodies.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(lambda g: decide(g), "anchor bigint, content bigint, ranges array<struct<first:bigint,last:bigint>>")
+    return dealt.groupBy("shard").applyInPandas(lambda g: decide(g), f"anchor bigint, content bigint, ranges {RANGES}")
 
 
-def _by_window(docs: DataFrame, distinct: DataFrame, symbols: Callable, window: int) -> DataFrame:
-    """(anchor, content, ranges) from single windows: those whose 128-bit hash is counted twice or more, with copies."""
-
-    def emit(values: np.ndarray, parts) -> list[pd.DataFrame]:
-        out = []
-        for p in parts:
-            body = as_values(values[p["start"] : p["start"] + p["n"] + window - 1])
-            out.append(pd.DataFrame({"anchor": p["anchor"], "content": p["content"], "copies": p["copies"], "first": np.arange(p["n"], dtype=np.int64), "one": run_hashes(body, window).view(np.int64), "two": run_hashes(body, window, _ODD2).view(np.int64)}))
-        return out
-
-    windows = _cut(docs, distinct, symbols, emit, "anchor bigint, content bigint, copies bigint, first bigint, one bigint, two bigint")
-    windows = stashed(windows.dropDuplicates(["anchor", "content", "first"]))
-    twice = windows.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two")
-    again = windows.join(twice, ["one", "two"]).select("anchor", "content", F.struct("first", (F.col("first") + window).alias("last")).alias("r"))
-    return again.groupBy("anchor", "content").agg(_merged(F.collect_list("r")).alias("ranges"))
+def merged(firsts, lasts) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ranges with those that overlap or touch joined."""
+    if firsts is None or not len(firsts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(firsts, kind="stable")
+    first, last = np.asarray(firsts)[order], np.maximum.accumulate(np.asarray(lasts)[order])
+    begins = np.concatenate(([True], first[1:] > last[:-1]))
+    return first[begins], last[np.concatenate((begins[1:], [True]))]
 
 
 def byte_symbols(text: str | None) -> np.ndarray:
@@ -251,6 +271,11 @@ def byte_symbols(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _open_bytes(text: str | None) -> Callable[[int, int], bytes]:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return lambda first, last: raw[first:last]
+
+
 def as_values(symbols: np.ndarray) -> np.ndarray:
     """Bytes as 64-bit values; words are such values already."""
     return BYTE_VALUE[symbols] if symbols.dtype == np.uint8 else symbols
@@ -267,8 +292,42 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+#: Longest word in bytes that is hashed together with others, eight bytes at a time.
+TOGETHER = 256
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+
+
 def word_symbols(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word of a text."""
+    """A 64-bit hash of every word of a text; each block of eight bytes is mixed into what went before."""
+    data = byte_symbols(text)
+    first, last = word_bounds(data)
+    length = last - first
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out = mix(length.astype(U) + _ODD)
+    live, at = np.flatnonzero(length <= TOGETHER), 0
+    while len(live):
+        left = length[live] - at
+        out[live] = mix(out[live] * _ODD2 ^ (blocks[first[live] + at] & _KEEP[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    raw = data.tobytes()
+    for i in np.flatnonzero(length > TOGETHER).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : last[i]])
+    return out
+
+
+def _open_words(text: str | None) -> Callable[[int, int], bytes]:
     data = byte_symbols(text)
     first, last = word_bounds(data)
-    return range_hashes(BYTE_VALUE[data], first, last) if len(first) else np.zeros(0, U)
+    raw = data.tobytes()
+    return lambda a, b: raw[first[a] : last[b - 1]]
+
+
+def _read_words(bodies: list[bytes]) -> list[np.ndarray]:
+    """Words numbered within a shard: equal numbers are equal words."""
+    number: dict[bytes, int] = {}
+    return [np.array([number.setdefault(w, len(number)) for w in b.split()], np.int64) for b in bodies]
+
+
+BYTES = Kind(byte_symbols, _open_bytes, lambda bodies: [np.frombuffer(b, np.uint8) for b in bodies])
+WORDS = Kind(word_symbols, _open_words, _read_words)
