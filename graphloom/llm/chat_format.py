@@ -9,7 +9,9 @@ A conversation is digested as a stream: rows are dealt by conversation, sorted b
 once with a running hash, so memory does not grow with a conversation's length.
 
 Null texts and roles are empty; rows with a null conversation id form one conversation; equal turn numbers are ordered
-by role and text; repeated rows are repeated turns; an empty table has no conversations.
+by role and text; repeated rows are repeated turns; an empty table has no conversations; texts of any length are kept
+whole. A digest needs a conversation's turns one after another, so a conversation is read by one task, in constant
+memory.
 """
 
 from __future__ import annotations
@@ -64,6 +66,7 @@ class Flattener:
     text: list[str] = field(default_factory=list)
     attachments: list[Attachment] = field(default_factory=list)
     length: int = 0
+    waiting: list[str] = field(default_factory=list)  # texts that stand side by side are escaped as one
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
@@ -73,9 +76,14 @@ class Flattener:
         self.length += len(piece)
 
     def visit_text(self, part: dict) -> None:
-        self._add(escape(part.get("text") or ""))
+        self.waiting.append(part.get("text") or "")
+
+    def flush(self) -> None:
+        self._add(escape("".join(self.waiting)))
+        self.waiting.clear()
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.flush()
         self.attachments.append(Attachment(kind, part.get("ref") or "", self.length, tokens))
         self._add(PLACEHOLDERS[kind])
 
@@ -98,6 +106,7 @@ def format_turn(role: str | None, parts: Iterable[dict]) -> tuple[str, tuple[int
     flat = Flattener(length=len(header))
     for part in parts:
         flat.visit(part)
+    flat.flush()
     mask = (len(header), flat.length) if role == "assistant" else (0, 0)
     return f"{header}{''.join(flat.text)}{END}\n", mask, flat.attachments
 
@@ -118,20 +127,14 @@ def text_parts(text_col: str = "text"):
 
 def format_turns(turns: DataFrame, parts_col: str = "parts", role_col: str = "role") -> DataFrame:
     """Columns of ``turns`` but the parts, with formatted, mask_first, mask_last and attachments; no shuffle."""
-    kept = [c for c in turns.columns if c != parts_col]
-    kinds = ", ".join(f"`{c}` {turns.schema[c].dataType.simpleString()}" for c in kept)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [format_turn(r, ps if ps is not None else ()) for r, ps in zip(frame[role_col], frame[parts_col], strict=True)]
-            out = frame[kept].copy()
-            out["formatted"] = [d[0] for d in done]
-            out["mask_first"] = [d[1][0] for d in done]
-            out["mask_last"] = [d[1][1] for d in done]
-            out["attachments"] = [[vars(a) for a in d[2]] for d in done]
-            yield out
+    @F.pandas_udf("formatted string, mask_first int, mask_last int, attachments array<struct<kind:string,ref:string,offset:int,tokens:int>>")
+    def formatted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for roles, parts in batches:
+            done = [format_turn(r, ps if ps is not None else ()) for r, ps in zip(roles, parts, strict=True)]
+            yield pd.DataFrame({"formatted": [d[0] for d in done], "mask_first": [d[1][0] for d in done], "mask_last": [d[1][1] for d in done], "attachments": [[vars(a) for a in d[2]] for d in done]})
 
-    return turns.mapInPandas(run, f"{kinds}, formatted string, mask_first int, mask_last int, attachments array<struct<kind:string,ref:string,offset:int,tokens:int>>")
+    kept = [c for c in turns.columns if c != parts_col]
+    return turns.select(*kept, formatted(role_col, parts_col).alias("__turn")).select(*kept, "__turn.*")
 
 
 class _Digest:
@@ -168,15 +171,15 @@ def conversation_digests(formatted: DataFrame, id_col: str = "conv_id", order: t
             for conversation, text, first, last in zip(frame["id"], frame["formatted"], frame["mask_first"], frame["mask_last"], strict=True):
                 if conversation != current:
                     if current is not nothing:
-                        rows.append(digest.row(current or None))
+                        rows.append(digest.row(current[1:] or None))
                     current, digest = conversation, _Digest()
                 digest.add(text, first, last)
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
         if current is not nothing:
-            yield pd.DataFrame([digest.row(current or None)], columns=columns)
+            yield pd.DataFrame([digest.row(current[1:] or None)], columns=columns)
 
     # ids travel as strings: a null among integers would turn pandas columns into floats
-    ordered = formatted.withColumn("id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).repartition("id").sortWithinPartitions("id", *order)
+    ordered = formatted.withColumn("id", F.concat(F.lit("k"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).repartition("id").sortWithinPartitions("id", *order)
     found = ordered.select("id", "formatted", "mask_first", "mask_last").mapInPandas(run, f"{id_col} string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     return found.withColumn(id_col, F.col(id_col).cast(kind))

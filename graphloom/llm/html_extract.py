@@ -3,12 +3,14 @@
 Every element of the page's tree gets the characters, tags, link characters and link tags below it, and from them a
 density: characters per tag, damped by the share of links against the page's own. An element's density sum adds up
 its children's densities; the element with the largest sum holds the article. The least density on its path up to the
-body is the threshold, and further subtrees beside that path that reach it are content too. Elements that by their
-name, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or reader comments have no
-density and are left out of the text.
+body is the threshold, and further subtrees beside that path that reach it are content too. Elements for scripts,
+styles, menus, headers, footers and asides, and reader comments, have no density. What a role, class or id calls so,
+and forms, have none either, unless they hold most of the page's text and its headline or article, as a wrapper
+around the whole page does.
 
 Null or empty html gives an empty text; broken markup (open tags, stray end tags, cut-off pages) is read as far as it
-goes; ties go to the element that comes first. Repeated rows each get their own equal result.
+goes; ties go to the element that comes first. Repeated rows each get their own equal result; an empty table has no
+texts; pages of any length are read whole, one at a time; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from math import e, log
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^>]*\Z""",
@@ -31,7 +34,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-DROPPED = frozenset("script style noscript template iframe head title nav footer aside form button select textarea input object svg canvas dialog menu".split())
+DROPPED = frozenset("script style noscript template iframe head title nav footer aside button select textarea input object svg canvas dialog menu".split())
 #: End tags that a start tag implies, up to the element that bounds them.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -44,35 +47,57 @@ CLOSES = {
 }
 BOUNDS_P = frozenset("table td th button caption html body article section div main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form status".split())
-#: Words in a class or id that mark what is not the article.
+#: Names of what is not the article, by the last part of a class or id, or by its first part.
 HINTS = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adslot|banner|sponsor\w*|promo\w*|sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|commentlist|discussion|disqus|replies|respond|footer|header|masthead|toolbar|pagination|pager|widget|search)(?:$|[-_\s])",
-    re.I,
+    r"ad|ads|adv|advert\w*|adslot|banner|sponsor\w*|promo\w*|sidebar|aside|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
+    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|footer|header|masthead|toolbar|pagination|pager|widget|search"
 )
+TALK = re.compile(r"comments?|commentlist|disqus|replies|respond")
+#: Parts that say how a page looks or what is switched on, and parts of an article that may be called header.
+STATES = frozenset("has with without no is not show hide enabled disabled open opened closed active inactive visible collapsed on off left right top bottom full layout page site body".split())
+ARTICLE = frozenset("entry post article story section content page".split())
+_PARTS = re.compile(r"[A-Z]?[^-_A-Z]+|[A-Z]+")
 
+KEPT, SOFT, HARD = 0, 1, 2
 
-def _is_dropped(name: str, attributes: str, inside_article: bool) -> bool:
-    if name in DROPPED:
-        return True
-    if name == "header":
-        return not inside_article
+
+def _named(value: str) -> int:
+    """What a class or id says; parts such as has- or -enabled speak about something else on the page."""
+    worst = KEPT
+    for token in value.split():
+        parts = [x.lower() for x in _PARTS.findall(token)]
+        if not parts or len(parts) > 1 and (parts[0] in STATES - {"site", "page"} or parts[-1] in STATES - {"left", "right", "top", "bottom"}):
+            continue
+        if parts[-1] == "header" and parts[0] in ARTICLE:
+            continue
+        if TALK.fullmatch(parts[-1]) or TALK.fullmatch(parts[0]):
+            worst = HARD
+        elif HINTS.fullmatch(parts[-1]) or HINTS.fullmatch(parts[0]):
+            worst = max(worst, SOFT)
+    return worst
+
+
+def _standing(name: str, attributes: str, inside_article: bool) -> int:
+    """Whether an element is left out always (HARD), or unless it is around the article (SOFT)."""
+    if name in DROPPED or name == "header" and not inside_article:
+        return HARD
+    worst = SOFT if name == "form" else KEPT
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return worst
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and HINTS.search(value) or key == "role" and value.lower() in ROLES:
-            return True
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        if key in ("class", "id"):
+            worst = max(worst, _named(value))
+        elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            worst = max(worst, SOFT)
+    return worst
 
 
 class Page:
     """The tree of a page as parallel lists; node 0 is the root, children come after their parents."""
 
     def __init__(self, source: str) -> None:
-        self.name, self.parent, self.drop = ["#root"], [-1], [False]
+        self.name, self.parent, self.standing = ["#root"], [-1], [KEPT]
         self.items: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         stack, at, inside = [0], 0, 0
 
@@ -123,7 +148,7 @@ class Page:
             node = len(self.name)
             self.name.append(name)
             self.parent.append(stack[-1])
-            self.drop.append(self.drop[stack[-1]] or _is_dropped(name, attributes, inside > 0))
+            self.standing.append(_standing(name, attributes, inside > 0))
             if name not in INLINE:
                 self.items.append((stack[-1], None))
             if name in VOID or attributes.endswith("/") and name not in ("p", "div", "a"):
@@ -135,6 +160,26 @@ class Page:
             stack.append(node)
             inside += name in ("article", "main")
         text(len(source))
+        self.drop = self._dropped()
+
+    def _dropped(self) -> list[bool]:
+        """Which nodes are left out, with all below them."""
+        n = len(self.name)
+        hard = [False] * n
+        for i in range(1, n):
+            hard[i] = hard[self.parent[i]] or self.standing[i] == HARD
+        chars = [0] * n
+        for node, piece in self.items:
+            if piece and not hard[node]:
+                chars[node] += len("".join(piece.split()))
+        around = [name in ("article", "main", "h1") for name in self.name]
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            around[self.parent[i]] = around[self.parent[i]] or around[i]
+        drop = hard
+        for i in range(1, n):
+            drop[i] = drop[i] or drop[self.parent[i]] or self.standing[i] == SOFT and not (around[i] and 2 * chars[i] > chars[0])
+        return drop
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite density and density sum of every node."""
@@ -198,22 +243,22 @@ def extract(source: str | None) -> str:
     for node, piece in [*page.items, (0, None)]:
         if piece is None:
             if line:
-                block = " ".join(html.unescape("".join(line)).split())
+                block = " ".join("".join(line).split())
                 if block:
                     lines.append(block)
                 line = []
         elif kept[node] and not page.drop[node]:
-            line.append(piece)
+            line.append(html.unescape(piece))  # piece by piece: no reference is formed across tags
     return "\n".join(lines)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [extract(h) for h in frame[html_col]]
-            yield pd.DataFrame({id_col: frame[id_col], url_col: frame[url_col], "text": texts, "n_chars": [len(t) for t in texts]})
+    @F.pandas_udf("text string, n_chars bigint")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for sources in batches:
+            texts = [extract(h) for h in sources]
+            yield pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, url_col, html_col).mapInPandas(run, f"{id_col} {kind}, {url_col} string, text string, n_chars bigint")
+    return pages.select(id_col, url_col, read(html_col).alias("r")).select(id_col, url_col, "r.*")
