@@ -1,13 +1,18 @@
 """Quality rules whose cutoffs follow each language and source.
 
-Every document gets a handful of shares in thousandths. For each (lang, source) the distribution of every share is
-kept as a quantile histogram on that integer grid: one count per bin, so two histograms merge by adding counts, the
-rank error is zero and the value error is below a thousandth. The cutoff of a share is an upper Tukey fence read off
-the histogram, and documents beyond a fence are rejected by a join with the cutoffs. Groups that are too small to have
-a distribution of their own use the merged histogram of their language, and then that of the whole corpus.
-
-Nulls: a null text has no words (and fails the base rule); null lang or source form groups of their own.
-Empty tables give no rows. Columns of the input are never overwritten by the filter.
+Every document gets a handful of shares in thousandths. A share is a lower confidence bound (Wilson, three deviations),
+so one mark in a short text says little and the same share of a long text says more. For each (lang, source) the
+distribution of every share is kept as a quantile histogram on that integer grid: one count per bin, so two histograms
+merge by adding counts, the rank error is zero and the value error is below a thousandth. The cutoff of a share is a
+fence read off the histogram: the HIGH quantile and FENCE times its distance from the LOW one. Quantiles of a group are
+drawn towards those of its language, and a language's towards the corpus's, as if PRIOR documents of the larger group
+stood in the smaller one; nothing else sets a cutoff. Documents beyond a fence are rejected by a join with the cutoffs.
+Repeated lines are left to the base rule, which counts words in repeated windows.
+
+Nulls: a null text has no words (and fails the base rule); null lang or source form groups of their own. Empty texts
+fail the base rule, texts of any length are measured whole, ties at a fence are kept, repeated rows count as often as
+they stand there and get equal verdicts. Empty tables give no rows. Columns of the input are never overwritten by the
+filter.
 """
 
 from __future__ import annotations
@@ -15,18 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACE, covered, gram_hashes, let, paired, small, words
-from graphloom.session import materialize
+from graphloom.llm.common import covered, gram_hashes, let, paired, small, stashed, words
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = "#*$%&|<>"
-#: Documents a group needs for fences of its own.
-MIN_GROUP = 200
-#: Inter-quartile distances above the third quartile.
-FENCE = 4
-#: Share, in thousandths: the least inter-quartile distance that a fence is built with.
-SHARES = {"symbol_share": 15, "dup_line_share": 120, "upper_share": 60, "shout_share": 25, "echo_share": 25}
+#: Quantiles in tenths, distances of the two above the higher one, and documents that a larger group counts for.
+LOW, HIGH, FENCE, PRIOR = 5, 8, 6, 20
+SHARES = ("symbol_share", "upper_share", "shout_share", "echo_share")
 
 
 def _repeat_words(tokens: Column) -> Column:
@@ -80,46 +81,52 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
             "_echo": _echoes(F.col("_words")),
         }
     )
-    share = lambda part, of: F.floor(F.least(F.lit(1000), 1000 * part / F.greatest(of, F.lit(1)))).cast("int")
     return counted.withColumns(
         {
             "n_dup_lines": F.col("_lines.dup").cast("bigint"),
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-            "symbol_share": share(F.col("n_symbols"), F.col("word_chars")),
-            "dup_line_share": share(F.col("_lines.dup"), F.col("_lines.all")),
-            "upper_share": share(F.col("_upper"), F.col("word_chars")),
-            "shout_share": share(F.col("_shout"), F.col("word_chars")),
-            "echo_share": share(F.col("_echo"), F.col("n_words")),
+            "symbol_share": lower_bound(F.col("n_symbols"), F.col("word_chars")),
+            "upper_share": lower_bound(F.col("_upper"), F.col("word_chars")),
+            "shout_share": lower_bound(F.col("_shout"), F.col("word_chars")),
+            "echo_share": lower_bound(F.col("_echo"), F.col("n_words")),
         }
     ).drop("_words", "_lines", "_upper", "_shout", "_echo")
 
 
+def lower_bound(part: Column, of: Column) -> Column:
+    """Wilson's lower bound of a share at three deviations, in thousandths."""
+    n = F.greatest(of, F.lit(1)).cast("double")
+    p = F.least(F.lit(1.0), part / n)
+    bound = (p + 4.5 / n - 3 * F.sqrt(p * (1 - p) / n + 2.25 / (n * n))) / (1 + 9 / n)
+    return F.floor(1000 * F.greatest(F.lit(0.0), bound) + 1e-9).cast("int")
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, share, bin, n): the quantile histograms. Summing n over any of the columns merges them."""
     pairs = F.array(*[F.struct(F.lit(s).alias("share"), F.col(s).alias("bin")) for s in SHARES])
     return measured.where(~F.col("base_failed")).select("lang", "source", F.explode(pairs).alias("p")).groupBy("lang", "source", "p.share", "p.bin").agg(F.count("*").alias("n"))
 
 
-def _fences(histogram: DataFrame, keys: list[str]) -> DataFrame:
-    """Upper fence of each share from the cumulated counts of its histogram."""
+def _quantiles(histogram: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """(keys, share, docs, low, high) of each histogram, from its cumulated counts; ``tag`` ends the last three names."""
     merged = histogram.groupBy(*keys, "share", "bin").agg(F.sum("n").alias("n"))
     up = Window.partitionBy(*keys, "share").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.withColumn("below", F.sum("n").over(up))
     total = ranked.groupBy(*keys, "share").agg(F.max("below").alias("docs"), F.collect_list(F.struct("bin", "below")).alias("h"))
-    at = lambda q: F.array_min(F.transform(F.filter("h", lambda x: 4 * x["below"] >= q * F.col("docs")), lambda x: x["bin"]))
-    spread = F.coalesce(*[F.when(F.col("share") == s, F.lit(v)) for s, v in SHARES.items()])
-    return total.select(*keys, "share", "docs", (at(3) + FENCE * F.greatest(at(3) - at(1), spread)).alias("fence"))
+    at = lambda q: F.array_min(F.transform(F.filter("h", lambda x: 10 * x["below"] >= q * F.col("docs")), lambda x: x["bin"]))
+    return total.select(*keys, "share", F.col("docs").alias(f"docs{tag}"), at(LOW).alias(f"low{tag}"), at(HIGH).alias(f"high{tag}"))
 
 
 def cutoffs(histogram: DataFrame) -> DataFrame:
-    """One row per (lang, source) with the fence of every share: its own, its language's or the corpus's."""
-    wide = lambda f, keys, tag: f.groupBy(*keys).agg(F.max("docs").alias(f"docs_{tag}"), *[F.max(F.when(F.col("share") == s, F.col("fence"))).alias(f"{s}_{tag}") for s in SHARES])
-    own = wide(_fences(histogram, ["lang", "source"]), ["lang", "source"], "own")
-    lang = wide(_fences(histogram, ["lang"]), ["lang"], "lang").withColumnRenamed("lang", "lang_")
-    whole = wide(_fences(histogram, []), [], "all")
-    joined = own.join(lang, own["lang"].eqNullSafe(lang["lang_"]), "left").join(F.broadcast(whole))  # one row
-    pick = lambda s: F.when(F.col("docs_own") >= MIN_GROUP, F.col(f"{s}_own")).when(F.col("docs_lang") >= MIN_GROUP, F.col(f"{s}_lang")).otherwise(F.col(f"{s}_all"))
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(s).alias(f"_{s}") for s in SHARES])
+    """One row per (lang, source) with the fence of every share."""
+    own = _quantiles(histogram, ["lang", "source"], "")
+    lang = _quantiles(histogram, ["lang"], "_l").select(F.col("lang").alias("lang_"), F.col("share").alias("share_"), "docs_l", "low_l", "high_l")
+    whole = _quantiles(histogram, [], "_a").withColumnRenamed("share", "share_a")
+    joined = own.join(lang, own["lang"].eqNullSafe(lang["lang_"]) & (own["share"] == lang["share_"])).join(F.broadcast(whole), F.col("share") == F.col("share_a"))  # one row a share
+    drawn = lambda own_, docs, other: (F.col(docs) * own_ + PRIOR * other) / (F.col(docs) + PRIOR)
+    level = lambda q: drawn(F.col(q), "docs", drawn(F.col(f"{q}_l"), "docs_l", F.col(f"{q}_a")))
+    fenced = joined.select("lang", "source", "share", F.ceil(level("high") + FENCE * (level("high") - level("low")) - 1e-9).alias("fence"))  # shares are whole thousandths
+    return fenced.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*[F.max(F.when(F.col("share") == s, F.col("fence"))).alias(f"_{s}") for s in SHARES])
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -133,13 +140,14 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, shares and verdict of every document; the text is read once."""
-    measured = materialize(measure(df.select(id_col, "lang", "source", text_col), text_col).drop(text_col))
-    return judge(measured, materialize(cutoffs(sketches(measured))))
+    measured = stashed(measure(df.select(id_col, "lang", "source", text_col), text_col).drop(text_col))
+    return judge(measured, stashed(cutoffs(sketches(measured))))
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with the columns of ``df``; measured twice rather than shuffling texts."""
-    narrow = measure(df.select("lang", "source", text_col), text_col).drop(text_col)
-    limits = materialize(cutoffs(sketches(narrow)))
+    """The documents that pass, with the columns of ``df``.
+
+    Rows are written once beside their measures, so that texts are neither measured twice nor shuffled."""
     whole = df.select(F.struct(*df.columns).alias("__row"), "lang", "source", text_col)
-    return judge(measure(whole, text_col), limits).where("kept").select("__row.*")
+    measured = stashed(measure(whole, text_col).drop(text_col))
+    return judge(measured, stashed(cutoffs(sketches(measured)))).where("kept").select("__row.*")

@@ -63,22 +63,26 @@ _TOKENS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABC
 
 def _quality_sql() -> str:
     gone = lambda kind: f"(length(t)-length(regexp_replace(t, '[{kind}]', '', 'g')))"
-    share = lambda part, of: f"floor(least(1000, 1000*({part})/greatest({of}, 1)))::INT"
-    bins = " UNION ALL ".join(f"SELECT lang, source, '{s}' share, {v} spread, {s} bin FROM m WHERE NOT base_failed" for s, v in quality_rules.SHARES.items())
-    at = lambda q: f"list_sort(list(bin))[({q}*count(*)+3)//4]"
-    fence = f"{at(3)}+{quality_rules.FENCE}*greatest({at(3)}-{at(1)}, any_value(spread))"
-    least = quality_rules.MIN_GROUP
-    tests = " AND ".join(
-        f"{s} <= coalesce((SELECT CASE WHEN o.n >= {least} THEN o.f WHEN l.n >= {least} THEN l.f ELSE a.f END FROM own o JOIN lng l ON o.share=l.share AND o.lang IS NOT DISTINCT FROM l.lang JOIN whole a ON o.share=a.share WHERE o.share='{s}' AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source), 1000)"
-        for s in quality_rules.SHARES
-    )
+
+    def bound(part: str, of: str) -> str:
+        n = f"greatest({of}, 1)::DOUBLE"
+        p = f"least(1.0::DOUBLE, ({part})/{n})"
+        return f"floor(1000*greatest(0.0::DOUBLE, ({p}+4.5::DOUBLE/{n}-3*sqrt({p}*(1-{p})/{n}+2.25::DOUBLE/({n}*{n})))/(1+9/{n}))+1e-9::DOUBLE)::INT"
+
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{s}' share, {s} bin FROM m WHERE NOT base_failed" for s in quality_rules.SHARES)
+    at = lambda q: f"list_sort(list(bin))[({q}*count(*)+9)//10]"
+    levels = f"count(*) n, {at(quality_rules.LOW)} low, {at(quality_rules.HIGH)} high"
+    drawn = lambda own, n, other: f"(({n}*{own}+{quality_rules.PRIOR}*{other})/({n}+{quality_rules.PRIOR}))"
+    level = lambda q: drawn(f"o.{q}", "o.n", drawn(f"l.{q}", "l.n", f"a.{q}"))
+    tests = " AND ".join(f"{s} <= coalesce((SELECT fence FROM fences f WHERE f.share='{s}' AND f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source), 1000)" for s in quality_rules.SHARES)
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') t, {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) l FROM documents),
  win AS (SELECT doc_id, s, md5(array_to_string(w[s:s+7], ' ')) g FROM d, unnest(range(1, len(w)-6)) t(s)),
  rep AS (SELECT doc_id, count(DISTINCT i) n FROM (SELECT doc_id, unnest(range(s, s+8)) i FROM win SEMI JOIN (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)) GROUP BY 1),
  ech AS (SELECT doc_id, count(*) n FROM d, unnest(range(1, len(w))) t(i) WHERE w[i]=w[i+1] GROUP BY 1),
- c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT n_words, (length(t)-{gone("\\x20\\x09-\\x0D")})::BIGINT word_chars, {gone("#*$%&|<>")}::BIGINT n_symbols, (len(l)-len(list_distinct(l)))::BIGINT n_dup_lines, len(l) n_lines, coalesce(rep.n, 0)::BIGINT n_repeat_words, {gone("A-Z")} up, {gone("!?")} sh, coalesce(ech.n, 0) e FROM d LEFT JOIN rep ON d.doc_id=rep.doc_id LEFT JOIN ech ON d.doc_id=ech.doc_id),
- m AS (SELECT *, n_words < 20 OR 100*n_repeat_words > 30*n_words base_failed, {share("n_symbols", "word_chars")} symbol_share, {share("n_dup_lines", "n_lines")} dup_line_share, {share("up", "word_chars")} upper_share, {share("sh", "word_chars")} shout_share, {share("e", "n_words")} echo_share FROM c),
- h AS ({bins}), own AS (SELECT lang, source, share, count(*) n, {fence} f FROM h GROUP BY ALL), lng AS (SELECT lang, share, count(*) n, {fence} f FROM h GROUP BY ALL), whole AS (SELECT share, count(*) n, {fence} f FROM h GROUP BY ALL)
+ c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT n_words, (length(t)-{gone("\\x20\\x09-\\x0D")})::BIGINT word_chars, {gone("#*$%&|<>")}::BIGINT n_symbols, (len(l)-len(list_distinct(l)))::BIGINT n_dup_lines, coalesce(rep.n, 0)::BIGINT n_repeat_words, {gone("A-Z")} up, {gone("!?")} sh, coalesce(ech.n, 0) e FROM d LEFT JOIN rep ON d.doc_id=rep.doc_id LEFT JOIN ech ON d.doc_id=ech.doc_id),
+ m AS (SELECT *, n_words < 20 OR 100*n_repeat_words > 30*n_words base_failed, {bound("n_symbols", "word_chars")} symbol_share, {bound("up", "word_chars")} upper_share, {bound("sh", "word_chars")} shout_share, {bound("e", "n_words")} echo_share FROM c),
+ h AS ({bins}), own AS (SELECT lang, source, share, {levels} FROM h GROUP BY ALL), lng AS (SELECT lang, share, {levels} FROM h GROUP BY ALL), whole AS (SELECT share, {levels} FROM h GROUP BY ALL),
+ fences AS (SELECT o.lang, o.source, o.share, ceil({level("high")}+{quality_rules.FENCE}*({level("high")}-{level("low")})-1e-9::DOUBLE) fence FROM own o JOIN lng l ON o.share=l.share AND o.lang IS NOT DISTINCT FROM l.lang JOIN whole a ON o.share=a.share)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} kept, {", ".join(quality_rules.SHARES)} FROM m"""
 
 

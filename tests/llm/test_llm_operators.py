@@ -184,9 +184,17 @@ def test_quality_counts(docs, rows):
 def test_fences_follow_the_group(spark):
     rng = random.Random(2)
     say = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(n))
-    rows = [(i, say(40) + (" ########" * 4 if i % 2 else ""), "en", f"s{i % 2}") for i in range(600)] + [(1_000, say(40) + " ########" * 4, "en", "s0")]
+    marks = {"symbol_share": lambda: say(40) + " ########" * 4, "upper_share": lambda: say(40) + " ABCDEFG" * 5, "shout_share": lambda: say(40) + " well!!!!!!" * 4, "echo_share": lambda: say(30) + " so so so so so so so" + say(3)}
+    assert tuple(marks) == quality_rules.SHARES
+    rows, judged = [], {}
+    for g, (share, marked) in enumerate(marks.items()):
+        rows += [(1_000 * g + i, marked() if i % 2 else say(40), f"l{g}", f"s{i % 2}") for i in range(600)]
+        text = marked()
+        judged[share] = (1_000 * g + 700, 1_000 * g + 701)
+        rows += [(i, text, f"l{g}", f"s{i % 2}") for i in judged[share]]
     got = {r.doc_id: r.kept for r in quality_rules.quality_report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
-    assert sum(got[i] for i in range(600)) == 600 and not got[1_000]
+    assert {share: [got[i] for i in ids] for share, ids in judged.items()} == dict.fromkeys(marks, [False, True])  # equal texts, by the group
+    assert sum(got[i] for i, *_ in rows if i % 1_000 < 600) >= 0.99 * 2_400
 
 
 def test_license_places_and_templates(docs, rows):
