@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stashed
+from graphloom.llm.common import forget, stashed
 
 #: Symbols hashed at once; longer texts are cut into pieces that overlap by a window less one.
 PIECE = 1 << 16
@@ -82,8 +82,7 @@ def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
 _WHOLE = (1 << 64) - 1
 
 
-def _signed(body: bytes) -> int:
-    digest = xxhash.xxh3_64_intdigest(body)
+def _signed(digest: int) -> int:
     return digest - (digest >> 63 << 64)
 
 
@@ -124,15 +123,16 @@ def pieces(sizes: list[int], window: int) -> Iterator[list[tuple[int, int, int]]
 
 @dataclass(frozen=True)
 class Kind:
-    """How texts become symbols: ``scan`` gives comparable symbols, ``open`` the stretches of a text as bytes, and
-    ``read`` symbols of stretches that are equal if and only if the stretches' bytes or words are."""
+    """How UTF-8 bytes become symbols: ``symbols`` gives comparable 64-bit values (or bytes), ``slicer`` stretches of a
+    text as bytes, and ``read`` symbols of stretches that are equal if and only if the stretches' bytes or words are."""
 
-    scan: Callable[[str | None], np.ndarray]
-    open: Callable[[str | None], Callable[[int, int], bytes]]
+    symbols: Callable[[bytes], np.ndarray]
+    slicer: Callable[[bytes], Callable[[int, int], bytes]]
     read: Callable[[list[bytes]], list[np.ndarray]]
 
 
-AT = "row_key binary, start bigint, n int, lead int"
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def _segments(docs: DataFrame, kind: Kind, k: int, window: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _segments(docs: DataFrame, kind: Kind, k: int, window: int) -> DataFrame:
         for frame in frames:
             keys = frame["row_key"].to_numpy()
             for low in range(0, len(frame), 256):
-                texts = [kind.scan(t) for t in frame["text"].iloc[low : low + 256]]
+                texts = [kind.symbols(encoded(t)) for t in frame["text"].iloc[low : low + 256]]
                 for batch in pieces([len(t) for t in texts], window):
                     parts = [texts[i][a:b] for i, a, b in batch]
                     lengths = np.array([len(p) for p in parts])
@@ -154,7 +154,7 @@ def _segments(docs: DataFrame, kind: Kind, k: int, window: int) -> DataFrame:
                     owner = np.array([i for i, _, _ in batch])
                     yield pd.DataFrame({"row_key": keys[low + owner[part]], "start": first - offsets[part] + begin[part], "n": n.astype(np.int32), "lead": lead.astype(np.int32), "anchor": anchor.view(np.int64), "content": content.view(np.int64)})
 
-    return docs.select("row_key", "text").mapInPandas(scan, f"{AT}, anchor bigint, content bigint")
+    return docs.select("row_key", "text").mapInPandas(scan, "row_key binary, start bigint, n int, lead int, anchor bigint, content bigint")
 
 
 Solver = Callable[[list[np.ndarray], np.ndarray], list[list[tuple[int, int]]]]
@@ -169,81 +169,51 @@ def repeated_spans(docs: DataFrame, kind: Kind, k: int, window: int, solve: Solv
     segments = stashed(_segments(docs, kind, k, window))
     often = stashed(segments.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
     again = stashed(segments.join(often, "anchor"))
+    forget(segments, often)
     distinct = stashed(again.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "start", "n", "lead")).alias("at")))
-    found = _ranges(docs, distinct, kind, window, solve, widths, shard, hot)
+    grouped, alone = _grouped(distinct.select("anchor", "content", "copies", "at", F.col("at.n").alias("n")), window)
+    bodies = stashed(_cut(docs, grouped, kind, window))
+    found = stashed(alone.union(_ranges(bodies, kind, window, solve, widths, shard, hot)))
     own = again.select("row_key", "start", "anchor", "content").join(found, ["anchor", "content"]).select("row_key", "start", F.explode("ranges").alias("r"))
     moved = own.select("row_key", F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last")).alias("s"))
     spans = moved.groupBy("row_key").agg(F.collect_set("s").alias("s"))
-    return stashed(spans.select("row_key", F.transform("s", lambda s: s["first"]).alias("firsts"), F.transform("s", lambda s: s["last"]).alias("lasts")))
+    out = stashed(spans.select("row_key", F.transform("s", lambda s: s["first"]).alias("firsts"), F.transform("s", lambda s: s["last"]).alias("lasts")))
+    forget(again, distinct, bodies, found)
+    return out
 
 
-def _ranges(docs: DataFrame, distinct: DataFrame, kind: Kind, window: int, solve: Solver, widths: tuple[int, ...], shard: int, hot: int) -> DataFrame:
-    """(anchor, content, ranges) of distinct segments: anchor, content, copies, at."""
-    length = F.col("at.n") + (window - 1)
-    groups = stashed(distinct.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum(length).alias("size")))
+def _grouped(distinct: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct segments of anchors with several, with ``size``, the symbols of them all; and (anchor, content, ranges) of
+    the others, whose copies repeat all of them."""
+    length = F.col("n") + (window - 1)
+    groups = distinct.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum(length).alias("size"))
     joined = distinct.join(groups, "anchor")
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("first"), length.cast("bigint").alias("last")))
-    found = joined.where("contents = 1").select("anchor", "content", whole.alias("ranges"))  # all segments of the anchor are copies of one
-    mixed = joined.where("contents > 1")
-    if widths and groups.where((F.col("contents") > 1) & (F.col("size") > hot)).limit(1).count():
-        found = found.union(_split(docs, mixed.where(F.col("size") > hot), kind, window, solve, widths, shard, hot))
-        mixed, groups = mixed.where(F.col("size") <= hot), groups.where(F.col("size") <= hot)
-    total = groups.where("contents > 1").agg(F.sum("size")).first()[0] or 0
-    return found.union(_sharded(docs, mixed, kind, window, solve, max(1, -(-total // shard))))
-
+    return joined.where("contents > 1").drop("contents"), joined.where("contents = 1").select("anchor", "content", whole.alias("ranges"))
 
-def _split(docs: DataFrame, large: DataFrame, kind: Kind, window: int, solve: Solver, widths: tuple[int, ...], shard: int, hot: int) -> DataFrame:
-    """(anchor, content, ranges) of segments whose anchor has too much distinct text for one shard.
 
-    Windows that have the anchor in the same place, give or take ``width`` - 1 symbols, all hold the window - width + 1
-    symbols around it. The hash of those is a longer anchor, of shorter segments, that takes the place of the first."""
-    width, rest = widths[0], widths[1:]
-
-    def emit(text: str | None, parts) -> list[tuple]:
-        symbols, rows = kind.scan(text), []
-        for p in parts:
-            start, n, lead = p["start"], p["n"], p["lead"]
-            offset = lead - np.arange(n)
-            begins = np.flatnonzero(np.concatenate(([True], offset[1:] // width != offset[:-1] // width)))
-            for i, j in zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True):
-                q = (lead - i) // width
-                shared = symbols[start + lead - width * q : start + lead - width * q - width + 1 + window].tobytes()
-                body = symbols[start + i : start + j + window - 1].tobytes()
-                longer = xxhash.xxh3_64_intdigest(shared + q.to_bytes(8, "little", signed=True), p["anchor"] & _WHOLE)
-                rows.append((p["anchor"], p["content"], p["copies"], i, p["row_key"], start + i, j - i, lead - i, longer - (longer >> 63 << 64), _signed(body)))
-        return rows
-
-    schema = f"parent bigint, parent_content bigint, copies bigint, shift bigint, {AT}, anchor bigint, content bigint"
-    children = stashed(_cut(docs, large, emit, schema).dropDuplicates(["parent", "parent_content", "shift"]))
-    often = children.groupBy("anchor").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor")
-    distinct = children.join(often, "anchor").groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("row_key", "start", "n", "lead")).alias("at"))
-    found = _ranges(docs, stashed(distinct), kind, window, solve, rest, shard, hot)
-    back = children.join(found, ["anchor", "content"])
-    shifted = F.transform("ranges", lambda r: F.struct((F.col("shift") + r["first"]).alias("first"), (F.col("shift") + r["last"]).alias("last")))
-    return back.groupBy(F.col("parent").alias("anchor"), F.col("parent_content").alias("content")).agg(F.flatten(F.collect_list(shifted)).alias("ranges"))
-
-
-def _cut(docs: DataFrame, distinct: DataFrame, emit: Callable, schema: str) -> DataFrame:
-    """What ``emit`` makes of each distinct segment, taken from the text where it first stands."""
-    columns = [c.split()[0] for c in schema.split(", ")]
+def _cut(docs: DataFrame, distinct: DataFrame, kind: Kind, window: int) -> DataFrame:
+    """The bytes of each distinct segment, taken from the text where it first stands."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for low in range(0, len(frame), 64):
-                rows = [r for text, parts in zip(*(frame[c].iloc[low : low + 64] for c in ("text", "pieces")), strict=True) for r in emit(text, parts)]
+                rows = []
+                for text, parts in zip(frame["text"].iloc[low : low + 64], frame["pieces"].iloc[low : low + 64], strict=True):
+                    body = kind.slicer(encoded(text))
+                    rows += [(p["anchor"], p["content"], p["copies"], p["n"], p["lead"], p["size"], body(p["start"], p["start"] + p["n"] + window - 1)) for p in parts]
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield pd.DataFrame(rows, columns=["anchor", "content", "copies", "n", "lead", "size", "body"])
 
-    wanted = distinct.groupBy("at.row_key").agg(F.collect_list(F.struct("at.row_key", "at.start", "at.n", "at.lead", "anchor", "content", "copies")).alias("pieces"))
-    return docs.select("row_key", "text").join(wanted.withColumnRenamed("row_key", "key"), F.col("row_key") == F.col("key")).select("text", "pieces").mapInPandas(run, schema)
+    wanted = distinct.groupBy(F.col("at.row_key").alias("key")).agg(F.collect_list(F.struct("anchor", "content", "copies", "at.start", "n", "at.lead", "size")).alias("pieces"))
+    return docs.select("row_key", "text").join(wanted, F.col("row_key") == F.col("key")).select("text", "pieces").mapInPandas(run, BODY)
 
 
-def _sharded(docs: DataFrame, mixed: DataFrame, kind: Kind, window: int, solve: Solver, shards: int) -> DataFrame:
-    """(anchor, content, ranges) of the distinct segments, decided shard by shard."""
+BODY = "anchor bigint, content bigint, copies bigint, n int, lead int, size bigint, body binary"
 
-    def emit(text: str | None, parts) -> list[tuple]:
-        body = kind.open(text)
-        return [(p["anchor"], p["content"], p["copies"], body(p["start"], p["start"] + p["n"] + window - 1)) for p in parts]
+
+def _ranges(bodies: DataFrame, kind: Kind, window: int, solve: Solver, widths: tuple[int, ...], shard: int, hot: int) -> DataFrame:
+    """(anchor, content, ranges) of distinct segments, by shards; anchors with too much text for one are split first."""
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["anchor", "content"])
@@ -251,9 +221,46 @@ def _sharded(docs: DataFrame, mixed: DataFrame, kind: Kind, window: int, solve:
         rows = [(a, c, [{"first": x, "last": y} for x, y in r]) for a, c, r in zip(group["anchor"], group["content"], ranges, strict=True) if r]
         return pd.DataFrame(rows, columns=["anchor", "content", "ranges"])
 
-    bodies = _cut(docs, mixed, emit, "anchor bigint, content bigint, copies bigint, body binary")
-    dealt = bodies.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(lambda g: decide(g), f"anchor bigint, content bigint, ranges {RANGES}")
+    fit = bodies.where(F.col("size") <= hot) if widths else bodies
+    total = fit.agg(F.sum(F.col("n") + (window - 1))).first()[0] or 0
+    shards = max(1, -(-total // shard))
+    dealt = fit.select("anchor", "content", "copies", "body", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    found = dealt.groupBy("shard").applyInPandas(lambda g: decide(g), f"anchor bigint, content bigint, ranges {RANGES}")
+    large = bodies.where(F.col("size") > hot)
+    return found.union(_split(large, kind, window, solve, widths, shard, hot)) if widths and large.limit(1).count() else found
+
+
+def _split(large: DataFrame, kind: Kind, window: int, solve: Solver, widths: tuple[int, ...], shard: int, hot: int) -> DataFrame:
+    """(anchor, content, ranges) of segments whose anchor has too much distinct text for one shard.
+
+    Windows that have the anchor in the same place, give or take ``width`` - 1 symbols, all hold the window - width + 1
+    symbols around it. The hash of those is a longer anchor, of shorter segments, that takes the place of the first."""
+    width, rest = widths[0], widths[1:]
+    columns = ["parent", "parent_content", "shift", "copies", "n", "lead", "anchor", "content", "body"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for anchor, content, copies, n, lead, body in zip(*(frame[c] for c in ("anchor", "content", "copies", "n", "lead", "body")), strict=True):
+                symbols, part = kind.symbols(body), kind.slicer(body)
+                offset = lead - np.arange(n)
+                begins = np.flatnonzero(np.concatenate(([True], offset[1:] // width != offset[:-1] // width)))
+                for i, j in zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True):
+                    q = (lead - i) // width
+                    shared = symbols[lead - width * q : lead - width * q - width + 1 + window].tobytes()
+                    longer = xxhash.xxh3_64_intdigest(shared + int(q).to_bytes(8, "little", signed=True), anchor & _WHOLE)
+                    rows.append((anchor, content, i, copies, j - i, lead - i, _signed(longer), _signed(xxhash.xxh3_64_intdigest(symbols[i : j + window - 1].tobytes())), part(i, j + window - 1)))
+            yield pd.DataFrame(rows, columns=columns)
+
+    schema = "parent bigint, parent_content bigint, shift bigint, copies bigint, n int, lead int, anchor bigint, content bigint, body binary"
+    children = stashed(large.mapInPandas(run, schema).dropDuplicates(["parent", "parent_content", "shift"]))
+    often = children.groupBy("anchor").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor")
+    one = children.join(often, "anchor").groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("body").alias("body"))
+    grouped, alone = _grouped(stashed(one), window)
+    bodies = stashed(grouped.select(*[c.split()[0] for c in BODY.split(", ")]))
+    back = children.select("parent", "parent_content", "shift", "anchor", "content").join(alone.union(_ranges(bodies, kind, window, solve, rest, shard, hot)), ["anchor", "content"])
+    shifted = F.transform("ranges", lambda r: F.struct((F.col("shift") + r["first"]).alias("first"), (F.col("shift") + r["last"]).alias("last")))
+    return back.groupBy(F.col("parent").alias("anchor"), F.col("parent_content").alias("content")).agg(F.flatten(F.collect_list(shifted)).alias("ranges"))
 
 
 def merged(firsts, lasts) -> tuple[np.ndarray, np.ndarray]:
@@ -268,12 +275,7 @@ def merged(firsts, lasts) -> tuple[np.ndarray, np.ndarray]:
 
 def byte_symbols(text: str | None) -> np.ndarray:
     """The UTF-8 bytes of a text, as they are."""
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-
-
-def _open_bytes(text: str | None) -> Callable[[int, int], bytes]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return lambda first, last: raw[first:last]
+    return np.frombuffer(encoded(text), np.uint8)
 
 
 def as_values(symbols: np.ndarray) -> np.ndarray:
@@ -297,9 +299,9 @@ TOGETHER = 256
 _KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
-def word_symbols(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word of a text; each block of eight bytes is mixed into what went before."""
-    data = byte_symbols(text)
+def word_symbols(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of every word; each block of eight bytes is mixed into what went before."""
+    data = np.frombuffer(raw, np.uint8)
     first, last = word_bounds(data)
     length = last - first
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
@@ -310,16 +312,13 @@ def word_symbols(text: str | None) -> np.ndarray:
         left = length[live] - at
         out[live] = mix(out[live] * _ODD2 ^ (blocks[first[live] + at] & _KEEP[np.minimum(left, 8)]))
         live, at = live[left > 8], at + 8
-    raw = data.tobytes()
     for i in np.flatnonzero(length > TOGETHER).tolist():
         out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : last[i]])
     return out
 
 
-def _open_words(text: str | None) -> Callable[[int, int], bytes]:
-    data = byte_symbols(text)
-    first, last = word_bounds(data)
-    raw = data.tobytes()
+def _slice_words(raw: bytes) -> Callable[[int, int], bytes]:
+    first, last = word_bounds(np.frombuffer(raw, np.uint8))
     return lambda a, b: raw[first[a] : last[b - 1]]
 
 
@@ -329,5 +328,5 @@ def _read_words(bodies: list[bytes]) -> list[np.ndarray]:
     return [np.array([number.setdefault(w, len(number)) for w in b.split()], np.int64) for b in bodies]
 
 
-BYTES = Kind(byte_symbols, _open_bytes, lambda bodies: [np.frombuffer(b, np.uint8) for b in bodies])
-WORDS = Kind(word_symbols, _open_words, _read_words)
+BYTES = Kind(lambda raw: np.frombuffer(raw, np.uint8), lambda raw: lambda a, b: raw[a:b], lambda bodies: [np.frombuffer(b, np.uint8) for b in bodies])
+WORDS = Kind(word_symbols, _slice_words, _read_words)
