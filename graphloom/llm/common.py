@@ -59,6 +59,10 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
+#: Most rows of two numbers and a key that may be broadcast, some 10 MB.
+NARROW_ROWS = 200_000
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is proven to have few rows; otherwise left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -101,10 +105,21 @@ def _joined(runs: Column, ones: Column, length: int) -> Column:
     return let(runs, zipped)
 
 
-def stashed(df: DataFrame) -> DataFrame:
-    """``df`` written once as a compressed table into the shared checkpoint folder and read from there; cuts lineage."""
+def stashed(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` written once as a compressed table into the shared checkpoint folder and read from there; cuts lineage.
+
+    ``parts``: files it is gathered in, for tables whose number of rows is known to be small."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stash = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stash)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

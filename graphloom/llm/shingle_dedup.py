@@ -1,16 +1,20 @@
-"""Near-duplicates by an exact similarity join: texts whose shingle sets have a Jaccard similarity of 0.8 or more link.
+"""Near-duplicates: SimHash with covering tables, completed by an exact similarity join over five-word shingles.
 
-Shingles are five lower-cased words, as 64-bit hashes; texts with equal sets are one node. The join is the prefix-filter
-join: under any one order of all shingles, two sets of n and m shingles at or above 4/5 share one of the first
+Texts whose shingle sets have a Jaccard similarity of 0.8 or more link. Shingles are five lower-cased words, as 64-bit
+hashes; texts with equal sets are one node. The covering tables of ``simhash_dedup`` propose the sets whose
+fingerprints differ in four bits or fewer. Fingerprints of sets at 0.8 often differ in more, so a prefix-filter join finds
+the rest: under any one order of all shingles, two sets of n and m shingles at or above 4/5 share one of the first
 n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1. The order is that of the hashes, with frequent shingles last; which are
 frequent is estimated on every SAMPLE-th text and only decides how large groups get, never what is found.
 
-Only connected components are wanted, so not every pair of a large group of copies is formed. First each group of sets
-that share a prefix shingle (and a length class) is compared with its least member only. Then every pair that shares a
-prefix shingle and is still in two components is tried: the sets outside a shingle's largest component against all of
-its sets, as far as the length and positional filters let them pass. What passes is verified on the whole sets.
+Only connected components are wanted, so not every pair of a large group of copies is formed. First the proposed pairs,
+and each group of sets that share a prefix shingle (and a length class) with its least member only, are compared. Then
+every pair that shares a prefix shingle and is still in two components is tried: the sets outside a shingle's largest
+component against all of its sets, as far as the length and positional filters let them pass. What passes is verified on
+the whole sets.
 
-Null and empty texts have the empty set and are one group. Repeated rows are in one component.
+Null and empty texts have the empty set and are one group. Repeated rows are in one component and one of them stays.
+Texts of any length are read whole, an empty table gives no rows, and clashing columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -23,9 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stashed
-from graphloom.llm.simhash_dedup import NO_ID, components, shingle_hashes
-from graphloom.session import materialize
+from graphloom.llm.common import forget, row_key, stashed
+from graphloom.llm.simhash_dedup import NO_ID, components, fingerprint, linked_pairs, of_keys, shingle_hashes
 
 SHINGLE = 5
 #: One in SAMPLE texts is asked for frequent shingles: those in OFTEN of its sets, the ORDERED most frequent at most.
@@ -69,12 +72,14 @@ def signatures(narrow: DataFrame, often: np.ndarray) -> DataFrame:
     """(id, row_key, print, n, prefix): hash and size of the shingle set, and its prefix in order."""
     shared = narrow.sparkSession.sparkContext.broadcast(often)
 
-    @F.pandas_udf("print bigint, n int, prefix array<bigint>")
+    @F.pandas_udf("print bigint, simhash bigint, n int, prefix array<bigint>")
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [shingle_set(t) for t in texts]
+            hashes = [shingle_hashes(t, SHINGLE) for t in texts]
+            found = [np.unique(h) for h in hashes]
             prints = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in found], np.uint64).view(np.int64)
-            yield pd.DataFrame({"print": prints, "n": [len(h) for h in found], "prefix": [prefix(h, shared.value).view(np.int64) for h in found]})
+            simhashes = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
+            yield pd.DataFrame({"print": prints, "simhash": simhashes, "n": [len(h) for h in found], "prefix": [prefix(h, shared.value).view(np.int64) for h in found]})
 
     return stashed(narrow.select("id", "row_key", signature("text").alias("s"))).select("id", "row_key", "s.*")
 
@@ -88,6 +93,16 @@ def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
     return rows.select("h", *[F.col(c).alias(f"{c[0]}{s}") for c in ("print", "n", "at", *more)])
 
 
+def close_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): sets whose SimHash fingerprints the covering tables link, as edges of a forest; distinct: print, simhash."""
+    least = distinct.groupBy("simhash").agg(F.min("print").alias("a"), F.count("*").alias("m"))
+    same = distinct.join(least.where("m > 1"), "simhash").select("a", F.col("print").alias("b")).where("a <> b")
+    first = least.select("simhash", "a")
+    links = linked_pairs(distinct.select(F.col("simhash").alias("print")).distinct())
+    ends = links.join(first.select(F.col("simhash").alias("a"), F.col("a").alias("pa")), "a").join(first.select(F.col("simhash").alias("b"), F.col("a").alias("pb")), "b")
+    return same.union(ends.select("pa", "pb"))
+
+
 def first_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): the members of each group of one shingle and length class with its least member."""
     kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
@@ -102,7 +117,7 @@ def other_pairs(rows: DataFrame, parts: DataFrame) -> DataFrame:
     placed = rows.join(parts, "print")
     sizes = placed.groupBy("h", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("h").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    placed = materialize(placed.join(main, "h").select("h", "print", "n", "at", "component", (F.col("component") == F.col("main")).alias("is_main")))
+    placed = stashed(placed.join(main, "h").select("h", "print", "n", "at", "component", (F.col("component") == F.col("main")).alias("is_main")))
     x, y = _side(placed.where("NOT is_main"), "x", "component"), _side(placed, "y", "component", "is_main")
     long_enough = (5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy")) & (F.col("iy") | (F.col("px") < F.col("py")))
     met = x.join(y, "h").where(long_enough)
@@ -121,30 +136,31 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: int = OFTEN) -> DataFrame:
-    """One row per row of ``df``: id, row_key (hash of id and text), print, component (least id and a set's hash)."""
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_key"))
+    """One row per row of ``df``: id, row_key (of id and text), print, component (least id and a set's hash)."""
+    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
     signed = signatures(narrow, frequent(narrow, sample, least))
     nodes = signed.groupBy("print").agg(F.struct(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("id"), F.col("print")).alias("label"))
-    distinct = signed.dropDuplicates(["print"])
+    distinct = signed.groupBy("print").agg(F.min_by(F.struct("row_key", "simhash", "n", "prefix"), "row_key").alias("s")).select("print", "s.*")
     listed = distinct.select("print", "n", F.posexplode("prefix").alias("at", "h"))
     shared = listed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     rows = stashed(listed.join(shared, "h", "left_semi"))
+    members = rows.select("print").distinct()
 
-    wanted = distinct.join(rows.select("print").distinct(), "print", "left_semi").select("print", "row_key")
+    wanted = distinct.join(members, "print", "left_semi").select("print", "row_key", "simhash")
     texts = narrow.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"])
-    sets = stashed(texts.select("print", _sets("text").alias("hashes")))
+    sets = stashed(texts.select("print", "simhash", _sets("text").alias("hashes")))  # sets that share a prefix shingle: all others are alone
 
-    edges = materialize(verified(first_pairs(rows), sets))
-    members = rows.select("print").distinct().withColumn("label", F.col("print"))
-    parts = materialize(components(members, edges))
-    edges = edges.union(materialize(verified(other_pairs(rows, parts), sets)))
-    of = components(nodes, edges)
-    return signed.join(of, "print").select("id", "row_key", "print", "component")
+    near = close_pairs(sets.select("print", "simhash")).union(first_pairs(rows)).distinct()
+    edges = stashed(verified(near, sets))
+    parts = stashed(components(members.withColumn("label", F.col("print")), edges))
+    more = stashed(verified(other_pairs(rows, parts), sets))
+    of = stashed(components(nodes, edges.union(more)))
+    forget(rows, sets, parts, edges, more)
+    return signed.select("id", "row_key", "print").join(of, "print").select("id", "row_key", "print", "component")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every near-duplicate component, the one with the least id; columns of ``df``."""
     found = near_duplicates(df, id_col, text_col)
-    first = found.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row_key")).alias("row")).select(F.col("row.row_key").alias("__first"))
-    keyed = df.withColumn("__first", F.xxhash64(id_col, text_col))
-    return keyed.join(first, "__first", "left_semi").dropDuplicates(["__first"]).select(*df.columns)
+    first = found.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row_key")).alias("row")).select(F.col("row.row_key").alias("key"))
+    return of_keys(df, first, id_col, text_col)

@@ -11,7 +11,8 @@ by construction and no pair is lost. Within a bucket only the edges of a spannin
 Copies share a fingerprint and count once. Components are found by alternating minimum-label rounds over distinct
 fingerprints, each round written to the shared checkpoint folder.
 
-Null and empty texts have no shingles and the fingerprint zero, which is linked like any other. Repeated rows are in
+An empty table has no rows; texts of any length are read whole, in blocks; other columns are not looked at. Null and empty
+texts have no shingles and the fingerprint zero, which is linked like any other. Repeated rows are in
 one component. Rows with a null id are fingerprinted; a component whose ids are all null has a null component_id.
 """
 
@@ -26,8 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.segments import mix
-from graphloom.session import materialize
+from graphloom.llm.common import NARROW_ROWS, forget, row_key, stashed
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Stands for a missing id; no id is larger.
@@ -68,20 +68,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 _BIT_OF = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
-def views(hashes: np.ndarray, n: int) -> list[int]:
-    """The fingerprint of the hashes, and of n - 1 rehashings of them: independent random hyperplanes each time."""
-    return [fingerprint(hashes if v == 0 else mix(hashes + np.uint64(v * 0x9E3779B97F4A7C15 % (1 << 64)))) for v in range(n)]
+def fingerprinted(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Add ``print``: the fingerprint as a signed 64-bit integer."""
 
-
-def fingerprinted(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE, n_views: int = 1) -> DataFrame:
-    """Add ``prints``: fingerprints as signed 64-bit integers."""
-
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("bigint")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.array(views(shingle_hashes(t, shingle), n_views), np.uint64).view(np.int64).tolist() for t in texts])
+            yield pd.Series(np.array([fingerprint(shingle_hashes(t, shingle)) for t in texts], np.uint64).view(np.int64))
 
-    return df.withColumn("prints", prints(F.col(text_col)))
+    return df.withColumn("print", prints(F.col(text_col)))
 
 
 def _links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -150,7 +145,7 @@ def linked_pairs(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
     for level in range(1, levels + 1):
         keys = [c for i in range(1, level + 1) for c in (f"v{i}", f"k{i}")]
         finer = split(rows, level, radius)
-        sizes = materialize(finer.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
+        sizes = stashed(finer.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
         fit = sizes if level == levels else sizes.where(F.col("n") <= bucket)
         groups = finer.join(fit, keys).groupBy(*keys).agg(F.collect_list("print").alias("g"))
         found = groups.select(F.explode(links("g")).alias("e")).select("e.a", "e.b")
@@ -165,45 +160,35 @@ def linked_pairs(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(print, component) with the least ``label`` reachable; nodes: print, label.
 
-    Each round gives a node the least label of its neighbours and itself, and then that of the node it points to."""
-    both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    linked = materialize(nodes.join(both.select(F.col("a").alias("print")).distinct(), "print", "left_semi").select("print", F.struct(F.col("label"), F.col("print").alias("at")).alias("best")))
+    Each round gives a node the least label of its neighbours and itself, and then that of the node it points to. Labels
+    are broadcast while they are few; a round's table replaces the one before."""
+    both = stashed(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    linked = stashed(nodes.join(both.select(F.col("a").alias("print")).distinct(), "print", "left_semi").select("print", F.struct(F.col("label"), F.col("print").alias("at")).alias("best")))
+    n = linked.count()
+    parts = 1 + n // NARROW_ROWS
+    few = F.broadcast if n <= NARROW_ROWS else lambda df: df  # each table below has n rows at most
     while True:
-        near = both.join(linked, both["b"] == linked["print"]).groupBy("a").agg(F.min("best").alias("near"))
-        moved = linked.join(near, linked["print"] == near["a"]).select("print", "best", F.least("best", "near").alias("next"))
-        pointed = moved.alias("x").join(moved.select(F.col("print").alias("p"), F.col("next").alias("jump")).alias("y"), F.col("x.next.at") == F.col("y.p"))
-        moved = materialize(pointed.select("print", "best", F.least("next", "jump").alias("next")))
-        if not moved.where(F.col("best") != F.col("next")).limit(1).count():
+        near = both.join(few(linked), both["b"] == linked["print"]).groupBy("a").agg(F.min("best").alias("near"))
+        moved = stashed(linked.join(few(near), linked["print"] == near["a"]).select("print", "best", F.least("best", "near").alias("next")), parts)
+        target = moved.select(F.col("print").alias("p"), F.col("next").alias("jump"))
+        jumped = stashed(moved.join(few(target), F.col("next.at") == F.col("p")).select("print", F.least("next", "jump").alias("best"), (F.col("best") != F.least("next", "jump")).alias("changed")), parts)
+        changed = jumped.where("changed").limit(1).count()
+        forget(linked, moved)
+        linked = jumped
+        if not changed:
             break
-        linked = moved.select("print", F.col("next").alias("best"))
+    forget(both)
     return nodes.join(linked, "print", "left").select("print", F.coalesce(F.col("best.label"), F.col("label")).alias("component"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_views: int = 1) -> DataFrame:
-    """One row per row of ``df``: id, row_key (hash of id and text), print, component (least id reachable over links).
-
-    With several views, texts link where any of their fingerprints do; fingerprints then are nodes of their own."""
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_key"))
-    found = fingerprinted(narrow, "text", shingle, n_views)
-    prints = materialize(found.select("id", "row_key", F.col("prints")[0].alias("first"), "prints", (F.col("prints")[0] if n_views == 1 else F.xxhash64("prints")).alias("print")))
-    nodes = materialize(prints.groupBy("print").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("label"), F.first("prints").alias("prints")))
-    if n_views == 1:
-        edges, labels = linked_pairs(nodes.select("print")), nodes.select("print", "label")
-    else:
-        key = lambda v, p: F.xxhash64(F.lit(v), p)
-        edges = None
-        for v in range(n_views):
-            own = nodes.select("print", F.col("prints")[v].alias("p"))
-            close = materialize(linked_pairs(own.select(F.col("p").alias("print")).distinct()))
-            shared = own.groupBy("p").agg(F.count("*").alias("n")).where("n > 1").select("p")
-            needed = shared.union(close.select("a")).union(close.select("b")).distinct()  # other fingerprints lead nowhere
-            part = close.select(key(v, F.col("a")).alias("a"), key(v, F.col("b")).alias("b")).union(own.join(needed, "p", "left_semi").select("print", key(v, F.col("p"))))
-            edges = part if edges is None else edges.union(part)
-        edges = materialize(edges)
-        views_ = edges.select(F.col("a").alias("print")).union(edges.select("b")).distinct().join(nodes.select("print"), "print", "left_anti")
-        labels = nodes.select("print", "label").union(views_.select("print", F.lit(NO_ID)))
-    of = components(labels, edges)
-    return prints.join(of, "print").select("id", "row_key", F.col("first").alias("print"), F.nullif("component", F.lit(NO_ID)).alias("component"), F.col("component").alias("_component"), F.col("print").alias("_print"))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of ``df``: id, row_key (of id and text), print, component (least id reachable over links)."""
+    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
+    prints = stashed(fingerprinted(narrow, "text", shingle).select("id", "row_key", "print"))
+    nodes = stashed(prints.groupBy("print").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("label")))
+    edges = stashed(linked_pairs(nodes.select("print")))
+    of = components(nodes, edges)
+    return prints.join(of, "print").select("id", "row_key", "print", F.nullif("component", F.lit(NO_ID)).alias("component"), F.col("component").alias("_component"))
 
 
 def hex_digits(fingerprints: Column) -> Column:
@@ -211,12 +196,17 @@ def hex_digits(fingerprints: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprints)), 16, "0")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_views: int = 1) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of every near-duplicate component, the one with the least id; columns of ``df``.
 
     Rows without an id are grouped by equal fingerprints if nothing with an id is linked to them."""
-    found = near_duplicates(df, id_col, text_col, shingle, n_views)
-    alone = F.when(F.col("component").isNull(), F.col("_print"))
-    first = found.groupBy("_component", alone.alias("_alone")).agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row_key")).alias("row")).select(F.col("row.row_key").alias("__first"))
-    keyed = df.withColumn("__first", F.xxhash64(id_col, text_col))
-    return keyed.join(first, "__first", "left_semi").dropDuplicates(["__first"]).select(*df.columns)
+    found = near_duplicates(df, id_col, text_col, shingle)
+    alone = F.when(F.col("component").isNull(), F.col("print"))
+    first = found.groupBy("_component", alone.alias("_alone")).agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row_key")).alias("row")).select(F.col("row.row_key").alias("key"))
+    return of_keys(df, first, id_col, text_col)
+
+
+def of_keys(df: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``df`` for each key; keys: key (of id and text)."""
+    keyed = df.select(F.struct(*df.columns).alias("row"), row_key(id_col, text_col).alias("key"))
+    return keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
