@@ -31,12 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.segments import U, mix
+from graphloom.llm.segments import U, encoded, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, BEST, SEED = 2, 4, 17
-#: Words in a batch of texts, and distinct words that a worker remembers.
-BATCH, CACHE = 200_000, 300_000
+#: Characters of texts that are cut at once, words in a batch of them, and distinct words that a worker remembers.
+CHARS, BATCH, CACHE = 3_000_000, 150_000, 300_000
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is cut; no valid text has it.
 _LITERAL = "\udb81"
@@ -67,8 +67,11 @@ class Pieces:
             self.raw[i] = bytes([b])
 
         begun = list(dict.fromkeys(p[:n] for p in self.ids for n in range(1, len(p) + 1)))  # pieces and what pieces begin with
-        hashes, longest = np.zeros(len(begun), U), np.array(begun)
-        codes = longest.view(np.uint32).reshape(len(begun), -1).astype(U)
+        self.begun = frozenset(begun)
+        self.raw_length = np.array([len(r) for r in self.raw], np.int32)
+        self.raw_first, self.raw_bytes = (np.cumsum(self.raw_length) - self.raw_length).astype(np.int32), np.frombuffer(b"".join(self.raw), np.uint8)
+        hashes, padded = np.zeros(len(begun), U), np.array(begun)
+        codes = padded.view(np.uint32).reshape(len(begun), -1).astype(U)
         for column in codes.T:
             hashes = np.where(column > 0, self.grow(hashes, column), hashes)
         size = 1 << 19
@@ -108,6 +111,8 @@ class Pieces:
         spelled = True
         for end in range(at + 1, min(len(word), at + self.longest) + 1):
             piece = word[at:end]
+            if piece not in self.begun:
+                break
             if piece in self.score:
                 yield end, self.score[piece], (self.ids[piece],)
                 spelled = spelled and end > at + 1
@@ -180,7 +185,7 @@ def sample_path(vocab: Pieces, word: str, noise: Iterator[float], excluded: list
 
 
 #: Longest word whose lattice is computed together with others of its length, and words in one computation.
-TOGETHER, BLOCK = 40, 4096
+TOGETHER, BLOCK = 40, 2048
 
 
 def lattices(vocab: Pieces, words: list[str], best: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -207,13 +212,17 @@ def lattices(vocab: Pieces, words: list[str], best: int) -> Iterator[tuple[list[
             yield [rows[r]], np.array([total]), scores, paths
 
 
+#: Stands for no segmentation; sums of two of them are still numbers.
+_NONE = -1e300
+
+
 def _same_length(vocab: Pieces, codes: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, length = codes.shape
     codes = np.ascontiguousarray(codes.T.astype(U))
-    total = np.zeros((n, length + 1))
-    tops = np.full((length + 1, n, best), -np.inf)
-    tops[length, :, 0] = 0
-    ends, tails, piece = (np.zeros((length, n, best), kind) for kind in (np.int16, np.int16, np.int32))
+    total = np.zeros((length + 1, n))
+    tops = np.full((length + 1, best, n), _NONE)
+    tops[length, 0] = 0
+    ends, tails, piece = (np.zeros((length, best, n), kind) for kind in (np.int16, np.int16, np.int32))
     rows = np.arange(n)
     for at in range(length - 1, -1, -1):
         hashes, live, used, scores, ids = np.zeros(n, U), rows, [], [], []
@@ -228,30 +237,37 @@ def _same_length(vocab: Pieces, codes: np.ndarray, best: int) -> tuple[np.ndarra
             score = vocab._score[slot]
             if (score > -np.inf).any():
                 used.append(end)
-                scores.append(np.full(n, -np.inf))
+                scores.append(np.full(n, _NONE))
                 ids.append(np.zeros(n, np.int32))
-                scores[-1][live], ids[-1][live] = score, vocab._id[slot]
-        scores, ids, used = np.array(scores), np.array(ids), np.array(used)
-        sums = scores + total[:, used].T
+                scores[-1][live], ids[-1][live] = np.maximum(score, _NONE), vocab._id[slot]
+        sums = np.array(scores)
+        sums += total[used]
         top = sums.max(axis=0)
-        total[:, at] = top + np.log(np.exp(sums - top).sum(axis=0))
-        options = np.ascontiguousarray((scores[:, :, None] + tops[used]).transpose(1, 0, 2)).reshape(n, -1)
-        for r in range(min(best, options.shape[1])):
-            j = options.argmax(axis=1)
-            tops[at, :, r] = options[rows, j]
-            ends[at, :, r], tails[at, :, r], piece[at, :, r] = used[j // best], j % best, ids[j // best, rows]
-            options[rows, j] = -np.inf
-    at, rank = np.zeros((n, best), np.int64), np.tile(np.arange(best), (n, 1))
-    steps, rows = [], rows[:, None]
+        sums -= top
+        total[at] = top + np.log(np.exp(sums, out=sums).sum(axis=0))
+        options = np.empty((len(used) * best, n))
+        for e, end in enumerate(used):
+            np.add(tops[end], scores[e], out=options[e * best : (e + 1) * best])
+        bits = options.view(np.int64)  # the last eight bits of a score say where it comes from
+        bits &= ~255
+        bits |= np.arange(len(options))[:, None]
+        ids, used = np.array(ids), np.array(used, np.int16)
+        for r in range(min(best, len(options))):
+            highest = options.max(axis=0)
+            place = highest.view(np.int64) & 255
+            edge, tail = np.divmod(place, best)
+            tops[at, r], ends[at, r], tails[at, r], piece[at, r] = highest, used[edge], tail, ids[edge, rows]
+            options[place, rows] = 2 * _NONE
+    at, rank = np.zeros((best, n), np.int64), np.repeat(np.arange(best)[:, None], n, axis=1)
+    none = tops[0] <= _NONE  # fewer segmentations than asked for
+    at[none] = length
+    steps = []
     while (at < length).any():
         live = at < length
         here = np.minimum(at, length - 1)
-        steps.append(np.where(live, piece[here, rows, rank], -1))
-        at, rank = np.where(live, ends[here, rows, rank], at), np.where(live, tails[here, rows, rank], rank)
-        at = np.where(np.isneginf(tops[0]), length, at)  # fewer segmentations than asked for
-    paths = np.array(steps).transpose(1, 2, 0)
-    paths[np.isneginf(tops[0])] = -1
-    return total[:, 0], tops[0], paths
+        steps.append(np.where(live, piece[here, rank, rows], -1))
+        at, rank = np.where(live, ends[here, rank, rows], at), np.where(live, tails[here, rank, rows], rank)
+    return total[0], np.where(none, -np.inf, tops[0]).T, np.array(steps).transpose(2, 1, 0)
 
 
 class _Table:
@@ -288,20 +304,24 @@ class _Table:
         self.again[:] = False
 
     def rows(self, cut: list[list[str]]) -> np.ndarray:
-        """The row of every word of every text; words that are new are added."""
+        """The row of every word of every text; words that are new are added, all at once."""
         flat = list(chain.from_iterable(cut))
         found = list(map(self.index.get, flat))
-        fresh = list(dict.fromkeys([w for w, i in zip(flat, found, strict=True) if i is None]))
+        missing = [k for k, i in enumerate(found) if i is None]
+        fresh = list(dict.fromkeys([flat[k] for k in missing]))
         if len(self.words) + len(fresh) > len(self.p):
             self._shrink()
             fresh = list(dict.fromkeys([w for w in flat if w not in self.index]))
             if 2 * len(self.words) + len(fresh) > len(self.p):
                 fresh = list(dict.fromkeys(flat))
                 self._clear(len(fresh))
+            missing = range(len(flat))
         known = len(self.words)
         if fresh:
             self._add(fresh)
-        out = np.array(list(map(self.index.__getitem__, flat)) if fresh else found, np.int64)
+        for k in missing:
+            found[k] = self.index[flat[k]]
+        out = np.array(found, np.int64)
         often = np.bincount(out, minlength=1)
         self.again[np.flatnonzero(often[:known])] = True
         self.again[np.flatnonzero(often >= 2)] = True
@@ -359,12 +379,11 @@ def _uniform(seed: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
 
 
 class _Sampler:
-    def __init__(self, table: _Table, units: list[list[str]], seeds: np.ndarray) -> None:
+    def __init__(self, table: _Table, lengths: np.ndarray, word: np.ndarray, seeds: np.ndarray) -> None:
         self.vocab, self.table = table.vocab, table
-        self.word = table.rows(units)
-        self.lengths = np.array([len(ws) for ws in units])
+        self.word, self.lengths = word, lengths
         self.start = np.cumsum(self.lengths) - self.lengths
-        self.text = np.repeat(np.arange(len(units)), self.lengths)
+        self.text = np.repeat(np.arange(len(lengths)), self.lengths)
         self.place = np.arange(len(self.word)) - self.start[self.text]
         self.seed = mix(seeds + U(SEED))
         self.special: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {}  # (sample, place) whose rest branch was drawn
@@ -512,6 +531,20 @@ def decode(vocab: Pieces, ids) -> str:
     return b"".join(map(vocab.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
+def spelled(vocab: Pieces, found: list[np.ndarray]) -> list[bytes]:
+    """What ``decode`` reads for each list of pieces, as UTF-8 bytes; all lists at once."""
+    if not found:
+        return []
+    flat = np.concatenate(found)
+    lengths = vocab.raw_length[flat]
+    ends = np.cumsum(lengths)
+    from_ = np.repeat(vocab.raw_first[flat] - (ends - lengths), lengths)
+    from_ += np.arange(len(from_))
+    raw = vocab.raw_bytes[from_].tobytes()
+    stops = np.concatenate(([0], ends))[np.cumsum([len(f) for f in found])].tolist()
+    return [raw[a + 1 : b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+
 def sampled(texts: list[str | None], seeds: np.ndarray, samples: int, table: _Table) -> Iterator[tuple]:
     """(text, rank, log-probability, key, inclusion, pieces) of every sample of every text."""
     low = 0
@@ -523,8 +556,10 @@ def sampled(texts: list[str | None], seeds: np.ndarray, samples: int, table: _Ta
             low = total
     if edges[-1] < len(cut):
         edges.append(len(cut))
+    word, lengths = table.rows(cut), np.array([len(c) for c in cut], np.int64)
+    at = np.concatenate(([0], np.cumsum(lengths)))
     for a, b in zip(edges, edges[1:], strict=False):
-        sampler = _Sampler(table, cut[a:b], seeds[a:b])
+        sampler = _Sampler(table, lengths[a:b], word[at[a] : at[b]], seeds[a:b])
         for rank, alive, logp, key, threshold, choice in sampler.run(samples):
             flat, counts = sampler.pieces_of(choice, rank)
             ends = np.cumsum(counts)
@@ -541,11 +576,15 @@ def segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, table = pieces(model), word_table(model)
         for frame in frames:
-            for low in range(0, len(frame), 384):
-                texts = frame["text"].iloc[low : low + 384].tolist()
-                ids = frame["id"].iloc[low : low + 384].tolist()
-                seeds = frame["seed"].iloc[low : low + 384].to_numpy().view(U)
-                rows = [(0, ids[i], rank, p, k, q, len(found), decode(vocab, found.tolist()) == (texts[i] or ""), found) for i, rank, p, k, q, found in sampled(texts, seeds, samples, table)]
+            size = np.cumsum([len(t or "") for t in frame["text"]])
+            parts = np.unique(size // CHARS, return_index=True)[1].tolist()
+            for low, high in zip(parts, [*parts[1:], len(frame)], strict=True):
+                texts = frame["text"].iloc[low:high].tolist()
+                ids = frame["id"].iloc[low:high].tolist()
+                seeds = frame["seed"].iloc[low:high].to_numpy().view(U)
+                made = list(sampled(texts, seeds, samples, table))
+                given = [encoded(t) for t in texts]
+                rows = [(0, ids[i], rank, p, k, q, len(found), back == given[i], found) for (i, rank, p, k, q, found), back in zip(made, spelled(vocab, [m[-1] for m in made]), strict=True)]
                 yield pd.DataFrame(rows, columns=["row", id_col, "rank", "log_prob", "perturbed", "inclusion", "n_pieces", "round_trip", "pieces"])
 
     kind = df.schema[id_col].dataType.simpleString()
