@@ -19,6 +19,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 20_000
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """``small`` for tables of a key and two numbers at most."""
+    return small(df, NARROW_ROWS)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``; an inlined expression would run per array element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,10 +8,9 @@ n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1. The order is that of the hashes, with
 frequent is estimated on every SAMPLE-th text and only decides how large groups get, never what is found.
 
 Only connected components are wanted, so not every pair of a large group of copies is formed. First the proposed pairs,
-and each group of sets that share a prefix shingle (and a length class) with its least member only, are compared. Then
-every pair that shares a prefix shingle and is still in two components is tried: the sets outside a shingle's largest
-component against all of its sets, as far as the length and positional filters let them pass. What passes is verified on
-the whole sets.
+and every set with the least and the greatest that share a prefix shingle, are compared. Then every pair that shares a
+prefix shingle and is still in two components is tried: the sets outside a shingle's largest component against all of its
+sets. Pairs must pass the length filter and share bytes of their sketches, and are verified on the whole sets.
 
 Null and empty texts have the empty set and are one group. Repeated rows are in one component and one of them stays.
 Texts of any length are read whole, an empty table gives no rows, and clashing columns are kept as they are.
@@ -27,12 +26,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import forget, row_key, stashed
-from graphloom.llm.simhash_dedup import NO_ID, components, fingerprint, linked_pairs, of_keys, shingle_hashes
+from graphloom.llm.common import forget, narrow, row_key, stashed
+from graphloom.llm.simhash_dedup import NO_ID, components, fingerprint, linked_pairs, shingle_hashes
 
 SHINGLE = 5
 #: One in SAMPLE texts is asked for frequent shingles: those in OFTEN of its sets, the ORDERED most frequent at most.
 SAMPLE, OFTEN, ORDERED = 8, 4, 1_000_000
+#: Bytes of a set's sketch, those that two sets must share to be compared (at a similarity of 0.8 fewer are shared once in
+#: 10**11 pairs or so), and hashes that are sketched at once.
+SLOTS, SHARED, BLOCK = 64, 28, 1 << 13
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -50,9 +53,18 @@ def prefix(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
     return hashes[:size]
 
 
-def frequent(narrow: DataFrame, sample: int = SAMPLE, least: int = OFTEN) -> np.ndarray:
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte each of the least of SLOTS rehashings of a set; the empty set has zeros."""
+    low = np.full(SLOTS, ~np.uint64(0))
+    for start in range(0, len(hashes), BLOCK):
+        block = hashes[start : start + BLOCK]
+        low = np.minimum(low, (block[None, :] * _ODD[:, None]).min(axis=1))
+    return (low >> np.uint64(40)).astype(np.uint8).tobytes() if len(hashes) else bytes(SLOTS)
+
+
+def frequent(docs: DataFrame, sample: int = SAMPLE, least: int = OFTEN) -> np.ndarray:
     """Shingles that ``least`` distinct sets of the sampled texts have, ascending; at most ORDERED reach the driver."""
-    some = narrow.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text")
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text")
     found = some.select(_sets("text").alias("hashes")).withColumn("key", F.xxhash64("hashes")).dropDuplicates(["key"])
     counted = found.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     top = counted.orderBy(F.desc("n"), "h").limit(ORDERED).select("h").toPandas()["h"].to_numpy(np.int64)
@@ -68,20 +80,20 @@ def _sets(text: str) -> Column:
     return sets(F.col(text))
 
 
-def signatures(narrow: DataFrame, often: np.ndarray) -> DataFrame:
-    """(id, row_key, print, n, prefix): hash and size of the shingle set, and its prefix in order."""
-    shared = narrow.sparkSession.sparkContext.broadcast(often)
+def signatures(docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """(id, row_key, print, simhash, n, prefix, sketch): hash, fingerprint and size of the shingle set, its prefix and sketch."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
-    @F.pandas_udf("print bigint, simhash bigint, n int, prefix array<bigint>")
+    @F.pandas_udf("print bigint, simhash bigint, n int, prefix array<bigint>, sketch binary")
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             hashes = [shingle_hashes(t, SHINGLE) for t in texts]
             found = [np.unique(h) for h in hashes]
             prints = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in found], np.uint64).view(np.int64)
             simhashes = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
-            yield pd.DataFrame({"print": prints, "simhash": simhashes, "n": [len(h) for h in found], "prefix": [prefix(h, shared.value).view(np.int64) for h in found]})
+            yield pd.DataFrame({"print": prints, "simhash": simhashes, "n": [len(h) for h in found], "prefix": [prefix(h, shared.value).view(np.int64) for h in found], "sketch": [sketch(h) for h in found]})
 
-    return stashed(narrow.select("id", "row_key", signature("text").alias("s"))).select("id", "row_key", "s.*")
+    return stashed(docs.select("id", "row_key", signature("text").alias("s"))).select("id", "row_key", "s.*")
 
 
 def _similar(shared: Column) -> Column:
@@ -89,47 +101,59 @@ def _similar(shared: Column) -> Column:
     return 9 * shared >= 4 * (F.col("na") + F.col("nb"))
 
 
-def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
-    return rows.select("h", *[F.col(c).alias(f"{c[0]}{s}") for c in ("print", "n", "at", *more)])
-
-
 def close_pairs(distinct: DataFrame) -> DataFrame:
     """(a, b): sets whose SimHash fingerprints the covering tables link, as edges of a forest; distinct: print, simhash."""
     least = distinct.groupBy("simhash").agg(F.min("print").alias("a"), F.count("*").alias("m"))
-    same = distinct.join(least.where("m > 1"), "simhash").select("a", F.col("print").alias("b")).where("a <> b")
-    first = least.select("simhash", "a")
+    same = distinct.join(narrow(least.where("m > 1")), "simhash").select("a", F.col("print").alias("b")).where("a <> b")
+    first = narrow(least.select("simhash", "a"))
     links = linked_pairs(distinct.select(F.col("simhash").alias("print")).distinct())
     ends = links.join(first.select(F.col("simhash").alias("a"), F.col("a").alias("pa")), "a").join(first.select(F.col("simhash").alias("b"), F.col("a").alias("pb")), "b")
     return same.union(ends.select("pa", "pb"))
 
 
+def _in_length(x: str, y: str) -> Column:
+    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+
 def first_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): the members of each group of one shingle and length class with its least member."""
-    kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    keyed = rows.withColumn("class", kind)
-    least = keyed.groupBy("h", "class").agg(F.min(F.struct("print", "n", "at")).alias("l"), F.count("*").alias("m")).where("m > 1")
-    met = keyed.join(least, ["h", "class"]).select(F.col("l.print").alias("a"), F.col("l.n").alias("na"), F.col("l.at").alias("ia"), F.col("print").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib")).where("a <> b")
-    return met.where(_similar(F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1)).select("a", "b").distinct()
+    """(a, b): every set with the least and the greatest that share a prefix shingle with it; rows: h, print, n, low, high."""
+    met = rows.select("print", "n", F.explode(F.array("low", "high")).alias("l"))
+    return met.where((F.col("l.print") != F.col("print")) & _in_length("n", "l.n")).select(F.least("print", "l.print").alias("a"), F.greatest("print", "l.print").alias("b")).distinct()
 
 
 def other_pairs(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that share a prefix shingle and pass the length and positional filters."""
-    placed = rows.join(parts, "print")
+    """(a, b): pairs of different components that share a prefix shingle and pass the length filter."""
+    placed = rows.select("h", "print", "n").join(narrow(parts), "print")
+    torn = placed.groupBy("h").agg((F.min("component") != F.max("component")).alias("torn")).where("torn").select("h")
+    placed = stashed(placed.join(torn, "h"))
     sizes = placed.groupBy("h", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("h").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    placed = stashed(placed.join(main, "h").select("h", "print", "n", "at", "component", (F.col("component") == F.col("main")).alias("is_main")))
-    x, y = _side(placed.where("NOT is_main"), "x", "component"), _side(placed, "y", "component", "is_main")
-    long_enough = (5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy")) & (F.col("iy") | (F.col("px") < F.col("py")))
-    met = x.join(y, "h").where(long_enough)
-    swap = F.col("px") > F.col("py")
-    both = lambda c: (F.when(swap, F.col(f"{c}y")).otherwise(F.col(f"{c}x")), F.when(swap, F.col(f"{c}x")).otherwise(F.col(f"{c}y")))
-    (a, b), (na, nb), (ia, ib) = both("p"), both("n"), both("a")
-    counted = met.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb"), ia.alias("ia"), ib.alias("ib")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    return counted.where(_similar(F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1)).select("a", "b")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar; sets: print, hashes."""
+    main = sizes.groupBy("h").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    marked = stashed(placed.join(main, "h").withColumn("is_main", F.col("component") == F.col("main")).drop("main"))
+    side = lambda df, s: df.select("h", F.col("print").alias(f"p{s}"), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}"), F.col("is_main").alias(f"m{s}"))
+    met = side(marked.where("NOT is_main"), "x").join(side(marked, "y"), "h").where(_in_length("nx", "ny") & (F.col("cx") != F.col("cy")) & (F.col("my") | (F.col("px") < F.col("py"))))
+    return met.select(F.least("px", "py").alias("a"), F.greatest("px", "py").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs whose sketches share enough bytes to be worth a comparison; sketches: print, sketch."""
+
+    @F.pandas_udf("int")
+    def shared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for one, two in batches:
+            x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, SLOTS) for c in (one, two))
+            yield pd.Series((x == y).sum(axis=1), dtype="int32")
+
+    side = lambda s: sketches.select(F.col("print").alias(s), F.col("sketch").alias(f"s{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.where(shared("sa", "sb") >= SHARED).select("a", "b")
+
+
+def verified(pairs: DataFrame, narrow_docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar; nodes: print, row_key. Only sets of these pairs are made and moved."""
+    asked = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(narrow(asked), "print", "left_semi").select(F.col("print"), F.col("row_key").alias("key"))
+    texts = narrow_docs.join(narrow(wanted), F.col("row_key") == F.col("key")).dropDuplicates(["print"])
+    sets = stashed(texts.select("print", _sets("text").alias("hashes")))
     side = lambda s: sets.select(F.col("print").alias(s), F.col("hashes").alias(f"h{s}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").withColumns({"na": F.size("ha"), "nb": F.size("hb")})
     return met.where(_similar(F.size(F.array_intersect("ha", "hb")))).select("a", "b")
@@ -137,30 +161,41 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: int = OFTEN) -> DataFrame:
     """One row per row of ``df``: id, row_key (of id and text), print, component (least id and a set's hash)."""
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
-    signed = signatures(narrow, frequent(narrow, sample, least))
-    nodes = signed.groupBy("print").agg(F.struct(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("id"), F.col("print")).alias("label"))
-    distinct = signed.groupBy("print").agg(F.min_by(F.struct("row_key", "simhash", "n", "prefix"), "row_key").alias("s")).select("print", "s.*")
-    listed = distinct.select("print", "n", F.posexplode("prefix").alias("at", "h"))
-    shared = listed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    rows = stashed(listed.join(shared, "h", "left_semi"))
-    members = rows.select("print").distinct()
-
-    wanted = distinct.join(members, "print", "left_semi").select("print", "row_key", "simhash")
-    texts = narrow.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"])
-    sets = stashed(texts.select("print", "simhash", _sets("text").alias("hashes")))  # sets that share a prefix shingle: all others are alone
-
-    near = close_pairs(sets.select("print", "simhash")).union(first_pairs(rows)).distinct()
-    edges = stashed(verified(near, sets))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
+    signed = signatures(docs, frequent(docs, sample, least))
+    counted = stashed(signed.groupBy("print").agg(F.count("*").alias("m"), F.struct(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("id"), F.col("print")).alias("label"), F.min("row_key").alias("row_key")))
+    copies = narrow(counted.where("m > 1").select("print"))
+    # one row a set: most sets stand once, and only those of copies are gathered
+    whole = signed.select("print", "n", "prefix")
+    sets = whole.join(copies, "print", "left_anti").union(whole.join(copies, "print", "left_semi").groupBy("print").agg(F.first("n"), F.first("prefix")))
+    listed = sets.select("print", "n", F.explode("prefix").alias("h"))
+    one = F.struct("print", "n")
+    shared = listed.groupBy("h").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.print <> high.print")
+    rows = stashed(listed.join(stashed(shared), "h"))
+
+    members = stashed(rows.select("print").distinct())
+    facts = signed.join(narrow(members), "print", "left_semi").select("print", "simhash", "sketch", "row_key")
+    facts = stashed(facts.groupBy("print").agg(F.first("simhash").alias("simhash"), F.first("sketch").alias("sketch"), F.min("row_key").alias("row_key")))
+    texts = docs.select("row_key", "text")
+    near = stashed(alike(close_pairs(facts.select("print", "simhash")).union(first_pairs(rows)).distinct(), facts))
+    edges = stashed(verified(near, texts, facts))
     parts = stashed(components(members.withColumn("label", F.col("print")), edges))
-    more = stashed(verified(other_pairs(rows, parts), sets))
-    of = stashed(components(nodes, edges.union(more)))
-    forget(rows, sets, parts, edges, more)
+    more = stashed(alike(other_pairs(rows, parts), facts))
+    edges = stashed(edges.union(verified(more, texts, facts)))
+    of = stashed(components(counted.select("print", "label"), edges))
+    forget(rows, members, facts, near, parts, more, edges)
     return signed.select("id", "row_key", "print").join(of, "print").select("id", "row_key", "print", "component")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every near-duplicate component, the one with the least id; columns of ``df``."""
-    found = near_duplicates(df, id_col, text_col)
-    first = found.groupBy("component").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row_key")).alias("row")).select(F.col("row.row_key").alias("key"))
-    return of_keys(df, first, id_col, text_col)
+    """One row of every near-duplicate component, the one with the least id; columns of ``df``.
+
+    What goes is joined out by key, so texts that stay are not shuffled where few go; repeated rows are gathered."""
+    found = near_duplicates(df, id_col, text_col).select("component", F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row_key").alias("row"))
+    first = found.groupBy("component").agg(F.min("row").alias("first"), F.count("*").alias("m")).where("m > 1")
+    met = stashed(found.join(first, "component").select(F.col("row.row_key").alias("key"), (F.col("row.row_key") == F.col("first.row_key")).alias("stays")))
+    gone = narrow(met.where("NOT stays").select("key").distinct())
+    repeated = narrow(met.where("stays").groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    left = df.select(F.struct(*df.columns).alias("row"), row_key(id_col, text_col).alias("key")).join(gone, "key", "left_anti")
+    alone, again = left.join(repeated, "key", "left_anti"), left.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return alone.select("row.*").union(again.select("row.*"))
