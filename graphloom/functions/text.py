@@ -98,20 +98,24 @@ def unit_dot(a: Column, b: Column) -> Column:
 
 def heading_level(line: Column) -> Column:
     """Level of a heading line: # marks, dotted numbers (six at most), 一、 and 第X章; 0 for other lines."""
-    stripped = F.trim(line)
-    marks = F.regexp_extract(stripped, r"^(#{1,6})\s+\S", 1)
-    numbers = F.regexp_extract(stripped, r"^(\d+(?:\.\d+)*)[.、\s]\s*\S", 1)
+    marks = F.regexp_extract(line, r"^(#{1,6})\s+", 1)
+    numbers = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\s+", 1)
     return (
         F.when(marks != "", F.length(marks))
-        .when(stripped.rlike(r"^第[一二三四五六七八九十百零\d]+[章节篇部]"), F.lit(1))
-        .when(stripped.rlike(r"^[一二三四五六七八九十]+、"), F.lit(2))
         .when(numbers != "", F.least(F.lit(6), F.size(F.split(numbers, r"\."))))
+        .when(line.rlike(r"^[一二三四五六七八九十]+、"), F.lit(2))
+        .when(line.rlike(r"^第[一二三四五六七八九十百]+[章节规回]"), F.lit(1))
         .otherwise(F.lit(0))
     )
 
 
 def clean_heading(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(line), r"^#{1,6}\s+", ""))
+    return F.trim(F.regexp_replace(line, r"^#+", ""))
+
+
+def cache_key(text: Column) -> Column:
+    """Key under which a text's embedding is kept."""
+    return F.md5(text)
 
 
 def format_triple(source: Column, relation: Column, target: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import bind
@@ -19,20 +19,37 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError(f"overlap {overlap} must be smaller than the chunk size {size}")
 
 
-def windows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sliding windows at 0, size - overlap, ... while the start is inside the text."""
+def windows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sliding windows at 0, size - overlap, ... while the start is inside the text; ``keep`` names columns to carry on."""
     _check(size, overlap)
-    text = docs.where(F.trim(text_col) != "").select(id_col, F.col(text_col).alias("_text"))
-    starts = text.select(id_col, "_text", F.posexplode(F.sequence(F.lit(0), F.length("_text") - 1, F.lit(size - overlap))).alias("idx", "start_char"))
-    return starts.select(id_col, "idx", "start_char", F.col("_text").substr(F.col("start_char") + 1, F.lit(size)).alias("chunk"))
+    text = docs.where(F.trim(text_col) != "").select(id_col, *keep, F.col(text_col).alias("_text"))
+    starts = text.select(id_col, *keep, "_text", F.posexplode(F.sequence(F.lit(0), F.length("_text") - 1, F.lit(size - overlap))).alias("idx", "start_char"))
+    return starts.select(id_col, *keep, "idx", "start_char", F.col("_text").substr(F.col("start_char") + 1, F.lit(size)).alias("chunk"))
+
+
+#: What Python's strip takes off, of ASCII.
+_BLANK = " \t\n\r\x0b\x0c"
 
 
 def paragraphs(docs: DataFrame, separator: str = r"\n\s*\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One chunk per non-blank paragraph, stripped; indices count the paragraphs that are kept."""
-    parts = F.filter(F.transform(F.split(text_col, separator), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text_col, separator), lambda p: F.btrim(p, F.lit(_BLANK))), lambda p: p != "")
     return docs.select(id_col, F.posexplode(parts).alias("idx", "chunk"))
 
 
+def paragraph_offsets(docs: DataFrame, separator: str = r"\n\s*\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Paragraphs with the places where they stand in the text: start_char up to end_char, half-open.
+
+    A part starts after the parts and separators before it, summed up in a window over the document."""
+    cut = F.arrays_zip(F.split(text_col, separator).alias("p"), F.regexp_extract_all(text_col, F.lit(separator), F.lit(0)).alias("s"))
+    rows = docs.select(id_col, F.posexplode(cut).alias("_n", "c")).select(id_col, "_n", F.col("c.p").alias("_p"), F.length(F.coalesce("c.s", F.lit(""))).alias("_s"))
+    order = Window.partitionBy(id_col).orderBy("_n")
+    begun = F.coalesce(F.sum(F.length("_p") + F.col("_s")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = begun + F.length("_p") - F.length(F.ltrim("_p", F.lit(_BLANK)))
+    placed = rows.withColumns({"chunk": F.btrim("_p", F.lit(_BLANK)), "start_char": start.cast("int")}).where("chunk <> ''")
+    return placed.select(id_col, (F.row_number().over(order) - 1).alias("idx"), "chunk", "start_char", (F.col("start_char") + F.length("chunk")).alias("end_char"))
+
+
 def _fixed(text: str, size: int, overlap: int) -> list[str]:
     out, current = [], ""
     for part in (p.strip() for p in re.split(r"\n\s*\n", text)):
@@ -58,9 +75,9 @@ SEPARATORS = ("\n\n", "\n", "。", ".", "！", "!", "？", "?", " ")
 
 
 def _recursive(text: str, size: int, overlap: int, level: int = 0) -> list[str]:
-    text = text.strip()
+    """Pieces of at most ``size`` characters, white space inside them kept; separators at their ends are lost."""
     if len(text) <= size:
-        return [text] if text else []
+        return [text] if text.strip() else []
     if level == len(SEPARATORS):
         return [text[i : i + size] for i in range(0, len(text), size - overlap)]
     mark, out, current = SEPARATORS[level], [], ""
@@ -70,20 +87,27 @@ def _recursive(text: str, size: int, overlap: int, level: int = 0) -> list[str]:
             current = joined
             continue
         if current.strip():
-            out.append(current.strip())
+            out.append(current)
         current = ""
         if len(part) > size:
             out += _recursive(part, size, overlap, level + 1)
         else:
             current = part
-    return out + [current.strip()] if current.strip() else out
+    return out + [current] if current.strip() else out
 
 
-_HEADINGS = ((re.compile(r"^(#{1,6})\s+\S"), lambda m: len(m[1])), (re.compile(r"^第[一二三四五六七八九十百零\d]+[章节篇部]"), lambda m: 1), (re.compile(r"^[一二三四五六七八九十]+、"), lambda m: 2), (re.compile(r"^(\d+(?:\.\d+)*)[.、\s]\s*\S"), lambda m: min(6, m[1].count(".") + 1)))
+#: What a heading looks like, in the order of trial, and the level of each.
+_HEADINGS = (
+    (re.compile(r"^(#{1,6})\s+(.*)$"), lambda m: len(m[1])),
+    (re.compile(r"^(\d+(\.\d+)*)\s+(.*)$"), lambda m: m[1].count(".") + 1),
+    (re.compile(r"^([一二三四五六七八九十]+)、(.*)$"), lambda m: 2),
+    (re.compile(r"^第([一二三四五六七八九十百]+)[章节规回](.*)$"), lambda m: 1),
+)
 
 
 def heading_level(line: str) -> int:
-    return next((level(m) for pattern, level in _HEADINGS if (m := pattern.match(line.strip()))), 0)
+    """1 to 6, deeper numbers count as 6; 0 for what is no heading."""
+    return next((min(6, level(m)) for pattern, level in _HEADINGS if (m := pattern.match(line))), 0)
 
 
 def _hierarchical(text: str, target: int) -> list[tuple[str, list[str]]]:
@@ -96,7 +120,7 @@ def _hierarchical(text: str, target: int) -> list[tuple[str, list[str]]]:
     out, parents, body, path = [], {}, None, []
     for level, line in lines:
         if level:
-            parents = {k: v for k, v in parents.items() if k < level} | {level: re.sub(r"^#{1,6}\s+", "", line.strip())}
+            parents = {k: v for k, v in parents.items() if k < level} | {level: line.lstrip("#").strip()}
         if level and level <= target:
             if body:
                 out.append(("\n".join([*path[:-1], *body]).strip(), path))

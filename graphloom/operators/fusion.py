@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import bind, name_similarity, ngrams, normalize, unit_dot
 from graphloom.operators.traversal import connected_components
-from graphloom.schema import RESERVED_RELATIONS, allows, edge_id
+from graphloom.schema import RESERVED_RELATIONS, allows
+from graphloom.session import small
 
 ENTITY_THRESHOLD, PREDICATE_THRESHOLD, SEMANTIC_THRESHOLD = 0.88, 0.82, 0.80
 FAST_PATH, TYPE_BONUS, CANDIDATES, LOW_CONFIDENCE = 0.92, 0.03, 8, 0.85
@@ -16,7 +17,7 @@ FAST_PATH, TYPE_BONUS, CANDIDATES, LOW_CONFIDENCE = 0.92, 0.03, 8, 0.85
 def validate_entities(proposals: DataFrame, entities: DataFrame) -> DataFrame:
     """Adds reason: null, missing_name or entity_type_not_in_schema. An empty schema rejects everything here."""
     known = entities.select(F.col("name").alias("entity_type"), F.lit(True).alias("_known")).distinct()
-    judged = proposals.join(F.broadcast(known), "entity_type", "left")  # declared types: a few hundred rows
+    judged = proposals.join(small(known), "entity_type", "left")
     reason = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", F.lit("missing_name")).when(F.col("_known").isNull(), F.lit("entity_type_not_in_schema"))
     return judged.withColumn("reason", reason).drop("_known")
 
@@ -39,7 +40,7 @@ def validate_relations(proposals: DataFrame, nodes: DataFrame, relations: DataFr
     types = nodes.groupBy("name").agg(F.min_by("entity_type", "seq").alias("_type"))
     rules = relations.select(F.col("name").alias("relation_type"), F.lit(True).alias("_rule"), F.col("source_types").alias("_s"), F.col("target_types").alias("_t"))
     joined = (
-        proposals.join(F.broadcast(rules), "relation_type", "left")  # declared relations: a few hundred rows
+        proposals.join(small(rules), "relation_type", "left")
         .join(types.select(F.col("name").alias("source_name"), F.col("_type").alias("_from")), "source_name", "left")
         .join(types.select(F.col("name").alias("target_name"), F.col("_type").alias("_to")), "target_name", "left")
     )
@@ -52,30 +53,38 @@ def validate_relations(proposals: DataFrame, nodes: DataFrame, relations: DataFr
     return joined.withColumn("reason", reason).drop("_rule", "_s", "_t", "_from", "_to")
 
 
-def rule_correction(entities: DataFrame, relations: DataFrame, types: list[str], relation_types: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Drop rows with missing fields, undeclared types, copies of (name, type), and relations with unknown ends."""
-    kept = entities.where((F.trim("name") != "") & F.col("entity_type").isin(types)).groupBy("name", "entity_type").agg(F.min("seq").alias("seq"))
+def rule_correction(entities: DataFrame, relations: DataFrame, types: list[str], relation_types: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drop rows with missing fields, undeclared types, copies of (name, type), and relations with unknown ends.
+
+    Returns the rows that stay, with all their columns, and in one row how many of either kind went."""
+    filled = lambda *cs: F.lit(True) if not cs else (F.trim(F.coalesce(cs[0], F.lit(""))) != "") & filled(*cs[1:])
+    good = entities.where(filled("name", "entity_type") & F.col("entity_type").isin(types))
+    kept = good.groupBy("name", "entity_type").agg(F.min_by(F.struct(*entities.columns), "seq").alias("_row")).select("_row.*")
     names = kept.select("name").distinct()
-    good = relations.where((F.trim("source_name") != "") & (F.trim("target_name") != "") & F.col("relation_type").isin(relation_types))
+    rest = relations.where(filled("source_name", "target_name", "relation_type") & F.col("relation_type").isin(relation_types))
     for end in ("source_name", "target_name"):
-        good = good.join(names.withColumnRenamed("name", end), end, "left_semi")
-    return kept, good
+        rest = rest.join(names.withColumnRenamed("name", end), end, "left_semi")
+    rest = rest.select(*relations.columns)
+    n = lambda df, c: df.agg(F.count("*").alias(c))
+    counts = n(entities, "e").join(n(kept, "ek")).join(n(relations, "r")).join(n(rest, "rk"))  # one row each
+    return kept, rest, counts.select((F.col("e") - F.col("ek")).alias("entities_corrected"), (F.col("r") - F.col("rk")).alias("relations_corrected"))
 
 
 def apply_corrections(entities: DataFrame, relations: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """corrections: kind, action (remove or modify), target_name, new_value. Removing an entity removes its relations;
-    a relation goes if its source or its type is named."""
+    a relation goes if its source or its type is named, and takes the new type if its source or its type is to be modified."""
     pick = lambda kind, action: corrections.where((F.col("kind") == kind) & (F.col("action") == action))
-    gone = pick("entity", "remove").select(F.col("target_name").alias("name"))
-    changed = pick("entity", "modify").groupBy(F.col("target_name").alias("name")).agg(F.min("new_value").alias("_new"))
-    left = entities.join(gone, "name", "left_anti").join(changed, "name", "left").withColumn("entity_type", F.coalesce("_new", "entity_type")).drop("_new")
-    off = pick("relation", "remove").select("target_name")
+    changes = lambda kind, key, new: pick(kind, "modify").groupBy(F.col("target_name").alias(key)).agg(F.min("new_value").alias(new))
+    gone = pick("entity", "remove").select(F.col("target_name").alias("name")).distinct()
+    left = entities.join(gone, "name", "left_anti").join(changes("entity", "name", "_new"), "name", "left").withColumn("entity_type", F.coalesce("_new", "entity_type"))
+    off = pick("relation", "remove").select("target_name").distinct()
     rest = relations
     for end in ("source_name", "target_name"):
         rest = rest.join(gone.withColumnRenamed("name", end), end, "left_anti")
     for end in ("source_name", "relation_type"):
         rest = rest.join(off.withColumnRenamed("target_name", end), end, "left_anti")
-    return left.select(*entities.columns), rest.select(*relations.columns)
+    rest = rest.join(changes("relation", "source_name", "_by_source"), "source_name", "left").join(changes("relation", "relation_type", "_by_type"), "relation_type", "left")
+    return left.select(*entities.columns), rest.withColumn("relation_type", F.coalesce("_by_source", "_by_type", "relation_type")).select(*relations.columns)
 
 
 def fuzzy_candidates(queries: DataFrame, nodes: DataFrame, top: int = CANDIDATES, threshold: float = 0.25) -> DataFrame:
@@ -84,7 +93,7 @@ def fuzzy_candidates(queries: DataFrame, nodes: DataFrame, top: int = CANDIDATES
     Every query is scored against every node, as the low threshold asks; queries are a bounded set and are broadcast,
     equal ones once."""
     asked = queries.select("query", "entity_type").distinct()
-    pairs = nodes.select("id", "name", F.col("entity_type").alias("_type")).join(F.broadcast(asked), F.lit(True))  # a stated query set against all rows
+    pairs = nodes.select("id", "name", F.col("entity_type").alias("_type")).join(small(asked), F.lit(True))  # a stated query set against all rows
     scored = pairs.withColumn("score", F.round(name_similarity(F.col("query"), F.col("name")) + F.when(F.col("_type") == F.col("entity_type"), TYPE_BONUS).otherwise(0.0), 9))
     rank = F.row_number().over(Window.partitionBy("query", "entity_type").orderBy(F.desc("score"), "id"))
     best = scored.where(F.col("score") >= threshold).withColumn("rank", rank).where(F.col("rank") <= top)
@@ -134,13 +143,17 @@ def predicate_frequency(edges: DataFrame) -> DataFrame:
     return edges.where(~F.col("relation_type").isin(*RESERVED_RELATIONS)).groupBy("relation_type").agg(F.count("*").alias("n"))
 
 
-def redirect(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Move edges to merged nodes, drop self-loops, keep the first of equal edges, derive ids again; mapping: id, into."""
-    moved = edges
+def moved(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Edges between merged nodes, loops dropped; mapping: id, into."""
     for end in ("source_id", "target_id"):
-        moved = moved.join(mapping.select(F.col("id").alias(end), F.col("into").alias("_into")), end, "left").withColumn(end, F.coalesce("_into", end)).drop("_into")
-    kept = moved.where("source_id <> target_id").groupBy("source_id", "target_id", "relation_type").agg(F.min("seq").alias("seq"))
-    return kept.withColumn("id", edge_id("source_id", "relation_type", "target_id"))
+        edges = edges.join(mapping.select(F.col("id").alias(end), F.col("into").alias("_into")), end, "left").withColumn(end, F.coalesce("_into", end)).drop("_into")
+    return edges.where("source_id <> target_id")
+
+
+def redirect(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Move edges to merged nodes and keep the first of equal ones, with all its columns and its id; mapping: id, into."""
+    first = moved(edges, mapping).groupBy("source_id", "target_id", "relation_type").agg(F.min_by(F.struct(*edges.columns), "seq").alias("_row"))
+    return first.select("_row.*")
 
 
 def vector_pairs(rows: DataFrame, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import has_verified
-from graphloom.schema import BRIDGE_EDGES, COLD_START, DOCUMENT_NODES, RESERVED_ENTITIES, STRUCTURE_EDGES
+from graphloom.operators.graph import has_verified, remove_nodes
+from graphloom.schema import BRIDGE_EDGES, COLD_START, DOCUMENT_NODES, RESERVED_ENTITIES, RESERVED_RELATIONS, STRUCTURE_EDGES, UNCLASSIFIED
+from graphloom.session import small
 
 
 def support(source_ids: Column) -> Column:
@@ -34,12 +35,111 @@ def draft_diff(draft: DataFrame, published: DataFrame, compared: list[str]) -> D
 
 
 def review_queue(draft: DataFrame, published: DataFrame) -> DataFrame:
-    """New and changed knowledge nodes, riskiest first: violations, unverified, low confidence. draft: id, name,
-    entity_type, confidence, evidence_quotes, source_chunk_ids, violation, seq. rank is the place in the queue."""
+    """New and changed knowledge nodes. draft: id, name, entity_type, confidence, evidence_quotes, source_chunk_ids,
+    violation, seq, and review_status if decisions were stored; pending without."""
     rows = draft_diff(draft.where(~F.col("entity_type").isin(*DOCUMENT_NODES)), published, ["name", "entity_type"]).where("change <> 'unchanged'")
-    judged = rows.withColumn("verified", F.when(F.size("evidence_quotes") == 0, F.lit(True)).otherwise(has_verified(F.col("evidence_quotes")))).withColumn("n_support", support(F.col("source_chunk_ids")))
-    # ranks by range partitions would need a global sort; a queue is shown from its top, so order keys are kept with each row
-    return judged.withColumn("risk", F.struct(F.col("violation").isNull(), "verified", "confidence", "seq"))
+    return _judged(rows.withColumn("title", F.col("name")))
+
+
+def review_edges(draft: DataFrame, published: DataFrame, nodes: DataFrame) -> DataFrame:
+    """New and changed edges outside the structure and bridge layers; a title names both ends, ? where one is missing."""
+    shown = draft.where(~F.col("relation_type").isin(*STRUCTURE_EDGES, *BRIDGE_EDGES))
+    rows = draft_diff(shown, published, ["relation_type"]).where("change <> 'unchanged'")
+    for end in ("source_id", "target_id"):
+        rows = rows.join(nodes.select(F.col("id").alias(end), F.col("name").alias(f"_{end}")), end, "left")
+    name = lambda c: F.coalesce(f"_{c}", F.lit("?"))
+    return _judged(rows.withColumn("title", F.concat(name("source_id"), F.lit(" --["), F.col("relation_type"), F.lit("]--> "), name("target_id"))).drop("_source_id", "_target_id"))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    verified = F.when(F.size("evidence_quotes") == 0, F.lit(True)).otherwise(has_verified(F.col("evidence_quotes")))
+    status = F.coalesce("review_status", F.lit("pending")) if "review_status" in rows.columns else F.lit("pending")
+    return rows.withColumns({"verified": verified, "n_support": support(F.col("source_chunk_ids")), "review_status": status})
+
+
+def by_risk(queue: DataFrame) -> DataFrame:
+    """The queue from its riskiest item: violations, unverified, low confidence, then order of arrival; a global sort."""
+    return queue.orderBy(F.col("violation").isNull(), "verified", "confidence", "seq")
+
+
+def review_totals(queue: DataFrame) -> DataFrame:
+    """Items, those still pending, with violations and unverified."""
+    return queue.agg(F.count("*").alias("total"), F.count_if(F.col("review_status") == "pending").alias("pending"), F.count_if(F.col("violation").isNotNull()).alias("with_violations"), F.count_if(~F.col("verified")).alias("unverified"))
+
+
+def decide(nodes: DataFrame, edges: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """decisions: kind (node or edge), id, decision (approve or reject), actor, ts; the last one of an item counts.
+
+    Returns the draft with ``review_status`` of approved items and without rejected ones and the edges at rejected nodes,
+    and a case for each rejection: kind, action, before_name, before_type, ts."""
+    last = decisions.groupBy("kind", "id").agg(F.max_by(F.struct("decision", "ts"), F.struct("ts", "decision")).alias("d")).select("kind", "id", "d.*")
+    pick = lambda kind, what: last.where((F.col("kind") == kind) & (F.col("decision") == what)).select("id", "ts")
+    approved = lambda rows, kind: rows.join(pick(kind, "approve").select("id", F.lit("approved").alias("review_status")), "id", "left")
+    gone_nodes, gone_edges = pick("node", "reject"), pick("edge", "reject")
+    cases = nodes.join(gone_nodes, "id").select(F.lit("entity").alias("kind"), F.lit("delete").alias("action"), F.col("name").alias("before_name"), F.col("entity_type").alias("before_type"), "ts")
+    cases = cases.union(edges.join(gone_edges, "id").select(F.lit("relation"), F.lit("delete"), F.lit(None).cast("string"), "relation_type", "ts"))
+    left_nodes, left_edges = remove_nodes(nodes, edges.join(gone_edges, "id", "left_anti"), gone_nodes)
+    return approved(left_nodes, "node"), approved(left_edges, "edge"), cases
+
+
+def reflection_hints(cases: DataFrame, most: int = 12) -> DataFrame:
+    """Lines of advice from the last cases, oldest first: cases: kind, action, before_name, before_type, after_name,
+    after_type, seq. Modifications advise only where the type changed."""
+    recent = cases.orderBy(F.desc("seq")).limit(most)
+    name, before, after = F.coalesce("after_name", "before_name", F.lit("")), F.coalesce("before_type", F.lit("")), F.coalesce("after_type", "before_type", F.lit(""))
+    changed = (F.col("action") == "modify") & (before != "") & (after != "") & (before != after)
+    entity = F.col("kind") == "entity"
+    line = (
+        F.when((F.col("action") == "delete") & entity, F.concat(F.lit("avoid entity: "), F.coalesce("before_name", F.lit("")), F.lit(" ("), before, F.lit(")")))
+        .when(F.col("action") == "delete", F.concat(F.lit("avoid relation: "), before))
+        .when(changed & entity, F.concat(F.lit("entity "), name, F.lit(" is "), after, F.lit(", not "), before))
+        .when(changed, F.concat(F.lit("relation "), before, F.lit(" is better put as "), after))
+    )
+    return recent.select("seq", line.alias("line")).where("line IS NOT NULL").orderBy("seq")
+
+
+def violation_histogram(queue: DataFrame) -> DataFrame:
+    return queue.where("violation IS NOT NULL").groupBy("violation").agg(F.count("*").alias("n"))
+
+
+def evidence_rate(queue: DataFrame, inductive: list[str]) -> DataFrame:
+    """Whole per cent of verified items among pending ones that are not induced; 100 where there are none."""
+    rows = queue.where((F.col("review_status") == "pending") & ~F.col("entity_type").isin(*inductive))
+    n, good = F.count("*"), F.count_if("verified")
+    return rows.agg(n.alias("n"), F.when(n == 0, 100).otherwise(F.round(100 * good / n)).cast("int").alias("rate"))
+
+
+def plan_lane(types: DataFrame) -> DataFrame:
+    """(plan_id, lane): inductive where all knowledge types are, surface where none is, else mixed, as with no types at all;
+    types: plan_id, abstractness (null for a plan without types)."""
+    n, induced = F.count("abstractness"), F.count_if(F.col("abstractness") == "inductive")
+    return types.groupBy("plan_id").agg(F.when(n == 0, "mixed").when(induced == n, "inductive").when(induced == 0, "surface").otherwise("mixed").alias("lane"))
+
+
+def low_confidence(nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    return nodes.where(F.col("confidence") < threshold)
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, degree): how many edge ends touch a node."""
+    return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+
+
+def type_facets(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+def of_types(nodes: DataFrame, types: DataFrame) -> DataFrame:
+    """Nodes of the chosen types; types: entity_type."""
+    return nodes.join(small(types.select("entity_type").distinct()), "entity_type", "left_semi")
+
+
+def badges(documents: DataFrame, runs: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row: documents being parsed, whether a run is going on, pending items and items with violations."""
+    parsing = documents.agg(F.count_if(F.col("status") == "parsing").alias("parsing"))
+    going = runs.agg(F.coalesce(F.bool_or(F.col("status") == "running"), F.lit(False)).alias("running"))
+    open_ = queue.agg(F.count_if(F.col("review_status") == "pending").alias("pending"), F.count_if(F.col("violation").isNotNull()).alias("violations"))
+    return parsing.join(going).join(open_)  # one row each
 
 
 def high_risk(rows: DataFrame, inductive: list[str]) -> DataFrame:
@@ -50,9 +150,39 @@ def high_risk(rows: DataFrame, inductive: list[str]) -> DataFrame:
 def schema_gaps(nodes: DataFrame, rejected: DataFrame, entities: DataFrame, examples: int = 5) -> DataFrame:
     """(entity_type, n, examples) of types in use or rejected that are neither declared nor reserved."""
     used = nodes.select("entity_type", "name").union(rejected.select("entity_type", "name"))
-    missing = used.where(~F.col("entity_type").isin(*RESERVED_ENTITIES)).join(entities.select(F.col("name").alias("entity_type")), "entity_type", "left_anti")
-    first = missing.groupBy("entity_type", "name").agg(F.count("*").alias("_c")).withColumn("_r", F.row_number().over(Window.partitionBy("entity_type").orderBy("name")))
-    return first.groupBy("entity_type").agg(F.sum("_c").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= examples, F.col("name")))), "|").alias("examples"))
+    missing = used.where(~F.col("entity_type").isin(*RESERVED_ENTITIES)).join(small(entities.select(F.col("name").alias("entity_type"))), "entity_type", "left_anti")
+    return _with_examples(missing, ["entity_type"], "name", examples)
+
+
+def _with_examples(rows: DataFrame, keys: list[str], example: str, most: int) -> DataFrame:
+    """(keys, n, examples): rows of each key, and its first distinct examples by name."""
+    counted = rows.groupBy(*keys, example).agg(F.count("*").alias("_c"))
+    few = counted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(example))).where(F.col("_r") <= most)
+    shown = few.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(example)), "|").alias("examples"))
+    return counted.groupBy(*keys).agg(F.sum("_c").alias("n")).join(shown, keys)
+
+
+def relation_gaps(edges: DataFrame, nodes: DataFrame, rejected: DataFrame, relations: DataFrame, examples: int = 5) -> DataFrame:
+    """(relation_type, n, source_type, target_type, examples) of relations in use or rejected that are neither declared nor
+    reserved; rejected: relation_type, example."""
+    declared = small(relations.select(F.col("name").alias("relation_type")))
+    off = edges.where(~F.col("relation_type").isin(*RESERVED_RELATIONS)).join(declared, "relation_type", "left_anti")
+    end = lambda e: nodes.select(F.col("id").alias(e), F.col("name").alias(f"_{e}"))
+    named = off.join(end("source_id"), "source_id", "left").join(end("target_id"), "target_id", "left")
+    text = F.concat("_source_id", F.lit(" --("), F.col("relation_type"), F.lit(")--> "), F.col("_target_id"))
+    said = rejected.where(~F.col("relation_type").isin(*RESERVED_RELATIONS)).join(declared, "relation_type", "left_anti").select("relation_type", "example")
+    counted = _with_examples(named.select("relation_type", text.alias("example")).union(said), ["relation_type"], "example", examples)
+    ends = relation_ends(off, nodes).drop("n")
+    return counted.join(ends, "relation_type", "left").select("relation_type", "n", F.coalesce("source_type", F.lit("")).alias("source_type"), F.coalesce("target_type", F.lit("")).alias("target_type"), "examples")
+
+
+def fallback_segments(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.count_if(F.col("entity_type") == UNCLASSIFIED).alias("fallback_chunks"))
+
+
+def by_count(gaps: DataFrame, key: str = "entity_type") -> DataFrame:
+    """Gaps by count, then by name; a global sort of as many rows as there are types."""
+    return gaps.orderBy(F.desc("n"), key)
 
 
 def relation_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -71,6 +201,11 @@ def rejected_stats(rejected: DataFrame) -> DataFrame:
     return sets.agg(level.alias("level"), F.count("*").alias("n")).select("level", "reason", "kind", "item_type", "n")
 
 
+def rejected_examples(rejected: DataFrame, most: int = 5) -> DataFrame:
+    """(kind, item_type, n, examples) with the first distinct names of each."""
+    return _with_examples(rejected, ["kind", "item_type"], "name", most)
+
+
 def f1(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """Precision, recall and F1 over distinct stripped, lower-cased (source, relation, target)."""
     cols = ("source", "relation", "target")
@@ -104,6 +239,21 @@ def file_profile(docs: DataFrame, key: str = "source") -> DataFrame:
     return docs.groupBy(key).agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.max(F.length("text")).alias("longest"))
 
 
+def chunk_profile(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, chunk_count, file_size, max_chunk_length); a file without a known size has the length of its chunks.
+
+    chunks: doc_id, chunk; files: doc_id, file_size."""
+    counted = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.sum(F.length("chunk")).alias("_chars"), F.max(F.length("chunk")).alias("max_chunk_length"))
+    return counted.join(files.select("doc_id", "file_size"), "doc_id", "left").select("doc_id", "chunk_count", F.coalesce("file_size", "_chars").alias("file_size"), "max_chunk_length")
+
+
+def headers(docs: DataFrame) -> DataFrame:
+    """(doc_id, headers): cells of the first line of a table file that is neither blank nor a sheet's name."""
+    lines = F.filter(F.transform(F.split("text", r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+    cells = F.filter(F.transform(F.split(F.get(lines, F.lit(0)), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    return docs.select("doc_id", F.coalesce(cells, F.array().cast("array<string>")).alias("headers"))
+
+
 def outline(docs: DataFrame, most: int = 15) -> DataFrame:
     """The first heading-like lines of a document: 2 to 40 characters, no sentence end."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -130,14 +280,23 @@ def even_sample(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, group: str, order: str, budget: int) -> DataFrame:
-    """Every group gets a floor of two rows (or one), and a share of the rest by its size."""
+    """Rows of every group: a floor of two (or one) and a share of the rest by its size, evenly spaced from the first on.
+
+    With as many groups as the budget or more, one row of each of ``budget`` groups at even strides."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("_len"))
-    whole = sizes.agg(F.sum("_len").alias("_all"), F.count("*").alias("_groups"))
-    base = F.when(2 * F.col("_groups") <= budget, 2).otherwise(1)
-    quota = base + F.bround((budget - base * F.col("_groups")) * F.col("_len") / F.col("_all")).cast("int")
-    quotas = sizes.join(F.broadcast(whole)).select(group, F.least(F.col("_len"), F.greatest(quota, F.lit(1))).alias("quota"))  # one row
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.join(quotas, group).withColumn("rank", rank).where(F.col("rank") <= F.col("quota"))
+    n = sizes.count()
+    if n >= budget:
+        at = F.row_number().over(Window.orderBy(group)) - 1  # one row a group
+        wanted = F.transform(F.sequence(F.lit(0), F.lit(budget - 1)), lambda i: F.floor(i * (F.lit(n) / F.lit(budget))).cast("int"))
+        quotas = sizes.withColumn("_at", at).where(F.array_contains(wanted, F.col("_at"))).select(group, "_len", F.lit(1).alias("quota"))
+    else:
+        base = 2 if budget >= 2 * n else 1
+        whole = sizes.agg(F.sum("_len").alias("_all"))
+        quota = base + F.bround((budget - base * n) * F.col("_len") / F.col("_all")).cast("int")
+        quotas = sizes.join(F.broadcast(whole)).select(group, "_len", quota.alias("quota"))  # one row
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    wanted = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("quota") - 1)), lambda i: F.bround(i * ((F.col("_len") - 1) / F.greatest(F.lit(1), F.col("quota") - 1))).cast("int"))
+    return rows.join(quotas, group).withColumn("position", place).where((F.col("_len") <= F.col("quota")) | F.array_contains(wanted, F.col("position"))).drop("_len")
 
 
 def newest(rows: DataFrame, n: int, order: str = "ts", tie: str = "id") -> DataFrame:
@@ -151,8 +310,44 @@ def history(turns: DataFrame, rounds: int = 5) -> DataFrame:
     return turns.where("role <> 'system'").withColumn("_r", rank).where(F.col("_r") <= 2 * rounds).drop("_r")
 
 
-def bridge_counts(edges: DataFrame) -> DataFrame:
-    return edges.agg(F.count_if(F.col("relation_type").isin(*BRIDGE_EDGES)).alias("bridge"), F.count_if(F.col("relation_type").isin(*STRUCTURE_EDGES)).alias("structure"), F.count("*").alias("all_edges"))
+def folded(turns: DataFrame, summaries: DataFrame, rounds: int = 5, cut: int = 120) -> DataFrame:
+    """(conv_id, summary): the stored summary and, below it, a line for each older message, cut; no model is asked.
+
+    summaries: conv_id, summary. A session's older messages are gathered by one task, as its summary is one text."""
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    older = turns.where("role <> 'system'").withColumn("_r", rank).where(F.col("_r") > 2 * rounds)
+    lines = older.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring(F.coalesce("text", F.lit("")), 1, cut)).alias("line")))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    joined = lines.join(summaries, "conv_id", "full_outer")
+    return joined.select("conv_id", F.concat_ws("\n", F.nullif("summary", F.lit("")), text).alias("summary"))
+
+
+def utility(questions: DataFrame) -> DataFrame:
+    """Share of answered questions and mean score; questions: answered (boolean), score. Unanswered ones score nothing."""
+    n = F.count("*")
+    return questions.agg(n.alias("n"), F.when(n == 0, 0.0).otherwise(F.bround(F.sum(F.when(F.col("answered"), F.col("score")).otherwise(0.0)) / n, 4)).alias("utility"), F.count_if("answered").alias("answered"))
+
+
+def type_usage(nodes: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_type, n) of every declared type; n is 0 for one that is not used."""
+    return entities.select(F.col("name").alias("entity_type")).distinct().join(type_facets(nodes), "entity_type", "left").select("entity_type", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def retention(facts: DataFrame, key: str) -> DataFrame:
+    """Facts, supported ones and their share, at most 1; facts: supported (boolean)."""
+    good = F.count_if("supported")
+    return facts.groupBy(key).agg(F.count("*").alias("facts"), good.alias("supported"), F.round(F.least(F.lit(1.0), good / F.count("*")), 4).alias("retention"))
+
+
+def structure_problems(rows: DataFrame, required: list[str], properties: str = "properties", least: int = 2) -> DataFrame:
+    """Adds missing: the required keys of an induced item whose value is shorter than ``least`` characters."""
+    value = lambda k: F.length(F.trim(F.coalesce(F.col(properties)[k], F.lit(""))))
+    return rows.withColumn("missing", F.filter(F.array(*map(F.lit, required)), lambda k: value(k) < least))
+
+
+def models(calls: DataFrame, simple: str, normal: str, complex_: str) -> DataFrame:
+    """Adds model, by complexity; an unknown one gets the normal model."""
+    return calls.withColumn("model", F.when(F.col("complexity") == "simple", simple).when(F.col("complexity") == "complex", complex_).otherwise(normal))
 
 
 @dataclass

@@ -8,49 +8,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.schema import BRIDGE_EDGES, COLD_START, DOCUMENT_NODES, MAX_QUOTES, MENTIONED_IN, QUOTES, RESERVED_RELATIONS, STRUCTURE_EDGES, allows
+from graphloom.schema import BRIDGE_EDGES, COLD_START, DOCUMENT_NODES, MAX_QUOTES, MENTIONED_IN, QUOTES, RESERVED_ENTITIES, RESERVED_RELATIONS, STRUCTURE_EDGES, allows
+from graphloom.session import BROADCAST_ROWS, small
 
 
-def merge_quotes(quotes: Column) -> Column:
-    """First copy of each (chunk, quote), empty quotes dropped, eight at most; quotes come in ingest order."""
+def no_quotes() -> Column:
+    return F.array().cast(QUOTES)
 
-    def add(kept: Column, q: Column) -> Column:
-        seen = F.exists(kept, lambda k: (k["chunk_id"] == q["chunk_id"]) & (k["quote"] == q["quote"]))
-        full = (F.size(kept) >= MAX_QUOTES) | (F.coalesce(q["quote"], F.lit("")) == "") | seen
-        return F.when(full, kept).otherwise(F.concat(kept, F.array(q)))
 
-    return F.aggregate(quotes, F.array().cast(QUOTES), add)
+def first_quotes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, evidence_quotes) by ``merge_quotes``: the rows of a key in order of seq, the first of them the stored one.
+
+    Copies go before anything is gathered, and a key sends on MAX_QUOTES quotes of each kind at most."""
+    first = rows.groupBy(*keys).agg(F.min("seq").alias("_first"))
+    one = rows.select(*keys, "seq", F.posexplode("evidence_quotes").alias("pos", "q"))
+    one = one.groupBy(*keys, "q.chunk_id", F.coalesce("q.quote", F.lit("")).alias("quote")).agg(F.min(F.struct("seq", "pos", "q.verified")).alias("at"))
+    place = F.row_number().over(Window.partitionBy(*keys, F.col("quote") == "").orderBy("at.seq", "at.pos", "chunk_id", "quote"))
+    few = one.withColumn("_n", place).where(F.col("_n") <= MAX_QUOTES)
+    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at.seq", "at.pos", "chunk_id", "quote", "at.verified"))).alias("_q"))
+    kept = F.filter("_q", lambda q: (q["quote"] != "") | (q["seq"] == F.col("_first")))
+    quotes = F.transform(F.slice(kept, 1, MAX_QUOTES), lambda q: F.struct(q["chunk_id"].alias("chunk_id"), q["quote"].alias("quote"), q["verified"].alias("verified")))
+    return listed.join(first, keys).select(*keys, quotes.cast(QUOTES).alias("evidence_quotes"))
+
 
+def merge_quotes(stored: Column, incoming: Column) -> Column:
+    """Stored quotes, then incoming ones that are neither empty nor known by (chunk, quote); eight at most."""
+
+    def add(kept: Column, q: Column) -> Column:
+        seen = F.exists(kept, lambda k: (k["chunk_id"] == q["chunk_id"]) & (k["quote"] == q["quote"]))
+        return F.when((F.size(kept) >= MAX_QUOTES) | seen, kept).otherwise(F.concat(kept, F.array(q)))
 
-def _ordered(column: str) -> Column:
-    """Values of an array column of all rows of a group, in ingest order."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", column)))
-    return F.flatten(F.transform(rows, lambda r: r[column]))
+    real = F.filter(incoming, lambda q: F.coalesce(q["quote"], F.lit("")) != "")
+    return F.aggregate(F.concat(stored, real), no_quotes(), add)
 
 
-def upsert(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: chunk ids united, quotes merged, every other column from the first row."""
+def upsert(rows: DataFrame, keys: list[str], copies: str | None = None) -> DataFrame:
+    """One row per key: chunk ids united, quotes merged, every other column from the first row; ``copies`` names a count."""
     first = [F.min_by(c, "seq").alias(c) for c in rows.columns if c not in (*keys, "source_chunk_ids", "evidence_quotes", "seq")]
-    merged = rows.groupBy(*keys).agg(*first, F.min("seq").alias("seq"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids")))).alias("source_chunk_ids"), _ordered("evidence_quotes").alias("evidence_quotes"))
-    return merged.withColumn("evidence_quotes", merge_quotes(F.col("evidence_quotes")))
+    counted = [F.count("*").alias(copies)] if copies else []
+    one = rows.groupBy(*keys).agg(*first, F.min("seq").alias("seq"), *counted)
+    sources = rows.select(*keys, F.explode("source_chunk_ids").alias("c")).groupBy(*keys).agg(F.array_sort(F.collect_set("c")).alias("source_chunk_ids"))
+    merged = one.join(sources, keys, "left").join(first_quotes(rows, keys), keys, "left")
+    return merged.withColumns({"source_chunk_ids": F.coalesce("source_chunk_ids", F.array().cast("array<string>")), "evidence_quotes": F.coalesce("evidence_quotes", no_quotes())})
 
 
 def upsert_nodes(rows: DataFrame) -> DataFrame:
     return upsert(rows, ["name", "entity_type"])
 
 
-def upsert_edges(rows: DataFrame) -> DataFrame:
-    return upsert(rows, ["id"])
+def upsert_edges(rows: DataFrame, copies: str | None = None) -> DataFrame:
+    return upsert(rows, ["id"], copies)
+
+
+def search(nodes: DataFrame, text: str, n: int = 20) -> DataFrame:
+    """The first ``n`` nodes, by name, whose name holds the text in any case."""
+    return nodes.where(F.lower("name").contains(text.lower())).orderBy("name", "id").limit(n)
 
 
 def link_provenance(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Add chunk ids and quotes to the nodes that exist; links: id, chunk_id, quote, verified, seq."""
-    added = links.groupBy("id").agg(F.array_sort(F.collect_set("chunk_id")).alias("_chunks"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk_id", "quote", "verified"))), lambda r: F.struct(r["chunk_id"].alias("chunk_id"), r["quote"].alias("quote"), r["verified"].alias("verified"))).cast(QUOTES).alias("_quotes"))
+    rows = links.select("id", "chunk_id", "seq", F.array(F.struct("chunk_id", "quote", "verified")).cast(QUOTES).alias("evidence_quotes"))
+    sources = rows.groupBy("id").agg(F.array_sort(F.collect_set("chunk_id")).alias("_chunks"))
+    added = sources.join(first_quotes(rows, ["id"]).withColumnRenamed("evidence_quotes", "_quotes"), "id", "left")
     none, empty = F.array().cast("array<string>"), F.array().cast(QUOTES)
     return (
         nodes.join(added, "id", "left")
         .withColumn("source_chunk_ids", F.array_sort(F.array_union("source_chunk_ids", F.coalesce("_chunks", none))))
-        .withColumn("evidence_quotes", merge_quotes(F.concat("evidence_quotes", F.coalesce("_quotes", empty))))
+        .withColumn("evidence_quotes", merge_quotes(F.col("evidence_quotes"), F.coalesce("_quotes", empty)))
         .drop("_chunks", "_quotes")
     )
 
@@ -99,21 +123,25 @@ def has_verified(quotes: Column) -> Column:
     return F.exists(quotes, lambda q: F.coalesce(q["verified"], F.lit(True)))
 
 
+def judge_nodes(nodes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Nodes with ``violation``: null for declared and reserved types, and for all if nothing is declared."""
+    if not entities.limit(1).count():
+        return nodes.withColumn("violation", F.lit(None).cast("string"))
+    known = small(entities.select(F.col("name").alias("entity_type"), F.lit(True).alias("_known")).distinct())
+    allowed = F.coalesce("_known", F.lit(False)) | F.col("entity_type").isin(*RESERVED_ENTITIES)
+    return nodes.join(known, "entity_type", "left").withColumn("violation", F.when(~allowed, F.lit("entity_type_not_in_schema"))).drop("_known")
+
+
 def gate(nodes: DataFrame, edges: DataFrame, entities: DataFrame, relations: DataFrame, require_evidence: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges with ``violation``: null, or the first rule that fails.
 
     A copy of an edge counts as a duplicate even if the first copy fails the evidence rule."""
-    open_schema = entities.limit(1).count() == 0
-    known = entities.select(F.col("name").alias("entity_type"), F.lit(True).alias("_known"))
-    reserved = F.col("entity_type").isin(*DOCUMENT_NODES, "未分类实体", "未知类型")
-    judged = nodes.join(F.broadcast(known), "entity_type", "left") if not open_schema else nodes.withColumn("_known", F.lit(True))  # declared types: a schema of a few hundred rows
-    judged = judged.withColumn("violation", F.when(~(F.coalesce("_known", F.lit(False)) | reserved), F.lit("entity_type_not_in_schema"))).drop("_known")
-
+    judged = judge_nodes(nodes, entities)
     valid = judged.where("violation IS NULL").select("id", "entity_type")
     ends = edges.join(valid.select(F.col("id").alias("source_id"), F.col("entity_type").alias("_from")), "source_id", "left").join(valid.select(F.col("id").alias("target_id"), F.col("entity_type").alias("_to")), "target_id", "left")
     free = relations.limit(1).count() == 0
     rules = relations.select(F.col("name").alias("relation_type"), F.lit(True).alias("_rule"), "source_types", "target_types")
-    ends = ends.join(F.broadcast(rules), "relation_type", "left")  # declared relations: a schema of a few hundred rows
+    ends = ends.join(small(rules), "relation_type", "left")
     exempt = F.col("relation_type").isin(*RESERVED_RELATIONS) | F.lit(free)
     first = (
         F.when(F.col("_from").isNull() | F.col("_to").isNull(), F.lit("dangling_edge"))
@@ -149,10 +177,11 @@ def publish(nodes: DataFrame, edges: DataFrame, rules: tuple[DataFrame, DataFram
     return good[0], good[1]
 
 
-def import_graph(nodes: DataFrame, edges: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def import_graph(nodes: DataFrame, edges: DataFrame, existing: DataFrame, entities: DataFrame | None = None, relations: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cold start from named rows: (nodes, edges, stats). Nodes: name, entity_type, properties (JSON), seq; edges by name.
 
-    Properties are last-wins; an edge's end is the last node of that name; edges with a missing end or a copy are skipped."""
+    Properties are last-wins; an edge's end is the last node of that name; edges with a missing end or a copy are skipped.
+    Undeclared types are counted, if a schema is given, and imported all the same."""
     from graphloom.schema import edge_id, node_id
 
     merged = latest(nodes.withColumn("id", node_id("entity_type", "name")), ["id"]).withColumn("source_chunk_ids", F.array(F.lit(COLD_START)))
@@ -161,11 +190,12 @@ def import_graph(nodes: DataFrame, edges: DataFrame, existing: DataFrame) -> tup
     ends = edges.join(named.select(F.col("name").alias("source_name"), F.col("id").alias("source_id")), "source_name", "left").join(named.select(F.col("name").alias("target_name"), F.col("id").alias("target_id")), "target_name", "left")
     whole = ends.where("source_id IS NOT NULL AND target_id IS NOT NULL")
     unique = whole.withColumn("id", edge_id("source_id", "relation_type", "target_id")).groupBy("id").agg(*[F.min_by(c, "seq").alias(c) for c in ("source_id", "target_id", "relation_type")])
+    off = lambda rows, column, declared: F.lit(0).cast("bigint") if declared is None else F.count_if(~F.col(column).isin([r["name"] for r in declared.select("name").distinct().limit(BROADCAST_ROWS).collect()]))  # noqa: E731  a schema
     stats = (
-        merged.join(known, "id", "left").agg(F.count_if(F.col("_old").isNull()).alias("nodes_created"), F.count_if("_old").alias("nodes_merged"))
+        merged.join(known, "id", "left").agg(F.count_if(F.col("_old").isNull()).alias("nodes_created"), F.count_if("_old").alias("nodes_merged"), off(merged, "entity_type", entities).alias("undeclared_nodes"))
         .join(ends.agg(F.count("*").alias("edges_seen")))  # one row each
-        .join(unique.agg(F.count("*").alias("edges_created")))
-        .select("nodes_created", "nodes_merged", "edges_created", (F.col("edges_seen") - F.col("edges_created")).alias("edges_skipped"))
+        .join(unique.agg(F.count("*").alias("edges_created"), off(unique, "relation_type", relations).alias("undeclared_edges")))
+        .select("nodes_created", "nodes_merged", "undeclared_nodes", "edges_created", "undeclared_edges", (F.col("edges_seen") - F.col("edges_created")).alias("edges_skipped"))
     )
     return merged, unique, stats
 
@@ -178,3 +208,9 @@ def hierarchy_graph(rows: DataFrame, levels: list[str]) -> tuple[DataFrame, Data
     pairs = F.filter(F.zip_with(F.slice(cells, 1, len(levels) - 1), F.slice(cells, 2, len(levels) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: filled(p["a"]) & filled(p["b"]))
     edges = rows.select(F.explode(pairs).alias("p")).select(F.col("p.a.name").alias("source_name"), F.col("p.b.name").alias("target_name"), F.concat("p.a.entity_type", F.lit("-"), "p.b.entity_type").alias("relation_type")).distinct()
     return nodes, edges
+
+
+def structure_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Bridge edges before and after a backfill, in one row."""
+    bridge = F.count_if(F.col("relation_type").isin(*BRIDGE_EDGES))
+    return before.agg(bridge.alias("bridge_edges_before")).join(after.agg(bridge.alias("bridge_edges_after"), F.count("*").alias("edges_total")))  # one row each

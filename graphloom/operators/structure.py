@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.schema import CO_OCCURRENCE, CO_OCCURS, DOCUMENT, IN_DOCUMENT, IN_SECTION, MENTIONED_IN, NEXT_SECTION, NEXT_SEGMENT, SECTION, SEGMENT, edge_id, identity
+from graphloom.schema import BRIDGE_EDGES, CO_OCCURRENCE, CO_OCCURS, DOCUMENT, DOCUMENT_NODES, IN_DOCUMENT, IN_SECTION, MENTIONED_IN, NEXT_SECTION, NEXT_SEGMENT, SECTION, SEGMENT, UNCLASSIFIED, edge_id, identity
 
 
 def _edges(rows: DataFrame, relation: str) -> DataFrame:
-    return rows.withColumn("relation_type", F.lit(relation)).withColumn("id", edge_id("source_id", "relation_type", "target_id")).select("id", "source_id", "target_id", "relation_type")
+    """id, source_id, target_id, relation_type, and what else the rows have."""
+    more = [c for c in rows.columns if c not in ("source_id", "target_id")]
+    return rows.withColumn("relation_type", F.lit(relation)).withColumn("id", edge_id("source_id", "relation_type", "target_id")).select("id", "source_id", "target_id", "relation_type", *more)
 
 
 def next_segments(chunks: DataFrame) -> DataFrame:
@@ -41,11 +43,15 @@ def anchors(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def membership(chunks: DataFrame) -> DataFrame:
-    """Edges of chunks into their documents and, where they have headings, into their leaf sections."""
+    """Edges of chunks into their leaf sections or, without headings, their documents; and of sections into what is above."""
     doc = F.concat(F.lit("doc_"), F.substring(F.col("doc_id").cast("string"), 1, 24))
-    whole = _edges(chunks.select(F.col("chunk_id").alias("source_id"), doc.alias("target_id")), IN_DOCUMENT)
+    whole = _edges(chunks.where("size(heading_path) = 0").select(F.col("chunk_id").alias("source_id"), doc.alias("target_id")), IN_DOCUMENT)
     leaf = identity("sec_", F.col("doc_id").cast("string"), F.concat_ws("␟", "heading_path"))
-    return whole.union(_edges(chunks.where(F.size("heading_path") > 0).select(F.col("chunk_id").alias("source_id"), leaf.alias("target_id")), IN_SECTION))
+    inside = _edges(chunks.where(F.size("heading_path") > 0).select(F.col("chunk_id").alias("source_id"), leaf.alias("target_id")), IN_SECTION)
+    tree = sections(chunks)
+    top = _edges(tree.where("parent IS NULL").select(F.col("id").alias("source_id"), F.concat(F.lit("doc_"), F.substring("doc", 1, 24)).alias("target_id")), IN_DOCUMENT)
+    below = _edges(tree.where("parent IS NOT NULL").select(F.col("id").alias("source_id"), F.col("parent").alias("target_id")), IN_SECTION)
+    return whole.union(inside).union(top).union(below)
 
 
 def structure_nodes(chunks: DataFrame) -> DataFrame:
@@ -57,17 +63,44 @@ def structure_nodes(chunks: DataFrame) -> DataFrame:
 def mentions(nodes: DataFrame, anchored: DataFrame) -> DataFrame:
     """Edges from each node to the anchors of its chunks."""
     pairs = nodes.select(F.col("id").alias("source_id"), F.explode("source_chunk_ids").alias("chunk_id")).join(anchored.select("chunk_id", F.col("anchor").alias("target_id")), "chunk_id")
-    return _edges(pairs.where("source_id <> target_id").select("source_id", "target_id").distinct(), MENTIONED_IN)
+    one = pairs.where("source_id <> target_id").groupBy("source_id", "target_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids"))
+    return _edges(one.withColumn("confidence", F.lit(1.0)), MENTIONED_IN)
 
 
 def co_occurrences(nodes: DataFrame, edges: DataFrame, most: int = CO_OCCURRENCE) -> DataFrame:
-    """(source_id, target_id, chunk_id) for pairs that share a chunk of 2 to ``most`` nodes and have no edge yet.
+    """Edges of pairs that share a chunk of 2 to ``most`` nodes and have no edge yet but bridges; confidence 0.3, the first
+    chunk is the source.
 
-    The rule's own bound on a chunk's nodes keeps the pairs of a chunk at ``most`` squared."""
+    Chunks are counted before their nodes are gathered, so none grows beyond ``most``."""
     members = nodes.select("id", F.explode("source_chunk_ids").alias("chunk_id")).distinct()
-    sized = members.groupBy("chunk_id").agg(F.count("*").alias("n"), F.collect_list("id").alias("ids")).where(F.col("n").between(2, most))
-    ids = F.array_sort("ids")
-    pairs = sized.select("chunk_id", F.explode(ids).alias("a"), ids.alias("ids")).select("chunk_id", "a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+    fit = members.groupBy("chunk_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("chunk_id")
+    gathered = members.join(fit, "chunk_id").groupBy("chunk_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    pairs = gathered.select("chunk_id", F.explode("ids").alias("a"), "ids").select("chunk_id", "a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
     first = pairs.groupBy("a", "b").agg(F.min("chunk_id").alias("chunk_id"))
-    linked = edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
-    return _edges(first.join(linked, ["a", "b"], "left_anti").select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "chunk_id"), CO_OCCURS)
+    real = edges.where(~F.col("relation_type").isin(*BRIDGE_EDGES))
+    linked = real.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    new = first.join(linked, ["a", "b"], "left_anti")
+    return _edges(new.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.array("chunk_id").alias("source_chunk_ids"), F.lit(0.3).alias("confidence")), CO_OCCURS)
+
+
+def backfill(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Structure and bridge layers for an existing draft: (nodes, edges) by id, in which known rows stay as they are.
+
+    Unclassified nodes that are a chunk's own stay its anchor. Running it again changes nothing."""
+    own = nodes.where(F.col("entity_type") == UNCLASSIFIED).select(F.col("id").alias("chunk_id")).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    anchored = chunks.join(own.withColumn("_own", F.lit(True)), "chunk_id", "left").select(*chunks.columns, F.when(F.col("_own"), F.col("chunk_id")).otherwise(F.concat("chunk_id", F.lit("_seg"))).alias("anchor"))
+    doc = F.col("doc_id").cast("string")
+    segments = anchored.where("anchor <> chunk_id").select(F.col("anchor").alias("id"), F.concat(F.lit("片段-"), F.substring(doc, 1, 8), F.lit("-"), F.col("idx").cast("string")).alias("name"), F.lit(SEGMENT).alias("entity_type"))
+    layer = structure_nodes(chunks).where(F.col("entity_type") != SEGMENT).union(segments)
+    as_anchor = anchored.drop("chunk_id").withColumnRenamed("anchor", "chunk_id")
+    known = nodes.where(~F.col("entity_type").isin(*DOCUMENT_NODES))
+    made = [next_segments(as_anchor), membership(as_anchor), section_chain(chunks), mentions(known, anchored)]
+    # co-occurrence counts the nodes of real chunks only
+    inside = known.select("id", F.explode("source_chunk_ids").alias("chunk_id")).join(anchored.select("chunk_id"), "chunk_id", "left_semi").select("id", F.array("chunk_id").alias("source_chunk_ids"))
+    made.append(co_occurrences(inside, edges))
+    columns = ["id", "source_id", "target_id", "relation_type"]
+    fresh = made[0].select(*columns)
+    for part in made[1:]:
+        fresh = fresh.union(part.select(*columns))
+    add = lambda old, new, cols: old.select(*cols).union(new.select(*cols).dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").select(*cols))
+    return add(nodes, layer, ["id", "name", "entity_type"]), add(edges, fresh, columns)

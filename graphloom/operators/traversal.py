@@ -5,14 +5,11 @@ Frontiers, visited sets and ranks stay distributed; a round's result is written
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.schema import FAN_OUT
-from graphloom.session import materialize
+from graphloom.session import NARROW_ROWS, materialize
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -24,7 +21,7 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
     """(id, depth) of nodes within ``depth`` steps of the seeds; unknown seeds are ignored."""
-    moves = steps(edges, direction)
+    moves = materialize(steps(edges, direction))  # built once, not once a level
     visited = materialize(nodes.join(seeds.select("id"), "id", "left_semi").select("id", F.lit(0).alias("depth")).distinct())
     frontier = visited
     for level in range(1, depth + 1):
@@ -82,22 +79,32 @@ def simple_paths(edges: DataFrame, source: DataFrame, target: DataFrame, longest
     return done
 
 
-def personalised_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, iterations: int = 20, alpha: float = 0.85, undirected: bool = False) -> DataFrame:
-    """(id, rank); mass of nodes without out-edges returns to the seeds. Fixed rounds keep results reproducible."""
+def personalised_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, iterations: int = 100, alpha: float = 0.85, undirected: bool = False, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
+    """(id, rank); mass of nodes without out-edges returns to the seeds.
+
+    Rounds end when ranks change by less than ``tolerance`` a node in all, or after ``iterations``; tolerance 0 runs them
+    all. Lost mass is summed inside the round's own job; whether ranks have settled is asked every few rounds."""
     moves = steps(edges, "both" if undirected else "down").distinct()
     out = moves.groupBy("at").agg(F.count("*").alias("n"))
     moves = materialize(moves.join(out, "at"))
     start = seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
     total = start.count()
-    base = materialize(nodes.select("id").distinct().join(start.withColumn("_s", F.lit(1.0 / max(1, total))), "id", "left").select("id", F.coalesce("_s", F.lit(0.0)).alias("start")))
-    rank = base.select("id", F.col("start").alias("rank"))
+    leaves = nodes.select("id").distinct().join(out.select(F.col("at").alias("id"), F.lit(False).alias("_leaf")), "id", "left")
+    base = materialize(leaves.join(start.withColumn("_s", F.lit(1.0 / max(1, total))), "id", "left").select("id", F.coalesce("_s", F.lit(0.0)).alias("start"), F.coalesce("_leaf", F.lit(True)).alias("leaf")))
+    n = base.count()
+    few = F.broadcast if n <= NARROW_ROWS else lambda df: df  # flow and ranks have n rows of two numbers at most
+    rank = base.select("id", F.col("start").alias("rank"), "leaf")
     for i in range(iterations):
-        flow = moves.join(rank, moves["at"] == rank["id"]).groupBy("to").agg(F.sum(F.col("rank") / F.col("n")).alias("flow"))
-        moved = flow.agg(F.sum("flow")).first()[0] or 0.0
-        loose = 1.0 - moved
-        rank = base.join(flow.withColumnRenamed("to", "id"), "id", "left").select("id", (alpha * (F.coalesce("flow", F.lit(0.0)) + loose * F.col("start")) + (1 - alpha) * F.col("start")).alias("rank"))
-        rank = materialize(rank)
-    return rank
+        flow = moves.join(few(rank), moves["at"] == rank["id"]).groupBy("to").agg(F.sum(F.col("rank") / F.col("n")).alias("flow"))
+        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("leaf"), F.col("rank"))), F.lit(0.0)).alias("loose"))
+        joined = base.join(few(flow.withColumnRenamed("to", "id")), "id", "left").join(F.broadcast(loose))  # one row
+        new = materialize(joined.select("id", (alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") * F.col("start")) + (1 - alpha) * F.col("start")).alias("rank"), "leaf"))
+        if tolerance and (i + 1) % every == 0:
+            change = new.join(few(rank.select("id", F.col("rank").alias("old"))), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+            if change < n * tolerance:
+                return new.select("id", "rank")
+        rank = new
+    return rank.select("id", "rank")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,49 +121,55 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = moved.select("id", "component")
 
 
-def _greedy_modularity(pairs: list[tuple[str, str]]) -> dict[str, str]:
-    """Merge the communities whose union gains most modularity while any gains; ties by name."""
-    degree, links = defaultdict(int), defaultdict(lambda: defaultdict(int))
-    for a, b in pairs:
-        if a != b:
-            degree[a] += 1
-            degree[b] += 1
-            links[a][b] += 1
-            links[b][a] += 1
-    total, of = sum(degree.values()), {n: n for n in degree}
-    while True:
-        gains = [(links[a][b] / total - degree[a] * degree[b] / total**2, a, b) for a in links for b in links[a] if a < b]
-        best = max(gains, key=lambda g: (g[0], [-ord(c) for c in g[1]], [-ord(c) for c in g[2]]), default=(0, "", ""))
-        if best[0] <= 1e-12:
-            return of
-        _, a, b = best
-        for c, n in links.pop(b).items():
-            links[c].pop(b)
-            if c != a:
-                links[a][c] += n
-                links[c][a] += n
-        degree[a] += degree.pop(b)
-        of = {n: a if o == b else o for n, o in of.items()}
-
-
-def communities(nodes: DataFrame, edges: DataFrame, least: int = 3, largest: int = 2_000) -> DataFrame:
-    """(id, community, size, community_id): greedy modularity inside components of at most ``largest`` nodes.
-
-    Larger components are communities as they are, so no task gets an unbounded graph. community_id ranks by size."""
-    parts = materialize(connected_components(nodes, edges))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    fit = parts.join(sizes.where(F.col("n").between(2, largest)), "component").select("id", "component")
-    inside = edges.select("source_id", "target_id").distinct().join(fit.withColumnRenamed("id", "source_id"), "source_id").select("component", "source_id", "target_id")
-
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        found = _greedy_modularity(sorted(zip(group["source_id"], group["target_id"], strict=True)))
-        return pd.DataFrame({"id": list(found), "community": list(found.values())})
-
-    fine = inside.groupBy("component").applyInPandas(split, "id string, community string")
-    named = parts.join(fine, "id", "left").select("id", F.coalesce("community", "component").alias("community"))
-    counted = named.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+def communities(nodes: DataFrame, edges: DataFrame, least: int = 3, rounds: int = 30) -> DataFrame:
+    """(id, community, size, community_id) by modularity, over edge tables at every size; community_id ranks by size.
+
+    Every node starts alone. In a round each community chooses the neighbour whose union gains most modularity. Two that
+    choose each other become one, named by the lesser, and take in those that chose either of them; if that lowers the
+    modularity of the whole, only the pairs are joined, which never does. Rounds end when no union gains. Nodes without
+    edges are alone. All tables are joined and grouped, so a giant component is no one task."""
+    moves = edges.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    links = materialize(moves.select("a", "b", F.lit(1).cast("bigint").alias("w")))
+    total = 2.0 * links.count()
+    of = materialize(nodes.select("id", F.col("id").alias("community")).distinct())
+    degree = materialize(links.select(F.explode(F.array("a", "b")).alias("c"), "w").groupBy("c").agg(F.sum("w").alias("d")))
+
+    def renamed(df: DataFrame, into: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.join(into.select(F.col("c").alias(c), "into"), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
+        return df
+
+    def united(into: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        """Links and degrees after a union, and what is left of modularity: 1 - links between - expected links inside."""
+        new_links = renamed(links, into, "a", "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"))
+        new_degree = materialize(renamed(degree, into, "c").groupBy("c").agg(F.sum("d").alias("d")))
+        new_links = materialize(new_links)
+        between = new_links.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+        inside = new_degree.agg(F.coalesce(F.sum(F.col("d").cast("double") * F.col("d")), F.lit(0.0))).first()[0]
+        return new_links, new_degree, 1 - 2 * between / total - inside / total**2
+
+    value = -float("inf")
+    for _ in range(rounds if total else 0):
+        both = links.select("a", "b", "w").union(links.select("b", "a", "w"))
+        near = both.join(degree.select(F.col("c").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("c").alias("b"), F.col("d").alias("db")), "b")
+        gaining = near.select("a", "b", (F.col("w") / total - F.col("da") * F.col("db") / (total * total)).alias("g")).where("g > 1e-12")
+        best = materialize(gaining.groupBy("a").agg(F.min_by("b", F.struct(-F.col("g"), F.least("a", "b"), F.greatest("a", "b"))).alias("b")))
+        back = best.select(F.col("a").alias("b"), F.col("b").alias("back"))
+        pairs = materialize(best.join(back, "b").where("a = back AND a < b").select("a", "b"))
+        if not pairs.limit(1).count():
+            break
+        root = pairs.select(F.col("a").alias("c"), F.col("a").alias("into")).union(pairs.select("b", "a"))
+        led = best.join(root.select(F.col("c").alias("b"), "into"), "b").join(root.select(F.col("c").alias("a")), "a", "left_anti").select(F.col("a").alias("c"), "into")
+        into = materialize(root.where("c <> into").union(led))
+        after = united(into)
+        if after[2] <= value:
+            into = root.where("c <> into")
+            after = united(into)
+        links, degree, value = after
+        of = materialize(renamed(of, into, "community").select("id", "community"))
+    counted = of.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     ranked = counted.withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("size"), "community")))  # one row a community
-    return named.join(ranked, "community")
+    return of.join(ranked, "community")
 
 
 def community_summary(members: DataFrame, nodes: DataFrame, most: int = 30) -> DataFrame:
@@ -165,3 +178,22 @@ def community_summary(members: DataFrame, nodes: DataFrame, most: int = 30) -> D
     top = named.withColumn("_n", F.row_number().over(Window.partitionBy("community_id").orderBy("name", "id"))).where(F.col("_n") <= most)
     names = F.transform(F.array_sort(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"])
     return top.groupBy("community_id", "size").agg(names.alias("names")).select("community_id", "size", F.array_join(F.slice("names", 1, 3), ", ").alias("title"), F.array_join(F.slice("names", 1, 15), ", ").alias("summary"))
+
+
+def community_relations(members: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
+    """(community_id, number, line) of at most ``most`` edges inside each community, for its summary; edges: seq."""
+    name = members.select("community_id", "id").join(nodes.select("id", "name"), "id")
+    s = name.select(F.col("id").alias("source_id"), "community_id", F.col("name").alias("s"))
+    t = name.select(F.col("id").alias("target_id"), F.col("community_id").alias("_c"), F.col("name").alias("t"))
+    inside = edges.join(s, "source_id").join(t, "target_id").where("community_id = _c")
+    place = F.row_number().over(Window.partitionBy("community_id").orderBy("seq"))
+    line = F.concat("s", F.lit(" --("), "relation_type", F.lit(")--> "), "t")
+    return inside.select("community_id", place.alias("number"), line.alias("line")).where(F.col("number") <= most)
+
+
+def walked_chunks(walked: DataFrame, nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Distinct chunk ids of the nodes and edges that a walk has met, the seeds among them."""
+    met = walked.select(F.col("source_id").alias("id")).union(walked.select("target_id")).union(seeds.select("id")).distinct()
+    of = nodes.join(met, "id", "left_semi").select(F.explode("source_chunk_ids").alias("chunk_id"))
+    same = ["source_id", "target_id", "relation_type"]
+    return of.union(edges.join(walked.select(*same).distinct(), same, "left_semi").select(F.explode("source_chunk_ids"))).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as fn
-from graphloom.operators import chunking, fusion, governance, graph, retrieval, structure, traversal
+from graphloom.operators import chunking, evolution, fusion, governance, graph, resolution, retrieval, structure, traversal
 from graphloom.plans import fixtures as fx
 from graphloom.schema import QUOTES, allows, chunk_id, format_constraint, merge_schema, node_id, prune, undeclared_ends
 from graphloom.session import table
@@ -137,7 +137,7 @@ def node_upsert(spark, sf_dir):
 
 
 @query(
-    f"WITH {_PROPOSED}, q AS (SELECT name, chunk, quote, min(seq) seq FROM proposed WHERE quote<>'' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq, chunk, quote) n FROM q) SELECT names.name, coalesce(string_agg(chunk||':'||quote, ',' ORDER BY n) FILTER (WHERE n<=8), '') quotes FROM (SELECT DISTINCT name FROM proposed) names LEFT JOIN r ON r.name=names.name GROUP BY 1"
+    f"WITH {_PROPOSED}, f AS (SELECT name, min(seq) seq FROM proposed GROUP BY 1), q AS (SELECT p.name, chunk, quote, min(p.seq) seq FROM proposed p JOIN f ON p.name=f.name WHERE quote<>'' OR p.seq=f.seq GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq, chunk, quote) n FROM q) SELECT names.name, coalesce(string_agg(chunk||':'||quote, ',' ORDER BY n) FILTER (WHERE n<=8), '') quotes FROM (SELECT DISTINCT name FROM proposed) names LEFT JOIN r ON r.name=names.name GROUP BY 1"
 )
 def evidence_merge(spark, sf_dir):
     found = graph.upsert_nodes(_by_seq_confidence(_proposed(spark, sf_dir)))
@@ -146,9 +146,7 @@ def evidence_merge(spark, sf_dir):
 
 @query(f"WITH {fx.SQL_DRAFT_EDGES} SELECT id, min(source_id) source_id, min(target_id) target_id, min(relation_type) relation_type, min(seq) seq, count(*) copies FROM draft_edges GROUP BY id")
 def edge_upsert(spark, sf_dir):
-    rows = fx.draft_edges(spark, sf_dir)
-    copies = rows.groupBy("id").agg(F.count("*").alias("copies"))
-    return graph.upsert_edges(rows).join(copies, "id").select("id", "source_id", "target_id", "relation_type", "seq", "copies")
+    return graph.upsert_edges(fx.draft_edges(spark, sf_dir), "copies").select("id", "source_id", "target_id", "relation_type", "seq", "copies")
 
 
 @query(f"WITH {fx.SQL_DRAFT_NODES}, links AS (SELECT 'n_'||substr(sha1('Part'||chr(9247)||p_name||'#'||p_partkey),1,24) id, list_distinct(list('ev_'||(l_orderkey%7))) cs FROM lineitem JOIN part ON l_partkey=p_partkey WHERE l_linenumber=2 GROUP BY 1) SELECT n.id, array_to_string(list_sort(list_distinct(list_concat(source_chunk_ids, coalesce(cs, [])))), ',') chunks FROM draft_nodes n LEFT JOIN links l ON n.id=l.id")
@@ -177,14 +175,14 @@ def csv_hierarchy_nodes(spark, sf_dir):
     return graph.hierarchy_graph(_levels(spark, sf_dir), ["region", "nation", "supplier", "grade"])[0]
 
 
-@query("SELECT (SELECT count(DISTINCT p_name) FROM part)-(SELECT count(DISTINCT p_name) FROM part WHERE p_partkey<=20) nodes_created, (SELECT count(DISTINCT p_name) FROM part WHERE p_partkey<=20) nodes_merged, (SELECT count(*) FROM (SELECT DISTINCT a.p_name, b.p_name FROM part a JOIN part b ON b.p_partkey=a.p_partkey+1 WHERE a.p_partkey%10<>0)) edges_created, (SELECT count(*) FROM part)-(SELECT count(*) FROM (SELECT DISTINCT a.p_name, b.p_name FROM part a JOIN part b ON b.p_partkey=a.p_partkey+1 WHERE a.p_partkey%10<>0)) edges_skipped")
+@query("SELECT (SELECT count(DISTINCT p_name) FROM part)-(SELECT count(DISTINCT p_name) FROM part WHERE p_partkey<=20) nodes_created, (SELECT count(DISTINCT p_name) FROM part WHERE p_partkey<=20) nodes_merged, (SELECT count(*) FROM (SELECT DISTINCT a.p_name, b.p_name FROM part a JOIN part b ON b.p_partkey=a.p_partkey+1 WHERE a.p_partkey%10<>0)) edges_created, (SELECT count(*) FROM part)-(SELECT count(*) FROM (SELECT DISTINCT a.p_name, b.p_name FROM part a JOIN part b ON b.p_partkey=a.p_partkey+1 WHERE a.p_partkey%10<>0)) edges_skipped, 0::BIGINT undeclared_nodes, (SELECT count(*) FROM (SELECT DISTINCT a.p_name, b.p_name FROM part a JOIN part b ON b.p_partkey=a.p_partkey+1 WHERE a.p_partkey%10<>0)) undeclared_edges")
 def graph_import(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     nodes = part.select(F.col("p_name").alias("name"), F.lit("Part").alias("entity_type"), F.to_json(F.struct("p_brand")).alias("properties"), F.col("p_partkey").alias("seq"))
     after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next"))
     edges = part.join(after, "p_partkey", "left").select(F.col("p_name").alias("source_name"), F.when(F.col("p_partkey") % 10 == 0, "nobody").otherwise(F.col("next")).alias("target_name"), F.lit("before").alias("relation_type"), F.col("p_partkey").alias("seq"))
     old = part.where("p_partkey <= 20").select(node_id(F.lit("Part"), "p_name").alias("id")).distinct()
-    return graph.import_graph(nodes, edges, old)[2]
+    return graph.import_graph(nodes, edges, old, *fx.ontology(spark))[2]
 
 
 # ---- filters, schema and validation ------------------------------------------------------------------------------
@@ -192,15 +190,12 @@ def graph_import(spark, sf_dir):
 
 @query(f"WITH {fx.SQL_NODES} SELECT id, name, entity_type FROM star_nodes WHERE contains(lower(name), 'er#00000000') ORDER BY name, id LIMIT 20")
 def name_search(spark, sf_dir):
-    return fx.star_nodes(spark, sf_dir).where(F.lower("name").contains("er#00000000")).orderBy("name", "id").limit(20).select("id", "name", "entity_type")
+    return graph.search(fx.star_nodes(spark, sf_dir), "ER#00000000").select("id", "name", "entity_type")
 
 
 @query(f"WITH {fx.SQL_NODES} SELECT entity_type, name, r::INT rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY seq) r FROM star_nodes) WHERE r<=5")
 def type_samples(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("entity_type").orderBy("seq"))
-    return fx.star_nodes(spark, sf_dir).withColumn("rank", rank).where("rank <= 5").select("entity_type", "name", "rank")
+    return evolution.of_kind(fx.star_nodes(spark, sf_dir), "entity_type", 5).select("entity_type", "name", "rank")
 
 
 @query(f"WITH {fx.sql_edges('in_region','in_nation')}, {fx.SQL_NODES} SELECT e.id, e.relation_type FROM star_edges e WHERE source_id IN (SELECT id FROM star_nodes WHERE seq%3<>0) AND target_id IN (SELECT id FROM star_nodes WHERE seq%3<>0)")
@@ -262,7 +257,7 @@ def entity_validate(spark, sf_dir):
 def rule_correct(spark, sf_dir):
     rows = _entity_proposals(spark, sf_dir)
     none = spark.createDataFrame([], "source_name string, target_name string, relation_type string")
-    return fusion.rule_correction(rows, none, ["click", "purchase"], [])[0]
+    return fusion.rule_correction(rows, none, ["click", "purchase"], [])[0].select("name", "entity_type", "seq")
 
 
 _RELATION_PROPOSALS = "(SELECT l_orderkey*1000000+l_partkey*10+l_linenumber seq, s_name source_name, CASE WHEN l_orderkey%11=0 THEN 'nobody' WHEN l_orderkey%13=0 THEN s_name ELSE p_name||'#'||p_partkey END target_name, CASE WHEN l_orderkey%17=0 THEN 'sells' WHEN l_orderkey%19=0 THEN 'ordered' ELSE 'supplies' END relation_type FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN part ON l_partkey=p_partkey)"
@@ -281,32 +276,32 @@ def relation_validate(spark, sf_dir):
     return fusion.validate_relations(rows, fx.star_nodes(spark, sf_dir), fx.ontology(spark)[1]).select("seq", "relation_type", "reason")
 
 
-@query("WITH n AS (SELECT p_partkey, p_name, 'c'||(p_partkey%200) chunk, CASE WHEN p_partkey%2=0 THEN 'A' ELSE 'B' END k FROM part WHERE p_partkey<=300), m AS (SELECT p_partkey seq, p_name, 'c'||(p_partkey%200) chunk FROM part WHERE p_partkey BETWEEN 201 AND 600), j AS (SELECT m.seq, n.p_partkey, n.chunk=m.chunk here, n.k='A' fit FROM m LEFT JOIN n ON m.p_name=n.p_name) SELECT seq, CASE WHEN count(p_partkey)=1 THEN min(p_partkey) WHEN count(*) FILTER (WHERE here)>0 THEN min(p_partkey) FILTER (WHERE here) WHEN count(*) FILTER (WHERE fit)=1 THEN min(p_partkey) FILTER (WHERE fit) END node FROM j GROUP BY seq")
+@query("WITH n AS (SELECT p_partkey, p_name||'/'||(p_partkey//128) nm, 'c'||(p_partkey%3) chunk, CASE WHEN p_partkey%2=0 THEN 'A' ELSE 'B' END k FROM part), m AS (SELECT p_partkey seq, p_name||'/'||(p_partkey//128) nm, 'c'||(p_partkey%5) chunk FROM part), j AS (SELECT m.seq, n.p_partkey, n.chunk=m.chunk here, n.k='A' fit FROM m LEFT JOIN n USING (nm)) SELECT seq, CASE WHEN count(p_partkey)=1 THEN min(p_partkey) WHEN count(*) FILTER (WHERE here)>0 THEN min(p_partkey) FILTER (WHERE here) WHEN count(*) FILTER (WHERE fit)=1 THEN min(p_partkey) FILTER (WHERE fit) END node FROM j GROUP BY seq")
 def name_resolution(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    chunk = F.concat(F.lit("c"), (F.col("p_partkey") % 200).cast("string"))
-    nodes = part.where("p_partkey <= 300").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("entity_type"), F.array(chunk).alias("source_chunk_ids"))
-    wanted = part.where("p_partkey BETWEEN 201 AND 600").select(F.col("p_partkey").alias("seq"), chunk.alias("chunk_id"), F.col("p_name").alias("name"), F.array(F.lit("A")).alias("wanted_types"))
+    part = table(spark, sf_dir, "part").withColumn("name", F.concat("p_name", F.lit("/"), F.expr("p_partkey div 128").cast("string")))
+    chunk = lambda n: F.concat(F.lit("c"), (F.col("p_partkey") % n).cast("string"))
+    nodes = part.select("name", F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("entity_type"), F.array(chunk(3)).alias("source_chunk_ids"))
+    wanted = part.select(F.col("p_partkey").alias("seq"), chunk(5).alias("chunk_id"), "name", F.array(F.lit("A")).alias("wanted_types"))
     return fusion.resolve_names(wanted, nodes).select("seq", F.col("node_id").alias("node"))
 
 
 @query("SELECT event_id, (k IS NULL OR length(k)<2) missing_k, (v IS NULL OR length(v)<2) missing_v FROM (SELECT event_id, json_extract_string(props, '$.k') k, CASE WHEN event_id%3=0 THEN 'x' ELSE event_type END v FROM events)")
 def structure_validate(spark, sf_dir):
-    short = lambda c: c.isNull() | (F.length(F.trim(c)) < 2)
-    rows = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.col("event_type")).alias("v"))
-    return rows.select("event_id", short(F.col("k")).alias("missing_k"), short(F.col("v")).alias("missing_v"))
+    given = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("v"), F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.col("event_type")))
+    rows = governance.structure_problems(table(spark, sf_dir, "events").select("event_id", given.alias("properties")), ["k", "v"])
+    return rows.select("event_id", F.array_contains("missing", "k").alias("missing_k"), F.array_contains("missing", "v").alias("missing_v"))
 
 
 _WITHOUT = r"regexp_replace({}, '\s+', '', 'g')"
 
 
-@query(f"SELECT d.doc_id, b.item_id, contains({_WITHOUT.format('d.text')}, {_WITHOUT.format('b.text')}) verified FROM documents d JOIN benchmark b ON d.doc_id%(SELECT count(*) FROM benchmark)=b.item_id")
+@query(f"SELECT d.doc_id, b.item_id, contains({_WITHOUT.format('d.text')}, {_WITHOUT.format('substr(trim(b.text),1,300)')}) verified FROM documents d JOIN benchmark b ON d.doc_id%(SELECT count(*) FROM benchmark)=b.item_id")
 def evidence_verify(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     n = items.count()
-    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
     pairs = table(spark, sf_dir, "documents").join(items.withColumnRenamed("text", "quote"), F.col("doc_id") % n == F.col("item_id"))
-    return pairs.select("doc_id", "item_id", ((F.length("quote") > 0) & bare("text").contains(bare("quote"))).alias("verified"))
+    stored = resolution.evidence(F.col("doc_id").cast("string"), F.array("quote"), F.col("text"), resolution.evidence_mode(F.lit("surface")))
+    return pairs.select("doc_id", "item_id", F.get(stored, F.lit(0))["verified"].alias("verified"))
 
 
 @query(f"WITH {fx.SQL_DRAFT_NODES} SELECT id, has_quote AND coalesce(verified, true) ok FROM draft_nodes")
@@ -360,9 +355,9 @@ def review_queue(spark, sf_dir):
     return _queue(spark, sf_dir).select("id", "change", "violation", "verified", "confidence", "n_support")
 
 
-@query(f"{_QUEUE} SELECT count(*) total, count(*) FILTER (WHERE violation IS NOT NULL) with_violations, count(*) FILTER (WHERE NOT verified) unverified FROM queue WHERE change<>'unchanged'")
+@query(f"{_QUEUE} SELECT count(*) total, count(*) pending, count(*) FILTER (WHERE violation IS NOT NULL) with_violations, count(*) FILTER (WHERE NOT verified) unverified FROM queue WHERE change<>'unchanged'")
 def review_stats(spark, sf_dir):
-    return _queue(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("violation").isNotNull()).alias("with_violations"), F.count_if(~F.col("verified")).alias("unverified"))
+    return governance.review_totals(_queue(spark, sf_dir))
 
 
 @query(f"{_QUEUE} SELECT id, violation IS NOT NULL OR (entity_type='Part' AND n_support<2) OR NOT verified OR confidence<0.8 high_risk FROM queue WHERE change<>'unchanged'")
@@ -420,14 +415,13 @@ def factextract_f1(spark, sf_dir):
 @query("SELECT source, count(*) facts, sum(CASE WHEN quality=1 THEN 1 ELSE 0 END)::BIGINT supported, round(least(1, sum(CASE WHEN quality=1 THEN 1 ELSE 0 END)/count(*)), 4)::DOUBLE retention FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def retention(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    good = F.count_if(F.col("quality") == 1)
-    return joined.groupBy("source").agg(F.count("*").alias("facts"), good.alias("supported"), F.round(F.least(F.lit(1.0), good / F.count("*")), 4).alias("retention"))
+    return governance.retention(joined.withColumn("supported", F.coalesce(F.col("quality") == 1, F.lit(False))), "source")
 
 
 @query(f"WITH {fx.SQL_DRAFT_NODES} SELECT t.name entity_type FROM (VALUES ('Region'),('Nation'),('Customer'),('Supplier'),('Part'),('Zone'),('Gadget')) t(name) WHERE t.name NOT IN (SELECT entity_type FROM draft_nodes)")
 def underused_types(spark, sf_dir):
-    declared = spark.createDataFrame([(n,) for n in ("Region", "Nation", "Customer", "Supplier", "Part", "Zone", "Gadget")], "entity_type string")
-    return declared.exceptAll(fx.draft_nodes(spark, sf_dir).select("entity_type").distinct())
+    declared = spark.createDataFrame([(n,) for n in ("Region", "Nation", "Customer", "Supplier", "Part", "Zone", "Gadget")], "name string")
+    return governance.type_usage(fx.draft_nodes(spark, sf_dir), declared).where("n = 0").select("entity_type")
 
 
 @query("SELECT event_type project_id, user_id%10 run_id, sum(event_id%100)::BIGINT prompt_tokens, sum(event_id%7)::BIGINT completion_tokens, sum(event_id%100+event_id%7)::BIGINT total_tokens, count(*) calls FROM events GROUP BY ALL")
@@ -459,9 +453,9 @@ def within_file_sample(spark, sf_dir):
     return governance.even_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 5).select("source", "doc_id", "position")
 
 
-@query("WITH s AS (SELECT lang, count(*) len, sum(count(*)) OVER () a, count(*) OVER () g FROM documents GROUP BY 1), q AS (SELECT lang, least(len, greatest(1, 2+round_even((60-2*g)*len/a, 0)::INT)) quota FROM s) SELECT lang, doc_id, rank::INT rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) rank FROM documents) JOIN q USING (lang) WHERE rank<=quota")
+@query("WITH s AS (SELECT lang, count(*) len, sum(count(*)) OVER () a, count(*) OVER () g FROM documents GROUP BY 1), q AS (SELECT lang, len, 2+round_even((60-2*g)*len/a, 0)::INT quota FROM s), n AS (SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id)-1)::INT position FROM documents) SELECT lang, doc_id, position FROM n JOIN q USING (lang) WHERE len<=quota OR list_contains(list_transform(range(quota), lambda i: round_even(i*((len-1)/greatest(1, quota-1)), 0)::INT), position)")
 def stratified_sample(spark, sf_dir):
-    return governance.stratified_sample(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 60).select("lang", "doc_id", "rank")
+    return governance.stratified_sample(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 60).select("lang", "doc_id", "position")
 
 
 # ---- structure and bridge layers ---------------------------------------------------------------------------------
@@ -488,29 +482,42 @@ def section_chain(spark, sf_dir):
     return structure.section_chain(_chunks(spark, sf_dir))
 
 
-@query(f"WITH {_CHUNKS} SELECT {_EDGE} FROM (SELECT chunk_id source_id, 'doc_'||substr(doc_id::VARCHAR,1,24) target_id, '属于文档' relation_type FROM chunks UNION ALL SELECT chunk_id, sec, '属于章节' FROM chunks WHERE sec IS NOT NULL)")
+_SECTION = "'sec_'||substr(sha1(doc_id||chr(9247)||{}),1,24)"
+
+
+@query(
+    f"WITH {_CHUNKS}, s AS (SELECT DISTINCT doc_id, idx//4 k FROM chunks WHERE sec IS NOT NULL), d AS (SELECT *, 'doc_'||substr(doc_id::VARCHAR,1,24) doc FROM chunks) SELECT {_EDGE} FROM (SELECT chunk_id source_id, doc target_id, '属于文档' relation_type FROM d WHERE sec IS NULL UNION ALL SELECT chunk_id, sec, '属于章节' FROM d WHERE sec IS NOT NULL UNION ALL SELECT DISTINCT {_SECTION.format("'Top'")}, doc, '属于文档' FROM d WHERE sec IS NOT NULL UNION ALL SELECT {_SECTION.format("'Top'||chr(9247)||'Part '||k")}, {_SECTION.format("'Top'")}, '属于章节' FROM s)"
+)
 def chunk_membership(spark, sf_dir):
     return structure.membership(_chunks(spark, sf_dir))
 
 
-_BRIDGE = f"WITH {fx.SQL_DRAFT_NODES}, u AS (SELECT id, unnest(source_chunk_ids) chunk_id FROM draft_nodes WHERE seq<1000000060 OR seq BETWEEN 2000000000 AND 2000000060)"
+_BRIDGE = f"WITH {fx.SQL_DRAFT_NODES}, u AS (SELECT id, unnest(list_distinct(['k'||(seq//4), CASE WHEN seq%5=0 THEN 'k'||(seq//4+1) ELSE 'cold_start' END])) chunk_id FROM draft_nodes), bridge_chunks AS (SELECT DISTINCT 'k'||(seq//4) chunk_id, seq//4 k FROM draft_nodes)"
 
 
 def _bridge_nodes(spark, sf_dir):
-    return fx.draft_nodes(spark, sf_dir).where("seq < 1000000060 OR seq BETWEEN 2000000000 AND 2000000060")
+    """Draft nodes, four to a chunk and some in the next one too, however many there are."""
+    quarter = F.expr("seq div 4")
+    more = F.when(F.col("seq") % 5 == 0, F.concat(F.lit("k"), (quarter + 1).cast("string"))).otherwise(F.lit("cold_start"))
+    return fx.draft_nodes(spark, sf_dir).withColumn("source_chunk_ids", F.array_distinct(F.array(F.concat(F.lit("k"), quarter.cast("string")), more)))
+
 
+def _bridge_chunks(spark, sf_dir):
+    k = F.expr("seq div 4")
+    return fx.draft_nodes(spark, sf_dir).select(F.concat(F.lit("k"), k.cast("string")).alias("chunk_id"), (k % 97).alias("doc_id"), k.alias("idx")).distinct()
 
-@query(f"{_BRIDGE} SELECT {_EDGE} FROM (SELECT DISTINCT id source_id, CASE WHEN chunk_id='chunk_3' THEN chunk_id ELSE chunk_id||'_seg' END target_id, '提及于' relation_type FROM u WHERE chunk_id<>'cold_start') ")
+
+@query(f"{_BRIDGE} SELECT {_EDGE} FROM (SELECT DISTINCT id source_id, CASE WHEN k%7=0 THEN chunk_id ELSE chunk_id||'_seg' END target_id, '提及于' relation_type FROM u JOIN bridge_chunks USING (chunk_id))")
 def mention_edges(spark, sf_dir):
     nodes = _bridge_nodes(spark, sf_dir)
-    chunks = spark.range(50).select(F.concat(F.lit("chunk_"), F.col("id").cast("string")).alias("chunk_id"), F.col("id").alias("doc_id"))
-    anchored = structure.anchors(chunks, nodes.withColumn("source_chunk_ids", F.filter("source_chunk_ids", lambda c: c != "chunk_3")))
-    return structure.mentions(nodes, anchored)
+    named = nodes.withColumn("source_chunk_ids", F.filter("source_chunk_ids", lambda c: F.coalesce(F.substring(c, 2, 20).try_cast("bigint") % 7 != 0, F.lit(True))))
+    return structure.mentions(nodes, structure.anchors(_bridge_chunks(spark, sf_dir), named)).select("id", "source_id", "target_id", "relation_type")
 
 
-@query(f"{_BRIDGE}, d AS (SELECT DISTINCT id, chunk_id FROM u), k AS (SELECT chunk_id FROM d GROUP BY 1 HAVING count(*) BETWEEN 2 AND 10), {fx.sql_edges('in_region','in_nation')}, p AS (SELECT a.id source_id, b.id target_id, '共现' relation_type FROM d a JOIN d b ON a.chunk_id=b.chunk_id AND a.id<b.id WHERE a.chunk_id IN (SELECT chunk_id FROM k)) SELECT DISTINCT {_EDGE} FROM p WHERE NOT EXISTS (SELECT 1 FROM star_edges e WHERE (e.source_id=p.source_id AND e.target_id=p.target_id) OR (e.source_id=p.target_id AND e.target_id=p.source_id))")
+@query(f"{_BRIDGE}, d AS (SELECT DISTINCT id, chunk_id FROM u), k AS (SELECT chunk_id FROM d GROUP BY 1 HAVING count(*) BETWEEN 2 AND 10), {fx.sql_edges('in_region','in_nation')}, p AS (SELECT a.id source_id, b.id target_id, '共现' relation_type, min(a.chunk_id) chunk FROM d a JOIN d b ON a.chunk_id=b.chunk_id AND a.id<b.id WHERE a.chunk_id IN (SELECT chunk_id FROM k) GROUP BY 1, 2) SELECT {_EDGE}, chunk, 0.3::DOUBLE confidence FROM p WHERE NOT EXISTS (SELECT 1 FROM star_edges e WHERE e.source_id=p.source_id AND e.target_id=p.target_id) AND NOT EXISTS (SELECT 1 FROM star_edges e WHERE e.source_id=p.target_id AND e.target_id=p.source_id)")
 def cooccur_edges(spark, sf_dir):
-    return structure.co_occurrences(_bridge_nodes(spark, sf_dir), fx.star_edges(spark, sf_dir, ("in_region", "in_nation")))
+    found = structure.co_occurrences(_bridge_nodes(spark, sf_dir), fx.star_edges(spark, sf_dir, ("in_region", "in_nation")))
+    return found.select("id", "source_id", "target_id", "relation_type", F.col("source_chunk_ids")[0].alias("chunk"), "confidence")
 
 
 # ---- similarity, clustering and vectors --------------------------------------------------------------------------
@@ -555,7 +562,7 @@ def predicate_clusters(spark, sf_dir):
     return fusion.canonical(fusion.name_clusters(found.select("entity_type", "name"), fusion.PREDICATE_THRESHOLD), found)
 
 
-@query(f"WITH {fx.sql_edges('supplies')}, m AS (SELECT 'n_'||substr(sha1('Part'||chr(9247)||p_name||'#'||p_partkey),1,24) id, min('n_'||substr(sha1('Part'||chr(9247)||p_name||'#'||p_partkey),1,24)) OVER (PARTITION BY p_name) g FROM part) SELECT source_id, g target_id, relation_type, min(seq) seq, 'e_'||substr(sha1(source_id||chr(9247)||relation_type||chr(9247)||g),1,24) id FROM star_edges JOIN m ON target_id=m.id GROUP BY source_id, g, relation_type")
+@query(f"WITH {fx.sql_edges('supplies')}, m AS (SELECT 'n_'||substr(sha1('Part'||chr(9247)||p_name||'#'||p_partkey),1,24) id, min('n_'||substr(sha1('Part'||chr(9247)||p_name||'#'||p_partkey),1,24)) OVER (PARTITION BY p_name) g FROM part) SELECT source_id, g target_id, relation_type, min(seq) seq, min_by(star_edges.id, seq) id FROM star_edges JOIN m ON target_id=m.id GROUP BY source_id, g, relation_type")
 def edge_redirect(spark, sf_dir):
     ids = table(spark, sf_dir, "part").select("p_name", node_id(F.lit("Part"), fx.part_name()).alias("id"))
     into = ids.groupBy("p_name").agg(F.min("id").alias("into"))
@@ -616,43 +623,46 @@ def simple_paths(spark, sf_dir):
 
 
 def _rank_sql(rounds: int) -> str:
-    out = [f"WITH {fx.SQL_NODES}, {fx.sql_edges('in_region', 'in_nation')}, e AS (SELECT DISTINCT source_id s, target_id t, count(*) OVER (PARTITION BY source_id) n FROM (SELECT DISTINCT source_id, target_id FROM star_edges)), b AS (SELECT id, CASE WHEN id IN (SELECT id FROM star_nodes WHERE entity_type='Supplier' ORDER BY seq LIMIT 4) THEN 0.25 ELSE 0 END::DOUBLE p FROM star_nodes), r0 AS (SELECT id, p r FROM b)"]
+    out = [f"WITH {fx.SQL_NODES}, {fx.sql_edges('in_region', 'in_nation', 'supplies')}, e AS MATERIALIZED (SELECT DISTINCT source_id s, target_id t, count(*) OVER (PARTITION BY source_id) n FROM (SELECT DISTINCT source_id, target_id FROM star_edges)), b AS MATERIALIZED (SELECT id, CASE WHEN id IN (SELECT id FROM star_nodes WHERE entity_type='Supplier' ORDER BY seq LIMIT 4) THEN 0.25 ELSE 0 END::DOUBLE p FROM star_nodes), r0 AS MATERIALIZED (SELECT id, p r FROM b)"]
     for i in range(rounds):
-        out.append(f"f{i} AS (SELECT t, sum(r/n) f FROM e JOIN r{i} ON s=id GROUP BY t), r{i + 1} AS (SELECT b.id, 0.85*(coalesce(f,0)+(1-(SELECT coalesce(sum(f),0) FROM f{i}))*p)+0.15*p r FROM b LEFT JOIN f{i} ON b.id=t)")
+        out.append(f"f{i} AS MATERIALIZED (SELECT t, sum(r/n) f FROM e JOIN r{i} ON s=id GROUP BY t), r{i + 1} AS MATERIALIZED (SELECT b.id, 0.85*(coalesce(f,0)+(1-(SELECT coalesce(sum(f),0) FROM f{i}))*p)+0.15*p r FROM b LEFT JOIN f{i} ON b.id=t)")
     return ", ".join(out) + f" SELECT id, round(r, 9) AS rank FROM r{rounds} WHERE r>0"
 
 
-@query(_rank_sql(4))
+@query(_rank_sql(8))
 def ppr(spark, sf_dir):
-    ranks = traversal.personalised_pagerank(fx.star_nodes(spark, sf_dir), fx.star_edges(spark, sf_dir, ("in_region", "in_nation")), _seed(spark, sf_dir, "Supplier", 4), iterations=4)
+    """A fixed number of rounds, as SQL can follow it; ``ppr_quotas`` runs until ranks settle."""
+    ranks = traversal.personalised_pagerank(fx.star_nodes(spark, sf_dir), fx.star_edges(spark, sf_dir, _KINDS), _seed(spark, sf_dir, "Supplier", 4), iterations=8, tolerance=0)
     return ranks.where("rank > 0").select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(f"WITH RECURSIVE {fx.SQL_NODES}, {fx.sql_edges('in_region')}, w AS (SELECT id, id c FROM star_nodes WHERE entity_type IN ('Nation','Region') UNION SELECT w.id, CASE WHEN e.source_id=w.c THEN e.target_id ELSE e.source_id END FROM w JOIN star_edges e ON e.source_id=w.c OR e.target_id=w.c) SELECT id, min(c) component FROM w GROUP BY 1")
+@query(f"WITH {fx.SQL_NODES}, {fx.sql_edges('in_region', 'in_nation')}, up AS (SELECT source_id s, target_id t FROM star_edges), r AS (SELECT n.id, coalesce(b.t, a.t, CASE WHEN n.entity_type='Region' THEN n.id END, n.id) root FROM star_nodes n LEFT JOIN up a ON n.id=a.s LEFT JOIN up b ON a.t=b.s) SELECT id, min(id) OVER (PARTITION BY root) component FROM r")
 def connected_components(spark, sf_dir):
-    nodes = fx.star_nodes(spark, sf_dir).where(F.col("entity_type").isin("Nation", "Region"))
-    return traversal.connected_components(nodes, fx.star_edges(spark, sf_dir, ("in_region",)))
+    return traversal.connected_components(fx.star_nodes(spark, sf_dir), fx.star_edges(spark, sf_dir, ("in_region", "in_nation")))
 
 
 @query()
 def communities(spark, sf_dir):
-    nodes = fx.star_nodes(spark, sf_dir).where(F.col("entity_type").isin("Nation", "Region", "Supplier"))
-    edges = graph.with_both_ends(fx.star_edges(spark, sf_dir, ("in_region", "in_nation")), nodes)
-    return traversal.communities(nodes, edges)
+    return traversal.communities(fx.star_nodes(spark, sf_dir), fx.star_edges(spark, sf_dir))
 
 
 @query()
 def community_summary(spark, sf_dir):
-    nodes = fx.star_nodes(spark, sf_dir).where(F.col("entity_type").isin("Nation", "Region"))
-    return traversal.community_summary(traversal.communities(nodes, fx.star_edges(spark, sf_dir, ("in_region",))), nodes)
+    nodes = fx.star_nodes(spark, sf_dir)
+    return traversal.community_summary(traversal.communities(nodes, fx.star_edges(spark, sf_dir)), nodes)
 
 
 # ---- retrieval, sessions and increments --------------------------------------------------------------------------
 
 
-@query("SELECT item_id, mode, CASE mode WHEN 'hippo' THEN 6 WHEN 'graph_flow' THEN 5 ELSE 0 END::INT entity_k, CASE mode WHEN 'global' THEN 3 WHEN 'hippo' THEN 6 WHEN 'graph_flow' THEN 6 ELSE 6 END::INT max_chunks FROM (SELECT item_id, CASE WHEN contains(lower(text),'overall') OR contains(lower(text),'summary') THEN 'global' WHEN (contains(lower(text),'between') OR contains(lower(text),'through')) AND item_id%3>0 THEN 'hippo' WHEN item_id%3>0 THEN 'graph_flow' ELSE 'text_only' END mode FROM benchmark)")
+def _hint_sql(hints: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(text,'{h}')" for h in hints) + ")"
+
+
+@query(f"SELECT item_id, mode, CASE mode WHEN 'hippo' THEN 6 WHEN 'graph_flow' THEN 5 ELSE 0 END::INT entity_k, CASE mode WHEN 'global' THEN 3 ELSE 6 END::INT max_chunks FROM (SELECT item_id, CASE WHEN {_hint_sql(retrieval.GLOBAL_HINTS)} THEN 'global' WHEN {_hint_sql(retrieval.MULTI_HOP_HINTS)} AND item_id%3>0 THEN 'hippo' WHEN item_id%3>0 THEN 'graph_flow' ELSE 'text_only' END mode FROM (SELECT item_id, CASE item_id%4 WHEN 0 THEN text||' overview' WHEN 1 THEN text||'之间' ELSE text END text FROM benchmark))")
 def route_query(spark, sf_dir):
-    queries = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"), (F.col("item_id") % 3).alias("n_entities"))
+    asked = F.concat("text", F.when(F.col("item_id") % 4 == 0, " overview").when(F.col("item_id") % 4 == 1, "之间").otherwise(""))
+    queries = table(spark, sf_dir, "benchmark").select("item_id", asked.alias("query"), (F.col("item_id") % 3).alias("n_entities"))
     return retrieval.route(queries, has_communities=True).select("item_id", "mode", "entity_k", "max_chunks")
 
 
@@ -713,7 +723,7 @@ def audit_newest(spark, sf_dir):
 
 @query(f"WITH {fx.sql_edges('in_region','in_nation')} SELECT id, count(*) degree FROM (SELECT source_id id FROM star_edges UNION ALL SELECT target_id FROM star_edges) GROUP BY 1")
 def node_degree(spark, sf_dir):
-    return traversal.steps(fx.star_edges(spark, sf_dir, ("in_region", "in_nation")), "both").groupBy(F.col("at").alias("id")).agg(F.count("*").alias("degree"))
+    return governance.degrees(fx.star_edges(spark, sf_dir, ("in_region", "in_nation")))
 
 
 # ---- flagship ----------------------------------------------------------------------------------------------------
@@ -726,18 +736,16 @@ _WORD_LIST = ", ".join(f"('{w}')" for w in _WORDS)
     f"WITH c AS (SELECT doc_id, s//400 idx, substr(text, s+1, 500) chunk, lang FROM (SELECT doc_id, lang, text, unnest(range(0, length(text), 400)) s FROM documents WHERE trim(text)<>'')), p AS (SELECT DISTINCT doc_id, idx, w AS name, upper(lang) entity_type FROM (SELECT *, unnest(list_distinct(string_split(lower(chunk), ' '))) w FROM c) WHERE w IN (VALUES {_WORD_LIST})), v AS (SELECT * FROM p WHERE entity_type<>'ES'), n AS (SELECT name, entity_type, count(*) n_chunks FROM v GROUP BY ALL) SELECT entity_type, count(*) n_nodes, sum(n_chunks)::BIGINT n_mentions FROM n GROUP BY 1"
 )
 def flagship(spark, sf_dir):
-    """documents -> window chunks -> rule proposals -> validation -> upserted nodes -> evidence check -> gate -> counts."""
-    chunks = chunking.windows(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    """documents -> window chunks -> rule proposals -> validation -> nodes merged by key, with verified evidence -> gate -> counts."""
+    chunks = chunking.windows(table(spark, sf_dir, "documents"), keep=("lang",))
     words = F.array_intersect(F.array_distinct(F.split(F.lower("chunk"), " ")), F.array(*map(F.lit, _WORDS)))
-    proposed = chunks.select("doc_id", "idx", "chunk", F.upper("lang").alias("entity_type"), F.explode(words).alias("name"))
+    found = chunks.select("doc_id", "idx", F.upper("lang").alias("entity_type"), words.alias("w"), F.lower("chunk").alias("low")).where(F.size("w") > 0)
+    # a word cut at spaces stands in the chunk as it is; the check on the text without white space is made once a chunk
+    checked = found.withColumn("ok", F.forall("w", lambda x: F.regexp_replace("low", r"(?U)\s+", "").contains(x)))
+    proposed = checked.select("doc_id", "idx", "entity_type", "ok", F.explode("w").alias("name"))
     kinds = spark.createDataFrame([("EN",), ("DE",), ("FR",)], "name string")
     valid = fusion.validate_entities(proposed, kinds).where("reason IS NULL")
-    key = chunk_id(F.col("doc_id"), F.col("idx"))
-    bare = F.regexp_replace(F.lower("chunk"), r"(?U)\s+", "")
-    rows = valid.select(node_id("entity_type", "name").alias("id"), "name", "entity_type", F.array(key).alias("source_chunk_ids"), F.array(F.struct(key.alias("chunk_id"), F.col("name").alias("quote"), bare.contains(F.col("name")).alias("verified"))).cast(QUOTES).alias("evidence_quotes"), (F.col("doc_id") * 100_000 + F.col("idx")).alias("seq"))
-    # counts need the merge key only; quotes and chunk lists stay with upsert_nodes for drafts that are stored
-    nodes = rows.groupBy("id", "name", "entity_type").agg(F.count("*").alias("n_chunks"), F.bool_or(graph.has_verified(F.col("evidence_quotes"))).alias("verified"))
-    gated = fusion.validate_entities(nodes.where("verified"), kinds).where("reason IS NULL")
+    # counts need the merge key only; quotes and chunk lists stay with upsert_nodes, for drafts that are stored
+    nodes = valid.groupBy("name", "entity_type").agg(F.count("*").alias("n_chunks"), F.bool_or("ok").alias("verified")).withColumn("id", node_id("entity_type", "name"))
+    gated = graph.judge_nodes(nodes.where("verified"), kinds).where("violation IS NULL")
     return gated.groupBy("entity_type").agg(F.count("*").alias("n_nodes"), F.sum("n_chunks").alias("n_mentions"))
-
-

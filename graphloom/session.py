@@ -5,6 +5,12 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a side that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 20_000
+#: The same for rows of a key and two numbers, some 10 MB.
+NARROW_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,13 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests) make a folder of our own."""
+    """Use the cluster's ``spark.checkpoint.dir``; where it is unset, a folder of our own, on a local master only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once, write to the shared checkpoint folder and cut the lineage; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is proven to have few rows; otherwise left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -154,10 +154,16 @@ def test_directed_bfs_keeps_a_branch_on_its_side(spark):
     assert walked == {("s", "d1"), ("d1", "d2"), ("u1", "s")}
 
 
-def test_modularity_splits_two_cliques():
+def test_modularity_splits_two_cliques(spark):
     clique = lambda names: [(a, b) for a in names for b in names if a < b]
-    found = traversal._greedy_modularity(clique("abcd") + clique("wxyz") + [("d", "w")])
-    assert len(set(found.values())) == 2 and found["a"] == found["d"] != found["w"]
+    pairs = clique("abcd") + clique("wxyz") + [("d", "w")] + [("hub", f"leaf{i}") for i in range(30)]
+    edges = spark.createDataFrame(pairs, "source_id string, target_id string")
+    nodes = spark.createDataFrame([(n,) for n in sorted({n for p in pairs for n in p} | {"alone"})], "id string")
+    found = {}
+    for r in traversal.communities(nodes, edges).collect():
+        found.setdefault(r.community_id, set()).add(r.id)
+    star = {"hub", *(f"leaf{i}" for i in range(30))}
+    assert found[1] == star and sorted(map(sorted, (found[2], found[3]))) == [list("abcd"), list("wxyz")] and len(found) == 3
 
 
 def test_plans_round_trip_and_report_problems():

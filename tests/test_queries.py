@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from graphloom.plans import catalog_more  # noqa: F401  adds to the catalog
 from graphloom.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
