@@ -110,6 +110,10 @@ def _joined(runs: Column, ones: Column, length: int) -> Column:
     return let(runs, zipped)
 
 
+#: Folders of tables that were written here and not forgotten yet, and a session to delete them with.
+_KEPT: dict[str, DataFrame] = {}
+
+
 def stashed(df: DataFrame, parts: int | None = None) -> DataFrame:
     """``df`` written once as a compressed table into the shared checkpoint folder and read from there; cuts lineage.
 
@@ -120,11 +124,18 @@ def stashed(df: DataFrame, parts: int | None = None) -> DataFrame:
     (df if parts is None else df.coalesce(parts)).write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.stash = path
+    _KEPT[path] = found
     return found
 
 
 def forget(*tables: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more."""
     for df in tables:
+        _KEPT.pop(df.stash, None)
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stash)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget_all() -> None:
+    """Delete every table that is still kept; only for callers whose results so far are all written elsewhere."""
+    forget(*list(_KEPT.values()))

@@ -36,7 +36,7 @@ from graphloom.llm.segments import U, encoded, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, BEST, SEED = 2, 4, 17
 #: Characters of texts that are cut at once, words in a batch of them, and distinct words that a worker remembers.
-CHARS, BATCH, CACHE = 3_000_000, 150_000, 300_000
+CHARS, BATCH, CACHE = 1_500_000, 100_000, 150_000
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is cut; no valid text has it.
 _LITERAL = "\udb81"
