@@ -1,5 +1,8 @@
 """A corpus pipeline over ``documents``: every stage works on all rows that its predecessor kept.
 
+Each result is written as Parquet before the next stage is called, so a stage begins by deleting the working tables that
+the ones before it have left in the shared folder.
+
 Quality rules drop documents, near-dedup keeps one document of each group, substring dedup cuts repeated passages,
 decontamination drops documents that hold benchmark windows, and the last stage segments what is left.
 """
@@ -11,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontaminate, fm_dedup, quality_rules, shingle_dedup, sp_codec
+from graphloom.llm.common import forget_all
 from graphloom.session import ensure_checkpoint_dir, table
 
 
@@ -19,18 +23,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget_all()
     return shingle_dedup.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget_all()
     return fm_dedup.remove_repeats(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget_all()
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forget_all()
     return sp_codec.segmentations(docs)
 
 
@@ -42,7 +50,7 @@ STAGES = [
     ("segmentation", segmentations),
 ]
 
-#: The last stages have no SQL form; the tests hold each stage against a brute-force version.
+#: The last stages have no SQL form; the tests hold the operators of the stages against brute-force versions.
 ORACLE_SQL = None
 
 

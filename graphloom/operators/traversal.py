@@ -121,7 +121,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = moved.select("id", "component")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, least: int = 3, rounds: int = 30) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, least: int = 3, rounds: int = 12) -> DataFrame:
     """(id, community, size, community_id) by modularity, over edge tables at every size; community_id ranks by size.
 
     Every node starts alone. In a round each community chooses the neighbour whose union gains most modularity. Two that
@@ -133,10 +133,11 @@ def communities(nodes: DataFrame, edges: DataFrame, least: int = 3, rounds: int
     total = 2.0 * links.count()
     of = materialize(nodes.select("id", F.col("id").alias("community")).distinct())
     degree = materialize(links.select(F.explode(F.array("a", "b")).alias("c"), "w").groupBy("c").agg(F.sum("w").alias("d")))
+    few = F.broadcast if of.count() <= NARROW_ROWS else lambda df: df  # a row a node at most: degrees, choices and unions
 
     def renamed(df: DataFrame, into: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
-            df = df.join(into.select(F.col("c").alias(c), "into"), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
+            df = df.join(few(into.select(F.col("c").alias(c), "into")), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
         return df
 
     def united(into: DataFrame) -> tuple[DataFrame, DataFrame, float]:
@@ -151,15 +152,15 @@ def communities(nodes: DataFrame, edges: DataFrame, least: int = 3, rounds: int
     value = -float("inf")
     for _ in range(rounds if total else 0):
         both = links.select("a", "b", "w").union(links.select("b", "a", "w"))
-        near = both.join(degree.select(F.col("c").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("c").alias("b"), F.col("d").alias("db")), "b")
+        near = both.join(few(degree.select(F.col("c").alias("a"), F.col("d").alias("da"))), "a").join(few(degree.select(F.col("c").alias("b"), F.col("d").alias("db"))), "b")
         gaining = near.select("a", "b", (F.col("w") / total - F.col("da") * F.col("db") / (total * total)).alias("g")).where("g > 1e-12")
         best = materialize(gaining.groupBy("a").agg(F.min_by("b", F.struct(-F.col("g"), F.least("a", "b"), F.greatest("a", "b"))).alias("b")))
         back = best.select(F.col("a").alias("b"), F.col("b").alias("back"))
-        pairs = materialize(best.join(back, "b").where("a = back AND a < b").select("a", "b"))
+        pairs = materialize(best.join(few(back), "b").where("a = back AND a < b").select("a", "b"))
         if not pairs.limit(1).count():
             break
         root = pairs.select(F.col("a").alias("c"), F.col("a").alias("into")).union(pairs.select("b", "a"))
-        led = best.join(root.select(F.col("c").alias("b"), "into"), "b").join(root.select(F.col("c").alias("a")), "a", "left_anti").select(F.col("a").alias("c"), "into")
+        led = best.join(few(root.select(F.col("c").alias("b"), "into")), "b").join(few(root.select(F.col("c").alias("a"))), "a", "left_anti").select(F.col("a").alias("c"), "into")
         into = materialize(root.where("c <> into").union(led))
         after = united(into)
         if after[2] <= value:
