@@ -643,13 +643,13 @@ def connected_components(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    return traversal.communities(fx.star_nodes(spark, sf_dir), fx.star_edges(spark, sf_dir))
+    return traversal.communities(fx.star_nodes(spark, sf_dir), fx.star_edges(spark, sf_dir, ("in_region", "in_nation")))
 
 
 @query()
 def community_summary(spark, sf_dir):
     nodes = fx.star_nodes(spark, sf_dir)
-    return traversal.community_summary(traversal.communities(nodes, fx.star_edges(spark, sf_dir)), nodes)
+    return traversal.community_summary(traversal.communities(nodes, fx.star_edges(spark, sf_dir, ("in_region", "in_nation"))), nodes)
 
 
 # ---- retrieval, sessions and increments --------------------------------------------------------------------------
