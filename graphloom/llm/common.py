@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,8 +111,29 @@ def _joined(runs: Column, ones: Column, length: int) -> Column:
     return let(runs, zipped)
 
 
-#: Folders of tables that were written here and not forgotten yet, and a session to delete them with.
-_KEPT: dict[str, DataFrame] = {}
+#: The scope that owns the tables which are stashed now, if any.
+_OPEN: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+class Scope:
+    """Owner of working tables: those stashed inside ``with scope:`` belong to it until ``close`` deletes them.
+
+    Whoever opens a scope closes it once every result that reads its tables is written elsewhere. Tables stashed outside
+    of any scope stay with the session. Scopes nest; a table belongs to the innermost."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scope:
+        self._token = _OPEN.set(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _OPEN.reset(self._token)
+
+    def close(self) -> None:
+        forget(*self.tables)
+        self.tables = []
 
 
 def stashed(df: DataFrame, parts: int | None = None) -> DataFrame:
@@ -124,18 +146,13 @@ def stashed(df: DataFrame, parts: int | None = None) -> DataFrame:
     (df if parts is None else df.coalesce(parts)).write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.stash = path
-    _KEPT[path] = found
+    if _OPEN.get() is not None:
+        _OPEN.get().tables.append(found)
     return found
 
 
 def forget(*tables: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more."""
     for df in tables:
-        _KEPT.pop(df.stash, None)
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stash)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def forget_all() -> None:
-    """Delete every table that is still kept; only for callers whose results so far are all written elsewhere."""
-    forget(*list(_KEPT.values()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, decontaminate, fm_dedup, html_extract, license_scan, quality_model, quality_rules, sa_dedup, simhash_dedup, sp_codec
+from graphloom.llm import chat_format, collocations, decontaminate, exact_topk, fm_dedup, hard_negatives, html_extract, license_scan, quality_model, quality_rules, sa_dedup, simhash_dedup, sp_codec
 from graphloom.session import table
 
 
@@ -55,7 +55,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_chat_format, op3_fm_dedup, op4_sa_dedup, op5_simhash_dedup, op6_sentencepiece, op7_quality_model, op8_quality_rules, op9_license_scan, op10_decontaminate)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_matches(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_chat_format, op3_fm_dedup, op4_sa_dedup, op5_simhash_dedup, op6_sentencepiece, op7_quality_model, op8_quality_rules, op9_license_scan, op10_decontaminate, op11_hard_negatives, op12_collocations, op13_exact_topk)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _TOKENS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -86,7 +100,28 @@ def _quality_sql() -> str:
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} kept, {", ".join(quality_rules.SHARES)} FROM m"""
 
 
+def _integers(scale: int, more: str = "") -> str:
+    """Vectors that take part, as whole numbers."""
+    return f"SELECT vec_id{more}, list_transform(embedding, lambda x: floor({scale}*x::DOUBLE)) e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0"
+
+
+_PHRASE = "array_to_string(w[{}:{}], ' ')"
+
 ORACLE_SQL = {
+    "op11_hard_negatives": f"""WITH v AS ({_integers(256, ", CASE WHEN vec_id%7=0 THEN (label+1)%10 ELSE label END label")} AND label IS NOT NULL),
+ s AS (SELECT a.vec_id anchor_id, c.vec_id, a.label = c.label same, list_dot_product(a.e, c.e)::BIGINT score FROM v a JOIN v c ON a.vec_id%100=0 AND a.vec_id <> c.vec_id),
+ p AS (SELECT anchor_id, vec_id positive_id, score positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+ SELECT anchor_id, positive_id, (row_number() OVER w)::INT rank, vec_id negative_id, positive_score, score negative_score FROM p JOIN s USING (anchor_id)
+ WHERE NOT same AND 100*score BETWEEN 30*positive_score AND 90*positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
+    "op12_collocations": f"""WITH p AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') w FROM (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p FROM documents)),
+ f AS (SELECT lang, k, {_PHRASE.format("i", "i+k-1")} phrase, count(*) f FROM p, range(1, 6) a(k), unnest(range(1, len(w)-k+2)) b(i) GROUP BY ALL HAVING count(*) >= 100),
+ n AS (SELECT lang, sum(len(w))::BIGINT n FROM p GROUP BY 1), c AS (SELECT lang, k, phrase, string_split(phrase, ' ') w, f a FROM f WHERE k > 1),
+ cut AS (SELECT c.lang, c.k, phrase, a, j, {_PHRASE.format("1", "j")} x, {_PHRASE.format("j+1", "k")} y FROM c, unnest(range(1, k)) t(j)),
+ s AS (SELECT cut.lang, cut.phrase, a, j, l.f l, r.f r, n, ((1000::HUGEINT*a*n)//(l.f::HUGEINT*r.f))::BIGINT score FROM cut JOIN f l ON l.lang=cut.lang AND l.phrase=x JOIN f r ON r.lang=cut.lang AND r.phrase=y JOIN n ON n.lang=cut.lang QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, j) = 1),
+ held AS (SELECT lang, {_PHRASE.format("i", "i+m-1")} phrase, max(a) longer FROM c, unnest(range(2, k)) t(m), unnest(range(1, k-m+2)) u(i) GROUP BY ALL)
+ SELECT s.lang, row_number() OVER w rank, s.phrase, a, l, r, n, score FROM s LEFT JOIN held h ON h.lang=s.lang AND h.phrase=s.phrase WHERE longer IS NULL OR longer < a WINDOW w AS (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) QUALIFY rank <= 2000""",
+    "op13_exact_topk": f"""WITH v AS ({_integers(64)}) SELECT q.vec_id query_id, (row_number() OVER w)::INT rank, c.vec_id, list_dot_product(q.e, c.e)::BIGINT score FROM v q JOIN v c ON q.vec_id%20=0 AND c.vec_id <> q.vec_id
+ WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) QUALIFY row_number() OVER w <= 20""",
     "op3_fm_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
  win AS (SELECT doc_id, s, md5(array_to_string(w[s:s+34], ' ')) g FROM d, unnest(range(1, len(w)-33)) t(s)),
  gone AS (SELECT DISTINCT doc_id, unnest(range(s, s+35)) i FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),

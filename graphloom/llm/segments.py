@@ -300,10 +300,15 @@ _KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def word_symbols(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word; each block of eight bytes is mixed into what went before."""
-    data = np.frombuffer(raw, np.uint8)
-    first, last = word_bounds(data)
-    length = last - first
+    """A 64-bit hash of every word between ASCII white space."""
+    return word_hashes(raw, *word_bounds(np.frombuffer(raw, np.uint8)))
+
+
+def word_hashes(raw: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every stretch; each block of eight bytes is mixed into what went before.
+
+    Different words can share one (and such words can be made up): good for finding what may be equal, not for telling."""
+    data, length = np.frombuffer(raw, np.uint8), last - first
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     blocks = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
     out = mix(length.astype(U) + _ODD)
