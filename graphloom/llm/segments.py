@@ -1,9 +1,10 @@
 """Repeated windows over a whole corpus: which stretches of ``window`` symbols start in two places or more.
 
-Symbols are words or bytes, seen as 64-bit values. Every window's anchor is the least hash of its runs of ``k``
-symbols, the first of them where there are several, so equal windows have equal anchors in equal places. Consecutive
-windows with the same place form a segment. Only segments whose anchor occurs twice or more can hold a repeated window.
-Equal segments are one, with its number of copies; they are told apart by anchor and a second hash, 128 bits in all.
+Symbols are words or bytes, hashed to 64-bit values. Every window's anchor is the least hash of its runs of ``k``
+symbols, the first of them where there are several, so equal windows have equal anchors in equal places; an anchor only
+says what may be equal. Consecutive windows with the same place form a segment. Only segments whose anchor occurs twice
+or more can hold a repeated window. Equal segments are one, with its number of copies: they are told apart by anchor and
+a 128-bit BLAKE2b digest of their own bytes (words joined by one space), never by the hashes of their symbols.
 
 * Where an anchor has one distinct segment, its copies repeat all of it.
 * The distinct segments of other anchors go to shards, in which an index decides (FM-index or suffix array, see the
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import forget, stashed
+from graphloom.llm.common import Scope, forget, stashed
 
 #: Symbols hashed at once; longer texts are cut into pieces that overlap by a window less one.
 PIECE = 1 << 16
@@ -86,11 +88,16 @@ def _signed(digest: int) -> int:
     return digest - (digest >> 63 << 64)
 
 
+def content(body: bytes) -> bytes:
+    """What tells segments apart; nobody can make up two bodies that share it."""
+    return blake2b(body, digest_size=16).digest()
+
+
 def cut_segments(symbols: np.ndarray, lengths: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
-    """(first, windows, lead, anchor, content hash) of the segments of texts that stand one after another in ``symbols``."""
+    """(first, windows, lead, anchor) of the segments of texts that stand one after another in ``symbols``."""
     none = np.zeros(0, np.int64)
     if len(symbols) < window:
-        return none, none, none, none.view(U), none.view(U)
+        return none, none, none, none.view(U)
     hashes = run_hashes(as_values(symbols), k)
     least = window_minima(hashes, window - k + 1)
     ends = np.repeat(np.cumsum(lengths), lengths)[: len(least)]
@@ -99,9 +106,7 @@ def cut_segments(symbols: np.ndarray, lengths: np.ndarray, k: int, window: int)
     starts[1:] &= ~whole[:-1] | (least[1:] != least[:-1])
     first = np.flatnonzero(starts)
     stop = np.flatnonzero(whole & ~np.concatenate((whole[1:] & ~starts[1:], [False]))) + 1
-    raw, size, digest = symbols.tobytes(), symbols.itemsize, xxhash.xxh3_64_intdigest
-    content = [digest(raw[a:b]) for a, b in zip((first * size).tolist(), ((stop + window - 1) * size).tolist(), strict=True)]
-    return first, stop - first, least[first] - first, hashes[least[first]], np.array(content, U)
+    return first, stop - first, least[first] - first, hashes[least[first]]
 
 
 def pieces(sizes: list[int], window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -123,9 +128,11 @@ def pieces(sizes: list[int], window: int) -> Iterator[list[tuple[int, int, int]]
 
 @dataclass(frozen=True)
 class Kind:
-    """How UTF-8 bytes become symbols: ``symbols`` gives comparable 64-bit values (or bytes), ``slicer`` stretches of a
-    text as bytes, and ``read`` symbols of stretches that are equal if and only if the stretches' bytes or words are."""
+    """How UTF-8 bytes become symbols: ``plain`` gives equal bytes for equal sequences of symbols, ``symbols`` hashes them
+    to 64-bit values (or leaves bytes), ``slicer`` gives stretches of a plain text as bytes, and ``read`` symbols of
+    stretches that are equal if and only if the stretches' bytes or words are."""
 
+    plain: Callable[[bytes], bytes]
     symbols: Callable[[bytes], np.ndarray]
     slicer: Callable[[bytes], Callable[[int, int], bytes]]
     read: Callable[[list[bytes]], list[np.ndarray]]
@@ -142,19 +149,23 @@ def _segments(docs: DataFrame, kind: Kind, k: int, window: int) -> DataFrame:
         for frame in frames:
             keys = frame["row_key"].to_numpy()
             for low in range(0, len(frame), 256):
-                texts = [kind.symbols(encoded(t)) for t in frame["text"].iloc[low : low + 256]]
+                raws = [kind.plain(encoded(t)) for t in frame["text"].iloc[low : low + 256]]
+                texts = [kind.symbols(raw) for raw in raws]
+                bodies = [kind.slicer(raw) for raw in raws]
                 for batch in pieces([len(t) for t in texts], window):
                     parts = [texts[i][a:b] for i, a, b in batch]
                     lengths = np.array([len(p) for p in parts])
                     symbols = np.concatenate(parts)
-                    first, n, lead, anchor, content = cut_segments(symbols, lengths, k, window)
+                    first, n, lead, anchor = cut_segments(symbols, lengths, k, window)
                     offsets = np.cumsum(lengths) - lengths
                     part = np.searchsorted(offsets, first, "right") - 1
                     begin = np.array([a for _, a, _ in batch])
-                    owner = np.array([i for i, _, _ in batch])
-                    yield pd.DataFrame({"row_key": keys[low + owner[part]], "start": first - offsets[part] + begin[part], "n": n.astype(np.int32), "lead": lead.astype(np.int32), "anchor": anchor.view(np.int64), "content": content.view(np.int64)})
+                    owner = np.array([i for i, _, _ in batch])[part]
+                    start = first - offsets[part] + begin[part]
+                    digests = [content(bodies[i](a, b)) for i, a, b in zip(owner.tolist(), start.tolist(), (start + n + window - 1).tolist(), strict=True)]
+                    yield pd.DataFrame({"row_key": keys[low + owner], "start": start, "n": n.astype(np.int32), "lead": lead.astype(np.int32), "anchor": anchor.view(np.int64), "content": digests})
 
-    return docs.select("row_key", "text").mapInPandas(scan, "row_key binary, start bigint, n int, lead int, anchor bigint, content bigint")
+    return docs.select("row_key", "text").mapInPandas(scan, "row_key binary, start bigint, n int, lead int, anchor bigint, content binary")
 
 
 Solver = Callable[[list[np.ndarray], np.ndarray], list[list[tuple[int, int]]]]
@@ -166,6 +177,18 @@ def repeated_spans(docs: DataFrame, kind: Kind, k: int, window: int, solve: Solv
 
     docs: row_key, text. Ranges may overlap. ``solve`` gets the distinct segments of a shard and their numbers of copies,
     and says which ranges of each are covered by repeated windows."""
+    work = Scope()
+    with work:
+        spans = _spans(docs, kind, k, window, solve, widths, shard, hot)
+        gathered = spans.groupBy("row_key").agg(F.collect_set("s").alias("s"))
+        found = gathered.select("row_key", F.transform("s", lambda s: s["first"]).alias("firsts"), F.transform("s", lambda s: s["last"]).alias("lasts"))
+    out = stashed(found)
+    work.close()
+    return out
+
+
+def _spans(docs: DataFrame, kind: Kind, k: int, window: int, solve: Solver, widths: tuple[int, ...], shard: int, hot: int) -> DataFrame:
+    """(row_key, s) for every range of every text; reads working tables."""
     segments = stashed(_segments(docs, kind, k, window))
     often = stashed(segments.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
     again = stashed(segments.join(often, "anchor"))
@@ -175,11 +198,7 @@ def repeated_spans(docs: DataFrame, kind: Kind, k: int, window: int, solve: Solv
     bodies = stashed(_cut(docs, grouped, kind, window))
     found = stashed(alone.union(_ranges(bodies, kind, window, solve, widths, shard, hot)))
     own = again.select("row_key", "start", "anchor", "content").join(found, ["anchor", "content"]).select("row_key", "start", F.explode("ranges").alias("r"))
-    moved = own.select("row_key", F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last")).alias("s"))
-    spans = moved.groupBy("row_key").agg(F.collect_set("s").alias("s"))
-    out = stashed(spans.select("row_key", F.transform("s", lambda s: s["first"]).alias("firsts"), F.transform("s", lambda s: s["last"]).alias("lasts")))
-    forget(again, distinct, bodies, found)
-    return out
+    return own.select("row_key", F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last")).alias("s"))
 
 
 def _grouped(distinct: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +219,7 @@ def _cut(docs: DataFrame, distinct: DataFrame, kind: Kind, window: int) -> DataF
             for low in range(0, len(frame), 64):
                 rows = []
                 for text, parts in zip(frame["text"].iloc[low : low + 64], frame["pieces"].iloc[low : low + 64], strict=True):
-                    body = kind.slicer(encoded(text))
+                    body = kind.slicer(kind.plain(encoded(text)))
                     rows += [(p["anchor"], p["content"], p["copies"], p["n"], p["lead"], p["size"], body(p["start"], p["start"] + p["n"] + window - 1)) for p in parts]
                 if rows:
                     yield pd.DataFrame(rows, columns=["anchor", "content", "copies", "n", "lead", "size", "body"])
@@ -209,7 +228,7 @@ def _cut(docs: DataFrame, distinct: DataFrame, kind: Kind, window: int) -> DataF
     return docs.select("row_key", "text").join(wanted, F.col("row_key") == F.col("key")).select("text", "pieces").mapInPandas(run, BODY)
 
 
-BODY = "anchor bigint, content bigint, copies bigint, n int, lead int, size bigint, body binary"
+BODY = "anchor bigint, content binary, copies bigint, n int, lead int, size bigint, body binary"
 
 
 def _ranges(bodies: DataFrame, kind: Kind, window: int, solve: Solver, widths: tuple[int, ...], shard: int, hot: int) -> DataFrame:
@@ -225,7 +244,7 @@ def _ranges(bodies: DataFrame, kind: Kind, window: int, solve: Solver, widths: t
     total = fit.agg(F.sum(F.col("n") + (window - 1))).first()[0] or 0
     shards = max(1, -(-total // shard))
     dealt = fit.select("anchor", "content", "copies", "body", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    found = dealt.groupBy("shard").applyInPandas(lambda g: decide(g), f"anchor bigint, content bigint, ranges {RANGES}")
+    found = dealt.groupBy("shard").applyInPandas(lambda g: decide(g), f"anchor bigint, content binary, ranges {RANGES}")
     large = bodies.where(F.col("size") > hot)
     return found.union(_split(large, kind, window, solve, widths, shard, hot)) if widths and large.limit(1).count() else found
 
@@ -241,7 +260,7 @@ def _split(large: DataFrame, kind: Kind, window: int, solve: Solver, widths: tup
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for anchor, content, copies, n, lead, body in zip(*(frame[c] for c in ("anchor", "content", "copies", "n", "lead", "body")), strict=True):
+            for anchor, whole, copies, n, lead, body in zip(*(frame[c] for c in ("anchor", "content", "copies", "n", "lead", "body")), strict=True):
                 symbols, part = kind.symbols(body), kind.slicer(body)
                 offset = lead - np.arange(n)
                 begins = np.flatnonzero(np.concatenate(([True], offset[1:] // width != offset[:-1] // width)))
@@ -249,10 +268,11 @@ def _split(large: DataFrame, kind: Kind, window: int, solve: Solver, widths: tup
                     q = (lead - i) // width
                     shared = symbols[lead - width * q : lead - width * q - width + 1 + window].tobytes()
                     longer = xxhash.xxh3_64_intdigest(shared + int(q).to_bytes(8, "little", signed=True), anchor & _WHOLE)
-                    rows.append((anchor, content, i, copies, j - i, lead - i, _signed(longer), _signed(xxhash.xxh3_64_intdigest(symbols[i : j + window - 1].tobytes())), part(i, j + window - 1)))
+                    own = part(i, j + window - 1)
+                    rows.append((anchor, whole, i, copies, j - i, lead - i, _signed(longer), content(own), own))
             yield pd.DataFrame(rows, columns=columns)
 
-    schema = "parent bigint, parent_content bigint, shift bigint, copies bigint, n int, lead int, anchor bigint, content bigint, body binary"
+    schema = "parent bigint, parent_content binary, shift bigint, copies bigint, n int, lead int, anchor bigint, content binary, body binary"
     children = stashed(large.mapInPandas(run, schema).dropDuplicates(["parent", "parent_content", "shift"]))
     often = children.groupBy("anchor").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor")
     one = children.join(often, "anchor").groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("body").alias("body"))
@@ -323,7 +343,7 @@ def word_hashes(raw: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _slice_words(raw: bytes) -> Callable[[int, int], bytes]:
-    first, last = word_bounds(np.frombuffer(raw, np.uint8))
+    first, last = (edges.tolist() for edges in word_bounds(np.frombuffer(raw, np.uint8)))
     return lambda a, b: raw[first[a] : last[b - 1]]
 
 
@@ -333,5 +353,5 @@ def _read_words(bodies: list[bytes]) -> list[np.ndarray]:
     return [np.array([number.setdefault(w, len(number)) for w in b.split()], np.int64) for b in bodies]
 
 
-BYTES = Kind(lambda raw: np.frombuffer(raw, np.uint8), lambda raw: lambda a, b: raw[a:b], lambda bodies: [np.frombuffer(b, np.uint8) for b in bodies])
-WORDS = Kind(word_symbols, _slice_words, _read_words)
+BYTES = Kind(lambda raw: raw, lambda raw: np.frombuffer(raw, np.uint8), lambda raw: lambda a, b: raw[a:b], lambda bodies: [np.frombuffer(b, np.uint8) for b in bodies])
+WORDS = Kind(lambda raw: b" ".join(raw.split()), word_symbols, _slice_words, _read_words)

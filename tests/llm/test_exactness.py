@@ -5,7 +5,10 @@ import random
 
 import pytest
 
+import numpy as np
+
 from graphloom.llm import fm_dedup, sa_dedup
+from graphloom.llm.segments import U, mix, word_symbols
 
 from test_llm_operators import WORD, repeated
 
@@ -53,3 +56,33 @@ def test_anchors_with_much_text_are_split_without_loss(spark, hot):
     short = spark.createDataFrame([(i, b.decode()) for i, b in enumerate(raw)], "doc_id bigint, text string").repartition(4)
     want = {i: (sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()) for i, (b, gone) in enumerate(zip(raw, repeated(raw, 200), strict=True))}
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in sa_dedup.removal_report(short, **limits).collect()} == want
+
+
+def words_of_one_hash(rng, count=3):
+    """Words of 16 letters that ``word_symbols`` maps to one value: the second half makes up for the first."""
+    state = lambda block: mix(mix(np.array([16], U) + U(0x9E3779B97F4A7C15)) * U(0xD6E8FEB86659FD93) ^ np.frombuffer(block, "<u8")) * U(0xD6E8FEB86659FD93)
+    first = b"abcdefgh"
+    target = state(first) ^ np.frombuffer(b"ijklmnop", "<u8")
+    found = [first + b"ijklmnop"]
+    while len(found) < count:
+        block = bytes(rng.choices(range(33, 127), k=8))
+        rest = (state(block) ^ target).tobytes()
+        if all(33 <= x < 127 for x in rest):
+            found.append(block + rest)
+    assert len(set(found)) == count and len(set(word_symbols(b" ".join(found)).tolist())) == 1
+    return [w.decode() for w in found]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_words_that_share_a_hash_are_told_apart(spark, many):
+    rng = random.Random(8)
+    one, two, three = words_of_one_hash(rng)
+    shared = " ".join(words_of(rng, 34))
+    texts = [f"{shared} {one}", f"{shared} {two}", f"{shared}\t{three} end"]
+    if many:  # several distinct segments at each anchor, and true copies among them
+        texts += [f"start {shared} {one} x y", f"{two} {shared}", f"z  {shared} {two}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i: sum(gone) for i, gone in enumerate(repeated([WORD.findall(t) for t in texts], 35))}
+    for limits in ({}, {"hot": 40, "shard": 60}):
+        assert {r.doc_id: r.n_removed for r in fm_dedup.removal_report(docs, **limits).collect()} == want
+    assert want[1] == (35 if many else 0)
