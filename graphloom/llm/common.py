@@ -62,7 +62,7 @@ def covered(spans: Column) -> Column:
 def row_key(id_col: str, text_col: str) -> Column:
     """128 bits of id and text: rows that agree on both share it, and every result here is a function of both."""
     parts = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(F.col(text_col), F.lit(""))]
-    return F.unhex(F.md5(F.concat(*parts)))
+    return F.unhex(F.left(F.sha2(F.concat(*parts), 256), F.lit(32)))
 
 
 #: Most rows of two numbers and a key that may be broadcast, some 10 MB.
