@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, UPPER, small, stashed
@@ -41,8 +41,8 @@ CELL_BYTES, SHARD_BITS = 8, 20
 CHUNK, FLUSH = 1 << 21, 1 << 22
 #: Heavy cells, and bytes of patterns, that one scan takes to the workers.
 CELLS, PATTERNS = 4_000_000, 16 << 20
-#: Candidates a task keeps before it hands them on.
-SEEN = 200_000
+#: Candidates a task keeps before it hands them on, and heavy cells whose candidates are gathered together.
+SEEN, LISTED = 200_000, 10_000
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _NORMAL = bytes.maketrans(UPPER.encode() + _PIECE_ENDS + b"\t", LOWER.encode() + b"\n" * len(_PIECE_ENDS) + b" ")
 U, _ODD = np.uint64, np.uint64(0x9E3779B97F4A7C15)
@@ -139,9 +139,9 @@ def heavy_cells(docs: DataFrame, bits: int, least: int) -> DataFrame:
     return _sketched(docs, bits).groupBy("shard").applyInPandas(total, "cell bigint")
 
 
-def _candidates(docs: DataFrame, bits: int, heavy: np.ndarray, block: tuple[int, int]) -> DataFrame:
-    """(lang, phrase) that can have ``least`` occurrences, of the cells that the block holds; ``heavy`` has all cells
-    from ``block[0]`` on and below ``block[1]``, other cells are taken for heavy."""
+def _candidates(docs: DataFrame, bits: int, heavy: np.ndarray, block: tuple[int, int], shards: int) -> DataFrame:
+    """(lang, shard, phrases), compressed lines, of phrases that can have ``least`` occurrences; ``heavy`` has all heavy
+    cells from ``block[0]`` on and below ``block[1]``, other cells are taken for heavy but give no phrases."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,9 +150,9 @@ def _candidates(docs: DataFrame, bits: int, heavy: np.ndarray, block: tuple[int,
         marked = np.zeros(1 << SHARD_BITS, bool)
         marked[cells & mask] = True
         low, high = map(U, block)
-        seen: set[tuple[str, bytes]] = set()
+        seen: dict[str, set[bytes]] = {}
         for lang, raw in chunks(frames):
-            found = Phrases(lang, raw)
+            found, mine = Phrases(lang, raw), seen.setdefault(lang, set())
             before = None
             for k, (hashes, inside) in enumerate(zip(found.hashes, found.inside, strict=True), 2):
                 cell = hashes >> U(64 - bits)
@@ -165,18 +165,28 @@ def _candidates(docs: DataFrame, bits: int, heavy: np.ndarray, block: tuple[int,
                 true = cells[np.minimum(place, len(cells) - 1)] == cell[at]
                 good[at[~true]] = False
                 at, before = at[true], good
-                seen.update([(lang, raw[a:b]) for a, b in zip(found.first[at].tolist(), found.last[at + k - 1].tolist(), strict=True)])
-            if len(seen) > SEEN:
-                yield listed(seen)
-                seen = set()
-        if seen:
-            yield listed(seen)
+                mine.update([raw[a:b] for a, b in zip(found.first[at].tolist(), found.last[at + k - 1].tolist(), strict=True)])
+            if sum(map(len, seen.values())) > SEEN:
+                yield packed(seen)
+                seen = {}
+        yield packed(seen)
+
+    def packed(seen: dict[str, set[bytes]]) -> pd.DataFrame:
+        dealt: dict[tuple[str, int], list[bytes]] = {}
+        for lang, phrases in seen.items():
+            for phrase in {b" ".join(filter(None, x.split(b" "))) for x in phrases}:
+                dealt.setdefault((lang, xxhash.xxh3_64_intdigest(phrase) % shards), []).append(phrase)
+        deflate = zstandard.ZstdCompressor(1).compress
+        return pd.DataFrame([(*to, deflate(b"\n".join(sorted(phrases)))) for to, phrases in dealt.items()], columns=["lang", "shard", "phrases"])
+
+    return docs.mapInPandas(run, "lang string, shard bigint, phrases binary")
 
-    def listed(seen: set[tuple[str, bytes]]) -> pd.DataFrame:
-        texts = {(lang, b" ".join(filter(None, phrase.split(b" ")))) for lang, phrase in seen}
-        return pd.DataFrame([(lang, phrase.decode("utf-8", "surrogatepass")) for lang, phrase in texts], columns=["lang", "phrase"])
 
-    return docs.mapInPandas(run, "lang string, phrase string")
+def _listed(group: pd.DataFrame) -> pd.DataFrame:
+    """Each phrase of one language and shard once."""
+    inflate = zstandard.ZstdDecompressor().decompress
+    found = set().union(*(inflate(packed).split(b"\n") for packed in group["phrases"]))
+    return pd.DataFrame({"lang": group["lang"].iloc[0], "phrase": [p.decode("utf-8", "surrogatepass") for p in found]})
 
 
 def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -184,14 +194,15 @@ def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(SHARD_BITS, (size // CELL_BYTES).bit_length())
     heavy = stashed(heavy_cells(docs, bits, least))
-    blocks = -(-heavy.count() // CELLS)
+    size = heavy.count()
+    blocks, shards = -(-size // CELLS), max(1, size // LISTED)
     span = -(-(1 << bits) // max(blocks, 1))
     found = []
     for low in range(0, (1 << bits) if blocks else 0, span):
         cells = heavy.where(F.col("cell").between(low, low + span - 1)).toPandas()["cell"].to_numpy()
         if len(cells):
-            found.append(_candidates(docs, bits, np.sort(cells).astype(U), (low, low + span)))
-    return reduce(DataFrame.union, found).distinct() if found else docs.select("lang", F.col("text").alias("phrase")).limit(0)
+            found.append(_candidates(docs, bits, np.sort(cells).astype(U), (low, low + span), shards))
+    return reduce(DataFrame.union, found).groupBy("lang", "shard").applyInPandas(_listed, "lang string, phrase string") if found else docs.select("lang", F.col("text").alias("phrase")).limit(0)
 
 
 def _scanned(docs: DataFrame, patterns: dict[str, list[str]], count_words: bool) -> DataFrame:
@@ -240,6 +251,12 @@ def phrase_counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, scans).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def exact_score(a: str, n: str, left: str, right: str) -> Column:
+    """floor(1000 * a * n / (left * right)); the products have up to 38 digits, so nothing is rounded."""
+    whole = [f"cast({c} as decimal(19,0))" for c in (f"1000 * {a}", n, left, right)]
+    return F.expr(f"({whole[0]} * {whole[1]}) div ({whole[2]} * {whole[3]})")
+
+
 def collocations(df: DataFrame, least: int = LEAST, best: int = BEST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``best`` collocations.
 
@@ -254,9 +271,8 @@ def collocations(df: DataFrame, least: int = LEAST, best: int = BEST, lang_col:
     cut = frequent.select("lang", "phrase", "words", F.col("f").alias("a"), F.explode(sizes).alias("k"))
     cut = cut.select("lang", "phrase", "a", "k", joined(F.lit(1), F.col("k")).alias("left"), joined(F.col("k") + 1, F.size("words") - F.col("k")).alias("right"))
     left, right = (counts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)) for side, name in (("left", "l"), ("right", "r")))
-    whole = lambda c: F.col(c).cast("decimal(19,0)")
     scored = cut.join(left, ["lang", "left"]).join(right, ["lang", "right"]).join(small(totals), "lang")
-    scored = scored.withColumns({"top": (whole("a") * F.lit(1000)).cast("decimal(19,0)") * whole("n"), "under": whole("l") * whole("r")}).withColumn("score", F.expr("top div under"))
+    scored = scored.withColumn("score", exact_score("a", "n", "l", "r"))
     least_cut = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("at"))
     starts = F.flatten(F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda size: F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda at: F.array_join(F.slice("words", at, size), " "))))
     inner = frequent.where(F.size("words") > 2).select("lang", F.explode(starts).alias("phrase"), F.col("f").alias("longer"))

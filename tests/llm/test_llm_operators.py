@@ -325,15 +325,3 @@ def test_empty_tables(spark):
     for df in (fm_dedup.removal_report(docs), sa_dedup.removal_report(docs), simhash_dedup.near_duplicates(docs), quality_rules.quality_report(docs), license_scan.license_report(docs), decontaminate.decontamination_report(docs, items), sp_codec.segmentations(docs)):
         assert df.count() == 0
     assert quality_rules.keep_good(docs).count() == fm_dedup.remove_repeats(docs).count() == simhash_dedup.keep_first(docs).count() == 0
-
-
-def test_pipeline_stages(spark, docs):
-    import corpus_pipeline
-
-    left = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        if name == "decontamination":
-            continue  # reads the benchmark table, tested above
-        left = spark.createDataFrame(stage(spark, left, "").collect(), left.schema)
-        assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and left.count()
-    assert len(QUERIES) == 10 and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "substring_dedup", "decontamination", "segmentation"]
