@@ -80,7 +80,7 @@ def scan(anchors: dict, rows: dict, pivots: Pivots, k: int, same: bool) -> list[
     for found, low in zip(best, lows.T, strict=True):
         found.least = np.maximum(found.least, low)
     base = norms(m) ** 2 + pivots.top
-    slack = 1e-6 + 1e-9 * np.sqrt(base)
+    slack = 1e-6 + 1e-7 * np.sqrt(base)
     to_pivots, cuts = pivots.of_anchors(m), _slices(rows["pivot"])
     gap, far = np.empty((len(m), len(cuts))), np.empty((len(m), len(cuts)))
     for s, (a, b) in enumerate(cuts):
@@ -108,6 +108,11 @@ def scan(anchors: dict, rows: dict, pivots: Pivots, k: int, same: bool) -> list[
     return best
 
 
+def _padded(bounds: pd.Series, places: int, null: float, missing: float) -> np.ndarray:
+    """One row of bounds an anchor; those with fewer ranges than others get ranges that nothing is in."""
+    return np.array([[null if x is None or np.isnan(x) else float(x) for x in row] + [missing] * (places - len(row)) for row in bounds])
+
+
 def _task(pivots: Pivots, k: int, scale: int, same: bool):
     columns = [c.split()[0] for c in RESULT.split(", ")]
 
@@ -119,7 +124,8 @@ def _task(pivots: Pivots, k: int, scale: int, same: bool):
         width = max(a.shape[1], r.shape[1])
         names = [list(zip(t["id"], t["label"], map(bytes, t["v"]), strict=True)) for t in (anchors, rows)]
         at = {name: j for j, name in reversed(list(enumerate(names[1])))}
-        bounds = [np.array([[edge if x is None or np.isnan(x) else x for x in row] for row in anchors[c]], float) for c, edge in (("lows", LOWEST), ("highs", np.inf))]
+        places = max(map(len, anchors["lows"]))
+        bounds = [_padded(anchors[c], places, *edges) for c, edges in (("lows", (LOWEST, -LOWEST)), ("highs", (np.inf, LOWEST)))]
         asked = {"m": widened(a, width), "label": anchors["label"].to_numpy(), "own": np.array([at.get(name, -1) for name in names[0]]), "lows": bounds[0], "highs": bounds[1]}
         stored = {"m": widened(r, width)} | {c: rows[c].to_numpy() for c in ("id", "label", "pivot", "distance")}
         out = [(anchors["id"].to_numpy()[b.lists], anchors["key"].to_numpy()[b.lists], np.full(len(b.lists), w), b.ids, b.scores) for w, b in enumerate(scan(asked, stored, pivots, k, same))]
@@ -187,9 +193,9 @@ class Index:
         lows = F.transform("lows", lambda low, i: F.greatest(low, F.col("least")[i]))
         bound = anchors.join(raised, ["id", "key"], "left").withColumn("lows", lows).drop("least")
         square = F.aggregate("v", F.lit(self.pivots.top), lambda s, x: s + F.pow(F.abs(x.cast("double") * self.scale) + 1, 2))
-        low = F.when(F.exists("lows", lambda x: x.isNull()), F.lit(None)).otherwise(F.array_min("lows")).cast("double")
-        reach = F.nanvl(F.coalesce(F.sqrt(F.greatest(F.lit(0.0), square - 2 * low)), F.lit(float("inf"))), F.lit(float("inf")))
-        open_ = bound.select("id", "key", reach.alias("reach")).join(gaps, ["id", "key"]).where(F.col("gap") <= F.col("reach") * (1 + 1e-9) + 1e-6)
+        farthest = F.sqrt(F.greatest(F.lit(0.0), square - 2 * F.array_min("lows").cast("double")))
+        reach = F.when(F.exists("lows", lambda x: x.isNull()), F.lit(float("inf"))).otherwise(F.nanvl(farthest, F.lit(float("inf"))))
+        open_ = bound.select("id", "key", reach.alias("reach")).join(gaps, ["id", "key"]).where(F.col("gap") <= F.col("reach") * (1 + 1e-7) + 1e-6)
         rest = self._scan(bound, open_.join(nearest, ["id", "key", "group"], "left_anti"), blocks, k, same)
         order = Window.partitionBy("anchor_id", "key", "place").orderBy(F.desc("score"), "id")
         found = first.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -26,6 +26,7 @@ def vectors(seed=3, n=400, dims=24):
         rows[i][1] = rows[0][1]
     rows += [rows[5], rows[5], [None, rows[7][1], 1], [n + 1, None, 2], [n + 2, [1.0] * (dims - 1) + [None], 2], [n + 3, [math.nan] * dims, 1], [n + 4, [math.inf] * dims, 0]]
     rows += [[n + 20, rows[9][1], None], [n + 21, rows[9][1][: dims - 5], 3], [n + 22, [], 1], [-100, rows[11][1], 2], [-20, [0.0] * dims, 2]]
+    rows += [[-200, rows[13][1], 9], [n + 31, rows[14][1], 9], [-300, rows[15][1], 8]]  # few of their label, or one
     return [(*r, "own", "own", "own", "own", "own") for r in rows]
 
 
