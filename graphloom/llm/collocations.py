@@ -19,7 +19,7 @@ cut between pieces, which no phrase crosses. An empty table gives no rows. Only
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import itemgetter
 
@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ CHUNK, FLUSH = 1 << 21, 1 << 22
 CELLS, PATTERNS = 4_000_000, 16 << 20
 #: Candidates a task keeps before it hands them on, and heavy cells whose candidates are gathered together.
 SEEN, LISTED = 200_000, 10_000
+#: Patterns whose counts are summed together.
+SLICE = 16_384
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _NORMAL = bytes.maketrans(UPPER.encode() + _PIECE_ENDS + b"\t", LOWER.encode() + b"\n" * len(_PIECE_ENDS) + b" ")
 U, _ODD = np.uint64, np.uint64(0x9E3779B97F4A7C15)
@@ -205,9 +208,8 @@ def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return reduce(DataFrame.union, found).groupBy("lang", "shard").applyInPandas(_listed, "lang string, phrase string") if found else docs.select("lang", F.col("text").alias("phrase")).limit(0)
 
 
-def _scanned(docs: DataFrame, patterns: dict[str, list[str]], count_words: bool) -> DataFrame:
-    """(lang, phrase, f) by task: overlapping matches of every pattern, and of the empty phrase all words."""
-    sent = docs.sparkSession.sparkContext.broadcast(patterns)
+def _scanned(docs: DataFrame, sent: Broadcast, block: int) -> DataFrame:
+    """(lang, block, part, counts) by task: overlapping matches of patterns, in slices of SLICE; part -1 has all words."""
 
     def automaton(phrases: list[str]) -> ahocorasick.Automaton:
         built = ahocorasick.Automaton()
@@ -224,16 +226,35 @@ def _scanned(docs: DataFrame, patterns: dict[str, list[str]], count_words: bool)
             while "  " in text:
                 text = text.replace("  ", " ")
             mine = counts.setdefault(lang, Counter())
-            if count_words:
+            if block == 0:
                 mine[-1] += text.count(" ") - 1 - text.count("\n")
             if lang not in built:
                 built[lang] = automaton(sent.value.get(lang, []))
             if len(built[lang]):
                 mine.update(map(itemgetter(1), built[lang].iter(text)))
-        rows = [(lang, "" if i < 0 else sent.value[lang][i], n) for lang, found in counts.items() for i, n in found.items()]
-        yield pd.DataFrame(rows, columns=["lang", "phrase", "f"])
+        rows, deflate = [], zstandard.ZstdCompressor(1).compress
+        for lang, found in counts.items():
+            if block == 0:
+                rows.append((lang, block, -1, deflate(np.array([found.pop(-1)], np.int64).tobytes())))
+            hits = np.zeros(len(sent.value.get(lang, [])), np.int64)
+            hits[list(found)] = list(found.values())
+            rows += [(lang, block, at // SLICE, deflate(hits[at : at + SLICE].tobytes())) for at in range(0, len(hits), SLICE)]
+        yield pd.DataFrame(rows, columns=["lang", "block", "part", "counts"])
 
-    return docs.mapInPandas(run, "lang string, phrase string, f bigint")
+    return docs.mapInPandas(run, "lang string, block int, part int, counts binary")
+
+
+def _summed(sent: list[Broadcast]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Counts of one slice of patterns, of all tasks together."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        inflate = zstandard.ZstdDecompressor().decompress
+        lang, block, part = (group[c].iloc[0] for c in ("lang", "block", "part"))
+        total = sum(np.frombuffer(inflate(packed), np.int64) for packed in group["counts"])
+        phrases = [""] if part < 0 else sent[block].value[lang][part * SLICE : (part + 1) * SLICE]
+        return pd.DataFrame({"lang": lang, "phrase": phrases, "f": total})
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -242,13 +263,14 @@ def phrase_counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     patterns = stashed(phrases.union(words).distinct())
     size = patterns.agg(F.sum(F.octet_length("phrase") + 16)).first()[0] or 0
     blocks = max(1, -(-size // PATTERNS))
-    scans = []
+    sent, scans = [], []
     for block in range(blocks):
         held: dict[str, list[str]] = {}
         for lang, phrase in patterns.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == block).toPandas().itertuples(index=False):
             held.setdefault(lang, []).append(phrase)
-        scans.append(_scanned(docs, held, block == 0))
-    return reduce(DataFrame.union, scans).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        sent.append(docs.sparkSession.sparkContext.broadcast(held))
+        scans.append(_scanned(docs, sent[-1], block))
+    return reduce(DataFrame.union, scans).groupBy("lang", "block", "part").applyInPandas(_summed(sent), "lang string, phrase string, f bigint")
 
 
 def exact_score(a: str, n: str, left: str, right: str) -> Column:

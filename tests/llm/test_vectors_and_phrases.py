@@ -189,7 +189,7 @@ def texts(seed):
     return [*rows, rows[3], rows[3], (None, None, "en"), (1, "", None), (2, "the of " * 900 + "\n" + say(2_000), "en"), (3, "a " * 700, "fr"), (4, "b a", "xx")]
 
 
-@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"CHUNK": 500, "FLUSH": 400, "CELLS": 40, "PATTERNS": 900, "SEEN": 5, "LISTED": 20}), (3, {"CELL_BYTES": 1_000_000, "SHARD_BITS": 5})])
+@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"CHUNK": 500, "FLUSH": 400, "CELLS": 40, "PATTERNS": 900, "SEEN": 5, "LISTED": 20, "SLICE": 7}), (3, {"CELL_BYTES": 1_000_000, "SHARD_BITS": 5})])
 def test_collocations_equal_brute_force(spark, monkeypatch, seed, limits):
     for name, value in limits.items():
         monkeypatch.setattr(collocations, name, value)
