@@ -62,15 +62,24 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-def name_similarity(query: Column, candidate: Column) -> Column:
-    """Weighted sequence, n-gram, keyword and edit similarity; 1 if equal, 0.88 at least where one contains the other."""
+def _name_score(query: Column, candidate: Column, sequence: Callable[[Column, Column], Column]) -> Column:
     q, c = normalize(query), normalize(candidate)
-    score = 0.30 * sequence_ratio(q, c) + 0.25 * jaccard(ngrams(query), ngrams(candidate)) + 0.20 * jaccard(keyword_tokens(query), keyword_tokens(candidate)) + 0.15 * edit_similarity(q, c)
+    score = 0.30 * sequence(q, c) + 0.25 * jaccard(ngrams(query), ngrams(candidate)) + 0.20 * jaccard(keyword_tokens(query), keyword_tokens(candidate)) + 0.15 * edit_similarity(q, c)
     inside = (F.length(q) >= 2) & (c.contains(q) | q.contains(c)) & (F.length(c) > 0)
     floor = F.when(inside, F.greatest(score, F.lit(0.88))).otherwise(score)
     return F.when((F.length(q) == 0) | (F.length(c) == 0), F.lit(0.0)).when(q == c, F.lit(1.0)).otherwise(floor)
 
 
+def name_similarity(query: Column, candidate: Column) -> Column:
+    """Weighted sequence, n-gram, keyword and edit similarity; 1 if equal, 0.88 at least where one contains the other."""
+    return _name_score(query, candidate, sequence_ratio)
+
+
+def name_bound(query: Column, candidate: Column) -> Column:
+    """The most that ``name_similarity`` can be, without Python: a sequence can match the shorter name's characters."""
+    return _name_score(query, candidate, lambda q, c: 2 * F.least(F.length(q), F.length(c)) / (F.length(q) + F.length(c)))
+
+
 def chunk_similarity(query: Column, content: Column, bound: bool = False) -> Column:
     """Token hits, n-grams and sequence ratio; containment adds 0.15; at most 1. ``bound``: the most it can be, without Python."""
     q, c = normalize(query), F.substring(normalize(content), 1, CONTENT_CHARS)

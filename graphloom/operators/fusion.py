@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import bind, name_similarity, ngrams, normalize, unit_dot
+from graphloom.functions.text import bind, name_bound, name_similarity, unit_dot
+from graphloom.operators.blocking import candidate_pairs
 from graphloom.operators.traversal import connected_components
 from graphloom.schema import RESERVED_RELATIONS, allows
 from graphloom.session import small
@@ -102,22 +103,10 @@ def fuzzy_candidates(queries: DataFrame, nodes: DataFrame, top: int = CANDIDATES
 
 
 def name_pairs(names: DataFrame, threshold: float = ENTITY_THRESHOLD) -> DataFrame:
-    """(entity_type, a, b, score) of distinct names of a type at or above a threshold over 0.75, without loss.
-
-    Unequal names that share no bigram score at most 0.75 unless one of them is a single character, so candidates are
-    pairs that meet in a bigram, or in the character of a one-character name. Each pair is scored once, where its
-    least shared bigram is."""
-    if threshold <= 0.75:
-        raise ValueError("blocking by bigrams is lossless above 0.75 only")
-    rows = names.select("entity_type", "name").distinct().withColumn("norm", normalize(F.col("name"))).where("norm <> ''")
-    keys = F.array_distinct(F.concat(ngrams(F.col("name")), F.when(F.length("norm") == 1, F.array("norm")).otherwise(F.filter(F.split("norm", ""), lambda c: c != ""))))
-    short = rows.groupBy("entity_type").agg(F.bool_or(F.length("norm") == 1).alias("_short"))
-    keyed = rows.join(short, "entity_type").withColumn("keys", F.when(F.col("_short"), keys).otherwise(ngrams(F.col("name"))))
-    side = lambda s: keyed.select("entity_type", F.col("name").alias(s), F.length("norm").alias(f"n{s}"), F.col("keys").alias(f"k{s}"), F.explode("keys").alias("key"))
-    met = side("a").join(side("b"), ["entity_type", "key"]).where((F.col("a") < F.col("b")) & (F.col("key") == F.array_min(F.array_intersect("ka", "kb"))))
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    close = met.where((2 * least / (least + most) * 0.30 + 0.25 + 0.20 + 0.15 * least / most >= threshold) | (least >= 1) & (most > least))
-    scored = close.select("entity_type", "a", "b", F.round(name_similarity(F.col("a"), F.col("b")), 9).alias("score"))
+    """(entity_type, a, b, score) of distinct names of a type at or above a threshold over 0.75, without loss; a < b."""
+    pairs = candidate_pairs(names, names, threshold).where("a < b")
+    likely = pairs.where(name_bound(F.col("a"), F.col("b")) >= threshold - 1e-6)
+    scored = likely.select("entity_type", "a", "b", F.round(name_similarity(F.col("a"), F.col("b")), 9).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
 

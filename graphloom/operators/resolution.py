@@ -1,20 +1,25 @@
 """Entity resolution of one run: proposals against known nodes, evidence, and nodes for what is left over.
 
-Proposals: chunk_id, name, entity_type, confidence, seq. A judge is a table of decisions (name, match_id, is_same);
-without one every proposal that nothing matched becomes a node of its own.
+Proposals: chunk_id, name, entity_type, confidence, seq. A judge is a table of decisions (name, match_id, is_same, and if
+need be chunk_id and seq); without one every proposal that nothing matched becomes a node of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.fusion import CANDIDATES, FAST_PATH, LOW_CONFIDENCE, fuzzy_candidates
+from graphloom.operators.blocking import similar_names
+from graphloom.operators.fusion import CANDIDATES, FAST_PATH, LOW_CONFIDENCE, TYPE_BONUS, fuzzy_candidates
 from graphloom.schema import COLD_START, DOCUMENT_NODES, MAX_QUOTE_CHARS, QUOTES, RESERVED_ENTITIES, RESERVED_RELATIONS, UNCLASSIFIED, node_id
-from graphloom.session import small
+from graphloom.session import materialize, small
 
 #: Candidates recalled for a name, matches of a query word, confidence of inferred relations and of fallback nodes.
 RECALL, MATCHES, INFERRED, FALLBACK = 20, 5, 0.7, 0.5
+#: Stands for a time before the first chunk.
+BEFORE = -(1 << 62)
 
 
 def dedup_in_chunk(proposals: DataFrame) -> DataFrame:
@@ -64,25 +69,96 @@ def merged_candidates(candidates: DataFrame, top: int = RECALL) -> DataFrame:
 
 
 def decide(pending: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """Adds node_id and is_new: what the judge matched, else a node of the proposal's own name and type.
-
-    decisions: name, match_id, is_same; the first decision of a name counts."""
+    """Adds node_id and is_new: what the judge matched, else a node of the proposal's own name and type."""
     own = node_id("entity_type", "name")
+    return judged(pending, decisions).withColumns({"node_id": F.coalesce("match_id", own), "is_new": F.col("match_id").isNull()}).drop("match_id")
+
+
+def judged(pending: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """Adds match_id, null where no decision applies.
+
+    decisions: name, match_id, is_same, and if they have them chunk_id, the chunk they were made for, and seq, their order.
+    The first decision of a name (in its chunk) that matches something counts."""
     if decisions is None:
-        return pending.withColumns({"node_id": own, "is_new": F.lit(True)})
-    matched = decisions.where(F.col("is_same") & F.col("match_id").isNotNull()).groupBy("name").agg(F.min("match_id").alias("_match"))
-    return pending.join(matched, "name", "left").withColumns({"node_id": F.coalesce("_match", own), "is_new": F.col("_match").isNull()}).drop("_match")
-
-
-def resolve(proposals: DataFrame, nodes: DataFrame, decisions: DataFrame | None = None, low_confidence_only: bool = False) -> DataFrame:
-    """All steps: chunk_id, name, entity_type, seq, node_id, how (known, fast_path, judged or new)."""
-    seen = exact_hits(dedup_in_chunk(proposals), nodes)
-    known = seen.where("node_id IS NOT NULL").select("chunk_id", "name", "entity_type", "seq", "node_id", F.lit("known").alias("how"))
-    pending = seen.where("node_id IS NULL").drop("node_id")
-    direct = fast_path(recall(to_disambiguate(pending, low_confidence_only), nodes)).select(F.col("query_id").alias("seq"), F.col("node_id").alias("_direct"))
-    judged = decide(pending, decisions).join(direct, "seq", "left")
-    how = F.when(F.col("_direct").isNotNull(), "fast_path").when(~F.col("is_new"), "judged").otherwise("new")
-    return known.unionByName(judged.select("chunk_id", "name", "entity_type", "seq", F.coalesce("_direct", "node_id").alias("node_id"), how.alias("how")))
+        return pending.withColumn("match_id", F.lit(None).cast("string"))
+    keys = [c for c in ("chunk_id", "name") if c in decisions.columns]
+    order = "seq" if "seq" in decisions.columns else "match_id"
+    matched = decisions.where(F.col("is_same") & F.col("match_id").isNotNull()).groupBy(*keys).agg(F.min_by("match_id", F.struct(order, "match_id")).alias("match_id"))
+    return pending.join(matched, keys, "left")
+
+
+def resolve(proposals: DataFrame, nodes: DataFrame, decisions: DataFrame | None = None, low_confidence_only: bool = False, confidence: float = LOW_CONFIDENCE, fast_score: float = FAST_PATH) -> DataFrame:
+    """chunk_id, name, entity_type, seq, node_id, how (known, fast_path, judged or new) of a run's proposals.
+
+    Chunks come in order of their first proposal, and each is compared with all nodes that are known or that chunks
+    before it made. A name that is a node already is ``known``. Otherwise the most similar node of its type is taken at
+    ``fast_score`` or more (``fast_path``), else what the judge matched (``judged``), else the name becomes a node
+    (``new``). With ``low_confidence_only`` a proposal at or above the threshold is not compared and becomes one at once.
+    A judge is shown nodes that exist, so its matches are taken as they are.
+
+    Nothing is read in order: a name that was refused once stays refused, since the node it resembles stays. So of each
+    name only the first chunk that compares it without a match and the first that does not compare it matter, and when
+    it becomes a node follows from the names it resembles (``creation``). Null names go; a null type is one of its own.
+    """
+    one = dedup_in_chunk(proposals).withColumn("entity_type", F.coalesce("entity_type", F.lit("")))
+    chunks = proposals.groupBy("chunk_id").agg(F.min("seq").alias("at"))
+    compared = (F.coalesce("confidence", F.lit(1.0)) < confidence) if low_confidence_only else F.lit(True)
+    rows = judged(one, decisions).join(chunks, "chunk_id").withColumn("compared", compared).select("chunk_id", "at", "name", "entity_type", "seq", "compared", "match_id")
+    rows = materialize(rows)
+    known = nodes.withColumn("entity_type", F.coalesce("entity_type", F.lit(""))).groupBy("name", "entity_type").agg(F.min_by("id", "seq").alias("id"))
+    names = rows.groupBy("entity_type", "name").agg(F.min(F.when(F.col("compared") & F.col("match_id").isNull(), F.col("at"))).alias("a"), F.min(F.when(~F.col("compared"), F.col("at"))).alias("b"))
+    every = names.join(known, ["entity_type", "name"], "full").withColumn("t", F.when(F.col("id").isNotNull(), F.lit(BEFORE)))
+    every = materialize(every.withColumn("id", F.coalesce("id", node_id("entity_type", "name"))))
+    asked = every.where("t IS NULL").select("entity_type", "name")
+    close = materialize(similar_names(asked, every, fast_score - TYPE_BONUS))
+    made = creation(every, close)
+    near = close.join(made.where("t IS NOT NULL").select("entity_type", F.col("name").alias("b"), "t", "id"), ["entity_type", "b"])
+    steps = Window.partitionBy("entity_type", "a").orderBy("t", "id")
+    best = near.withColumn("best", F.min(F.struct((-F.col("score")).alias("score"), "id")).over(steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    better = best.withColumn("before", F.lag("best").over(steps)).where(F.col("before").isNull() | (F.col("before") != F.col("best")))
+    liked = better.groupBy("entity_type", F.col("a").alias("name")).agg(F.array_sort(F.collect_list(F.struct("t", F.col("best.id").alias("id")))).alias("steps"))
+    placed = rows.join(made.select("entity_type", "name", "t", "id"), ["entity_type", "name"]).join(liked, ["entity_type", "name"], "left")
+    then = F.filter("steps", lambda s: s["t"] < F.col("at"))
+    direct = F.when(F.size(then) > 0, F.get(then, F.size(then) - 1)["id"])
+    fast = F.when(F.col("compared"), direct)
+    is_known, is_new = F.coalesce(F.col("t") < F.col("at"), F.lit(False)), F.coalesce(F.col("t") == F.col("at"), F.lit(False))
+    how = F.when(is_known, "known").when(fast.isNotNull(), "fast_path").when(F.col("match_id").isNotNull() & F.col("compared"), "judged").when(is_new, "new")
+    found = placed.withColumns({"how": how, "fast": fast})
+    chosen = F.when(F.col("how") == "fast_path", F.col("fast")).when(F.col("how") == "judged", F.col("match_id")).otherwise(F.col("id"))
+    return found.select("chunk_id", "name", "entity_type", "seq", chosen.alias("node_id"), "how")
+
+
+def creation(names: DataFrame, close: DataFrame) -> DataFrame:
+    """``names`` with ``t``, the chunk at which each became a node: null for never, BEFORE for known nodes.
+
+    names: entity_type, name, id, t (BEFORE or null), a (first chunk that compares the name without a match) and b (first
+    that doesn't compare it). close: entity_type, a, b, the names that ``a`` resembles. A name becomes a node at its b, or at
+    its a if that is earlier and no name that it resembles is a node by then.
+
+    By rounds over a table: a name is settled when every name it resembles that could be a node earlier is. The earliest
+    open name always can be, so rounds end; there are as many as the longest chain of names that resemble each other, each
+    earlier than the next."""
+    first = F.least("a", "b")
+    settled = F.col("t").isNotNull() | F.col("a").isNull() | F.coalesce(F.col("b") <= F.col("a"), F.lit(False))
+    state = names.withColumns({"open": ~settled, "t": F.when(settled, F.coalesce("t", first))})
+    edges = close.join(state.where("open").select("entity_type", F.col("name").alias("a"), F.col("a").alias("at")), ["entity_type", "a"])
+    earlier = state.select("entity_type", F.col("name").alias("b"), F.coalesce("t", first).alias("first"))
+    edges = materialize(edges.join(earlier, ["entity_type", "b"]).where("first < at").select("entity_type", "a", "b", "at"))
+    done, open_ = [materialize(state.where("NOT open"))], materialize(state.where("open"))
+    settled_names = done[0]
+    while open_.limit(1).count():
+        now = settled_names.select("entity_type", F.col("name").alias("b"), F.lit(False).alias("waits"), F.col("t").alias("by")).union(open_.select("entity_type", "name", F.lit(True), F.col("b")))
+        told = edges.join(now, ["entity_type", "b"])
+        blocks = F.coalesce(F.col("by") < F.col("at"), F.lit(False))
+        said = told.groupBy("entity_type", F.col("a").alias("name")).agg(F.bool_or(blocks).alias("blocked"), F.bool_or(F.col("waits")).alias("waits"))
+        judged_ = materialize(open_.join(said, ["entity_type", "name"], "left"))
+        ready = F.coalesce(F.col("blocked"), F.lit(False)) | ~F.coalesce(F.col("waits"), F.lit(False))
+        fresh = judged_.where(ready).withColumn("t", F.when(F.coalesce(F.col("blocked"), F.lit(False)), F.col("b")).otherwise(F.col("a"))).select(*names.columns, "open")
+        done.append(fresh)
+        settled_names = reduce(DataFrame.unionByName, done)
+        open_ = judged_.where(~ready).select(*open_.columns)
+        edges = materialize(edges.join(open_.select("entity_type", F.col("name").alias("a")), ["entity_type", "a"], "left_semi"))
+    return settled_names.drop("open")
 
 
 def evidence_mode(abstractness: Column) -> Column:

@@ -151,6 +151,23 @@ def in_chunk_dedup(spark, sf_dir):
     return resolution.dedup_in_chunk(_run_rows(spark, sf_dir)).select("chunk_id", "name", "entity_type", "seq", "copies")
 
 
+_VARIANTS = """said AS (SELECT 'r'||(event_id//10) chunk_id, CASE event_id%3 WHEN 0 THEN 'Account-'||user_id||'-of-'||event_type WHEN 1 THEN 'ACCOUNT-'||user_id||'-of-'||event_type ELSE 'account-'||user_id||'  -of-  '||event_type END AS name, event_type entity_type, event_id seq FROM events)"""
+_NODE = "'n_'||substr(sha1(entity_type||chr(9247)||name),1,24)"
+
+
+@query(rf"""WITH {_VARIANTS}, one AS (SELECT chunk_id, name, entity_type, min(seq) seq, min(min(seq)) OVER (PARTITION BY chunk_id) c, lower(regexp_replace(name, '\s+', '', 'g')) norm FROM said GROUP BY chunk_id, name, entity_type),
+ firsts AS (SELECT name, entity_type, norm, {_NODE} id, min(c) a FROM one GROUP BY ALL), made AS (SELECT *, min(a) OVER (PARTITION BY entity_type, norm) = a is_node FROM firsts),
+ best AS (SELECT entity_type, norm, min(id) id FROM made WHERE is_node GROUP BY ALL)
+ SELECT o.seq, CASE WHEN is_node THEN m.id ELSE b.id END node_id, CASE WHEN NOT is_node THEN 'fast_path' WHEN m.a = o.c THEN 'new' ELSE 'known' END how FROM one o JOIN made m USING (name, entity_type) JOIN best b ON b.entity_type=o.entity_type AND b.norm=o.norm""")
+def entity_map(spark, sf_dir):
+    """Spellings of one account meet what earlier chunks of the run have made: whole resolution over all events."""
+    events, user = table(spark, sf_dir, "events"), F.col("user_id").cast("string")
+    spelt = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Account-"), user, F.lit("-of-"), "event_type")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("ACCOUNT-"), user, F.lit("-of-"), "event_type")).otherwise(F.concat(F.lit("account-"), user, F.lit("  -of-  "), "event_type"))
+    rows = events.select(F.concat(F.lit("r"), F.expr("event_id div 10").cast("string")).alias("chunk_id"), spelt.alias("name"), F.col("event_type").alias("entity_type"), F.lit(1.0).alias("confidence"), F.col("event_id").alias("seq"))
+    none = fx.star_nodes(spark, sf_dir).limit(0)
+    return resolution.resolve(rows, none).select("seq", "node_id", "how")
+
+
 @query(f"WITH {_RUN}, {_KNOWN} SELECT r.seq, k.name IS NOT NULL hit FROM run_rows r LEFT JOIN known k ON r.name=k.name AND r.entity_type=k.entity_type")
 def exact_hits(spark, sf_dir):
     return resolution.exact_hits(_run_rows(spark, sf_dir), _known(spark, sf_dir)).select("seq", F.col("node_id").isNotNull().alias("hit"))
