@@ -41,6 +41,18 @@ def store_chunks(spark, sf_dir):
     return kept.chunks().select("chunk_id", "doc_id", "chunk")
 
 
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') t, doc_id%2 later FROM documents)
+ SELECT doc_id, later::BIGINT batch, CASE WHEN row_number() OVER (PARTITION BY t ORDER BY later, 'doc_id='||doc_id||'/') = 1 THEN 'parsed' ELSE 'duplicate' END status FROM d""")
+def upload_stream(spark, sf_dir):
+    """All documents as files, uploaded by a stream in two runs; the second refuses what the first has had."""
+    kept = _store(spark)
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for later in (0, 1):
+        texts.where(F.pmod("doc_id", F.lit(2)) == later).repartition(8, "doc_id").write.mode("append").partitionBy("doc_id").text(f"{kept.root}/files")
+        kept.upload_stream(f"{kept.root}/files/*/*.txt", f"{kept.root}/progress", most=1_000_000)
+    return kept.log("documents").select(F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"), "batch", "status")
+
+
 @query(f"WITH {_CHUNK_ROWS} SELECT chunk_id, doc_id, idx FROM chunk_rows WHERE doc_id IN (SELECT doc_id FROM labels)")
 def chunks_of_documents(spark, sf_dir):
     kept = _store(spark)
