@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs follow each language and source.
 
 Every document gets a handful of shares in thousandths. A share is a lower confidence bound (Wilson, three deviations),
-so one mark in a short text says little and the same share of a long text says more. For each (lang, source) the
-distribution of every share is kept as a quantile histogram on that integer grid: one count per bin, so two histograms
-merge by adding counts, the rank error is zero and the value error is below a thousandth. The cutoff of a share is a
-fence read off the histogram: the HIGH quantile and FENCE times its distance from the LOW one. Quantiles of a group are
-drawn towards those of its language, and a language's towards the corpus's, as if PRIOR documents of the larger group
-stood in the smaller one; nothing else sets a cutoff. Documents beyond a fence are rejected by a join with the cutoffs.
-Repeated lines are left to the base rule, which counts words in repeated windows.
+so one mark in a short text says little and the same share of a long text says more. What is usual in a (lang, source)
+is kept as a quantile histogram of its documents' shares on a logarithmic grid: one count per bin, so two histograms
+merge by adding counts, the rank error is zero and the value error a sixteenth of a doubling. For the histogram half a
+mark is added to every document, so that those without a mark tell how small their share can be, and a group in which
+most have none still has levels. The cutoff of a share is a fence read off the histogram: the HIGH quantile and FENCE times
+its distance from the LOW one, a doubling at least. Quantiles of a group are drawn towards those of its language, and a
+language's towards the corpus's, as if PRIOR documents of the larger group stood in the smaller one. Documents beyond a
+fence are rejected by a join with the cutoffs. Repeated lines are left to the base rule, which counts words in repeated
+windows.
 
 Nulls: a null text has no words (and fails the base rule); null lang or source form groups of their own. Empty texts
 fail the base rule, texts of any length are measured whole, ties at a fence are kept, repeated rows count as often as
@@ -26,7 +28,9 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = "#*$%&|<>"
 #: Quantiles in tenths, distances of the two above the higher one, and documents that a larger group counts for.
-LOW, HIGH, FENCE, PRIOR = 5, 8, 6, 20
+LOW, HIGH, FENCE, PRIOR = 5, 8, 3, 20
+#: Bins of a doubling.
+DOUBLING = 16
 SHARES = ("symbol_share", "upper_share", "shout_share", "echo_share")
 
 
@@ -89,6 +93,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
             "upper_share": lower_bound(F.col("_upper"), F.col("word_chars")),
             "shout_share": lower_bound(F.col("_shout"), F.col("word_chars")),
             "echo_share": lower_bound(F.col("_echo"), F.col("n_words")),
+            "_bins": F.struct(*[level_bin(F.col(part), F.col(of)).alias(s) for s, (part, of) in zip(SHARES, (("n_symbols", "word_chars"), ("_upper", "word_chars"), ("_shout", "word_chars"), ("_echo", "n_words")), strict=True)]),
         }
     ).drop("_words", "_lines", "_upper", "_shout", "_echo")
 
@@ -101,9 +106,14 @@ def lower_bound(part: Column, of: Column) -> Column:
     return F.floor(1000 * F.greatest(F.lit(0.0), bound) + 1e-9).cast("int")
 
 
+def level_bin(part: Column, of: Column) -> Column:
+    """The bin of a share to which half a mark is added, on the logarithmic grid."""
+    return F.floor(DOUBLING * F.log2((part + 0.5) / (of + 1)) + 1e-9).cast("int")
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, share, bin, n): the quantile histograms. Summing n over any of the columns merges them."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("share"), F.col(s).alias("bin")) for s in SHARES])
+    pairs = F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"_bins.{s}").alias("bin")) for s in SHARES])
     return measured.where(~F.col("base_failed")).select("lang", "source", F.explode(pairs).alias("p")).groupBy("lang", "source", "p.share", "p.bin").agg(F.count("*").alias("n"))
 
 
@@ -125,7 +135,9 @@ def cutoffs(histogram: DataFrame) -> DataFrame:
     joined = own.join(lang, own["lang"].eqNullSafe(lang["lang_"]) & (own["share"] == lang["share_"])).join(F.broadcast(whole), F.col("share") == F.col("share_a"))  # one row a share
     drawn = lambda own_, docs, other: (F.col(docs) * own_ + PRIOR * other) / (F.col(docs) + PRIOR)
     level = lambda q: drawn(F.col(q), "docs", drawn(F.col(f"{q}_l"), "docs_l", F.col(f"{q}_a")))
-    fenced = joined.select("lang", "source", "share", F.ceil(level("high") + FENCE * (level("high") - level("low")) - 1e-9).alias("fence"))  # shares are whole thousandths
+    fence = level("high") + FENCE * F.greatest(level("high") - level("low"), F.lit(float(DOUBLING)))
+    thousandths = F.least(F.lit(1000), F.ceil(1000 * F.pow(F.lit(2.0), fence / DOUBLING) - 1e-9))  # as shares are
+    fenced = joined.select("lang", "source", "share", thousandths.alias("fence"))
     return fenced.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*[F.max(F.when(F.col("share") == s, F.col("fence"))).alias(f"_{s}") for s in SHARES])
 
 
@@ -135,7 +147,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     within = F.lit(True)
     for s in SHARES:
         within = within & (F.col(s) <= F.coalesce(F.col(f"_{s}"), F.lit(1000)))
-    return measured.join(small(limits), same, "left").withColumn("kept", ~F.col("base_failed") & within).drop(*limits.columns)
+    return measured.join(small(limits), same, "left").withColumn("kept", ~F.col("base_failed") & within).drop("_bins", *limits.columns)
 
 
 def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

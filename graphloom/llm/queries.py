@@ -83,7 +83,9 @@ def _quality_sql() -> str:
         p = f"least(1.0::DOUBLE, ({part})/{n})"
         return f"floor(1000*greatest(0.0::DOUBLE, ({p}+4.5::DOUBLE/{n}-3*sqrt({p}*(1-{p})/{n}+2.25::DOUBLE/({n}*{n})))/(1+9/{n}))+1e-9::DOUBLE)::INT"
 
-    bins = " UNION ALL ".join(f"SELECT lang, source, '{s}' share, {s} bin FROM m WHERE NOT base_failed" for s in quality_rules.SHARES)
+    bin_of = lambda part, of: f"floor({quality_rules.DOUBLING}*log2((({part})+0.5)/(({of})+1))+1e-9)::INT"
+    counts = zip(quality_rules.SHARES, (("n_symbols", "word_chars"), ("up", "word_chars"), ("sh", "word_chars"), ("e", "n_words")), strict=True)
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{s}' share, {bin_of(*of)} bin FROM m WHERE NOT base_failed" for s, of in counts)
     at = lambda q: f"list_sort(list(bin))[({q}*count(*)+9)//10]"
     levels = f"count(*) n, {at(quality_rules.LOW)} low, {at(quality_rules.HIGH)} high"
     drawn = lambda own, n, other: f"(({n}*{own}+{quality_rules.PRIOR}*{other})/({n}+{quality_rules.PRIOR}))"
@@ -96,7 +98,7 @@ def _quality_sql() -> str:
  c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT n_words, (length(t)-{gone("\\x20\\x09-\\x0D")})::BIGINT word_chars, {gone("#*$%&|<>")}::BIGINT n_symbols, (len(l)-len(list_distinct(l)))::BIGINT n_dup_lines, coalesce(rep.n, 0)::BIGINT n_repeat_words, {gone("A-Z")} up, {gone("!?")} sh, coalesce(ech.n, 0) e FROM d LEFT JOIN rep ON d.doc_id=rep.doc_id LEFT JOIN ech ON d.doc_id=ech.doc_id),
  m AS (SELECT *, n_words < 20 OR 100*n_repeat_words > 30*n_words base_failed, {bound("n_symbols", "word_chars")} symbol_share, {bound("up", "word_chars")} upper_share, {bound("sh", "word_chars")} shout_share, {bound("e", "n_words")} echo_share FROM c),
  h AS ({bins}), own AS (SELECT lang, source, share, {levels} FROM h GROUP BY ALL), lng AS (SELECT lang, share, {levels} FROM h GROUP BY ALL), whole AS (SELECT share, {levels} FROM h GROUP BY ALL),
- fences AS (SELECT o.lang, o.source, o.share, ceil({level("high")}+{quality_rules.FENCE}*({level("high")}-{level("low")})-1e-9::DOUBLE) fence FROM own o JOIN lng l ON o.share=l.share AND o.lang IS NOT DISTINCT FROM l.lang JOIN whole a ON o.share=a.share)
+ fences AS (SELECT o.lang, o.source, o.share, least(1000, ceil(1000*pow(2.0::DOUBLE, ({level("high")}+{quality_rules.FENCE}*greatest({level("high")}-{level("low")}, {quality_rules.DOUBLING}.0::DOUBLE))/{quality_rules.DOUBLING})-1e-9::DOUBLE)) fence FROM own o JOIN lng l ON o.share=l.share AND o.lang IS NOT DISTINCT FROM l.lang JOIN whole a ON o.share=a.share)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} kept, {", ".join(quality_rules.SHARES)} FROM m"""
 
 

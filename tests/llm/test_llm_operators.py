@@ -184,7 +184,7 @@ def test_quality_counts(docs, rows):
 def test_fences_follow_the_group(spark):
     rng = random.Random(2)
     say = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(n))
-    marks = {"symbol_share": lambda: say(40) + " ########" * 4, "upper_share": lambda: say(40) + " ABCDEFG" * 5, "shout_share": lambda: say(40) + " well!!!!!!" * 4, "echo_share": lambda: say(30) + " so so so so so so so" + say(3)}
+    marks = {"symbol_share": lambda: say(40) + " ########" * 4, "upper_share": lambda: say(40) + " ABCDEFG" * 5, "shout_share": lambda: say(40) + " well!!!!!!" * 4, "echo_share": lambda: say(30) + " so" * 25 + " " + say(3)}
     assert tuple(marks) == quality_rules.SHARES
     rows, judged = [], {}
     for g, (share, marked) in enumerate(marks.items()):
@@ -197,6 +197,19 @@ def test_fences_follow_the_group(spark):
     assert sum(got[i] for i, *_ in rows if i % 1_000 < 600) >= 0.99 * 2_400
 
 
+def test_rare_marks_do_not_make_a_fence_zero(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(n))
+    a_few = lambda: say(150) + " # 5 % | well! Good! " + say(40)
+    rows = [(i, a_few() if i % 10 == 0 else say(200), "en", f"s{i % 3}") for i in range(900)]
+    rows += [(1_000 + i, say(150) + " #%|$ ####" * 30, "en", f"s{i % 3}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    fences = quality_rules.cutoffs(quality_rules.sketches(quality_rules.measure(docs))).collect()
+    assert len(fences) == 3 and all(f[f"_{s}"] > 0 for f in fences for s in quality_rules.SHARES)
+    kept = {r.doc_id for r in quality_rules.quality_report(docs).where("kept").collect()}
+    assert kept == set(range(900))
+
+
 def test_license_places_and_templates(docs, rows):
     got = {r.doc_id: r for r in license_scan.license_report(docs).collect()}
     assert len(got) == len({i for i, _ in rows})
