@@ -184,7 +184,7 @@ def test_quality_counts(docs, rows):
 def test_fences_follow_the_group(spark):
     rng = random.Random(2)
     say = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(n))
-    marks = {"symbol_share": lambda: say(40) + " ########" * 4, "upper_share": lambda: say(40) + " ABCDEFG" * 5, "shout_share": lambda: say(40) + " well!!!!!!" * 4, "echo_share": lambda: say(30) + " so" * 25 + " " + say(3)}
+    marks = {"symbol_share": lambda: say(40) + " ########" * 4, "upper_share": lambda: say(40) + " ABCDEFG" * 5, "shout_share": lambda: say(40) + " well!!!!!!" * 4, "echo_share": lambda: say(20) + " " + " ".join(f"{w} {w}" for w in say(20).split())}
     assert tuple(marks) == quality_rules.SHARES
     rows, judged = [], {}
     for g, (share, marked) in enumerate(marks.items()):
