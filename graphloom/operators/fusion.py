@@ -9,7 +9,7 @@ from graphloom.functions.text import bind, name_bound, name_similarity, unit_dot
 from graphloom.operators.blocking import candidate_pairs
 from graphloom.operators.traversal import connected_components
 from graphloom.schema import RESERVED_RELATIONS, allows
-from graphloom.session import small
+from graphloom.session import against_all, small
 
 ENTITY_THRESHOLD, PREDICATE_THRESHOLD, SEMANTIC_THRESHOLD = 0.88, 0.82, 0.80
 FAST_PATH, TYPE_BONUS, CANDIDATES, LOW_CONFIDENCE = 0.92, 0.03, 8, 0.85
@@ -91,10 +91,11 @@ def apply_corrections(entities: DataFrame, relations: DataFrame, corrections: Da
 def fuzzy_candidates(queries: DataFrame, nodes: DataFrame, top: int = CANDIDATES, threshold: float = 0.25) -> DataFrame:
     """queries: query_id, query, entity_type. Best ``top`` nodes per query by name similarity, same type +0.03.
 
-    Every query is scored against every node, as the low threshold asks; queries are a bounded set and are broadcast,
-    equal ones once."""
+    Every query is scored against every node, as the low threshold asks; queries are a stated set and are broadcast
+    in blocks, equal ones once."""
     asked = queries.select("query", "entity_type").distinct()
-    pairs = nodes.select("id", "name", F.col("entity_type").alias("_type")).join(small(asked), F.lit(True))  # a stated query set against all rows
+    pairs = against_all(asked, nodes.select("id", "name", F.col("entity_type").alias("_type")))
+    pairs = pairs.where(name_bound(F.col("query"), F.col("name")) + TYPE_BONUS >= threshold - 1e-6)
     scored = pairs.withColumn("score", F.round(name_similarity(F.col("query"), F.col("name")) + F.when(F.col("_type") == F.col("entity_type"), TYPE_BONUS).otherwise(0.0), 9))
     rank = F.row_number().over(Window.partitionBy("query", "entity_type").orderBy(F.desc("score"), "id"))
     best = scored.where(F.col("score") >= threshold).withColumn("rank", rank).where(F.col("rank") <= top)
@@ -150,9 +151,10 @@ def vector_pairs(rows: DataFrame, threshold: float = SEMANTIC_THRESHOLD) -> Data
 
     With d(x, y)**2 = 2 - 2 cos, a pair is within r = sqrt(2 - 2 threshold) of each other, so their distances to any
     point differ by r at most: rows are cut into rings of width r around a fixed pivot and only equal and neighbouring
-    rings meet."""
+    rings meet. Vectors that are null, empty or zero, or hold a null, have no direction and no pairs."""
     r = (2 - 2 * threshold) ** 0.5
-    unit = rows.withColumn("v", bind(F.transform("embedding", lambda x: x.cast("double")), lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))))
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    unit = rows.where(length > 0).withColumn("v", bind(F.transform("embedding", lambda x: x.cast("double")), lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))))
     pivot = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.get("v", F.lit(0))))  # distance to the first axis
     ringed = unit.withColumn("ring", F.floor(pivot / r).cast("int"))
     left = ringed.select("group", F.col("id").alias("a"), F.col("v").alias("va"), F.col("ring").alias("ra"), F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.blocking import similar_names
 from graphloom.operators.fusion import CANDIDATES, FAST_PATH, LOW_CONFIDENCE, TYPE_BONUS, fuzzy_candidates
 from graphloom.schema import COLD_START, DOCUMENT_NODES, MAX_QUOTE_CHARS, QUOTES, RESERVED_ENTITIES, RESERVED_RELATIONS, UNCLASSIFIED, node_id
-from graphloom.session import materialize, small
+from graphloom.session import against_all, materialize, small
 
 #: Candidates recalled for a name, matches of a query word, confidence of inferred relations and of fallback nodes.
 RECALL, MATCHES, INFERRED, FALLBACK = 20, 5, 0.7, 0.5
@@ -222,7 +222,7 @@ def match_words(words: DataFrame, nodes: DataFrame, top: int = MATCHES) -> DataF
     queries = rest.select(F.col("word").alias("query_id"), F.col("word").alias("query"), F.lit(None).cast("string").alias("entity_type"))
     fuzzy = fuzzy_candidates(queries, named, top).select(F.col("query_id").alias("word"), "id", F.lit("fuzzy").alias("tier"))
     last = rest.join(fuzzy.select("word").distinct(), "word", "left_anti").where(F.length("_w") > 1)
-    inside = named.join(F.broadcast(last), F.col("_n").contains(F.col("_w")) | F.col("_w").contains(F.col("_n"))).select("word", "id", F.lit("part").alias("tier"))  # a stated query set against all rows
+    inside = against_all(last, named).where(F.col("_n").contains(F.col("_w")) | F.col("_w").contains(F.col("_n"))).select("word", "id", F.lit("part").alias("tier"))
     return words.join(exact.union(fuzzy).union(inside), "word").select("query_id", "word", "id", "tier")
 
 

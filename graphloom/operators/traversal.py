@@ -121,12 +121,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = moved.select("id", "component")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, least: int = 3, rounds: int = 12) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
     """(id, community, size, community_id) by modularity, over edge tables at every size; community_id ranks by size.
 
     Every node starts alone. In a round each community chooses the neighbour whose union gains most modularity. Two that
     choose each other become one, named by the lesser, and take in those that chose either of them; if that lowers the
-    modularity of the whole, only the pairs are joined, which never does. Rounds end when no union gains. Nodes without
+    modularity of the whole, only the pairs are joined, which never does. Rounds end when no union gains, however many that
+    takes: each joins two communities at least. Nodes without
     edges are alone. All tables are joined and grouped, so a giant component is no one task."""
     moves = edges.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
     links = materialize(moves.select("a", "b", F.lit(1).cast("bigint").alias("w")))
@@ -150,7 +151,7 @@ def communities(nodes: DataFrame, edges: DataFrame, least: int = 3, rounds: int
         return new_links, new_degree, 1 - 2 * between / total - inside / total**2
 
     value = -float("inf")
-    for _ in range(rounds if total else 0):
+    while total:
         both = links.select("a", "b", "w").union(links.select("b", "a", "w"))
         near = both.join(few(degree.select(F.col("c").alias("a"), F.col("d").alias("da"))), "a").join(few(degree.select(F.col("c").alias("b"), F.col("d").alias("db"))), "b")
         gaining = near.select("a", "b", (F.col("w") / total - F.col("da") * F.col("db") / (total * total)).alias("g")).where("g > 1e-12")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,14 @@ def materialize(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is proven to have few rows; otherwise left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def against_all(queries: DataFrame, rows: DataFrame, size: int = BROADCAST_ROWS) -> DataFrame:
+    """Every query beside every row: for a stated query set, broadcast in blocks of about ``size`` queries.
+
+    However many queries there are, a block has a bound, and the rows are read once for each."""
+    blocks = max(1, -(-queries.count() // size))
+    if blocks == 1:
+        return rows.join(F.broadcast(queries), F.lit(True))
+    dealt = materialize(queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))))
+    return reduce(DataFrame.union, [rows.join(F.broadcast(dealt.where(F.col("_block") == n).drop("_block")), F.lit(True)) for n in range(blocks)])

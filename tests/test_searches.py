@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import chunk_similarity, name_similarity
-from graphloom.operators import chunking, traversal
+from graphloom.operators import chunking, fusion, traversal
 from graphloom.plans import fixtures as fx
 from graphloom.plans.catalog import QUERIES
 from graphloom.schema import chunk_id
@@ -79,3 +79,17 @@ def test_seeds_are_walked_each_on_its_own(spark):
     for seed, start in ((1, "a"), (2, "c")):
         alone = traversal.fan_out_bfs(edges, seeds.where(F.col("id") == start), 2).collect()
         assert sorted((r.source_id, r.target_id, r.level) for r in walked if r.seed == seed) == sorted((r.source_id, r.target_id, r.level) for r in alone)
+
+
+def test_many_queries_are_taken_in_blocks(spark):
+    from graphloom.session import against_all
+
+    queries, rows = spark.range(23).withColumnRenamed("id", "q"), spark.range(7)
+    got = sorted(tuple(r) for r in against_all(queries, rows, 5).select("q", "id").collect())
+    assert got == [(q, i) for q in range(23) for i in range(7)]
+
+
+def test_vectors_without_direction_have_no_pairs(spark):
+    rows = [(1, 1, [1.0, 0.0]), (1, 2, [2.0, 0.1]), (1, 3, [0.0, 0.0]), (1, 4, None), (1, 5, []), (1, 6, [None, 1.0]), (2, 7, [1.0, 0.0]), (None, 8, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "`group` int, id int, embedding array<double>")
+    assert [(r.group, r.a, r.b) for r in fusion.vector_pairs(df).collect()] == [(1, 1, 2)]
