@@ -1,12 +1,14 @@
 """License scans: an exact containment join between text blocks and license templates.
 
-A block is one line of a text, or, since notices are wrapped, any run of as many consecutive words as the template has,
-over line ends. A template matches a block if at least CONTAINMENT of its distinct words are in the block. Runs are
-looked for in pieces of twice the longest template's words, one such length apart, so every run is inside a piece. The join is the prefix-filter join: template words are ordered by how many documents of the whole corpus have
-them, rarest first; a block that reaches the threshold must hold one of the first |T| - need + 1 words of the
-template (prefix filter), must have at least ``need`` words (length filter), and from the first shared word on both
-sides must have enough words left (positional filter). What passes is verified on the whole word sets, so the join
-is exact. Templates are a fixed table of bounded size; blocks without a prefix word never leave their row.
+A block is any run of as many consecutive words as the template has, over line ends, or the whole text where that is
+shorter; so words of a statement that are strewn over a long line don't make one. A template matches a block if at least
+CONTAINMENT of its distinct words are in the block. Blocks are looked for in pieces of twice the longest template's words,
+one such length apart, so every block is inside a piece. The join is the prefix-filter join: template words are ordered by
+how many documents of the whole corpus have them, rarest first; a piece with a block that reaches the threshold must hold
+one of the first |T| - need + 1 words of the template (prefix filter), must have at least ``need`` words (length filter),
+and from the first shared word on both sides must have enough words left (positional filter). What passes is verified on
+the word sets of its blocks, so the join is exact. Templates are a fixed table of bounded size; pieces without a prefix
+word never leave their row. Texts of any length are whole; other columns may have any name but the three that are added.
 
 Base phrases are found besides as runs of consecutive words. A null text is empty; empty tables give no rows;
 repeated rows each get the same result.
@@ -99,14 +101,10 @@ def template_matches(df: DataFrame, text_col: str, templates=TEMPLATES, containm
     known, first = F.array(*map(F.lit, order)), sorted({r for r, *_ in prefixes})
     least = min(need for *_, need in sets)
     ranked = F.map_from_arrays(known, F.array(*map(F.lit, range(len(order)))))
-    lines = F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "\n")
     longest = max(length for *_, length in sets)
-    tokens = F.when(F.size(lines) > 1, words(lower_ascii(F.col(text_col)), NON_WORD)).otherwise(F.array().cast("array<string>"))
-    runs = let(tokens, lambda w: F.transform(positions(0, F.floor((F.size(w) - 1) / longest).cast("int")), lambda j: F.slice(w, j * longest + 1, F.lit(2 * longest))))
+    runs = let(words(lower_ascii(F.col(text_col)), NON_WORD), lambda w: F.transform(positions(0, F.floor((F.size(w) - 1) / longest).cast("int")), lambda j: F.slice(w, j * longest + 1, F.lit(2 * longest))))
     marks = F.array(*[F.lit(order[r]) for r in first])
-    block = lambda x, run: F.struct(F.array_intersect(x, known).alias("words_b"), run.alias("run"))
-    of_lines = F.transform(lines, lambda x: block(words(x, NON_WORD), F.array().cast("array<string>")))
-    blocks = F.concat(of_lines, F.transform(runs, lambda x: block(x, x)))
+    blocks = F.transform(runs, lambda x: F.struct(F.array_intersect(x, known).alias("words_b"), x.alias("run")))
     blocks = F.filter(blocks, lambda b: (F.size(b["words_b"]) >= least) & F.arrays_overlap(b["words_b"], marks))
     rows = df.select(*df.columns, F.posexplode(blocks).alias("block", "b")).select(*df.columns, "block", "b.*")
     rows = rows.withColumn("words_b", F.array_sort(F.transform("words_b", lambda w: F.element_at(ranked, w))))
@@ -119,8 +117,7 @@ def template_matches(df: DataFrame, text_col: str, templates=TEMPLATES, containm
     starts = positions(1, F.greatest(F.lit(1), F.size("run") - F.col("length") + 1))
     whole_block = F.size(F.array_intersect("words_b", "words_t"))
     found = found.where(~earlier & (whole_block >= F.col("need_t")))
-    shared = F.when(F.size("run") == 0, whole_block).otherwise(F.array_max(F.transform(starts, in_run)))
-    found = found.withColumn("_shared", shared).where(F.col("_shared") >= F.col("need_t"))
+    found = found.withColumn("_shared", F.array_max(F.transform(starts, in_run))).where(F.col("_shared") >= F.col("need_t"))
     return found.select(*df.columns, "block", "label", (F.col("_shared") / F.size("words_t")).alias("containment"))
 
 

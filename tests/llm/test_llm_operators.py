@@ -223,9 +223,9 @@ def test_license_places_and_templates(docs, rows):
         assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(sorted(labels)))
         assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
         best = 0.0
-        for line in lower(t or "").split("\n"):
-            block = set(TOKEN.findall(line))
-            for text, label in license_scan.TEMPLATES:
+        for text, label in license_scan.TEMPLATES:
+            n = len(text.split())
+            for block in ({*w[j : j + n]} for j in range(max(1, len(w) - n + 1))):
                 share = len(block & set(text.split())) / len(set(text.split()))
                 if share >= license_scan.CONTAINMENT - 1e-9:
                     labels, best = labels | {label}, max(best, share)

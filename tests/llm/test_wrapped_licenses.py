@@ -25,13 +25,24 @@ def test_wrapped_statements(spark):
     got = {r.doc_id: r for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     for i, t in rows:
         w, labels, best = TOKEN.findall(t.lower()), set(), 0.0
-        blocks = [(None, set(TOKEN.findall(x))) for x in t.lower().split("\n")]
         for text, label in license_scan.TEMPLATES:
             want, n = set(text.split()), len(text.split())
-            for _, b in [*blocks, *((n, set(w[j : j + n])) for j in range(max(1, len(w) - n + 1)))]:
+            for b in (set(w[j : j + n]) for j in range(max(1, len(w) - n + 1))):
                 share = len(b & want) / len(want)
                 if share >= license_scan.CONTAINMENT - 1e-9:
                     labels, best = labels | {label}, max(best, share)
         places = [label for phrase, label in license_scan.PHRASES.items() if f" {phrase} " in f" {' '.join(w)} "]
         assert got[i].labels == ",".join(sorted(labels | set(places))) and got[i].score == pytest.approx(1.0 if places else best)
     assert all(label in got[i].labels.split(",") for i, label in enumerate(named)) and got[len(rows) - 1].labels == ""
+
+
+def test_prose_that_holds_a_statements_words_names_no_license(spark):
+    rows = [
+        (1, "a prose with by far 4 people 0 licensed drivers under water and cc marks"),
+        (2, "the ship was released under pressure to the crew of mit sailors who had lost their license plate on the way"),
+        (3, "released under the MIT\nlicense"),
+        (4, "Licensed, under CC-BY 4.0"),
+        (5, "some words before it is licensed under cc by sa 4 0 and some after it"),
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == got[2] == "" and got[3] == "mit" and "cc-by" in got[4].split(",") and "cc-by-sa" in got[5].split(",")
