@@ -6,7 +6,7 @@ its children's densities; the element with the largest sum holds the article. Th
 body is the threshold, and further subtrees beside that path that reach it are content too. Elements for scripts,
 styles, menus, headers, footers and asides, and reader comments, have no density. What a role, class or id calls so,
 and forms, have none either, unless they hold most of the page's text and its headline or article, as a wrapper
-around the whole page does.
+around the whole page does, or without them too little would be left.
 
 Null or empty html gives an empty text; broken markup (open tags, stray end tags, cut-off pages) is read as far as it
 goes; ties go to the element that comes first. Repeated rows each get their own equal result; an empty table has no
@@ -58,7 +58,7 @@ STATES = frozenset("has with without no is not show hide enabled disabled open o
 ARTICLE = frozenset("entry post article story section content page".split())
 _PARTS = re.compile(r"[A-Z]?[^-_A-Z]+|[A-Z]+")
 
-KEPT, SOFT, HARD = 0, 1, 2
+KEPT, SOFT, TALKED, HARD = range(4)
 
 
 def _named(value: str) -> int:
@@ -71,14 +71,14 @@ def _named(value: str) -> int:
         if parts[-1] == "header" and parts[0] in ARTICLE:
             continue
         if TALK.fullmatch(parts[-1]) or TALK.fullmatch(parts[0]):
-            worst = HARD
+            worst = TALKED
         elif HINTS.fullmatch(parts[-1]) or HINTS.fullmatch(parts[0]):
             worst = max(worst, SOFT)
     return worst
 
 
 def _standing(name: str, attributes: str, inside_article: bool) -> int:
-    """Whether an element is left out always (HARD), or unless it is around the article (SOFT)."""
+    """Whether an element is left out always (HARD), as reader comments (TALKED), or unless it is around the article (SOFT)."""
     if name in DROPPED or name == "header" and not inside_article:
         return HARD
     worst = SOFT if name == "form" else KEPT
@@ -99,16 +99,17 @@ class Page:
     def __init__(self, source: str) -> None:
         self.name, self.parent, self.standing = ["#root"], [-1], [KEPT]
         self.items: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
-        stack, at, inside = [0], 0, 0
+        stack, at, inside, open_p = [0], 0, 0, 0
 
         def text(upto: int) -> None:
             if upto > at:
                 self.items.append((stack[-1], source[at:upto]))
 
         def pop_to(depth: int) -> None:
-            nonlocal inside
+            nonlocal inside, open_p
             while len(stack) > depth:
                 node = stack.pop()
+                open_p -= self.name[node] == "p"
                 inside -= self.name[node] in ("article", "main")
                 if self.name[node] not in INLINE:
                     self.items.append((stack[-1], None))
@@ -127,7 +128,7 @@ class Page:
                         pop_to(depth)
                         break
                 continue
-            if name not in INLINE:
+            if name not in INLINE and open_p:
                 for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                     if self.name[stack[depth]] == "p":
                         pop_to(depth)
@@ -158,16 +159,51 @@ class Page:
                 at = position = end.end() if end else len(source)
                 continue
             stack.append(node)
+            open_p += name == "p"
             inside += name in ("article", "main")
         text(len(source))
         self.drop = self._dropped()
 
     def _dropped(self) -> list[bool]:
         """Which nodes are left out, with all below them."""
+        drop = self._unless_around([s >= TALKED for s in self.standing])
+        return self._taken_back(drop)
+
+    def _below(self, gone: list[bool]) -> list[bool]:
+        """``gone`` for nodes and all below them."""
+        gone = list(gone)
+        for i in range(1, len(gone)):
+            gone[i] = gone[i] or gone[self.parent[i]]
+        return gone
+
+    def _taken_back(self, drop: list[bool]) -> list[bool]:
+        """A name cannot empty a page: where what is left holds under a tenth of the text and no headline or article, a box
+        with more than half of the text stays after all, if it is no list of links, and has a headline if comments do."""
         n = len(self.name)
-        hard = [False] * n
+        hard = self._below([s == HARD for s in self.standing])
+        chars, links, left, linked = [0] * n, [0] * n, 0, [False] * n
+        headed = [name == "h1" for name in self.name]
+        within, marked = [name in ("article", "main", "h1") for name in self.name], False
         for i in range(1, n):
-            hard[i] = hard[self.parent[i]] or self.standing[i] == HARD
+            within[i] = within[i] or within[self.parent[i]]
+            linked[i] = linked[self.parent[i]] or self.name[i] == "a"
+        for node, piece in self.items:
+            if piece and not hard[node]:
+                size = len("".join(piece.split()))
+                chars[node] += size
+                links[node] += size * linked[node]
+                left += size * (not drop[node])
+                marked = marked or not drop[node] and within[node]
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            chars[p], links[p], headed[p] = chars[p] + chars[i], links[p] + links[i], headed[p] or headed[i]
+        if marked or 10 * left >= chars[0]:
+            return drop
+        stays = lambda i: 2 * chars[i] > chars[0] and 3 * links[i] <= chars[i] and (self.standing[i] == SOFT or headed[i])
+        return self._below([s == HARD or s != KEPT and not stays(i) for i, s in enumerate(self.standing)])
+
+    def _unless_around(self, hard: list[bool]) -> list[bool]:
+        n, hard = len(hard), self._below(hard)
         chars = [0] * n
         for node, piece in self.items:
             if piece and not hard[node]:

@@ -1,5 +1,6 @@
 """Pages whose wrappers are named after what they have beside the article, and texts cut into parts."""
 
+import time
 import random
 
 import pytest
@@ -58,3 +59,17 @@ def test_attachments_keep_their_places(spark):
     digests = {r.conv_id: r.n_turns for r in chat_format.conversation_digests(done.withColumn("text", done.formatted)).collect()}
     assert digests == {2**53 + 1: 1, None: 2}
     assert chat_format.conversation_digests(done.limit(0).withColumn("text", done.formatted)).count() == 0
+
+
+def test_names_cannot_empty_a_page():
+    prose = "<p>" + "A sentence of plain prose that goes on for a while. " * 4 + "</p>"
+    for box in ('<div class="related-content">%s</div>', '<div class="comment-post"><h1>Title</h1>%s</div>', '<div class="search-article"><h2>T</h2>%s</div>'):
+        assert "plain prose" in html_extract.extract(f"<body>{box % prose}</body>")
+    short = '<body><div class="ad">%s</div><article><h1>Title</h1><p>Short.</p></article><div class="comments">%s</div></body>' % (prose, prose * 3)
+    assert html_extract.extract(short) == "Title\nShort."
+
+
+def test_deep_markup_is_linear():
+    begun = time.process_time()
+    assert html_extract.extract("<blockquote>" * 20_000 + "word") == "word"
+    assert time.process_time() - begun < 5
