@@ -2,8 +2,8 @@
 
 Every element of the page's tree gets the characters, tags, link characters and link tags below it, and from them a
 density: characters per tag, damped by the share of links against the page's own. An element's density sum adds up
-its children's densities; the element with the largest sum holds the article. The least density on its path up to the
-body is the threshold, and further subtrees beside that path that reach it are content too. Elements for scripts,
+its children's densities; the element with the largest sum holds the article. The least density on its path up to and
+including the body is the threshold, and further subtrees beside that path that reach it are content too. Elements for scripts,
 styles, menus, headers, footers and asides, and reader comments, have no density. What a role, class or id calls so,
 and forms, have none either, unless they hold most of the page's text and its headline or article, as a wrapper
 around the whole page does, or without them too little would be left.
@@ -261,7 +261,7 @@ class Page:
             path.append(i)
             i = self.parent[i]
         top = i
-        threshold = min([density[p] for p in path] or [density[best]])
+        threshold = min([density[p] for p in path] + [density[top]] * (top >= 0) or [density[best]])
         on_path = {*path, top}
         kept = [False] * n
         for i in range(n):

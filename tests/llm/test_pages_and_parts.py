@@ -1,7 +1,7 @@
 """Pages whose wrappers are named after what they have beside the article, and texts cut into parts."""
 
-import time
 import random
+import time
 
 import pytest
 
@@ -73,3 +73,9 @@ def test_deep_markup_is_linear():
     begun = time.process_time()
     assert html_extract.extract("<blockquote>" * 20_000 + "word") == "word"
     assert time.process_time() - begun < 5
+
+
+def test_an_article_in_two_boxes_is_whole():
+    box = lambda n: "<div>" + "".join("<p>" + f"Paragraph {i} of {n} says a good deal about one thing. " * 25 + "</p>" for i in range(n)) + "</div>"
+    lines = html_extract.extract(f"<body>{box(4)}{box(2)}</body>").split("\n")
+    assert len(lines) == 6
