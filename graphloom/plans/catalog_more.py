@@ -574,6 +574,22 @@ def propose_entities(spark, sf_dir):
     return evolution.propose(_chunk_rows(spark, sf_dir), terms).select("chunk_id", "name")
 
 
+_SPLIT = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x<>'')"
+_DICTIONARY = f"""raw AS (SELECT p_name term, 'Part' entity_type FROM part UNION SELECT s_name, 'Supplier' FROM supplier UNION SELECT array_to_string({_SPLIT.format("text")}[1:k], ' '), 'Phrase' FROM benchmark, (VALUES (2), (3), (5)) v(k)),
+ terms AS (SELECT term, entity_type, len(w)::INT words, array_to_string(w, ' ') k FROM (SELECT *, {_SPLIT.format("term")} w FROM raw) WHERE len(w)>0)"""
+
+
+@query(f"""WITH {_CHUNK_ROWS}, {_DICTIONARY}, cut AS (SELECT chunk_id, {_SPLIT.format("chunk")} w FROM chunk_rows), n AS (SELECT DISTINCT words FROM terms),
+ runs AS (SELECT chunk_id, words, p, array_to_string(w[p:p+words-1], ' ') k FROM cut, n, unnest(range(1, len(w)-words+2)) t(p)),
+ met AS (SELECT chunk_id, p::INT "at", words, term, entity_type FROM runs JOIN terms USING (words, k)) SELECT * FROM met QUALIFY words = max(words) OVER (PARTITION BY chunk_id, "at")""")
+def dictionary_mentions(spark, sf_dir):
+    """Names of parts and suppliers and openings of benchmark items, wherever they stand in the chunks of all documents."""
+    opening = lambda k: table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(evolution.dictionary_words(F.col("text")), 1, k), " ").alias("term"), F.lit("Phrase").alias("entity_type"))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.lit("Part").alias("entity_type")).union(table(spark, sf_dir, "supplier").select("s_name", F.lit("Supplier")))
+    terms = names.union(opening(2)).union(opening(3)).union(opening(5))
+    return evolution.dictionary_mentions(_chunk_rows(spark, sf_dir), terms)
+
+
 @query("WITH u AS (SELECT DISTINCT event_id//10 c, 'user'||user_id AS name, event_type t FROM events) SELECT 'r'||a.c chunk_id, a.name source_name, b.name target_name, 'follows' relation_type FROM u a JOIN u b ON a.c=b.c AND a.t='click' AND b.t='view' AND a.name<>b.name")
 def propose_relations(spark, sf_dir):
     declared = spark.createDataFrame([("follows", "click", "view")], "name string, source_type string, target_type string")
