@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.governance import relation_ends
+from graphloom.operators.governance import end_types, most_frequent_ends
 from graphloom.schema import RESERVED_RELATIONS
-from graphloom.session import small
+from graphloom.session import materialize, small
 
 #: Names looked at for a type, examples kept, and the schema suggested where nothing is known.
 SAMPLES, EXAMPLES = 5, 3
 #: Different numbers of words that the terms of a dictionary may have.
 LENGTHS = 50
+#: Most first words of terms by which the words of a chunk are looked through before runs are made.
+FIRST_WORDS = 5_000
 DEFAULT_ENTITIES = (("人物", "自然人", "张三"), ("组织", "机构或组织", "公司A"), ("地点", "地理位置", "北京"))
 DEFAULT_RELATIONS = (("就职于", "人物在组织工作", "人物", "组织"), ("位于", "实体的地理位置", "组织", "地点"))
 #: Colours of types in turn; our own palette.
@@ -127,18 +129,22 @@ def dictionary_mentions(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """(chunk_id, at, words, term, entity_type): at each word of a chunk the longest term that begins there, if any.
 
     chunks: chunk_id, chunk; terms: term, entity_type. Terms and chunks are compared by whole words, so a term never
-    matches inside one; terms of equal words all count. A chunk gives a row for each word and each number of words that a
-    term has, which meet the dictionary by a join: broadcast while it is proven small, dealt by words beyond that. So any
-    number of terms will do. Terms and chunks without words match nothing."""
+    matches inside one; terms of equal words all count. A chunk gives a row for each word that begins a term (any word, if
+    terms begin with more than ``FIRST_WORDS``) and each number of words that a term has, which meet the dictionary by a
+    join: broadcast while it is proven small, dealt by words beyond that. So any number of terms will do. Terms and chunks without words match nothing."""
     listed = terms.select("term", "entity_type", dictionary_words(F.col("term")).alias("w")).where(F.size("w") > 0).distinct()
     listed = listed.select("term", "entity_type", F.size("w").alias("words"), F.array_join("w", " ").alias("key"))
     lengths = sorted(r["words"] for r in listed.select("words").distinct().limit(LENGTHS + 1).collect())
     if len(lengths) > LENGTHS:
         raise ValueError(f"terms have more than {LENGTHS} different numbers of words")
-    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.struct(i.alias("at"), F.lit(k).alias("words"), F.array_join(F.slice("w", i, k), " ").alias("key")))
+    begin = [r["f"] for r in listed.select(F.split("key", " ")[0].alias("f")).distinct().limit(FIRST_WORDS + 1).collect()]
+    starts = F.sequence(F.lit(1), F.size("w"))
+    if len(begin) <= FIRST_WORDS:
+        starts = F.filter(starts, lambda i: F.get("w", i - 1).isin(begin))
+    runs = lambda k: F.transform(F.filter("s", lambda i: i <= F.size("w") - (k - 1)), lambda i: F.struct(i.alias("at"), F.lit(k).alias("words"), F.array_join(F.slice("w", i, k), " ").alias("key")))
     none = F.array().cast("array<struct<at:int,words:int,key:string>>")
-    cut = chunks.select("chunk_id", dictionary_words(F.col("chunk")).alias("w"))
-    rows = cut.select("chunk_id", F.explode(F.concat(none, *[F.when(F.size("w") >= k, runs(k)).otherwise(none) for k in lengths])).alias("r")).select("chunk_id", "r.*")
+    cut = chunks.select("chunk_id", dictionary_words(F.col("chunk")).alias("w")).where(F.size("w") > 0).withColumn("s", starts)
+    rows = cut.select("chunk_id", F.explode(F.concat(none, *[runs(k) for k in lengths])).alias("r")).select("chunk_id", "r.*")
     met = rows.join(small(listed), ["words", "key"])
     longest = F.max("words").over(Window.partitionBy("chunk_id", "at"))
     return met.withColumn("_longest", longest).where("words = _longest").select("chunk_id", "at", "words", "term", "entity_type")

@@ -187,9 +187,22 @@ def by_count(gaps: DataFrame, key: str = "entity_type") -> DataFrame:
 
 def relation_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(relation_type, source_type, target_type, n): the most frequent pair of end types; ties by name."""
-    kind = nodes.select("id", "entity_type")
-    typed = edges.join(kind.select(F.col("id").alias("source_id"), F.col("entity_type").alias("source_type")), "source_id").join(kind.select(F.col("id").alias("target_id"), F.col("entity_type").alias("target_type")), "target_id")
-    counted = typed.groupBy("relation_type", "source_type", "target_type").agg(F.count("*").alias("n"))
+    return most_frequent_ends(end_types(edges, nodes).where("_from AND _to").drop("_from", "_to"))
+
+
+def end_types(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(relation_type, source_type, target_type, _from, _to, n): how many edges have ends of which types, and whether these
+    ends are there. An edge's target gives way to its type before sources are met, and edges alike by then are counted."""
+    kind = lambda end, name, there: nodes.select(F.col("id").alias(end), F.col("entity_type").alias(name), F.lit(True).alias(there))
+    to = edges.select("source_id", "target_id", "relation_type").join(kind("target_id", "target_type", "_to"), "target_id", "left")
+    some = to.groupBy("source_id", "relation_type", "target_type", "_to").agg(F.count("*").alias("n"))
+    both = some.join(kind("source_id", "source_type", "_from"), "source_id", "left")
+    there = lambda c: F.coalesce(c, F.lit(False))
+    return both.groupBy("relation_type", "source_type", "target_type", there("_from").alias("_from"), there("_to").alias("_to")).agg(F.sum("n").alias("n"))
+
+
+def most_frequent_ends(counted: DataFrame) -> DataFrame:
+    """Of each relation the pair of end types with most edges; ties by name."""
     best = F.row_number().over(Window.partitionBy("relation_type").orderBy(F.desc("n"), "source_type", "target_type"))
     return counted.withColumn("_r", best).where("_r = 1").drop("_r")
 
