@@ -137,8 +137,21 @@ def gate(nodes: DataFrame, edges: DataFrame, entities: DataFrame, relations: Dat
 
     A copy of an edge counts as a duplicate even if the first copy fails the evidence rule."""
     judged = judge_nodes(nodes, entities)
-    valid = judged.where("violation IS NULL").select("id", "entity_type")
-    ends = edges.join(valid.select(F.col("id").alias("source_id"), F.col("entity_type").alias("_from")), "source_id", "left").join(valid.select(F.col("id").alias("target_id"), F.col("entity_type").alias("_to")), "target_id", "left")
+    return judged, judge_edges(judged.where("violation IS NULL").select("id", "entity_type"), edges, relations, require_evidence)
+
+
+def judge_edges(valid: DataFrame, edges: DataFrame, relations: DataFrame, require_evidence: bool = False) -> DataFrame:
+    """Edges with ``violation``; valid: id, entity_type, and ``_gone`` if edges of nodes that go are to be dropped.
+
+    What the evidence rule asks is settled before edges meet nodes, so their quotes are shuffled only where a caller wants
+    them. Sources come last: copies of an edge are then where its source is."""
+    if require_evidence:
+        none = F.size("evidence_quotes") == 0
+        lack = F.when(~none & ~has_verified(F.col("evidence_quotes")), F.lit("unverified_evidence")).when(none & (F.size("source_chunk_ids") == 0), F.lit("missing_evidence"))
+        edges = edges.withColumn("_lack", F.when(~F.col("relation_type").isin(*RESERVED_RELATIONS), lack))
+    more = [c for c in ("_gone",) if c in valid.columns]
+    end = lambda c, kind: valid.select(F.col("id").alias(c), F.col("entity_type").alias(kind), *[F.col(g).alias(f"{g}{kind}") for g in more])
+    ends = edges.join(end("target_id", "_to"), "target_id", "left").join(end("source_id", "_from"), "source_id", "left")
     free = relations.limit(1).count() == 0
     rules = relations.select(F.col("name").alias("relation_type"), F.lit(True).alias("_rule"), "source_types", "target_types")
     ends = ends.join(small(rules), "relation_type", "left")
@@ -153,14 +166,10 @@ def gate(nodes: DataFrame, edges: DataFrame, entities: DataFrame, relations: Dat
     same = Window.partitionBy("source_id", "target_id", "relation_type", F.col("violation").isNull()).orderBy("seq")
     ranked = ranked.withColumn("violation", F.coalesce("violation", F.when(F.row_number().over(same) > 1, F.lit("duplicate_edge"))))
     if require_evidence:
-        need = F.col("violation").isNull() & ~F.col("relation_type").isin(*RESERVED_RELATIONS)
-        ranked = ranked.withColumn(
-            "violation",
-            F.when(need & (F.size("evidence_quotes") > 0) & ~has_verified(F.col("evidence_quotes")), F.lit("unverified_evidence"))
-            .when(need & (F.size("evidence_quotes") == 0) & (F.size("source_chunk_ids") == 0), F.lit("missing_evidence"))
-            .otherwise(F.col("violation")),
-        )
-    return judged, ranked.drop("_from", "_to", "_rule", "source_types", "target_types")
+        ranked = ranked.withColumn("violation", F.coalesce("violation", "_lack"))
+    if more:
+        ranked = ranked.where(~F.coalesce("_gone_from", F.lit(False)) & ~F.coalesce("_gone_to", F.lit(False)))
+    return ranked.drop("_from", "_to", "_rule", "source_types", "target_types", "_lack", "_gone_from", "_gone_to")
 
 
 def gate_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
