@@ -47,8 +47,9 @@ def reverse_schema(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     Definitions only say where a type comes from."""
     said = lambda c, kind: F.concat(F.lit("从导入图谱中识别出的「"), c, F.lit(f"」{kind}。"))
     types = samples(nodes).select(F.col("entity_type").alias("name"), said(F.col("entity_type"), "类型实体").alias("definition"), F.slice("names", 1, EXAMPLES).alias("examples"))
-    ends = relation_ends(edges, nodes).select(F.col("relation_type").alias("name"), "source_type", "target_type")
-    known = edges.where(F.trim(F.coalesce("relation_type", F.lit(""))) != "").select(F.col("relation_type").alias("name")).distinct()
+    counted = materialize(end_types(edges, nodes))  # a row for each relation and pair of types
+    ends = most_frequent_ends(counted.where("_from AND _to")).select(F.col("relation_type").alias("name"), "source_type", "target_type")
+    known = counted.where(F.trim(F.coalesce("relation_type", F.lit(""))) != "").select(F.col("relation_type").alias("name")).distinct()
     relations = known.join(ends, "name", "left").select("name", said(F.col("name"), "关系").alias("definition"), F.coalesce("source_type", F.lit("")).alias("source_type"), F.coalesce("target_type", F.lit("")).alias("target_type"))
     return coloured(types), relations
 
