@@ -8,9 +8,12 @@ n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1. The order is that of the hashes, with
 frequent is estimated on every SAMPLE-th text and only decides how large groups get, never what is found.
 
 Only connected components are wanted, so not every pair of a large group of copies is formed. First the proposed pairs,
-and every set with the least and the greatest that share a prefix shingle, are compared. Then every pair that shares a
-prefix shingle and is still in two components is tried: the sets outside a shingle's largest component against all of its
-sets. Pairs must pass the length filter and share bytes of their sketches, and are verified on the whole sets.
+and every set with two that share a prefix shingle, are compared: the one that has the shingle earliest, which in a group
+of near copies has the fewest shingles of its own and so is like most others, and the largest. Then every pair that shares
+a prefix shingle and is still in two components is tried: the sets outside a shingle's largest component against all of its
+sets. Both sets must have as many shingles from the shared one on as a pair at 4/5 has in common (the first shingle that
+a pair shares leaves at least these), so sets with more changes than two copies may have between them never meet. Pairs
+must share bytes of their sketches, and are verified on the whole sets.
 
 Null and empty texts have the empty set and are one group. Repeated rows are in one component and one of them stays.
 Texts of any length are read whole, an empty table gives no rows, and clashing columns are kept as they are.
@@ -111,26 +114,28 @@ def close_pairs(distinct: DataFrame) -> DataFrame:
     return same.union(ends.select("pa", "pb"))
 
 
-def _in_length(x: str, y: str) -> Column:
-    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+def _in_reach(n: str, pos: str, other_n: str, other_pos: str) -> Column:
+    """Whether both sets have the 4/9 of all their shingles that a pair at 4/5 shares from a common one's place on."""
+    due = 4 * (F.col(n) + F.col(other_n))
+    return (9 * (F.col(n) - F.col(pos)) >= due) & (9 * (F.col(other_n) - F.col(other_pos)) >= due)
 
 
 def first_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): every set with the least and the greatest that share a prefix shingle with it; rows: h, print, n, low, high."""
-    met = rows.select("print", "n", F.explode(F.array("low", "high")).alias("l"))
-    return met.where((F.col("l.print") != F.col("print")) & _in_length("n", "l.n")).select(F.least("print", "l.print").alias("a"), F.greatest("print", "l.print").alias("b")).distinct()
+    """(a, b): every set with the earliest and the largest that share a prefix shingle; rows: h, pos, print, n, low, high."""
+    met = rows.select("print", "n", "pos", F.explode(F.array("low", "high")).alias("l"))
+    return met.where((F.col("l.print") != F.col("print")) & _in_reach("n", "pos", "l.n", "l.pos")).select(F.least("print", "l.print").alias("a"), F.greatest("print", "l.print").alias("b")).distinct()
 
 
 def other_pairs(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that share a prefix shingle and pass the length filter."""
-    placed = rows.select("h", "print", "n").join(narrow(parts), "print")
+    """(a, b): pairs of different components that share a prefix shingle in reach of both."""
+    placed = rows.select("h", "print", "n", "pos").join(narrow(parts), "print")
     torn = placed.groupBy("h").agg((F.min("component") != F.max("component")).alias("torn")).where("torn").select("h")
     placed = stashed(placed.join(torn, "h"))
     sizes = placed.groupBy("h", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("h").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     marked = stashed(placed.join(main, "h").withColumn("is_main", F.col("component") == F.col("main")).drop("main"))
-    side = lambda df, s: df.select("h", F.col("print").alias(f"p{s}"), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}"), F.col("is_main").alias(f"m{s}"))
-    met = side(marked.where("NOT is_main"), "x").join(side(marked, "y"), "h").where(_in_length("nx", "ny") & (F.col("cx") != F.col("cy")) & (F.col("my") | (F.col("px") < F.col("py"))))
+    side = lambda df, s: df.select("h", F.col("print").alias(f"p{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"at{s}"), F.col("component").alias(f"c{s}"), F.col("is_main").alias(f"m{s}"))
+    met = side(marked.where("NOT is_main"), "x").join(side(marked, "y"), "h").where(_in_reach("nx", "atx", "ny", "aty") & (F.col("cx") != F.col("cy")) & (F.col("my") | (F.col("px") < F.col("py"))))
     return met.select(F.least("px", "py").alias("a"), F.greatest("px", "py").alias("b")).distinct()
 
 
@@ -168,9 +173,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # one row a set: most sets stand once, and only those of copies are gathered
     whole = signed.select("print", "n", "prefix")
     sets = whole.join(copies, "print", "left_anti").union(whole.join(copies, "print", "left_semi").groupBy("print").agg(F.first("n"), F.first("prefix")))
-    listed = sets.select("print", "n", F.explode("prefix").alias("h"))
-    one = F.struct("print", "n")
-    shared = listed.groupBy("h").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.print <> high.print")
+    listed = sets.select("print", "n", F.posexplode("prefix").alias("pos", "h"))
+    one = F.struct("n", "pos", "print")
+    shared = listed.groupBy("h").agg(F.min_by(one, F.struct("pos", "print")).alias("low"), F.max(one).alias("high"), F.count("*").alias("m")).where("m > 1").drop("m")
     rows = stashed(listed.join(stashed(shared), "h"))
 
     members = stashed(rows.select("print").distinct())
