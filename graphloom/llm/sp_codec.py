@@ -21,9 +21,10 @@ for return what there is. Rows that repeat have equal samples, since the seed is
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 from math import exp, log
 
 import numpy as np
@@ -36,7 +37,7 @@ from graphloom.llm.segments import U, encoded, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, BEST, SEED = 2, 4, 17
 #: Characters of texts that are cut at once, words in a batch of them, and distinct words that a worker remembers.
-CHARS, BATCH, CACHE = 1_500_000, 100_000, 150_000
+CHARS, BATCH, CACHE = 1_500_000, 100_000, 400_000
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is cut; no valid text has it.
 _LITERAL = "\udb81"
@@ -185,7 +186,7 @@ def sample_path(vocab: Pieces, word: str, noise: Iterator[float], excluded: list
 
 
 #: Longest word whose lattice is computed together with others of its length, and words in one computation.
-TOGETHER, BLOCK = 40, 2048
+TOGETHER, BLOCK = 40, 8192
 
 
 def lattices(vocab: Pieces, words: list[str], best: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -224,10 +225,12 @@ def _same_length(vocab: Pieces, codes: np.ndarray, best: int) -> tuple[np.ndarra
     tops[length, 0] = 0
     ends, tails, piece = (np.zeros((length, best, n), kind) for kind in (np.int16, np.int16, np.int32))
     rows = np.arange(n)
+    reach, width = min(length, vocab.longest), [0] * length + [1]  # width: segmentations kept from a place on, at most
+    all_scores, all_ids = np.empty((reach, n)), np.empty((reach, n), np.int32)
     for at in range(length - 1, -1, -1):
-        hashes, live, used, scores, ids = np.zeros(n, U), rows, [], [], []
+        hashes, live, used = np.zeros(n, U), rows, []
         for end in range(at + 1, min(length, at + vocab.longest) + 1):
-            hashes = vocab.grow(hashes, codes[end - 1][live])
+            hashes = vocab.grow(hashes, codes[end - 1] if len(live) == n else codes[end - 1][live])
             slot = vocab.find(hashes)
             begun = slot >= 0
             if not begun.all():  # no piece is longer than what pieces begin with
@@ -236,28 +239,40 @@ def _same_length(vocab: Pieces, codes: np.ndarray, best: int) -> tuple[np.ndarra
                 break
             score = vocab._score[slot]
             if (score > -np.inf).any():
+                e = len(used)
                 used.append(end)
-                scores.append(np.full(n, _NONE))
-                ids.append(np.zeros(n, np.int32))
-                scores[-1][live], ids[-1][live] = np.maximum(score, _NONE), vocab._id[slot]
-        sums = np.array(scores)
-        sums += total[used]
+                if len(live) == n:
+                    np.maximum(score, _NONE, out=all_scores[e])
+                    all_ids[e] = vocab._id[slot]
+                else:
+                    all_scores[e], all_ids[e] = _NONE, 0
+                    all_scores[e, live], all_ids[e, live] = np.maximum(score, _NONE), vocab._id[slot]
+        m = len(used)
+        scores, ids = all_scores[:m], all_ids[:m]
+        sums = scores + total[used]
         top = sums.max(axis=0)
         sums -= top
         total[at] = top + np.log(np.exp(sums, out=sums).sum(axis=0))
-        options = np.empty((len(used) * best, n))
+        deep = max(width[end] for end in used)
+        width[at] = min(best, sum(width[end] for end in used))
+        options = np.empty((deep, m, n))
         for e, end in enumerate(used):
-            np.add(tops[end], scores[e], out=options[e * best : (e + 1) * best])
+            np.add(tops[end, :deep], scores[e], out=options[:, e])
+        options = options.reshape(deep * m, n)
+        tail, edge = np.divmod(np.arange(deep * m), m)
+        origin = edge * best + tail
         bits = options.view(np.int64)  # the last eight bits of a score say where it comes from
         bits &= ~255
-        bits |= np.arange(len(options))[:, None]
-        ids, used = np.array(ids), np.array(used, np.int16)
-        for r in range(min(best, len(options))):
-            highest = options.max(axis=0)
+        bits |= origin[:, None]
+        row_of, end_of = np.zeros(m * best, np.int64), np.repeat(np.array(used, np.int16), best)
+        row_of[origin] = np.arange(deep * m)
+        edge_of, tail_of = np.divmod(np.arange(m * best), best)
+        for r in range(width[at]):
+            highest = options[: (r + 1) * m].max(axis=0)  # of an edge's tails the better ones go first
             place = highest.view(np.int64) & 255
-            edge, tail = np.divmod(place, best)
-            tops[at, r], ends[at, r], tails[at, r], piece[at, r] = highest, used[edge], tail, ids[edge, rows]
-            options[place, rows] = 2 * _NONE
+            tops[at, r], ends[at, r], tails[at, r], piece[at, r] = highest, end_of[place], tail_of[place], ids[edge_of[place], rows]
+            if r + 1 < width[at]:
+                options[row_of[place], rows] = 2 * _NONE
     at, rank = np.zeros((best, n), np.int64), np.repeat(np.arange(best)[:, None], n, axis=1)
     none = tops[0] <= _NONE  # fewer segmentations than asked for
     at[none] = length
@@ -270,6 +285,13 @@ def _same_length(vocab: Pieces, codes: np.ndarray, best: int) -> tuple[np.ndarra
     return total[0], np.where(none, -np.inf, tops[0]).T, np.array(steps).transpose(2, 1, 0)
 
 
+def _numbers(words: list[str]) -> defaultdict[str, int]:
+    """The place of each word; a word that is asked for and not there gets the next place."""
+    found = defaultdict(None, zip(words, range(len(words)), strict=True))
+    found.default_factory = found.__len__
+    return found
+
+
 class _Table:
     """Choices of distinct words: BEST segmentations and one branch for all others. Kept over batches, up to CACHE words."""
 
@@ -279,7 +301,7 @@ class _Table:
 
     def _clear(self, room: int = 0) -> None:
         room, width = max(room, CACHE), BEST + 1
-        self.index: dict[str, int] = {}
+        self.index = _numbers([])
         self.words: list[str] = []
         self.p, self.cumulative, self.log_rest, self.logp = (np.zeros((room, width)) for _ in range(4))
         self.counts, self.first = np.zeros(room * width, np.int64), np.zeros(room * width, np.int64)
@@ -300,45 +322,44 @@ class _Table:
         self.counts[: len(slots)], self.first[: len(slots)] = counts, ends - counts
         self.ids[:n], self.filled = flat, n
         self.words = [self.words[i] for i in keep.tolist()]
-        self.index = {w: i for i, w in enumerate(self.words)}
+        self.index = _numbers(self.words)
         self.again[:] = False
 
     def rows(self, cut: list[list[str]]) -> np.ndarray:
         """The row of every word of every text; words that are new are added, all at once."""
-        flat = list(chain.from_iterable(cut))
-        found = list(map(self.index.get, flat))
-        missing = [k for k, i in enumerate(found) if i is None]
-        fresh = list(dict.fromkeys([flat[k] for k in missing]))
-        if len(self.words) + len(fresh) > len(self.p):
+        total = sum(map(len, cut))
+        out = self._numbered(cut, total)
+        if len(self.index) > len(self.p):
             self._shrink()
-            fresh = list(dict.fromkeys([w for w in flat if w not in self.index]))
-            if 2 * len(self.words) + len(fresh) > len(self.p):
-                fresh = list(dict.fromkeys(flat))
-                self._clear(len(fresh))
-            missing = range(len(flat))
+            out = self._numbered(cut, total)
+            if len(self.words) + len(self.index) > len(self.p):
+                distinct = len(set(chain.from_iterable(cut)))
+                self._clear(distinct)
+                out = self._numbered(cut, total)
         known = len(self.words)
-        if fresh:
-            self._add(fresh)
-        for k in missing:
-            found[k] = self.index[flat[k]]
-        out = np.array(found, np.int64)
+        if len(self.index) > known:
+            self._add(list(islice(self.index, known, None)))
         often = np.bincount(out, minlength=1)
         self.again[np.flatnonzero(often[:known])] = True
         self.again[np.flatnonzero(often >= 2)] = True
         return out
 
+    def _numbered(self, cut: list[list[str]], total: int) -> np.ndarray:
+        """The number of every word; words that are new get the next numbers, in the order in which they stand."""
+        return np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, total)
+
     def _add(self, words: list[str]) -> None:
+        """Fill the rows of words that were numbered last."""
         width, old = BEST + 1, len(self.words)
-        logps, counted, ids = [], [], []
+        self.words += words
+        order, logps, counted, ids = [], [], [], []
         for places, norm, scores, paths in lattices(self.vocab, words, BEST):
-            for i in places:
-                self.index[words[i]] = len(self.words)
-                self.words.append(words[i])
+            order += places
             logps.append(scores - norm[:, None])
             here = paths >= 0
             counted.append(here.sum(axis=2))
             ids.append(paths[here].astype(np.int32))
-        here = slice(old, len(self.words))
+        here = old + np.array(order)
         p = np.exp(np.pad(np.concatenate(logps), ((0, 0), (0, 1)), constant_values=-np.inf))
         counts = np.pad(np.concatenate(counted), ((0, 0), (0, 1)))
         rest = np.where(counts[:, BEST - 1] > 0, 1 - p.sum(axis=1), 0)
@@ -349,7 +370,7 @@ class _Table:
             self.log_rest[here], self.logp[here] = np.log(np.maximum(others, 0)), np.log(p)
         self.p[here], self.cumulative[here] = p, np.cumsum(p, axis=1)
         counts, flat = counts.ravel(), np.concatenate(ids)
-        slots = slice(old * width, len(self.words) * width)
+        slots = (here[:, None] * width + np.arange(width)).ravel()
         self.counts[slots], self.first[slots] = counts, self.filled + np.cumsum(counts) - counts
         if self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)))
