@@ -28,7 +28,7 @@ from itertools import accumulate, chain, islice
 from math import exp, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,9 +97,9 @@ class Pieces:
         other = np.flatnonzero((met != hashes) & (met > 0))
         while len(other):
             slot[other] = (slot[other] + 1) % len(self._hash)
-            met = self._hash[slot[other]]
-            other = other[(met != hashes[other]) & (met > 0)]
-        return np.where(self._hash[slot] == hashes, slot, -1)
+            met[other] = then = self._hash[slot[other]]
+            other = other[(then != hashes[other]) & (then > 0)]
+        return np.where(met == hashes, slot, -1)
 
     def has_char(self, codes: np.ndarray) -> np.ndarray:
         return self._chars[codes]
@@ -154,10 +154,9 @@ def word_lattice(vocab: Pieces, word: str, best: int) -> tuple[float, list[tuple
     return total[0], flat
 
 
-def sample_path(vocab: Pieces, word: str, noise: Iterator[float], excluded: list[tuple[float, tuple[int, ...]]]) -> tuple[float, tuple[int, ...]]:
-    """A segmentation drawn from the lattice without the excluded ones (each with its log-probability given the word).
-
-    At every node the excluded segmentations that would pass an edge are taken off the edge's probability."""
+@lru_cache(maxsize=4096)
+def _edges_and_sums(vocab: Pieces, word: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
+    """What can start at each place of a word, and the log-sum over all segmentations from there."""
     n = len(word)
     total = [0.0] * (n + 1)
     edges = [list(vocab.edges(word, at)) for at in range(n)]
@@ -165,6 +164,15 @@ def sample_path(vocab: Pieces, word: str, noise: Iterator[float], excluded: list
         sums = [score + total[end] for end, score, _ in edges[at]]
         top = max(sums)
         total[at] = top + log(sum([exp(x - top) for x in sums]))
+    return edges, total
+
+
+def sample_path(vocab: Pieces, word: str, noise: Iterator[float], excluded: list[tuple[float, tuple[int, ...]]]) -> tuple[float, tuple[int, ...]]:
+    """A segmentation drawn from the lattice without the excluded ones (each with its log-probability given the word).
+
+    At every node the excluded segmentations that would pass an edge are taken off the edge's probability."""
+    n = len(word)
+    edges, total = _edges_and_sums(vocab, word)
     at, out, so_far, left = 0, (), 0.0, excluded  # left: those that agree with all that is drawn so far
     while at < n:
         options, whole = [], 0.0
@@ -193,10 +201,12 @@ def lattices(vocab: Pieces, words: list[str], best: int) -> Iterator[tuple[list[
     """``word_lattice`` of many words: (places of the words, log-sums, scores of the best, their pieces ended by -1).
 
     Words of one length that need no byte pieces are computed together."""
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w) if len(w) <= TOGETHER else 0, []).append(i)
-    for length, rows in by_length.items():
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    lengths[lengths > TOGETHER] = 0
+    order = np.argsort(lengths, kind="stable")
+    lasts = np.cumsum(np.bincount(lengths))
+    for length in np.unique(lengths).tolist():
+        rows = order[lasts[length - 1] if length else 0 : lasts[length]].tolist()
         plain = np.zeros(len(rows), bool)
         if length and len(rows) > 8:
             codes = np.array([words[i] for i in rows], f"U{length}").view(np.uint32).reshape(-1, length)
@@ -592,22 +602,24 @@ def sampled(texts: list[str | None], seeds: np.ndarray, samples: int, table: _Ta
 
 def segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL) -> DataFrame:
     """One row per row and sample: id, rank, log_prob, perturbed, inclusion, pieces, n_pieces, round_trip."""
-    schema = f"row bigint, {id_col} string, rank int, log_prob double, perturbed double, inclusion double, n_pieces bigint, round_trip boolean, pieces array<int>"
+    schema = f"{id_col} string, rank int, log_prob double, perturbed double, inclusion double, n_pieces bigint, round_trip boolean, pieces array<int>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, table = pieces(model), word_table(model)
-        for frame in frames:
-            size = np.cumsum([len(t or "") for t in frame["text"]])
+        for batch in (b for b in batches if b.num_rows):
+            ids, texts, seeds = batch["id"].to_pylist(), batch["text"].to_pylist(), batch["seed"].to_numpy().view(U)
+            size = np.cumsum([len(t or "") for t in texts])
             parts = np.unique(size // CHARS, return_index=True)[1].tolist()
-            for low, high in zip(parts, [*parts[1:], len(frame)], strict=True):
-                texts = frame["text"].iloc[low:high].tolist()
-                ids = frame["id"].iloc[low:high].tolist()
-                seeds = frame["seed"].iloc[low:high].to_numpy().view(U)
-                made = list(sampled(texts, seeds, samples, table))
-                given = [encoded(t) for t in texts]
-                rows = [(0, ids[i], rank, p, k, q, len(found), back == given[i], found) for (i, rank, p, k, q, found), back in zip(made, spelled(vocab, [m[-1] for m in made]), strict=True)]
-                yield pd.DataFrame(rows, columns=["row", id_col, "rank", "log_prob", "perturbed", "inclusion", "n_pieces", "round_trip", "pieces"])
+            for low, high in zip(parts, [*parts[1:], len(texts)], strict=True):
+                made = list(sampled(texts[low:high], seeds[low:high], samples, table))
+                given = [encoded(t) for t in texts[low:high]]
+                i, rank, p, key, inclusion, found = map(list, zip(*made, strict=True))
+                ends = np.cumsum([0, *map(len, found)])
+                back = [b == given[k] for k, b in zip(i, spelled(vocab, found), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32, copy=False)))
+                columns = [pa.array([ids[low + k] for k in i], pa.string()), pa.array(rank, pa.int32()), pa.array(p, pa.float64()), pa.array(key, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(np.diff(ends)), pa.array(back, pa.bool_()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "rank", "log_prob", "perturbed", "inclusion", "n_pieces", "round_trip", "pieces"])
 
     kind = df.schema[id_col].dataType.simpleString()
     given = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("seed"))
-    return given.mapInPandas(run, schema).drop("row").withColumn(id_col, F.col(id_col).cast(kind))
+    return given.mapInArrow(run, schema).withColumn(id_col, F.col(id_col).cast(kind))
