@@ -8,7 +8,8 @@ The best node is always opened next; it follows its best member to a whole segme
 for the segmentations that branch off there. The first segmentations out are an exact sample without replacement. The
 key of the next node is the threshold from which each sample's inclusion score is computed.
 
-Noise is a counter hash of the row key, the sample and the word's place, so results do not depend on partitions.
+Noise is a counter hash of the row key, the sample and the word's place, so results do not depend on partitions, up to the
+last digits of keys; equally probable segmentations of a word have one order, whatever words are beside it.
 The search runs on arrays over many texts at once. Each distinct word keeps its BEST most probable segmentations;
 the others share one branch that is sampled on the lattice itself whenever it is drawn; what was drawn is excluded
 there from then on, and the rest of its probability stays.
@@ -24,11 +25,13 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, islice
+from itertools import accumulate, chain, count, islice
 from math import exp, log
+from struct import pack, unpack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +39,9 @@ from graphloom.llm.segments import U, encoded, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, BEST, SEED = 2, 4, 17
-#: Characters of texts that are cut at once, words in a batch of them, and distinct words that a worker remembers.
-CHARS, BATCH, CACHE = 1_500_000, 100_000, 400_000
+#: Bytes of texts that are cut at once, words in a batch of them, distinct words that a worker remembers, and pieces it
+#: remembers for each of these: memory of a worker does not grow with what it has read.
+BYTES, BATCH, CACHE, KEPT = 1_000_000, 50_000, 300_000, 32
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is cut; no valid text has it.
 _LITERAL = "\udb81"
@@ -127,23 +131,36 @@ def pieces(model: str) -> Pieces:
     return Pieces(model)
 
 
+def _tagged(scores: list[float], origins: list[int]) -> tuple[float, ...]:
+    """Scores whose last eight bits say where they come from, as ``_same_length`` has them: equal ones have one order."""
+    n = len(scores)
+    bits = unpack(f"{n}q", pack(f"{n}d", *scores))
+    return unpack(f"{n}d", pack(f"{n}q", *[b & ~255 | min(o, 255) for b, o in zip(bits, origins, strict=True)]))
+
+
 def word_lattice(vocab: Pieces, word: str, best: int) -> tuple[float, list[tuple[float, tuple[int, ...]]]]:
     """Log-sum over all segmentations, and the ``best`` most probable ones with their log-probabilities, unnormalised."""
     n = len(word)
     total = [0.0] * (n + 1)
     tops: list = [None] * n + [[(0.0, ())]]
     for at in range(n - 1, -1, -1):
-        sums, options = [], []
+        sums, scores, origins, options = [], [], [], []
         for end, score, ids in vocab.edges(word, at):
             sums.append(score + total[end])
-            options += [(score + s, ids, tail) for s, tail in tops[end]]
+            origin = (end - at - 1) * best
+            for s, tail in tops[end]:
+                scores.append(score + s)
+                origins.append(origin)
+                options.append((ids, tail))
+                origin += 1
         if len(sums) == 1:
             total[at] = sums[0]
         else:
             top = max(sums)
             total[at] = top + log(sum(exp(x - top) for x in sums))
-        options.sort(key=lambda o: -o[0])
-        tops[at] = [(s, (ids, tail)) for s, ids, tail in options[:best]]
+        tagged = _tagged(scores, origins)
+        order = sorted(range(len(tagged)), key=tagged.__getitem__, reverse=True) if len(tagged) > 1 else [0]
+        tops[at] = [(tagged[o], options[o]) for o in order[:best]]
     flat = []
     for s, chain in tops[0]:
         out: list[int] = []
@@ -154,7 +171,6 @@ def word_lattice(vocab: Pieces, word: str, best: int) -> tuple[float, list[tuple
     return total[0], flat
 
 
-@lru_cache(maxsize=4096)
 def _edges_and_sums(vocab: Pieces, word: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
     """What can start at each place of a word, and the log-sum over all segmentations from there."""
     n = len(word)
@@ -167,12 +183,16 @@ def _edges_and_sums(vocab: Pieces, word: str) -> tuple[list[list[tuple[int, floa
     return edges, total
 
 
+#: The same for words of at most TOGETHER characters, remembered.
+_edges_and_sums_again = lru_cache(maxsize=1024)(_edges_and_sums)
+
+
 def sample_path(vocab: Pieces, word: str, noise: Iterator[float], excluded: list[tuple[float, tuple[int, ...]]]) -> tuple[float, tuple[int, ...]]:
     """A segmentation drawn from the lattice without the excluded ones (each with its log-probability given the word).
 
     At every node the excluded segmentations that would pass an edge are taken off the edge's probability."""
     n = len(word)
-    edges, total = _edges_and_sums(vocab, word)
+    edges, total = (_edges_and_sums if len(word) > TOGETHER else _edges_and_sums_again)(vocab, word)
     at, out, so_far, left = 0, (), 0.0, excluded  # left: those that agree with all that is drawn so far
     while at < n:
         options, whole = [], 0.0
@@ -270,13 +290,14 @@ def _same_length(vocab: Pieces, codes: np.ndarray, best: int) -> tuple[np.ndarra
             np.add(tops[end, :deep], scores[e], out=options[:, e])
         options = options.reshape(deep * m, n)
         tail, edge = np.divmod(np.arange(deep * m), m)
-        origin = edge * best + tail
+        origin = (np.array(used) - at - 1)[edge] * best + tail  # by the word alone, whatever words are beside it
         bits = options.view(np.int64)  # the last eight bits of a score say where it comes from
         bits &= ~255
         bits |= origin[:, None]
-        row_of, end_of = np.zeros(m * best, np.int64), np.repeat(np.array(used, np.int16), best)
-        row_of[origin] = np.arange(deep * m)
-        edge_of, tail_of = np.divmod(np.arange(m * best), best)
+        row_of, edge_of = np.zeros((2, reach * best), np.int64)
+        row_of[origin], edge_of[origin] = np.arange(deep * m), edge
+        end_of, tail_of = np.divmod(np.arange(reach * best), best)
+        end_of += at + 1
         for r in range(width[at]):
             highest = options[: (r + 1) * m].max(axis=0)  # of an edge's tails the better ones go first
             place = highest.view(np.int64) & 255
@@ -296,14 +317,13 @@ def _same_length(vocab: Pieces, codes: np.ndarray, best: int) -> tuple[np.ndarra
 
 
 def _numbers(words: list[str]) -> defaultdict[str, int]:
-    """The place of each word; a word that is asked for and not there gets the next place."""
-    found = defaultdict(None, zip(words, range(len(words)), strict=True))
-    found.default_factory = found.__len__
-    return found
+    """The place of each word; a word that is asked for and not there gets the next place. Is freed as soon as nothing has it."""
+    return defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
 
 
 class _Table:
-    """Choices of distinct words: BEST segmentations and one branch for all others. Kept over batches, up to CACHE words."""
+    """Choices of distinct words: BEST segmentations and one branch for all others. Kept over batches, up to CACHE words
+    and KEPT pieces for each of these."""
 
     def __init__(self, vocab: Pieces) -> None:
         self.vocab = vocab
@@ -314,7 +334,7 @@ class _Table:
         self.index = _numbers([])
         self.words: list[str] = []
         self.p, self.cumulative, self.log_rest, self.logp = (np.zeros((room, width)) for _ in range(4))
-        self.counts, self.first = np.zeros(room * width, np.int64), np.zeros(room * width, np.int64)
+        self.counts, self.first = np.zeros(room * width, np.int32), np.zeros(room * width, np.int64)
         self.ids, self.filled = np.zeros(room * 8, np.int32), 0
         self.again = np.zeros(room, bool)  # words met twice or more
 
@@ -326,23 +346,35 @@ class _Table:
         counts = self.counts[slots]
         ends = np.cumsum(counts)
         n = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.arange(n) - np.repeat(ends - counts, counts) + np.repeat(self.first[slots], counts)]
+        ids = np.zeros(max(n, len(self.p) * 8), np.int32)
+        for low in range(0, len(slots), 1 << 16):
+            some = slots[low : low + (1 << 16)]
+            flat = self.pieces_at(some)
+            ids[ends[low] - counts[low] :][: len(flat)] = flat
         for table in (self.p, self.cumulative, self.log_rest, self.logp):
             table[: len(keep)] = table[keep]
         self.counts[: len(slots)], self.first[: len(slots)] = counts, ends - counts
-        self.ids[:n], self.filled = flat, n
+        self.ids, self.filled = ids, n
         self.words = [self.words[i] for i in keep.tolist()]
         self.index = _numbers(self.words)
         self.again[:] = False
 
+    def pieces_at(self, slots: np.ndarray) -> np.ndarray:
+        """The pieces of slots, one slot's after another's."""
+        counts = self.counts[slots]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.first[slots] - (ends - counts), counts)
+        at += np.arange(len(at))
+        return self.ids[at]
+
     def rows(self, cut: list[list[str]]) -> np.ndarray:
         """The row of every word of every text; words that are new are added, all at once."""
         total = sum(map(len, cut))
         out = self._numbered(cut, total)
-        if len(self.index) > len(self.p):
+        if len(self.index) > len(self.p) or self.filled > KEPT * CACHE:
             self._shrink()
             out = self._numbered(cut, total)
-            if len(self.words) + len(self.index) > len(self.p):
+            if len(self.words) + len(self.index) > len(self.p) or 2 * self.filled > KEPT * CACHE:
                 distinct = len(set(chain.from_iterable(cut)))
                 self._clear(distinct)
                 out = self._numbered(cut, total)
@@ -383,7 +415,7 @@ class _Table:
         slots = (here[:, None] * width + np.arange(width)).ravel()
         self.counts[slots], self.first[slots] = counts, self.filled + np.cumsum(counts) - counts
         if self.filled + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)))
+            self.ids = np.concatenate((self.ids[: self.filled], np.zeros(len(self.ids) // 4 + len(flat), np.int32)))
         self.ids[self.filled : self.filled + len(flat)] = flat
         self.filled += len(flat)
 
@@ -607,17 +639,18 @@ def segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, table = pieces(model), word_table(model)
         for batch in (b for b in batches if b.num_rows):
-            ids, texts, seeds = batch["id"].to_pylist(), batch["text"].to_pylist(), batch["seed"].to_numpy().view(U)
-            size = np.cumsum([len(t or "") for t in texts])
-            parts = np.unique(size // CHARS, return_index=True)[1].tolist()
-            for low, high in zip(parts, [*parts[1:], len(texts)], strict=True):
-                made = list(sampled(texts[low:high], seeds[low:high], samples, table))
-                given = [encoded(t) for t in texts[low:high]]
+            seeds = batch["seed"].to_numpy().view(U)
+            size = np.cumsum(pc.binary_length(batch["text"]).fill_null(0).to_numpy(), dtype=np.int64)
+            parts = np.unique(size // BYTES, return_index=True)[1].tolist()
+            for low, high in zip(parts, [*parts[1:], batch.num_rows], strict=True):
+                ids, texts = batch["id"][low:high].to_pylist(), batch["text"][low:high].to_pylist()  # of a part at once
+                made = list(sampled(texts, seeds[low:high], samples, table))
+                given = [encoded(t) for t in texts]
                 i, rank, p, key, inclusion, found = map(list, zip(*made, strict=True))
                 ends = np.cumsum([0, *map(len, found)])
                 back = [b == given[k] for k, b in zip(i, spelled(vocab, found), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32, copy=False)))
-                columns = [pa.array([ids[low + k] for k in i], pa.string()), pa.array(rank, pa.int32()), pa.array(p, pa.float64()), pa.array(key, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(np.diff(ends)), pa.array(back, pa.bool_()), lists]
+                columns = [pa.array([ids[k] for k in i], pa.string()), pa.array(rank, pa.int32()), pa.array(p, pa.float64()), pa.array(key, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(np.diff(ends)), pa.array(back, pa.bool_()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "rank", "log_prob", "perturbed", "inclusion", "n_pieces", "round_trip", "pieces"])
 
     kind = df.schema[id_col].dataType.simpleString()
