@@ -41,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, BEST, SEED = 2, 4, 17
 #: Bytes of texts that are cut at once, words in a batch of them, distinct words that a worker remembers, and pieces it
 #: remembers for each of these: memory of a worker does not grow with what it has read.
-BYTES, BATCH, CACHE, KEPT = 1_000_000, 50_000, 300_000, 32
+BYTES, BATCH, CACHE, KEPT = 1_000_000, 50_000, 400_000, 32
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is cut; no valid text has it.
 _LITERAL = "\udb81"
@@ -193,24 +193,25 @@ def sample_path(vocab: Pieces, word: str, noise: Iterator[float], excluded: list
     At every node the excluded segmentations that would pass an edge are taken off the edge's probability."""
     n = len(word)
     edges, total = (_edges_and_sums if len(word) > TOGETHER else _edges_and_sums_again)(vocab, word)
-    at, out, so_far, left = 0, (), 0.0, excluded  # left: those that agree with all that is drawn so far
+    at, out, so_far, left = 0, [], 0.0, excluded  # left: those that agree with all that is drawn so far
     while at < n:
-        options, whole = [], 0.0
+        options, whole, k = [], 0.0, len(out)
         for end, score, ids in edges[at]:
-            path, logp = out + ids, so_far + score
-            passing = [(x, e) for x, e in left if e[: len(path)] == path] if left else left
+            logp = so_far + score
+            passing = [(x, e) for x, e in left if e[k : k + len(ids)] == ids] if left else left
             barred = sum([exp(x - logp - total[end] + total[0]) for x, _ in passing]) if passing else 0.0
             if barred < 1 - 1e-9:
                 weight = exp(score + total[end] - total[at]) * (1 - barred)
                 whole += weight
-                options.append((weight, end, path, logp, passing))
+                options.append((weight, end, ids, logp, passing))
         u = next(noise) * whole
-        for weight, end, path, logp, passing in options:  # noqa: B007
+        for weight, end, ids, logp, passing in options:  # noqa: B007
             u -= weight
             if u < 0:
                 break
-        at, out, so_far, left = end, path, logp, passing
-    return so_far - total[0], out
+        out += ids
+        at, so_far, left = end, logp, passing
+    return so_far - total[0], tuple(out)
 
 
 #: Longest word whose lattice is computed together with others of its length, and words in one computation.

@@ -3,6 +3,7 @@
 import gc
 import random
 import string
+import time
 import tracemalloc
 
 import numpy as np
@@ -55,3 +56,16 @@ def test_segmentations_of_a_word_do_not_depend_on_the_words_beside_it():
     together = found(words)
     assert together == {w: p for i in range(0, len(words), 40) for w, p in found(words[i : i + 40]).items()}
     assert all(together[w] == [*sp_codec.word_lattice(vocab, w, sp_codec.BEST)[1]] for w in words[:500])
+
+
+def test_drawing_takes_time_in_proportion_to_the_word():
+    vocab, rng = sp_codec.pieces(sp_codec.MODEL), random.Random(10)
+
+    def seconds(n):
+        word, began = "▁" + "abcxyz" * (n // 6), time.process_time()
+        ids = sp_codec.sample_path(vocab, word, iter(rng.random, 2), [])[1]
+        assert b"".join(vocab.raw[k] for k in ids).decode() == word.replace("▁", " ")
+        return time.process_time() - began
+
+    seconds(6_000)
+    assert min(seconds(96_000), seconds(96_000)) < 7 * max(seconds(24_000), seconds(24_000))
