@@ -93,3 +93,45 @@ def test_vectors_without_direction_have_no_pairs(spark):
     rows = [(1, 1, [1.0, 0.0]), (1, 2, [2.0, 0.1]), (1, 3, [0.0, 0.0]), (1, 4, None), (1, 5, []), (1, 6, [None, 1.0]), (2, 7, [1.0, 0.0]), (None, 8, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "`group` int, id int, embedding array<double>")
     assert [(r.group, r.a, r.b) for r in fusion.vector_pairs(df).collect()] == [(1, 1, 2)]
+
+
+def test_texts_are_scored_by_batches_as_the_expression_scores_them(spark):
+    from graphloom.operators import retrieval
+
+    texts = ["", "a", "ab", "The river. The stone", "the river, the stone!", "中文，中文 abc", "😀b ab", "x" * 900, "ab" * 400, None, "a b c d e f g", "riverstone", "RIVER stone " * 30]
+    rows = spark.createDataFrame([(f"{i}-{n}", t) for n in range(3) for i, t in enumerate(texts)], "id string, chunk string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id int, query string")
+    for least in (0.25, 0.0):
+        pairs = asked.crossJoin(rows).select("query_id", "id", F.round(chunk_similarity(F.col("query"), F.col("chunk")), 9).alias("s"), "query", "chunk")
+        pairs = pairs.where("query IS NOT NULL AND chunk IS NOT NULL").select("query_id", "id", "s")  # no text, no score
+        got = retrieval.chunk_top(asked, rows, 5, least).collect()
+        assert {(r.query_id, r.id, r.score) for r in got} == best(map(tuple, pairs.collect()), 5, least)
+
+
+def test_queries_go_to_the_texts_in_blocks_and_a_cell_has_a_bound(spark, tables, monkeypatch):
+    from graphloom.operators import passages, retrieval
+
+    want = sorted(map(str, QUERIES["chunk_similarity_topk"](spark, tables).collect()))
+    monkeypatch.setattr(retrieval, "ASKED", 2)
+    monkeypatch.setattr(passages, "CELLS", 50)
+    assert sorted(map(str, QUERIES["chunk_similarity_topk"](spark, tables).collect())) == want
+    assert passages.shared_grams(["abab", "b", "", "cab"], [passages._gram_codes(["ab", "ca", "zz"]), passages._gram_codes(["b"])])[1].tolist() == [[1, 0, 0, 2], [0, 1, 0, 0]]
+
+
+def test_all_chunks_are_read_for_all_queries(spark, tables, monkeypatch):
+    from graphloom.operators import retrieval
+
+    seen = []
+    whole = retrieval.chunk_top
+    monkeypatch.setattr(retrieval, "chunk_top", lambda queries, chunks, *a: seen.append((queries.count(), chunks.count())) or whole(queries, chunks, *a))
+    QUERIES["chunk_similarity_topk"](spark, tables)
+    every = chunking.windows(table(spark, tables, "documents")).count()
+    assert seen == [(table(spark, tables, "benchmark").where("item_id % 50 = 0").count(), every)] and seen[0][0] == 3
+
+
+def test_a_walk_ranks_no_edge_away_from_its_nodes(spark, monkeypatch):
+    asked, real = [], traversal.small
+    monkeypatch.setattr(traversal, "small", lambda df, rows: asked.append(df.count()) or real(df, rows))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "r", i) for i in range(200)], "source_id string, target_id string, relation_type string, seq int")
+    walked = traversal.fan_out_bfs(edges, spark.createDataFrame([("n1",)], "id string"), 2).collect()
+    assert asked == [1, 2] and {(r.source_id, r.target_id, r.level) for r in walked} == {("n1", "n2", 1), ("n0", "n1", 1), ("n2", "n3", 2)}
