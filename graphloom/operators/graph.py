@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.schema import BRIDGE_EDGES, COLD_START, DOCUMENT_NODES, MAX_QUOTES, MENTIONED_IN, QUOTES, RESERVED_ENTITIES, RESERVED_RELATIONS, STRUCTURE_EDGES, allows
+from graphloom.schema import BRIDGE_EDGES, COLD_START, DOCUMENT_NODES, MAX_QUOTES, MENTIONED_IN, QUOTES, RESERVED_ENTITIES, RESERVED_RELATIONS, STRUCTURE_EDGES, allows, edge_id, packed, unpacked
 from graphloom.session import BROADCAST_ROWS, small
 
 
@@ -106,8 +106,10 @@ def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def last_parallel(edges: DataFrame) -> DataFrame:
-    """A simple digraph: of all edges from one node to another the last one is left."""
-    return edges.groupBy("source_id", "target_id").agg(F.max_by("relation_type", "seq").alias("relation_type"), F.max("seq").alias("seq"))
+    """A simple digraph: of all edges from one node to another the last one is left. Ids are packed while edges are dealt."""
+    short = edges.select(packed("source_id").alias("_s"), packed("target_id").alias("_t"), "relation_type", "seq")
+    last = short.groupBy("_s", "_t").agg(F.max_by("relation_type", "seq").alias("relation_type"), F.max("seq").alias("seq"))
+    return last.select(unpacked("_s").alias("source_id"), unpacked("_t").alias("target_id"), "relation_type", "seq")
 
 
 def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,14 +146,17 @@ def judge_edges(valid: DataFrame, edges: DataFrame, relations: DataFrame, requir
     """Edges with ``violation``; valid: id, entity_type, and ``_gone`` if edges of nodes that go are to be dropped.
 
     What the evidence rule asks is settled before edges meet nodes, so their quotes are shuffled only where a caller wants
-    them. Sources come last: copies of an edge are then where its source is."""
-    if require_evidence:
-        none = F.size("evidence_quotes") == 0
-        lack = F.when(~none & ~has_verified(F.col("evidence_quotes")), F.lit("unverified_evidence")).when(none & (F.size("source_chunk_ids") == 0), F.lit("missing_evidence"))
-        edges = edges.withColumn("_lack", F.when(~F.col("relation_type").isin(*RESERVED_RELATIONS), lack))
+    them. Sources come last: copies of an edge are then where its source is. In shuffles ids are packed, and an edge's own
+    id is left out where it follows from its ends and relation."""
+    columns = [c for c in edges.columns if c != "_lack"]
+    if require_evidence and "_lack" not in edges.columns:
+        edges = lacking(edges)
+    own = F.coalesce(F.col("id") == edge_id("source_id", "relation_type", "target_id"), F.lit(False)) if "id" in columns else F.lit(True)
+    short = {"_s": packed("source_id"), "_t": packed("target_id")} | ({"_own": own, "_id": F.when(~own, F.col("id"))} if "id" in columns else {})
+    edges = edges.withColumns(short).drop("source_id", "target_id", "id")
     more = [c for c in ("_gone",) if c in valid.columns]
-    end = lambda c, kind: valid.select(F.col("id").alias(c), F.col("entity_type").alias(kind), *[F.col(g).alias(f"{g}{kind}") for g in more])
-    ends = edges.join(end("target_id", "_to"), "target_id", "left").join(end("source_id", "_from"), "source_id", "left")
+    end = lambda c, kind: valid.select(packed("id").alias(c), F.col("entity_type").alias(kind), *[F.col(g).alias(f"{g}{kind}") for g in more])
+    ends = edges.join(end("_t", "_to"), "_t", "left").join(end("_s", "_from"), "_s", "left")
     free = relations.limit(1).count() == 0
     rules = relations.select(F.col("name").alias("relation_type"), F.lit(True).alias("_rule"), "source_types", "target_types")
     ends = ends.join(small(rules), "relation_type", "left")
@@ -163,13 +168,23 @@ def judge_edges(valid: DataFrame, edges: DataFrame, relations: DataFrame, requir
         .when(~exempt & ~allows(F.col("target_types"), F.col("_to")), F.lit("target_type_mismatch"))
     )
     ranked = ends.withColumn("violation", first)
-    same = Window.partitionBy("source_id", "target_id", "relation_type", F.col("violation").isNull()).orderBy("seq")
+    same = Window.partitionBy("_s", "_t", "relation_type", F.col("violation").isNull()).orderBy("seq")
     ranked = ranked.withColumn("violation", F.coalesce("violation", F.when(F.row_number().over(same) > 1, F.lit("duplicate_edge"))))
     if require_evidence:
         ranked = ranked.withColumn("violation", F.coalesce("violation", "_lack"))
     if more:
         ranked = ranked.where(~F.coalesce("_gone_from", F.lit(False)) & ~F.coalesce("_gone_to", F.lit(False)))
-    return ranked.drop("_from", "_to", "_rule", "source_types", "target_types", "_lack", "_gone_from", "_gone_to")
+    whole = ranked.withColumns({"source_id": unpacked("_s"), "target_id": unpacked("_t")})
+    if "id" in columns:
+        whole = whole.withColumn("id", F.when(F.col("_own"), edge_id("source_id", "relation_type", "target_id")).otherwise(F.col("_id")))
+    return whole.select(*columns, "violation")
+
+
+def lacking(edges: DataFrame) -> DataFrame:
+    """Adds ``_lack``: what the evidence rule has against an edge by itself, or null."""
+    none = F.size("evidence_quotes") == 0
+    lack = F.when(~none & ~has_verified(F.col("evidence_quotes")), F.lit("unverified_evidence")).when(none & (F.size("source_chunk_ids") == 0), F.lit("missing_evidence"))
+    return edges.withColumn("_lack", F.when(~F.col("relation_type").isin(*RESERVED_RELATIONS), lack))
 
 
 def gate_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -191,7 +206,7 @@ def import_graph(nodes: DataFrame, edges: DataFrame, existing: DataFrame, entiti
 
     Properties are last-wins; an edge's end is the last node of that name; edges with a missing end or a copy are skipped.
     Undeclared types are counted, if a schema is given, and imported all the same."""
-    from graphloom.schema import edge_id, node_id
+    from graphloom.schema import node_id
 
     merged = latest(nodes.withColumn("id", node_id("entity_type", "name")), ["id"]).withColumn("source_chunk_ids", F.array(F.lit(COLD_START)))
     known = existing.select("id").withColumn("_old", F.lit(True))
