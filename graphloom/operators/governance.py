@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import has_verified, remove_nodes
-from graphloom.schema import BRIDGE_EDGES, COLD_START, DOCUMENT_NODES, RESERVED_ENTITIES, RESERVED_RELATIONS, STRUCTURE_EDGES, UNCLASSIFIED
+from graphloom.schema import BRIDGE_EDGES, COLD_START, DOCUMENT_NODES, RESERVED_ENTITIES, RESERVED_RELATIONS, STRUCTURE_EDGES, UNCLASSIFIED, packed, unpacked
 from graphloom.session import small
 
 
@@ -41,12 +41,32 @@ def review_queue(draft: DataFrame, published: DataFrame) -> DataFrame:
     return _judged(rows.withColumn("title", F.col("name")))
 
 
+def fresh_edges(draft: DataFrame, published: DataFrame) -> DataFrame:
+    """Draft edges that are not as published, with ``_old``, the published relations of their id, for ``review_edges``.
+
+    For drafts whose ids follow from ends and relation: then all copies of an edge stay or go, and a gate after this finds
+    in them what it would find in the whole draft. Only what is left is dealt again for the gate and for names."""
+    old = published.select(packed("id").alias("_pid"), "relation_type").repartition("_pid").groupBy("_pid").agg(F.collect_list("relation_type").alias("_old"))
+    short = draft.withColumns({"_pid": packed("id"), "_s": packed("source_id"), "_t": packed("target_id")}).drop("id", "source_id", "target_id")
+    same = F.col("_old").isNotNull() & F.forall("_old", lambda r: r == F.col("relation_type"))
+    kept = short.join(old, "_pid", "left").where(~same)
+    return kept.withColumns({"id": unpacked("_pid"), "source_id": unpacked("_s"), "target_id": unpacked("_t")}).select(*draft.columns, "_old")
+
+
 def review_edges(draft: DataFrame, published: DataFrame, nodes: DataFrame) -> DataFrame:
-    """New and changed edges outside the structure and bridge layers; a title names both ends, ? where one is missing."""
+    """New and changed edges outside the structure and bridge layers; a title names both ends, ? where one is missing.
+
+    draft: judged edges, all of them or what ``fresh_edges`` leaves; then ``published`` is not met again."""
     shown = draft.where(~F.col("relation_type").isin(*STRUCTURE_EDGES, *BRIDGE_EDGES))
-    rows = draft_diff(shown, published, ["relation_type"]).where("change <> 'unchanged'")
+    if "_old" in draft.columns:
+        met = shown.withColumn("_old", F.explode_outer("_old"))
+        state = F.when(F.col("_old").isNull(), "new").when(F.col("relation_type") != F.col("_old"), "changed").otherwise("unchanged")
+        rows = met.withColumn("change", state).drop("_old").where("change <> 'unchanged'")
+    else:
+        rows = draft_diff(shown, published, ["relation_type"]).where("change <> 'unchanged'")
     for end in ("source_id", "target_id"):
-        rows = rows.join(nodes.select(F.col("id").alias(end), F.col("name").alias(f"_{end}")), end, "left")
+        known = nodes.select(packed("id").alias("_end"), F.col("name").alias(f"_{end}"))
+        rows = rows.withColumn("_end", packed(end)).join(known, "_end", "left").drop("_end")
     name = lambda c: F.coalesce(f"_{c}", F.lit("?"))
     return _judged(rows.withColumn("title", F.concat(name("source_id"), F.lit(" --["), F.col("relation_type"), F.lit("]--> "), name("target_id"))).drop("_source_id", "_target_id"))
 
