@@ -139,3 +139,20 @@ def test_resolution_of_empty_tables(spark):
     assert resolution.resolve(rows.limit(0), nodes).count() == 0
     assert {r.seq: r.how for r in resolution.resolve(rows, nodes).collect()} == {1: "known", 3: "new"}
     assert {r.seq: r.how for r in resolution.resolve(rows, nodes.limit(0)).collect()} == {1: "new", 3: "new"}
+
+
+def test_spellings_of_one_name_are_compared_once(spark):
+    rows = [("A", spell(f"Account-{i}-of-x")) for i in (1212, 2121, 7) for spell in (str, str.upper, lambda s: s.replace("-of", "  -of"))]
+    df = spark.createDataFrame([*rows, ("A", " "), ("A", None)], "entity_type string, name string")
+    seen, real = [], blocking.candidate_pairs
+    blocking.candidate_pairs = lambda a, b, t: seen.append((a.count(), b.count())) or real(a, b, t)
+    try:
+        found = {(r.a, r.b): r.score for r in blocking.similar_names(df, df, 0.89).collect()}
+    finally:
+        blocking.candidate_pairs = real
+    same = {(a, b) for _, a in rows for _, b in rows if a != b and fn_norm(a) == fn_norm(b)}
+    assert seen == [(3, 3)] and {p for p, s in found.items() if s == 1.0} == same and len(same) == 18
+
+
+def fn_norm(name):
+    return "".join(name.lower().split())
